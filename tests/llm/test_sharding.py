@@ -7,7 +7,7 @@ from gridloom.llm.sharding import shard, tree_shard
 
 def test_slots_sizes_and_growth(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"), F.lit(1).alias("slot"))
-    df = df.unionByName(spark.createDataFrame([(None, None, 0), (1, "é1", 0), (1, "other", 0)], df.schema))
+    df = df.unionByName(spark.createDataFrame([(None, None, 0), (1, "é1", 0), (1, "other", 0)], "doc_id long, text string, slot int"))
     rows = shard(df).collect()
     assert len(rows) == 4003
     taken = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import partitions, written
-from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, gather, pack, positions_of, runs, unpack, unpack_words, words_of
+from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, gather, pack, positions_of, runs, unpack, unpack_ranks, unpack_words, words_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -135,13 +135,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 if row["bucket"] < LAST:
                     parts.append((unpack(row["token_lens"], np.uint32), unpack(row["tokens"], np.uint32)))
                     continue
-                perm = unpack(row["perm"], np.uint32)
+                perm = np.argsort(unpack(row["buckets"]), kind="stable")
                 flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
                 sorted_lens = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
                 parts = []
                 starts, lens = np.empty(len(perm), np.int64), np.empty(len(perm), np.int64)
                 starts[perm], lens[perm] = runs(sorted_lens)[0], sorted_lens
-                at = unpack(row["positions"], np.uint32)
+                at = unpack_ranks(row["positions"])
                 out, a, held = [], 0, 0
                 for doc, n in zip(row["ids"], row["lens"]):
                     here, a = at[a : a + n], a + n
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=out_schema)
 
-    return by_chunk(replies, positions_of(chunks).drop("flags")).select("chunk", "bucket", "token_lens", "tokens", "positions", "perm", "ids", "lens").mapInArrow(
+    return by_chunk(replies, positions_of(chunks).drop("flags")).select("chunk", "bucket", "token_lens", "tokens", "positions", "buckets", "ids", "lens").mapInArrow(
         assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     )
 

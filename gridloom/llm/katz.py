@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import partitions, written
-from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, expand, pack, positions_of, runs, squeeze, unpack, unpack_words, words_of
+from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, expand, pack, positions_of, runs, squeeze, unpack, unpack_ranks, unpack_words, words_of
 
 K = 5
 #: A word's id holds its count in the upper bits, so that an id tells P(w); larger counts are kept apart.
@@ -123,11 +123,10 @@ class _Chunk:
             else:
                 self.pairs.append(row)
             return None
-        perm = unpack(row["perm"], np.uint32)
-        ids, bucket = np.empty(len(perm), np.uint64), np.empty(len(perm), np.int64)
-        ids[perm] = np.concatenate([w for _, w in self.words])
-        bucket[perm] = np.repeat([b for b, _ in self.words], [len(w) for _, w in self.words])
-        return ids, bucket, perm, unpack(row["positions"], np.uint32)
+        bucket = unpack(row["buckets"], np.int64)
+        ids = np.empty(len(bucket), np.uint64)
+        ids[np.argsort(bucket, kind="stable")] = np.concatenate([w for _, w in self.words])
+        return ids, bucket, unpack_ranks(row["positions"])
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -181,7 +180,7 @@ def _ask_pairs(buckets: int, tokens: int, full: dict[int, int]):
             got = chunk.take(row)
             if got is None:
                 continue
-            (ids, bucket_of, _, at), chunk = got, _Chunk()
+            (ids, bucket_of, at), chunk = got, _Chunk()
             end = int(at[row["lens"][0] - 1])
             bucket, v, w, place = requests(at, ids, counts_of(ids, full), bucket_of, end, buckets, tokens)
             trained = np.repeat(np.array(row["flags"], bool), row["lens"]) & (place >= 0)
@@ -243,7 +242,7 @@ def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndar
             got = chunk.take(row)
             if got is None:
                 continue
-            (ids, bucket_of, _, at), replies, chunk = got, chunk.pairs, _Chunk()
+            (ids, bucket_of, at), replies, chunk = got, chunk.pairs, _Chunk()
             counts = counts_of(ids, full)
             end = int(at[row["lens"][0] - 1])
             _, v, _, place = requests(at, ids, counts, bucket_of, end, buckets, tokens)

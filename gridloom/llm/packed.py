@@ -1,7 +1,7 @@
 """Packed exchanges between chunks of documents and buckets of words.
 
-A chunk is a bounded run of one task's documents. It holds its distinct words once and, for each document, the
-positions as indices into them. Its words go out in one compressed blob per hash bucket, so that a bucket sees
+A chunk is a bounded run of one task's documents. It holds its distinct words once, in order of frequency, and for
+each document the positions as indices into them. Its words go out in one compressed blob per hash bucket, so that a bucket sees
 every word of the corpus that falls into it, and answers return to the chunk in the same order. A word so crosses
 the network once per chunk instead of once per occurrence.
 """
@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A chunk is closed after the document that brings it to so many positions.
-CHUNK_POSITIONS = 1 << 22
+CHUNK_POSITIONS = 1 << 23
 #: The row with a chunk's positions sorts after the rows of its buckets.
 LAST = (1 << 31) - 1
 
-CHUNK_SCHEMA = "chunk long, bucket int, words binary, extra binary, positions binary, perm binary, ids array<long>, lens array<long>, flags array<boolean>"
-_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("extra", pa.binary()), ("positions", pa.binary()), ("perm", pa.binary()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_()))])
+CHUNK_SCHEMA = "chunk long, bucket int, words binary, extra binary, positions binary, buckets binary, ids array<long>, lens array<long>, flags array<boolean>"
+_ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("extra", pa.binary()), ("positions", pa.binary()), ("buckets", pa.binary()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_()))])
 
 
 def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
@@ -59,6 +59,25 @@ def unpack(raw: bytes, dtype=np.uint64) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
+def pack_ranks(a: np.ndarray) -> bytes:
+    """Indices of words in order of frequency: a byte for each of the first 192, else the upper part in a byte and two more."""
+    if len(a) and int(a.max()) >= 192 + (64 << 16):
+        return b"\0" + pack(a)
+    rest = a[a >= 192] - 192
+    parts = [squeeze(x.astype(np.uint8).tobytes()) for x in (np.where(a < 192, a, 192 + ((a - 192) >> 16)), rest >> 8 & 255, rest & 255)]
+    return b"\1" + struct.pack("<II", len(parts[0]), len(parts[1])) + b"".join(parts)
+
+
+def unpack_ranks(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"\0":
+        return unpack(raw[1:], np.uint32)
+    m, n = struct.unpack_from("<II", raw, 1)
+    lead, upper, lower = (np.frombuffer(expand(x), np.uint8).astype(np.uint32) for x in (raw[9 : 9 + m], raw[9 + m : 9 + m + n], raw[9 + m + n :]))
+    far = lead >= 192
+    lead[far] = 192 + ((lead[far] - 192) << 16) + (upper << 8) + lower
+    return lead
+
+
 def pack_words(words: list[bytes]) -> bytes:
     lens = pack(np.fromiter(map(len, words), np.uint64, len(words)))
     return struct.pack("<I", len(lens)) + lens + squeeze(b"".join(words))
@@ -71,11 +90,11 @@ def unpack_words(raw: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counted: bool) -> Callable:
+def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counted: bool, size: int = CHUNK_POSITIONS) -> Callable:
     """For mapInArrow over (id long, text string[, flag boolean]): the rows of CHUNK_SCHEMA.
 
     tokens_of() makes, once per task, the function from a text to its list of tokens (str or bytes).
-    counted: extra holds, for each word, its occurrences in flagged documents.
+    counted: extra holds, for each word, its occurrences in flagged documents. size: positions that close a chunk.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,20 +105,25 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
         docs, held = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate([d[1] for d in docs])
+            by_count = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            rank = np.empty(len(by_count), np.uint32)
+            rank[by_count] = np.arange(len(by_count))
+            flat = rank[flat]
             words = [w if isinstance(w, bytes) else w.encode() for w in index]
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            perm = np.lexsort((h, h % buckets))
-            bucket = (h % buckets)[perm].astype(np.int64)
-            chunk, flat = (task << 24) + seq, np.concatenate([d[1] for d in docs])
+            words = [words[i] for i in by_count.tolist()]
+            bucket_of = np.fromiter((h % buckets for h in map(xxhash.xxh3_64_intdigest, words)), np.int64, len(words))
+            order, chunk = np.argsort(bucket_of, kind="stable"), (task << 24) + seq
+            bucket = bucket_of[order]
             count = None
             if counted:
                 flagged = np.repeat([d[2] for d in docs], [len(d[1]) for d in docs])
-                count = np.bincount(flat[flagged], minlength=len(words))[perm]
+                count = np.bincount(flat[flagged], minlength=len(words))[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(words)]):
-                rows.append({"chunk": chunk, "bucket": int(bucket[a]), "words": pack_words([words[i] for i in perm[a:b]]), "extra": pack(count[a:b]) if counted else None})
-            rows.append({"chunk": chunk, "bucket": LAST, "positions": pack(flat), "perm": pack(perm), "ids": [d[0] for d in docs], "lens": [len(d[1]) for d in docs], "flags": [d[2] for d in docs]})
+                rows.append({"chunk": chunk, "bucket": int(bucket[a]), "words": pack_words([words[i] for i in order[a:b].tolist()]), "extra": pack(count[a:b]) if counted else None})
+            rows.append({"chunk": chunk, "bucket": LAST, "positions": pack_ranks(flat), "buckets": pack(bucket_of), "ids": [d[0] for d in docs], "lens": [len(d[1]) for d in docs], "flags": [d[2] for d in docs]})
             index.clear()
             docs.clear()
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -110,7 +134,7 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
                 found = tokens(text.as_py())
                 docs.append((i, np.fromiter(map(index.__getitem__, found), np.uint32, len(found)), flag))
                 held += len(found) + 1
-                if held >= CHUNK_POSITIONS:
+                if held >= size:
                     yield from close()
                     seq, held = seq + 1, 0
         if docs:
@@ -128,7 +152,7 @@ def by_chunk(*tables: DataFrame) -> DataFrame:
 
 
 def positions_of(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("bucket") == LAST).select("chunk", "bucket", "positions", "perm", "ids", "lens", "flags")
+    return chunks.where(F.col("bucket") == LAST).select("chunk", "bucket", "positions", "buckets", "ids", "lens", "flags")
 
 
 def words_of(chunks: DataFrame, *more: str) -> DataFrame:

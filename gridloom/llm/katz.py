@@ -32,6 +32,8 @@ COUNT_BITS = 26
 TIE_BITS = 64 - COUNT_BITS
 FULL = (1 << COUNT_BITS) - 1
 END = b""
+#: Positions that close a chunk: sorting its pairs takes about 200 bytes for each.
+CHUNK = 1 << 21
 
 
 def tokens_of():
@@ -288,7 +290,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     bounded_batches(spark)
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
-    chunks = written(rows.mapInArrow(chunker(tokens_of, buckets, counted=True), CHUNK_SCHEMA), "tokens")
+    chunks = written(rows.mapInArrow(chunker(tokens_of, buckets, counted=True, size=CHUNK), CHUNK_SCHEMA), "tokens")
     words = written(words_of(chunks, "extra").groupBy("bucket").applyInArrow(_count_words(buckets), _WORD_REPLY), "words")
     sums = words.where("chunk = -1")
     tokens, types = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -30,15 +31,31 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The folder is deleted when the session's JVM ends.
+    The folder is deleted by release(), or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    for t in tables:
+        place, fs = _place(t.sparkSession, t.written_path)
+        fs.delete(place, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,8 +10,9 @@ Equal sets are one class throughout; a class is stood for by its least id.
     and the connected components of what links are the groups.
 3.  The token-group matrix over whole sets tells how many of a document's tokens occur in any other group. Below
     the bound it cannot link outside its group, and within its group nothing more is to be gained for components.
-4.  For the rest, prefixes in order of rarity find candidate groups, the matrix bounds the overlap with each, and
-    only groups that reach the bound are opened, in parts of at most PART members, for exact comparison.
+4.  For the rest, the matrix over each document's rarer half counts its overlap with each group that it meets there,
+    and only groups that reach the bound (a quarter of the tokens any partner must share) are opened, in parts of at
+    most PART members, for exact comparison.
 
 Steps 1, 3 and 4 lose no link; step 2 only has to find groups, not all links. In steps 1 and 3 a chunk sends each of
 its distinct tokens once with the least group that has it, so that no token gathers more than a row for each chunk.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridloom.llm.common import components, partitions, written
+from gridloom.llm.common import components, partitions, release, written
 from gridloom.llm.packed import CHUNK_POSITIONS, LAST, bounded_batches, by_chunk, pack, unpack
 
 WORDS, PERCENT, HASHES, PART = 5, 75, 6, 64
@@ -112,7 +113,7 @@ def _postings(source: Callable, buckets: int) -> Callable:
             for d in source(batch):
                 docs.append(d)
                 held += len(d[4]) + 1
-                if held >= CHUNK_POSITIONS // 2:
+                if held >= CHUNK_POSITIONS // 4:
                     yield close()
                     seq, held, docs = seq + 1, 0, []
         if docs:
@@ -163,15 +164,18 @@ def _enough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reaching(rows: DataFrame, source: Callable, label: str) -> tuple[DataFrame, DataFrame]:
-    """(all documents' id, n, hi, lo; those that share enough tokens with other groups)."""
+    """(all documents' id, n, hi, lo; those that share enough tokens with other groups), both written."""
     buckets = partitions(rows.sparkSession)
     made = written(rows.mapInArrow(_postings(source, buckets), _POSTINGS), label)
     part = made.where(F.col("bucket") < LAST)
     bits = part.select("chunk", "bucket", "tokens", "groups", "mixed").repartition("bucket").groupBy("bucket").applyInArrow(_in_other_groups, "chunk long, bucket int, bits binary")
     last = made.where(F.col("bucket") == LAST)
-    every = last.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("ns").alias("n"), "hi", "lo")).alias("x")).select("x.*")
+    every = written(last.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("ns").alias("n"), "hi", "lo")).alias("x")).select("x.*"), "documents")
     lined = by_chunk(bits, part.select("chunk", "bucket", "runs", "docs"), last.select("chunk", "bucket", "ids", "ns", "needs", "hi", "lo"))
-    return every, lined.mapInArrow(_enough, "id long, n long, hi long, lo long")
+    found = written(lined.mapInArrow(_enough, "id long, n long, hi long, lo long"), "reaching")
+    del part, bits, last, lined
+    release(made)
+    return every, found
 
 
 def _text_source(words: int, percent: int, whole: bool) -> Callable:
@@ -235,38 +239,39 @@ def _linked(percent: int) -> Callable:
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) -> those that link, by their whole sets; sizes that rule a link out are left out first."""
+    sizes = sets.select("id", "n")
     x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
+    both = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    fit = written(both.where(near).select("a", "b").distinct(), "pairs")
+    return fit.join(x, "a").join(y, "b").where(near).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
 
 
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 4: links between documents of different components among rest (id, component)."""
     sizes = rest.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    member = rest.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "component", "part")
+    member = written(rest.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "component", "part"), "members")
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, n, raw, c, p in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for i, n, lo, raw, c, p in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 t = _tokens(raw).view(np.int64)
                 k = len(t)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * k), pa.array([n] * k), pa.array(t), pa.array([c] * k), pa.array([p] * k, pa.int32())], names=["id", "n", "token", "component", "part"])
-
-    whole = sets.join(member, "id").select("id", "n", "tokens", "component", "part")
-    posts = written(whole.mapInArrow(listed, "id long, n long, token long, component long, part int"), "posts")
-    # A token of one component only can't link across; the others count as matrix rows, in order of rarity.
-    rare = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    rare = written(rare.select("token", "df", (F.col("c0") != F.col("c1")).alias("across")), "rare")
-    ranked = posts.join(rare, "token").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    prefix = written(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("across")).select("id", "token", "component", "part"), "prefix")
+                yield pa.RecordBatch.from_arrays([pa.array([i] * k), pa.array([n] * k), pa.array([lo] * k), pa.array(t), pa.array([c] * k), pa.array([p] * k, pa.int32())], names=["id", "n", "lo", "token", "component", "part"])
+
+    whole = sets.join(member, "id").select("id", "n", "lo", "tokens", "component", "part")
+    posts = written(whole.mapInArrow(listed, "id long, n long, lo long, token long, component long, part int"), "posts")
+    # A token of one component only can't link across, but has its place in the order of rarity.
+    rare = written(posts.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("across")), "rare")
+    ranked = posts.join(rare, "token").withColumn("r", F.row_number().over(Window.partitionBy("id", "lo").orderBy("df", "token")))
+    shared = F.ceil(F.col("n") * percent / 100)
+    prefix = written(ranked.where((F.col("r") <= F.col("n") - shared + F.ceil(F.col("n") / 4)) & F.col("across")).select("id", "n", "lo", "token", "component", "part"), "prefix")
     matrix = prefix.select("token", F.col("component").alias("gc"), F.col("part").alias("gp")).distinct()
-    found = prefix.join(matrix, "token").where(F.col("component") != F.col("gc")).select("id", "gc", "gp").distinct()
-    full = written(posts.join(rare.where("across").select("token"), "token").select("token", F.col("component").alias("gc"), F.col("part").alias("gp")).distinct(), "matrix")
-    overlap = found.join(posts.select("id", "n", "token"), "id").join(full, ["token", "gc", "gp"]).groupBy("id", "n", "gc", "gp").agg(F.count("*").alias("k"))
-    opened = overlap.where(F.col("k") * 100 >= F.col("n") * percent)
+    met = prefix.join(matrix, "token").where(F.col("component") != F.col("gc"))
+    opened = met.groupBy("id", "n", "lo", "gc", "gp").agg(F.count("*").alias("k")).where(F.col("k") >= F.ceil(shared / 4))
     pairs = opened.join(member.select(F.col("id").alias("b"), F.col("component").alias("gc"), F.col("part").alias("gp")), ["gc", "gp"])
-    return _compare(written(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs"), sets, percent)
+    return _compare(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), sets, percent)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -285,21 +290,26 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     size = reached.count()
     component = None
     if size:
-        ids = reached.select("id").distinct()
-        own = texts.join(F.broadcast(ids) if size <= BROADCAST_IDS else ids, "id", "left_semi")
-        sets = own.select("id", "text").mapInArrow(_sets(words, percent), "id long, n long, hi long, lo long, tokens binary, marks array<long>")
-        sets = written(sets.join(reached, ["id", "hi", "lo"], "left_semi").dropDuplicates(["id", "hi", "lo"]), "sets")
+        small = (lambda t: F.broadcast(t)) if size <= BROADCAST_IDS else (lambda t: t)
+        own = texts.join(small(reached.select("id").distinct()), "id", "left_semi")
+        made = own.select("id", "text").mapInArrow(_sets(words, percent), "id long, n long, hi long, lo long, tokens binary, marks array<long>")
+        sets = written(made.join(small(reached), ["id", "hi", "lo"], "left_semi"), "sets")
+        if sets.count() > size:  # rows that are repeated as a whole
+            sets = written(sets.dropDuplicates(["id", "hi", "lo"]), "sets")
         marks = sets.select("id", F.posexplode("marks").alias("i", "mark"))
         leaders = written(marks.groupBy("i", "mark").agg(F.min("id").alias("leader")), "leaders")
         pairs = marks.join(leaders.hint("merge"), ["i", "mark"]).where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         links = written(_compare(pairs, sets, percent), "links")
         component = written(components(links), "groups")
-        label = sets.join(component, "id", "left").select("id", "n", "tokens", F.coalesce("component", "id").alias("component"))
-        _, rest = _reaching(label, _set_source(percent), "matrix")
-        rest = written(rest.select("id").distinct().join(label.select("id", "component").distinct(), "id"), "rest")
+        grouped = F.coalesce("component", "id").alias("component")
+        _, rest = _reaching(sets.join(component, "id", "left").select("id", "n", "tokens", grouped), _set_source(percent), "matrix")
+        rest = written(rest.select("id").distinct().join(component, "id", "left").select("id", grouped), "rest")
+        del marks, pairs, made, own
+        release(leaders)
         if not rest.isEmpty():
             more = written(_across(rest, sets, percent), "across")
             component = written(components(links.unionByName(more)), "groups")
+        release(sets)
     table = classes if component is None else classes.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left")
     table = written(table.select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), "rep", F.col("rep").alias("component") if component is None else F.coalesce("component", "rep").alias("component")), "lookup")
     out = every.join(table.hint("merge"), (F.col("hi") == F.col("__hi")) & (F.col("lo") == F.col("__lo")), "left")

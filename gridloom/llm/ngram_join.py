@@ -10,9 +10,9 @@ Equal sets are one class throughout; a class is stood for by its least id.
     and the connected components of what links are the groups.
 3.  The token-group matrix over whole sets tells how many of a document's tokens occur in any other group. Below
     the bound it cannot link outside its group, and within its group nothing more is to be gained for components.
-4.  For the rest, the matrix over each document's rarer half counts its overlap with each group that it meets there,
-    and only groups that reach the bound (a quarter of the tokens any partner must share) are opened, in parts of at
-    most PART members, for exact comparison.
+4.  The rest is dealt into blocks of at most PART documents that share their most frequent token. The matrix of blocks
+    over each document's rarest tokens, of which any partner has one, tells which pairs of blocks can hold a link; only
+    these are opened, and their documents compared by whole sets.
 
 Steps 1, 3 and 4 lose no link; step 2 only has to find groups, not all links. In steps 1 and 3 a chunk sends each of
 its distinct tokens once with the least group that has it, so that no token gathers more than a row for each chunk.
@@ -248,30 +248,78 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return fit.join(x, "a").join(y, "b").where(near).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _open_blocks(percent: int) -> Callable:
+    """Rows (pair, side, id, component, tokens) sorted by pair -> links between the sides (within the one side there is), one for
+    each two components."""
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+        left, right = sides[0], sides[1] or sides[0]
+        sets = [_tokens(r[3]) for r in right]
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        starts, seen, out = np.cumsum(sizes) - sizes, set(), []
+        for _, a, ca, raw in left:
+            own = _tokens(raw)
+            place = np.searchsorted(words, own)
+            place = place[(place < len(words)) & (words[np.minimum(place, len(words) - 1)] == own)]
+            has = np.zeros(len(words), bool)
+            has[place] = True
+            both = np.add.reduceat(has[at].astype(np.int64), starts)
+            for j in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+                _, b, cb, _ = right[j]
+                key = (min(ca, cb), max(ca, cb))
+                if ca != cb and key not in seen:
+                    seen.add(key)
+                    out.append((a, b))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = links(held) if len(held) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for pair, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if pair != last:
+                    yield from close()
+                    held, last = [], pair
+                held.append(tuple(row))
+        yield from close()
+
+    return run
+
+
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Step 4: links between documents of different components among rest (id, component)."""
-    sizes = rest.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    member = written(rest.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("id", "component", "part"), "members")
-
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, n, lo, raw, c, p in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for i, n, lo, raw, c in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 t = _tokens(raw).view(np.int64)
                 k = len(t)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * k), pa.array([n] * k), pa.array([lo] * k), pa.array(t), pa.array([c] * k), pa.array([p] * k, pa.int32())], names=["id", "n", "lo", "token", "component", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([i] * k), pa.array([n] * k), pa.array([lo] * k), pa.array(t), pa.array([c] * k)], names=["id", "n", "lo", "token", "component"])
 
-    whole = sets.join(member, "id").select("id", "n", "lo", "tokens", "component", "part")
-    posts = written(whole.mapInArrow(listed, "id long, n long, lo long, token long, component long, part int"), "posts")
+    whole = sets.join(rest, "id").select("id", "n", "lo", "tokens", "component")
+    posts = written(whole.mapInArrow(listed, "id long, n long, lo long, token long, component long"), "posts")
     # A token of one component only can't link across, but has its place in the order of rarity.
     rare = written(posts.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("across")), "rare")
     ranked = posts.join(rare, "token").withColumn("r", F.row_number().over(Window.partitionBy("id", "lo").orderBy("df", "token")))
-    shared = F.ceil(F.col("n") * percent / 100)
-    prefix = written(ranked.where((F.col("r") <= F.col("n") - shared + F.ceil(F.col("n") / 4)) & F.col("across")).select("id", "n", "lo", "token", "component", "part"), "prefix")
-    matrix = prefix.select("token", F.col("component").alias("gc"), F.col("part").alias("gp")).distinct()
-    met = prefix.join(matrix, "token").where(F.col("component") != F.col("gc"))
-    opened = met.groupBy("id", "n", "lo", "gc", "gp").agg(F.count("*").alias("k")).where(F.col("k") >= F.ceil(shared / 4))
-    pairs = opened.join(member.select(F.col("id").alias("b"), F.col("component").alias("gc"), F.col("part").alias("gp")), ["gc", "gp"])
-    return _compare(pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), sets, percent)
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = written(ranked.where("across").groupBy("id", "lo").agg(F.max(F.struct("df", "token")).alias("top"), F.collect_list(F.when(F.col("r") <= first, F.col("token"))).alias("prefix")).where("size(prefix) > 0"), "kept")
+    release(posts, rare)
+    clusters = written(kept.groupBy(F.col("top.token").alias("key")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "clusters")
+    dealt = kept.join(clusters.hint("merge"), F.col("top.token") == F.col("key"))
+    dealt = written(dealt.select("id", "lo", "prefix", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+    matrix = written(dealt.select("block", F.explode("prefix").alias("token")).distinct(), "matrix")
+    met = matrix.join(matrix.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct()
+    pairs = written(met.withColumn("pair", F.xxhash64("block", "other")), "pairs")
+    member = dealt.select("id", "lo", F.col("block").alias("own"))
+    one = pairs.join(member, F.col("block") == F.col("own")).select("pair", F.lit(0).alias("side"), "id", "lo")
+    two = pairs.where("block <> other").join(member, F.col("other") == F.col("own")).select("pair", F.lit(1).alias("side"), "id", "lo")
+    rows = one.unionByName(two).join(whole, ["id", "lo"]).select("pair", "side", "id", "component", "tokens")
+    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_open_blocks(percent), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

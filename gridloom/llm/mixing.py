@@ -20,6 +20,8 @@ from gridloom.llm.common import word_count, written
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCKS, OUT_SHARDS, SEED = 128, 8, 90210
+#: A small source has fewer blocks, of about so many documents or more each (up to twice as many).
+DOCS_IN_BLOCK = 48
 
 
 def _u(*parts) -> Column:
@@ -79,8 +81,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size: words of the text (null: 0). copies: one (pass, shard, key) for each time the mix takes the document,
     empty if never; shard is the output shard and key the document's place in that shard's local shuffle. Documents
-    are taken whole. A source's taken words miss its target by half a document at most: the part block is cut
-    where its documents, in a hashed order, come nearest. Sources go by code point, null last, and get the weights
+    are taken whole. A source's taken words miss its target by half a document at most, mostly by far less: of the
+    part block, documents in a hashed order are taken as far as they fit, and one more that fills the rest best. Sources go by code point, null last, and get the weights
     in turn. Rows that repeat an id share a block but are taken one by one; empty texts take part with size 0;
     an empty table gives an empty result; columns of the added names are replaced. Reruns agree.
 
@@ -88,21 +90,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     rows = docs.withColumns({"size": word_count(F.col(text_col)), "__block": F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col).cast("long")), F.lit(blocks)).cast("int")})
-    counts = written(rows.groupBy(F.col(source_col).alias("source"), F.col("__block").alias("block")).agg(F.sum("size").alias("words")), "blocks")
-    plan = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    counts = written(rows.groupBy(F.col(source_col).alias("source"), F.col("__block").alias("hashed")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "blocks")
+    sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
+    plan = targets(sizes.select("source", "source_size"), weights, share, most).join(sizes.select(F.col("source").alias("__s"), "n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    per_pass = counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK))).cast("int")).drop("n")
+    known = written(counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("block", F.pmod(F.col("hashed"), F.col("many"))), "known")
+    joined = known.groupBy("source", "idx", "source_size", "target", "whole", "rest", "block").agg(F.sum("words").alias("words"))
+    per_pass = joined.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
     permuted = Window.partitionBy("idx", "pass").orderBy(_u("idx", "block", "pass"), "block")
     before = F.coalesce(F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_pass = per_pass.withColumn("before", before).where((F.col("pass") < F.col("whole")) | ((F.col("before") < F.col("rest")) & (F.col("rest") > 0.5)))
     per_pass = per_pass.withColumn("room", F.when((F.col("pass") == F.col("whole")) & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before")))
     draws = per_pass.withColumn("j", F.row_number().over(Window.partitionBy("idx").orderBy("pass", "before", _u("idx", "block", "pass"), "block")) - 1)
-    draws = written(draws.select("source", "idx", "block", "pass", "room", "j"), "draws")
+    draws = written(draws.select("idx", "block", "pass", "room", "j"), "draws")
     dealt = splitting_tree(draws.groupBy("idx").agg(F.count("*").alias("quota")), shards).where("n > 0").select("idx", "shard", F.explode(F.sequence(F.col("start").cast("long"), (F.col("start") + F.col("n") - 1).cast("long"))).alias("j"))
     placed = draws.join(dealt, ["idx", "j"]).groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", F.col("room").isNotNull().alias("part")))).alias("draws"), F.max("room").alias("room"))
-    known = counts.select("source", "block").join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    lookup = written(known.join(placed, ["idx", "block"], "left").select(F.col("source").alias("__source"), F.col("block").alias("__b"), F.col("idx").alias("__idx"), "source_size", "target", F.col("draws").alias("__draws"), F.col("room").alias("__room")), "lookup")
+    lookup = known.select("source", "hashed", "idx", "block", "source_size", "target").join(placed, ["idx", "block"], "left")
+    lookup = written(lookup.select(F.col("source").alias("__source"), F.col("hashed").alias("__b"), F.col("idx").alias("__idx"), F.col("block").alias("__own"), "source_size", "target", F.col("draws").alias("__draws"), F.col("room").alias("__room")), "lookup")
 
     # The written lookup's size is known to the planner, which broadcasts it only if it is below the session's threshold.
     rows = rows.join(lookup, rows[source_col].eqNullSafe(F.col("__source")) & (rows["__block"] == F.col("__b")))
@@ -111,8 +117,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     none = F.array().cast("array<struct<pass:int,shard:int,key:bigint>>")
     names = [*docs.columns, "size", "source_size", "target"]
     full = rows.where("__room IS NULL").select(*names, F.coalesce(copies(F.col("__draws")), none).alias("copies"))
-    last = Window.partitionBy("__idx", "__block").orderBy(_u(F.col(id_col).cast("long"), F.lit("cut")), id_col, "size", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = rows.where("__room IS NOT NULL").withColumn("__fits", F.sum("size").over(last) - F.col("size") / 2 <= F.col("__room"))
+    block = Window.partitionBy("__idx", "__own")
+    order = block.orderBy(_u(F.col(id_col).cast("long"), F.lit("cut")), id_col, "size", F.xxhash64(text_col))
+    cut = rows.where("__room IS NOT NULL").withColumns({"__sum": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__place": F.row_number().over(order)})
+    cut = cut.withColumn("__in", F.col("__sum") <= F.col("__room"))
+    # The place left by the documents before the first that is too large goes to the one of the others that fills it best, if any does.
+    cut = cut.withColumn("__left", F.col("__room") - F.coalesce(F.max(F.when(F.col("__in"), F.col("__sum"))).over(block), F.lit(0)))
+    miss = F.abs(F.col("__left") - F.col("size"))
+    best = F.min(F.when(~F.col("__in") & (miss < F.col("__left")), F.struct(miss.alias("miss"), "__place"))).over(block)
+    cut = cut.withColumn("__fits", F.col("__in") | F.coalesce(best["__place"] == F.col("__place"), F.lit(False)))
     cut = cut.select(*names, copies(F.filter("__draws", lambda d: ~d["part"] | F.col("__fits"))).alias("copies"))
     return full.unionByName(cut)
 

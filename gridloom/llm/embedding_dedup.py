@@ -166,4 +166,13 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op7_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+k AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1),
+r(vec_id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.seen FROM r JOIN l ON l.x = r.vec_id AND r.seen < l.y),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e LEFT JOIN k USING (vec_id) JOIN c USING (vec_id)""",
+}

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 #: Only queries that SQL can express have an entry; the others are tested against brute force in tests/llm.
-ORACLE = chat.ORACLE | url_filter.ORACLE | exact_dedup.ORACLE
+ORACLE = chat.ORACLE | ngram_join.ORACLE | url_filter.ORACLE | embedding_dedup.ORACLE | exact_dedup.ORACLE

@@ -46,6 +46,15 @@ def _from_civil(y, m, d, gregorian: bool):
 
 
 def _to_civil(days, gregorian: bool):
+    if isinstance(days, Column):
+        if gregorian:  # Spark's own dates
+            date = F.date_from_unix_date(days.cast("int"))
+            return F.year(date), F.month(date), F.dayofmonth(date)
+        # Each step's result is bound to a variable, so that it isn't written out again wherever it is used.
+        step = lambda value, f: F.transform(F.array(value), f)[0]
+        z = (days + 719470).cast("long")
+        out = step(z, lambda z: step(z - _div(z, 1461) * 1461, lambda doe: step(_div(doe - _div(doe, 1460), 365), lambda yoe: step(doe - 365 * yoe, lambda doy: step(_div(5 * doy + 2, 153), lambda mp: F.struct((yoe + _div(z, 1461) * 4 + F.when(mp < 10, 0).otherwise(1)).alias("y"), F.when(mp < 10, mp + 3).otherwise(mp - 9).alias("m"), (doy - _div(153 * mp + 2, 5) + 1).alias("d")))))))
+        return out["y"], out["m"], out["d"]
     if gregorian:
         z = days + 719468
         era = _div(z, 146097)
@@ -238,7 +247,7 @@ class TimeDuration:
     def add_to(self, t: Column, sign: int = 1) -> Column:
         """A timestamp column plus the duration; a day after the month's end becomes its last day."""
         if self.months is not None:
-            return F.expr_add_months(t, sign * self.months) if hasattr(F, "expr_add_months") else t + F.make_interval(months=F.lit(sign * self.months))
+            return t + F.make_interval(months=F.lit(sign * self.months))
         return t + F.make_dt_interval(secs=F.lit(float(sign * self.seconds)))
 
     def add_to_date(self, date: tuple, calendar: str = "standard", sign: int = 1) -> tuple:

@@ -14,10 +14,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom import config
 from gridloom.functions.units import NONE, Units
 
-ATOL = RTOL = 2.220446049250313e-16
-
 
 def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
@@ -91,7 +90,7 @@ class Query:
             same = x.rlike(v.pattern) if isinstance(v, re.Pattern) else x == _lit(v)
             return same if self.op == "eq" else ~same
         if self.op == "isclose":
-            rtol, atol = (RTOL if o.get("rtol") is None else o["rtol"]), (ATOL if o.get("atol") is None else o["atol"])
+            rtol, atol = (config.get("rtol") if o.get("rtol") is None else o["rtol"]), (config.get("atol") if o.get("atol") is None else o["atol"])
             return F.abs(x - _lit(v)) <= atol + rtol * F.abs(_lit(v))
         if self.op == "wi":
             low = x > _lit(v[0]) if o.get("open_lower") else x >= _lit(v[0])

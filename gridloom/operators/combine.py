@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom import config
 from gridloom.functions.elementwise import binary
 from gridloom.functions.units import NONE, Units
 
@@ -33,10 +34,10 @@ def outerproduct(left: DataFrame, right: DataFrame, value: str = "value") -> Dat
     return left.crossJoin(right.withColumnRenamed(value, "__right")).withColumn(value, F.col(value) * F.col("__right")).drop("__right")
 
 
-def combined_bounds(op: str, x: Sequence, y: Sequence, mode: str = "and"):
+def combined_bounds(op: str, x: Sequence, y: Sequence, mode: str | None = None):
     """Bounds (lower, upper) of a binary result, each side's a pair of columns or None, by the mode for which sides must have them."""
     has = (x[1] is not None, y[1] is not None)
-    keep = {"and": all(has), "or": any(has), "xor": has[0] != has[1], "none": False}[mode.lower()]
+    keep = {"and": all(has), "or": any(has), "xor": has[0] != has[1], "none": False}[(mode or config.get("bounds_combination_mode")).lower()]
     if not keep:
         return None
     (a, ab), (b, bb) = x, y

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import elementwise
+from gridloom.functions.calendars import TimeDuration, days_from_date, decode
 from gridloom.functions.cellmethods import CellMethod
 from gridloom.functions.query import Query
 from gridloom.functions.units import NONE, Units
-from gridloom.operators import binning, collapse as collapses, combine, regrid, reshape, subspace as subspaces, weights, windows
+from gridloom.operators import binning, collapse as collapses, combine, grouping, regrid, reshape, subspace as subspaces, weights, windows
 
 
 @dataclass(frozen=True)
@@ -203,6 +204,8 @@ class Cube:
                 table = reshape.take(a.table, "i", c if isinstance(c, slice) else list(c), a.size) if a.table is not None else None
                 axes[a.name] = replace(a, size=len(range(*c.indices(a.size))) if isinstance(c, slice) else len(c), table=table, period=None)
                 continue
+            if isinstance(c, Query) and a.units.is_reference_time:
+                c = c.column(self._axis_columns(a), a.units)
             rows = subspaces.select_positions(a.table, "i", c, a.units, period=a.period)
             selected[a.index] = rows.withColumnRenamed("i", a.index)
         out = subspaces.subspace(out, selected, self.value, mode, halo, self.shape)
@@ -213,7 +216,7 @@ class Cube:
                 a = next(x for x in self.axes.values() if x.index == index)
                 keep = rows.select(index).distinct()
                 if halo:
-                    keep = keep.select(F.explode(F.sequence(F.col(index) - halo, F.col(index) + halo)).cast("int").alias(index)).distinct().where(F.col(index).between(0, a.size - 1))
+                    keep = keep.select(F.explode(F.sequence(F.col(index) - halo, F.col(index) + halo).cast("array<int>")).alias(index)).distinct().where(F.col(index).between(0, a.size - 1))
                 numbered = keep.withColumn("__new", (F.row_number().over(Window.orderBy(index)) - 1).cast("int"))  # an axis' rows
                 out = out.join(numbered, index).drop(index).withColumnRenamed("__new", index)
                 table = a.table.join(numbered.withColumnRenamed(index, "i"), "i").drop("i").withColumnRenamed("__new", "i")
@@ -260,12 +263,34 @@ class Cube:
         gone = [self.axis(a) for a in axes] if axes is not None else list(self.axes.values())
         return collapses.percentile(self.df, self._others(*gone), self.value, ranks, method, mtol)
 
-    def grouped(self, method: str, identity: str, label: Column, weights: str | None = None, mtol: float = 1.0, ddof: int = 1) -> Cube:
-        """A statistic of each group along an axis; label is an expression on the axis' table (see grouping)."""
+    def _groups(self, a: Axis, group: Column | int | TimeDuration | Query | Sequence[Query]) -> DataFrame:
+        """An axis' positions with the group each belongs to; those of no group are left out."""
+        if isinstance(group, (Query, list, tuple)):
+            columns = self._axis_columns(a)
+            conditions = [q.column(columns, a.units) for q in ([group] if isinstance(group, Query) else group)]
+            return grouping.runs(a.table, "i", conditions).select(F.col("i").alias(a.index), F.col("group").alias("__g"))
+        if isinstance(group, int):
+            group = grouping.by_number(F.col("i"), group)
+        elif isinstance(group, TimeDuration):
+            group = grouping.by_calendar(F.col("coord"), a.units, group) if a.units.is_reference_time else grouping.by_period(F.col("coord"), group)
+        return a.table.select(F.col("i").alias(a.index), group.alias("__g")).where("__g IS NOT NULL")
+
+    @staticmethod
+    def _axis_columns(a: Axis) -> dict[str, Column]:
+        columns = subspaces.axis_columns(a.table)
+        return columns | decode(F.col("coord"), a.units) if a.units.is_reference_time else columns
+
+    def grouped(self, method: str, identity: str, group: Column | int | TimeDuration | Query | Sequence[Query], weights: str | None = None, mtol: float = 1.0, ddof: int = 1, group_span: float | None = None, group_contiguous: int = 0, group_size: int | None = None) -> Cube:
+        """A statistic of each group along an axis: runs of n cells, periods, runs of cells that satisfy a condition or one of
+        several, or an expression on the axis' table. group_span, group_contiguous and group_size drop groups that aren't whole."""
         from pyspark.sql import Window
 
         a = self.axis(identity)
-        labels = a.table.select(F.col("i").alias(a.index), label.alias("__g")).where("__g IS NOT NULL")
+        labels = self._groups(a, group)
+        if group_span is not None or group_contiguous or group_size is not None:
+            rows = a.table.withColumnRenamed("i", a.index).join(labels, a.index)
+            bounds = ("lower", "upper") if a.has_bounds else (None, None)
+            labels = labels.join(grouping.complete_groups(rows, a.index, "__g", *bounds, group_span, group_contiguous, group_size), "__g", "left_semi")
         order = labels.groupBy("__g").agg(F.min(a.index).alias("__first")).withColumn("__new", (F.row_number().over(Window.orderBy("__first")) - 1).cast("int"))
         rows = self.df.join(labels.join(order, "__g").select(a.index, "__new"), a.index)
         others = self._others(a)
@@ -275,6 +300,21 @@ class Cube:
         done = CellMethod((a.name,), collapses.canonical(method))
         return replace(self, df=out, axes={**self.axes, a.name: replace(a, size=order.count(), table=table, period=None)}, units=collapses.result_units(method, self.units), cell_methods=(*self.cell_methods, done))
 
+    def climatology(self, within_method: str, over_method: str, identity: str, portion: Sequence[Query] | None = None, unit: str = "year", mtol: float = 1.0, ddof: int = 1) -> DataFrame:
+        """A statistic within each year (or day) for each portion of it (conditions; default: every month, or hour), then one across
+        the years (days) of each portion: rows of the other axes, `within` (the portion's number) and the value."""
+        a = self.axis(identity)
+        c = self._axis_columns(a)
+        if unit == "day":
+            within = c["hour"] if portion is None else grouping.season_of(portion, c)
+            whole = F.floor(days_from_date(c["year"], c["month"], c["day"], a.units.calendar or "proleptic_gregorian"))
+        else:
+            within = c["month"] if portion is None else grouping.season_of(portion, c)
+            whole = c["year"]
+        labels = a.table.select(F.col("i").alias(a.index), within.alias("__within"), whole.alias("__whole"))
+        rows = self.df.join(labels, a.index)
+        return grouping.climatology(rows, F.lit(None), self._others(a), self.value, F.col("__within"), within_method, None, over_method, F.col("__whole"), mtol, ddof)
+
     def digitize(self, edges: Sequence[float], **options) -> Cube:
         return self._with(self.df.withColumn(self.value, binning.digitize(self.x, edges, **options)), units=NONE, name=None)
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.calendars import TimeDuration
+from gridloom.functions.calendars import TimeDuration, decode, epoch_seconds
 from gridloom.functions.query import Query
+from gridloom.functions.units import Units
 from gridloom.operators.collapse import statistic
 
 
@@ -25,6 +26,16 @@ def by_period(t: Column, duration: TimeDuration) -> Column:
     return duration.bucket(t)
 
 
+def by_calendar(coord: Column, units: Units, duration: TimeDuration) -> Column:
+    """A number for the period that a reference time of any calendar lies in."""
+    shift = (duration.day - 1) * 86400 * (duration.months is not None) + duration.hour * 3600 + duration.minute * 60 + duration.second
+    if duration.months is None:
+        return F.floor((coord * units.scale + epoch_seconds(units.epoch, units.calendar) - shift) / duration.seconds).cast("long")
+    parts = decode(coord - shift / units.scale, units)
+    n = parts["year"] * 12 + parts["month"] - 1 - (duration.month - 1 if duration.unit == "year" else 0)
+    return F.floor(n / duration.months).cast("long")
+
+
 def first_match(conditions: Sequence[Column]) -> Column:
     """Number of the first condition that holds; null if none does."""
     out = F.lit(None).cast("int")

@@ -66,7 +66,7 @@ def xyf_to_nested(c: Column, level: int) -> Column:
 
 def _face_ring(f: Column) -> Column:
     """Ring number of a face's southernmost corner, in units of nside."""
-    return F.when(f < 4, 2).when(f < 8, 3).otherwise(4)
+    return F.when(f < 4, 2).when(f < 8, 3).otherwise(4).cast("long")
 
 
 def _face_turn(f: Column) -> Column:

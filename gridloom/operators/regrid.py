@@ -4,6 +4,9 @@ Source and destination cells of an axis meet by tiles of the coordinate's range,
 equi-join. Applying them is a join and a sum along one axis at a time: sums of weighted values and of the weights of
 values that are there go through all axes, and are divided at the end. Partial sums are combined before the shuffle.
 
+Second-order conservative weights add the source cells' gradient along each axis, one axis after another, taken at the
+middle of the part of a source cell that lies in the destination cell.
+
 Missing values: conservative methods leave them out and renormalise; linear ones make a result missing if any
 source with a weight is missing; nearest takes the source as it is.
 """
@@ -28,7 +31,8 @@ def _tiles(low: Column, high: Column, tile: float) -> Column:
 
 
 def overlap_weights(src: DataFrame, dst: DataFrame, latitude: bool = False, period: float | None = None, tile: float | None = None) -> DataFrame:
-    """First-order conservative weights of axes (i, lower, upper): the share of a destination cell that each source covers."""
+    """Conservative weights of axes (i, lower, upper): w, the share of a destination cell that each source covers, and m, the same times
+    the distance of the covered part's middle from the source cell's."""
     side = lambda t, n: t.select(F.col("i").cast("int").alias(n), F.least("lower", "upper").cast("double").alias(f"{n}_lo"), F.greatest("lower", "upper").cast("double").alias(f"{n}_hi"))
     s, d = side(src, "src"), side(dst, "dst")
     if tile is None:
@@ -42,8 +46,10 @@ def overlap_weights(src: DataFrame, dst: DataFrame, latitude: bool = False, peri
     both = st.join(dt, "tile")
     low, high = F.greatest("src_lo", "dst_lo"), F.least("src_hi", "dst_hi")
     met = both.where((low < high) & (F.col("tile") == F.floor(low / tile)))  # a pair counts in the tile where it begins
-    size = (lambda a, b: _sine(b) - _sine(a)) if latitude else (lambda a, b: b - a)
-    return met.groupBy("dst", "src").agg(F.sum(size(low, high) / size(F.col("dst_lo"), F.col("dst_hi"))).alias("w"))
+    at = _sine if latitude else (lambda c: c)
+    w = (at(high) - at(low)) / (at(F.col("dst_hi")) - at(F.col("dst_lo")))
+    off = (at(high) + at(low)) / 2 - (at(F.col("src_hi")) + at(F.col("src_lo"))) / 2
+    return met.groupBy("dst", "src").agg(F.sum(w).alias("w"), F.sum(w * off).alias("m"))
 
 
 def _spans(src: DataFrame, period: float | None) -> DataFrame:
@@ -99,6 +105,7 @@ class RegridOperator:
     weights: Mapping[str, DataFrame]
     sizes: Mapping[str, int] = field(default_factory=dict)
     parameters: Mapping[str, object] = field(default_factory=dict)
+    middles: Mapping[str, DataFrame] = field(default_factory=dict)  # of the source cells (i, c), for second order
 
     def get_parameter(self, name: str, *default):
         if name not in self.parameters and not default:
@@ -121,6 +128,8 @@ class RegridOperator:
 
     def apply(self, df: DataFrame, by: Sequence[str], value: str, min_weight: float | None = None) -> DataFrame:
         """Regridded rows: by…, the axes' indices, value. Destination cells that no source reaches have no row."""
+        if self.method == "conservative_2nd":
+            return self._second_order(df, by, value, min_weight)
         conservative, rows = self.method.startswith("conservative"), df
         rows = rows.select(*by, *self.weights, F.col(value).cast("double").alias("__n"), F.col(value).isNotNull().cast("double").alias("__d")).withColumn("__all", F.lit(1.0))
         rows = rows.withColumn("__n", F.coalesce("__n", F.lit(0.0)))
@@ -140,25 +149,43 @@ class RegridOperator:
         return rows.select(*by, *self.weights, out.alias(value))
 
 
+    def _second_order(self, df: DataFrame, by: Sequence[str], value: str, min_weight: float | None) -> DataFrame:
+        rows = df.select(*by, *self.weights, F.col(value).cast("double").alias("__x"))
+        for index, table in self.weights.items():
+            others = [*by, *[i for i in self.weights if i != index]]
+            rows = rows.join(self.middles[index].select(F.col("i").alias(index), "c"), index)
+            line = Window.partitionBy(*others).orderBy(index)
+            gradient = F.coalesce(F.try_divide(F.lead("__x").over(line) - F.lag("__x").over(line), F.lead("c").over(line) - F.lag("c").over(line)), F.lit(0.0))
+            rows = rows.withColumn("__g", gradient).join(table.withColumnRenamed("src", index), index).drop(index)
+            there = F.col("__x").isNotNull()
+            rows = rows.groupBy(*others, F.col("dst").alias(index)).agg(F.sum(F.col("w") * F.col("__x") + F.col("m") * F.col("__g")).alias("__n"), F.sum(F.when(there, F.col("w"))).alias("__d"))
+            least = 1e-12 if min_weight is None else min_weight
+            rows = rows.select(*others, index, F.when(F.col("__d") > least, F.col("__n") / F.col("__d")).alias("__x"))
+        return rows.select(*by, *self.weights, F.col("__x").alias(value))
+
+
 def operator(method: str, axes: Mapping[str, tuple[DataFrame, DataFrame]], spherical: bool = False, latitude: str | None = None, periods: Mapping[str, float] | None = None) -> RegridOperator:
     """Build the weights: axes is {data index: (source axis, destination axis)}, axes having i, coord and for conservative methods
     lower and upper. spherical with the latitude's index weighs that axis by the sine of its bounds."""
     if method not in METHODS:
         raise ValueError(f"unknown regridding method {method!r}")
-    if method in ("conservative_2nd", "patch"):
-        raise NotImplementedError(f"{method} needs gradients of the source field; use conservative or linear")
-    periods, tables = periods or {}, {}
+    if method == "patch":
+        raise NotImplementedError("patch recovery is not there; use linear or conservative_2nd")
+    periods, tables, middles = periods or {}, {}, {}
     for index, (src, dst) in axes.items():
         period = periods.get(index)
         if method.startswith("conservative"):
-            tables[index] = overlap_weights(src, dst, spherical and index == latitude, period)
+            by_sine = spherical and index == latitude
+            tables[index] = overlap_weights(src, dst, by_sine, period)
+            at = _sine if by_sine else (lambda c: c)
+            middles[index] = src.select("i", ((at(F.col("lower")) + at(F.col("upper"))) / 2).alias("c"))
         elif method in ("linear", "bilinear"):
             tables[index] = linear_weights(src, dst, period)
         elif method == "nearest_stod":
             tables[index] = nearest_weights(src, dst, period)
         else:  # each source goes to its nearest destination
             tables[index] = nearest_weights(dst, src, period).select(F.col("src").alias("dst"), F.col("dst").alias("src"), "w")
-    return RegridOperator(method, tables, parameters={"spherical": spherical, "periods": dict(periods)})
+    return RegridOperator(method, tables, parameters={"spherical": spherical, "periods": dict(periods)}, middles=middles)
 
 
 def regrid(df: DataFrame, by: Sequence[str], value: str, method: str, axes: Mapping[str, tuple[DataFrame, DataFrame]], full: bool = True, **options) -> DataFrame:

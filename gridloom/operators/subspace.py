@@ -69,7 +69,7 @@ def subspace(data: DataFrame, selected: Mapping[str, DataFrame], value: str, mod
     for index, rows in selected.items():
         keep = rows.select(index).distinct()
         if halo:
-            widened = F.explode(F.sequence(F.col(index) - halo, F.col(index) + halo)).cast("int").alias(index)
+            widened = F.explode(F.sequence(F.col(index) - halo, F.col(index) + halo).cast("array<int>")).alias(index)
             keep = keep.select(widened).distinct().where(F.col(index) >= 0)
             if sizes and index in sizes:
                 keep = keep.where(F.col(index) < sizes[index])

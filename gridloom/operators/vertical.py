@@ -60,7 +60,7 @@ FORMULAS: dict[str, tuple[str, Callable[[Terms], Column]]] = {
     "ocean_double_sigma_coordinate": ("altitude", _double_sigma),
 }
 #: Terms that may be left out and then count as 0.
-OPTIONAL = ("eta", "ptop", "orog", "zsurf1", "zsurf2")
+OPTIONAL = ("eta", "ptop", "orog", "zsurf1", "zsurf2", "b1", "b2")
 
 
 def compute(name: str, terms: Terms, default_to_zero: bool = True) -> tuple[str, Column]:

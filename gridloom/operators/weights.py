@@ -126,12 +126,11 @@ def positive(df: DataFrame, weights: str) -> DataFrame:
 
 def contiguous(axis: DataFrame, index: str = "i", lower: str = "lower", upper: str = "upper", overlap: bool = True) -> bool:
     """Whether an axis' cells leave no gaps (and with overlap False, don't overlap)."""
-    step = F.least(lower, upper) - F.lag(F.greatest(lower, upper)).over(Window.orderBy(index))
-    falling = F.lag(F.least(lower, upper)).over(Window.orderBy(index)) - F.greatest(lower, upper)
-    r = axis.select(F.abs(step).alias("up"), F.abs(falling).alias("down"), step.alias("s"), falling.alias("f")).agg(F.max("up"), F.max("down"), F.max("s"), F.max("f")).first()
-    if r[0] is None:
-        return True
-    return r[0] == 0 or r[1] == 0 or (overlap and (r[2] <= 0 or r[3] <= 0))
+    w, low, high = Window.orderBy(index), F.least(lower, upper), F.greatest(lower, upper)  # an axis' rows
+    rising = F.last(low + high).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) >= F.first(low + high).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gap = F.when(rising, low - F.lag(high).over(w)).otherwise(F.lag(low).over(w) - high)
+    least, most = axis.select(gap.alias("gap")).agg(F.min("gap"), F.max("gap")).first()
+    return most is None or (most <= 0 and (overlap or least == 0))
 
 
 def create_bounds(axis: DataFrame, index: str = "i", coord: str = "coord", cellsize: float | None = None, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -230,4 +230,4 @@ def unrotated(lon: Column, lat: Column, pole_lon: float, pole_lat: float) -> tup
 
 def read_stash_table(spark: SparkSession, path: str) -> DataFrame:
     """A table of quantities, fields separated by `!`: model, stash code, name, units, valid from, valid to, standard name, …"""
-    return spark.read.option("sep", "!").option("comment", "#").schema("model int, code int, name string, units string, valid_from string, valid_to string, standard_name string, cf_info string, pp_extra string").csv(path)
+    return spark.read.option("sep", "!").option("comment", "#").schema("model int, code int, name string, units string, valid_from string, valid_to string, standard_name string, extra string, pp_extra string").csv(path)

@@ -122,7 +122,7 @@ def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[st
     dims, sizes = list(shape), [chunks[d] for d in shape]
     hole = np.nan if fill == "NaN" else fill
 
-    def store(key, table: pa.Table) -> pa.Table:
+    def store(key, table):
         block = np.full(sizes, hole, "<" + kind)
         at = tuple(table.column(f"i_{d}").to_numpy() % s for d, s in zip(dims, sizes))
         values = table.column(value)

@@ -159,3 +159,56 @@ def test_streams(spark, tmp_path):
         q = streaming.append_to_field(events.select("event_id", "value"), str(tmp_path / "out"), str(tmp_path / "check"))
         q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_examples_settings_and_command(spark, tmp_path, capsys):
+    from gridloom import cli, config
+    from gridloom.functions import query as q
+    from gridloom.operators import grouping
+    from gridloom.sources.examples import example
+
+    t = example(spark, 1)
+    year = t.grouped("mean", "T", F.floor((F.col("i") + 11) / 12))
+    assert year.axis("T").size == 11 and t.collapse("sample_size").df.first().value == 4800
+    assert example(spark, 0).collapse("maximum").df.first().value == pytest.approx(0.01 * 40 / 5)
+    weeks = example(spark, 2).grouped("maximum", "T", grouping.by_number(F.col("i"), 7))
+    assert weeks.axis("T").size == 53
+    with config.configuration(atol=0.5):
+        assert spark.range(1).where(q.isclose(0.4)(F.col("id"))).count() == 1
+    assert spark.range(1).where(q.isclose(0.4)(F.col("id"))).count() == 0
+    with pytest.raises(ValueError):
+        config.configure(nothing=1)
+    paths = []
+    for k in range(2):
+        x = reshape.grid(spark, {"i_t": 2}).withColumns({"t": F.col("i_t") + 2.0 * k, "v": F.col("i_t") * 1.0})
+        paths.append(str(tmp_path / f"{k}.nc"))
+        netcdf3.write(paths[-1], {"t": 2}, {"t": (x, ["t"], "f8", {}), "v": (x, ["t"], "f8", {"units": "m"})})
+    cli.main(["list", *paths])
+    assert "v(t 2) m" in capsys.readouterr().out
+    assert cli.join(spark, paths, "v", str(tmp_path / "out")) == 1
+    assert sorted(r.i_t for r in spark.read.parquet(str(tmp_path / "out" / "v_0")).collect()) == [0, 1, 2, 3]
+
+
+def test_cubes_to_files_and_back(spark, tmp_path):
+    from gridloom.sources import reader
+    from gridloom.sources.examples import example
+
+    t = example(spark, 1).collapse("mean", ["X"])
+    path = str(tmp_path / "t.nc")
+    reader.write(t, path)
+    (back,) = reader.read(spark, path)
+    assert back.name == "air_potential_temperature" and str(back.cell_methods[0]) == "lon: mean" and back.axis("T").has_bounds and back.axis("Y").standard_name == "latitude"
+    assert np.ma.allclose(reader.to_numpy(back), reader.to_numpy(t)) and reader.to_numpy(t).shape == (120, 5)
+    halves = [t.subspace(T=slice(60, 120)), t.subspace(T=slice(0, 60))]
+    for k, h in enumerate(halves):
+        reader.write(h, str(tmp_path / f"h{k}.nc"))
+    (joined,) = reader.read(spark, [str(tmp_path / f"h{k}.nc") for k in range(2)], select=["air_potential_temperature"])
+    assert np.ma.allclose(reader.to_numpy(joined), reader.to_numpy(t)) and joined.axis("T").size == 120
+    q = example(spark, 0)
+    reader.write(q, str(tmp_path / "q.zarr"), "zarr", {"lat": 2, "lon": 3})
+    (z,) = reader.read(spark, str(tmp_path / "q.zarr"))
+    assert np.ma.allclose(reader.to_numpy(z), reader.to_numpy(q)) and z.units == q.units
+    reader.write(q, str(tmp_path / "q.nc"))
+    assert reader.read(spark, str(tmp_path / "q.nc"))[0].axis("X").period == 360
+    reader.write(q, str(tmp_path / "p"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "p" / "specific_humidity" / "cells")).count() == 40 and len(reader.to_pandas(q)) == 40

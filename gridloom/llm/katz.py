@@ -33,7 +33,7 @@ TIE_BITS = 64 - COUNT_BITS
 FULL = (1 << COUNT_BITS) - 1
 END = b""
 #: Positions that close a chunk: sorting its pairs takes about 200 bytes for each.
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 
 
 def tokens_of():
@@ -86,8 +86,8 @@ def pairs_in(positions: np.ndarray, ids: np.ndarray, counts: np.ndarray, end: in
 
     All unseen words share the index len(ids).
     """
-    word = np.where(counts[positions] > 0, positions, len(ids)).astype(np.int64)
-    history = np.empty(len(positions), np.int64)
+    word = np.where(counts[positions] > 0, positions, np.int32(len(ids))).astype(np.int32)
+    history = np.empty(len(positions), np.int32)
     history[:1], history[1:] = end, positions[:-1]
     return history, word, counts[history] > 0
 
@@ -97,8 +97,10 @@ def requests(positions, ids, counts, buckets_of, end, buckets, tokens):
     position its pair's place there (-1: unknown history)."""
     history, word, known = pairs_in(positions, ids, counts, end)
     ids_too = np.append(ids, np.uint64(0))
-    key = history[known] * (len(ids) + 1) + word[known]
+    key = history[known].astype(np.int64) * (len(ids) + 1) + word[known]
+    del history, word
     uniq, inverse = np.unique(key, return_inverse=True)
+    del key
     v, w = uniq // (len(ids) + 1), uniq % (len(ids) + 1)
     spread = np.maximum(1, np.ceil(counts[v] * 4 * buckets / max(tokens, 1))).astype(np.uint64)
     mixed = (ids_too[w] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)

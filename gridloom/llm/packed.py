@@ -105,27 +105,28 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
         docs, held = [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
+            ids, lens, flags = ([f(d) for d in docs] for f in (lambda d: d[0], lambda d: len(d[1]), lambda d: d[2]))
             flat = np.concatenate([d[1] for d in docs])
+            docs.clear()
             by_count = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
             rank = np.empty(len(by_count), np.uint32)
             rank[by_count] = np.arange(len(by_count))
             flat = rank[flat]
             words = [w if isinstance(w, bytes) else w.encode() for w in index]
             words = [words[i] for i in by_count.tolist()]
+            index.clear()
             bucket_of = np.fromiter((h % buckets for h in map(xxhash.xxh3_64_intdigest, words)), np.int64, len(words))
             order, chunk = np.argsort(bucket_of, kind="stable"), (task << 24) + seq
             bucket = bucket_of[order]
             count = None
             if counted:
-                flagged = np.repeat([d[2] for d in docs], [len(d[1]) for d in docs])
+                flagged = np.repeat(np.array(flags, bool), lens)
                 count = np.bincount(flat[flagged], minlength=len(words))[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(words)]):
                 rows.append({"chunk": chunk, "bucket": int(bucket[a]), "words": pack_words([words[i] for i in order[a:b].tolist()]), "extra": pack(count[a:b]) if counted else None})
-            rows.append({"chunk": chunk, "bucket": LAST, "positions": pack_ranks(flat), "buckets": pack(bucket_of), "ids": [d[0] for d in docs], "lens": [len(d[1]) for d in docs], "flags": [d[2] for d in docs]})
-            index.clear()
-            docs.clear()
+            rows.append({"chunk": chunk, "bucket": LAST, "positions": pack_ranks(flat), "buckets": pack(bucket_of), "ids": ids, "lens": lens, "flags": flags})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
         for batch in batches:

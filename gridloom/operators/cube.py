@@ -18,10 +18,12 @@ from gridloom.functions.calendars import TimeDuration, days_from_date, decode
 from gridloom.functions.cellmethods import CellMethod
 from gridloom.functions.query import Query
 from gridloom.functions.units import NONE, Units
-from gridloom.operators import binning, collapse as collapses, combine, grouping, regrid, reshape, subspace as subspaces, weights, windows
+from gridloom.operators import binning, collapse as collapses, combine, grouping, regrid, reshape, subspace as subspaces, vertical, weights, windows
 
+EARTH = weights.EARTH
 
-@dataclass(frozen=True)
+
+@dataclass(frozen=True, eq=False)
 class Axis:
     name: str
     size: int
@@ -318,6 +320,65 @@ class Cube:
     def digitize(self, edges: Sequence[float], **options) -> Cube:
         return self._with(self.df.withColumn(self.value, binning.digitize(self.x, edges, **options)), units=NONE, name=None)
 
+    @staticmethod
+    def _joined(variables: Mapping[str, tuple[Cube, Sequence[float]]]) -> tuple[DataFrame, dict[str, Sequence[float]], list[str]]:
+        """One row per cell with a column per variable; variables share their axes or some of them."""
+        rows, keys = None, []
+        for name, (cube, _) in variables.items():
+            part = cube.df.select(*cube.keys, cube.x.alias(name))
+            rows = part if rows is None else rows.join(part, [k for k in cube.keys if k in keys])
+            keys += [k for k in cube.keys if k not in keys]
+        return rows, {n: e for n, (_, e) in variables.items()}, keys
+
+    @staticmethod
+    def histogram(variables: Mapping[str, tuple[Cube, Sequence[float]]], density: bool = False, **options) -> DataFrame:
+        """Counts or density over the product of bins: {name: (cube, bin edges)}."""
+        rows, edges, _ = Cube._joined(variables)
+        return binning.histogram(rows, edges, density=density, **options)
+
+    def bin(self, method: str, variables: Mapping[str, tuple[Cube, Sequence[float]]], **options) -> DataFrame:
+        """A statistic of this cube in every bin of the product of other variables' bins."""
+        rows, edges, keys = Cube._joined(variables)
+        both = self.df.select(*self.keys, self.x.alias("__value")).join(rows, [k for k in self.keys if k in keys])
+        return binning.bin_collapse(both, edges, "__value", method, **options).withColumnRenamed("__value", self.value)
+
+    def cell_area(self, radius: float = EARTH) -> Cube:
+        """Areas of the cells of the latitude and longitude axes, on the sphere."""
+        tables = self.weights("latitude", "longitude", measure=True, radius=radius)
+        out, axes = None, [self.axis("latitude"), self.axis("longitude")]
+        for a in axes:
+            t = tables[a.index].withColumnRenamed("w", f"__{a.name}")
+            out = t if out is None else out.crossJoin(t)  # the product of two axes
+        area = F.col(f"__{axes[0].name}") * F.col(f"__{axes[1].name}")
+        return Cube(out.select(*[a.index for a in axes], area.alias("value")), {a.name: a for a in axes}, units=Units.of("m2"), name="cell_area")
+
+    def extreme_positions(self, axes: Sequence[str] | None = None, largest: bool = True) -> DataFrame:
+        """Positions of the largest (smallest) value over axes, the first of equal ones."""
+        gone = [self.axis(a) for a in axes] if axes is not None else list(self.axes.values())
+        return collapses.arg_extreme(self.df, self._others(*gone), self.value, [a.index for a in gone], largest)
+
+    def unique(self, counts: bool = False) -> DataFrame:
+        return collapses.unique(self.df, self.value, counts)
+
+    def coarsen(self, method: str | Callable[[Column], Column], trim_excess: bool = False, **factors: int) -> Cube:
+        """Collapse blocks of cells: a number of cells per axis."""
+        found = {self.axis(n): k for n, k in factors.items()}
+        rows = collapses.coarsen(self.df, {a.index: k for a, k in found.items()}, self._others(*found), self.value, method, self.shape, trim_excess)
+        axes = {n: replace(a, size=a.size // found[a], table=None, period=None) if a in found else a for n, a in self.axes.items()}
+        return self._with(rows.select(*self.keys, self.value), axes=axes)
+
+    def with_vertical(self, parametric: str, terms: Mapping[str, Cube | float]) -> Cube:
+        """The vertical coordinate that a parametric one stands for, on this cube's axes: terms are cubes on some of them, or numbers."""
+        rows, columns = self.df.select(*self.keys), {}
+        for n, t in terms.items():
+            if isinstance(t, Cube):
+                rows = rows.join(t.df.select(*t.keys, t.x.alias(f"__{n}")), t.keys) if t.keys else rows.crossJoin(F.broadcast(t.df.select(t.x.alias(f"__{n}"))))
+                columns[n] = F.col(f"__{n}")
+            else:
+                columns[n] = F.lit(float(t))
+        name, out = vertical.compute(parametric, columns)
+        return replace(self, df=rows.select(*self.keys, out.alias("value")), value="value", units=NONE, name=name, cell_methods=())
+
     # --- along an axis ----------------------------------------------------------------------------------------------
 
     def cumsum(self, identity: str, masked_as_zero: bool = False) -> Cube:

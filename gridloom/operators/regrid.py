@@ -13,9 +13,11 @@ source with a weight is missing; nearest takes the source as it is.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,66 @@ def _spans(src: DataFrame, period: float | None) -> DataFrame:
     return rows.where("i1 IS NOT NULL").select("i0", "c0", "i1", "c1")
 
 
+def _clipped(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """The part of a polygon inside a convex one, whose vertices go round to the left."""
+    out = subject
+    for a, b in zip(window, np.roll(window, -1, axis=0)):
+        if not len(out):
+            break
+        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
+        kept = []
+        for p, q, s, t in zip(out, np.roll(out, -1, axis=0), side, np.roll(side, -1)):
+            if s >= 0:
+                kept.append(p)
+            if (s > 0) != (t > 0) and s != t and s * t < 0:
+                kept.append(p + (q - p) * (s / (s - t)))
+        out = np.array(kept).reshape(-1, 2)
+    return out
+
+
+def _area(v: np.ndarray) -> float:
+    if len(v) < 3:
+        return 0.0
+    x, y = v[:, 0], v[:, 1]
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)
+
+
+def _overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dst, src, dv, sv) -> (dst, src, w): the share of each destination polygon that a source polygon covers."""
+    for batch in batches:
+        found = {"dst": [], "src": [], "w": []}
+        for d, s, dv, sv in zip(*(c.to_pylist() for c in batch.columns)):
+            window, subject = (np.array([(p["x"], p["y"]) for p in v]) for v in (dv, sv))
+            whole = _area(window)
+            part = abs(_area(_clipped(subject, window if whole > 0 else window[::-1])))
+            if whole and part > 1e-15 * abs(whole):
+                for k, v in (("dst", d), ("src", s), ("w", part / abs(whole))):
+                    found[k].append(v)
+        yield pa.RecordBatch.from_pydict(found, schema=pa.schema([("dst", pa.int64()), ("src", pa.int64()), ("w", pa.float64())]))
+
+
+def polygon_weights(src: DataFrame, dst: DataFrame, tile: float, spherical: bool = False) -> DataFrame:
+    """First-order conservative weights of cells of any shape: tables (i, vertices: array of struct x, y); destination cells are convex.
+
+    Cells meet by tiles of their bounding boxes and a pair counts in the first tile that both touch. spherical: x and y are
+    longitude and latitude in degrees and areas those of the projection (longitude, sine of latitude), exact for cells along
+    the graticule; cells don't cross the seam.
+    """
+    def side(t: DataFrame, n: str) -> DataFrame:
+        v = F.col("vertices")
+        if spherical:
+            v = F.transform(v, lambda p: F.struct(F.radians(p["x"]).alias("x"), F.sin(F.radians(p["y"])).alias("y")))
+        rows = t.select(F.col("i").cast("long").alias(n), F.transform(v, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))).alias(f"{n}_v"))
+        at = lambda end, c: F.floor(end(F.transform(f"{n}_v", lambda p: p[c])) / tile).cast("long")
+        low, high = ({c: at(end, c) for c in "xy"} for end in (F.array_min, F.array_max))
+        rows = rows.withColumns({f"{n}_x0": low["x"], f"{n}_y0": low["y"], "__x1": high["x"], "__y1": high["y"]})
+        return rows.withColumn("tx", F.explode(F.sequence(f"{n}_x0", "__x1"))).withColumn("ty", F.explode(F.sequence(f"{n}_y0", "__y1"))).drop("__x1", "__y1")
+
+    both = side(src, "src").join(side(dst, "dst"), ["tx", "ty"])
+    once = both.where((F.col("tx") == F.greatest("src_x0", "dst_x0")) & (F.col("ty") == F.greatest("src_y0", "dst_y0")))
+    return once.select("dst", "src", F.col("dst_v").alias("dv"), F.col("src_v").alias("sv")).mapInArrow(_overlaps, "dst long, src long, w double")
+
+
 def linear_weights(src: DataFrame, dst: DataFrame, period: float | None = None, tile: float | None = None) -> DataFrame:
     """Two weights for each destination point between source points; points outside have none."""
     spans = _spans(src, period)

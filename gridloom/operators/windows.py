@@ -72,7 +72,7 @@ def convolution_filter(df: DataFrame, by: Sequence[str], index: str, value: str,
     k, rows = len(window), df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     total = F.lit(0.0)
     for j, weight in enumerate(reversed(list(window))):
-        total = total + float(weight) * _neighbour(rows, by, index, value, j - k // 2 + (1 - k % 2) * 0 + origin, mode, cval)
+        total = total + float(weight) * _neighbour(rows, by, index, value, j - k // 2 + origin, mode, cval)
     return rows.withColumn(value, total).drop("__n")
 
 
@@ -87,7 +87,7 @@ def moving_window(df: DataFrame, by: Sequence[str], index: str, value: str, meth
     lo, hi = -left + origin, size - 1 - left + origin
     rows = df
     if mode == "wrap":
-        rows = halo(df, by, index, max(-lo, hi, 0), cyclic=True).withColumn("__own", F.col("__own"))
+        rows = halo(df, by, index, max(-lo, hi, 0), cyclic=True)
     elif mode != "constant":
         raise ValueError(f"mode {mode!r} is not one of constant, wrap")
     frame = _line(by, index).rowsBetween(lo, hi)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import calendars, elementwise, flags, query as q
 from gridloom.functions.units import ONE, Units
 from gridloom.operators import binning, collapse as c, combine, grouping, healpix, regrid as rg, reshape, subspace, vertical, weights, windows
+from gridloom.sources import compressed as compressed_
 from gridloom.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,3 +580,109 @@ def flag_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(streaming.run_to_table(streaming.tumbling(streaming.read_events(spark, sf_dir), "1 day", ["event_type"]), "stream_tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), 3, "total")
+
+
+# --- compressed arrays ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i_element, o_totalprice FROM orders")
+def ragged_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders laid end to end by customer, with a count for each customer, and taken apart again."""
+    orders = _t(spark, sf_dir, "orders")
+    flat = orders.withColumn("k", F.col("o_custkey") * (1 << 32) + F.col("o_orderkey"))
+    obs = reshape.numbered(flat, "k", "i_obs").select("i_obs", "o_totalprice")
+    counts = orders.groupBy("o_custkey").agg(F.count("*").alias("row_size"))
+    got = compressed_.ragged_contiguous(obs, counts, "o_custkey")
+    return got.select("o_custkey", F.col("i_element").cast("long").alias("i_element"), "o_totalprice")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i_element FROM events")
+def ragged_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = compressed_.ragged_indexed(_t(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id")
+    return got.withColumn("i_element", F.col("i_element").cast("long"))
+
+
+@query("SELECT (i // 20)::INT AS y, (i % 20)::INT AS x, p_size AS value FROM range(200) t(i) LEFT JOIN (SELECT * FROM part WHERE p_size % 3 = 0) ON p_partkey = i")
+def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _t(spark, sf_dir, "part").where("p_partkey < 200 AND p_size % 3 = 0").select(F.col("p_partkey").alias("flat"), F.col("p_size").alias("value"))
+    listing = reshape.numbered(kept, "flat", "i_list")
+    return compressed_.gathered(listing.select("i_list", "value"), listing.select("i_list", "flat"), {"y": 10, "x": 20})
+
+
+@query("WITH " + _DAILY + """, t AS (SELECT * FROM daily WHERE i % 7 = 0 AND i <= 28)
+SELECT j::INT AS i, round(a.x + (b.x - a.x) * (j % 7) / 7.0, 6) AS x FROM range(28) r(j) JOIN t a ON a.i = j - j % 7 JOIN t b ON b.i = a.i + 7 UNION ALL SELECT i, x FROM t WHERE i = 28""")
+def subsampled_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ties = _daily(spark, sf_dir).where("i % 7 = 0 AND i <= 28").select("i", "x")
+    return _rounded(compressed_.subsampled_linear(ties, "i", [], "x"), 6, "x")
+
+
+# --- more of the same families --------------------------------------------------------------------------------------
+
+
+@query("""
+WITH g AS (SELECT (p_partkey // 20)::INT AS y, (p_partkey % 20)::INT AS x, p_retailprice AS v FROM part WHERE p_partkey < 200),
+d AS (SELECT *, (lead(v) OVER r - lag(v) OVER r) / 4.0 AS gx, (lead(v) OVER c - lag(v) OVER c) / 6.0 AS gy FROM g WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))
+SELECT y, x, round(gx, 6) AS grad_x, round(gy, 6) AS grad_y, round((lead(gx) OVER r - lag(gx) OVER r) / 4.0 + (lead(gy) OVER c - lag(gy) OVER c) / 6.0, 6) + 0.0 AS laplacian
+FROM d WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)""")
+def gradient_and_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a plane with cells of 2 by 3."""
+    p = F.col("p_partkey")
+    g = _t(spark, sf_dir, "part").where("p_partkey < 200").select(F.floor(p / 20).cast("int").alias("y"), (p % 20).cast("int").alias("x"), F.col("p_retailprice").alias("v"))
+    g = g.withColumns({"cx": F.col("x") * 2.0, "cy": F.col("y") * 3.0})
+    got = windows.grad_xy(g, [], "x", "y", "cx", "cy", "v", spherical=False)
+    got = windows.div_xy(got, [], "x", "y", "cx", "cy", "grad_x", "grad_y", spherical=False, out="laplacian")
+    return _rounded(got.select("y", "x", "grad_x", "grad_y", "laplacian"), 6, "grad_x", "grad_y", "laplacian").withColumn("laplacian", F.col("laplacian") + 0.0)
+
+
+@query("WITH " + _DAILY + " SELECT i, round(sum(x * n) OVER w, 3) AS x FROM daily WINDOW w AS (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
+def moving_window_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(windows.moving_window(_daily(spark, sf_dir), [], "i", "x", "integral", 3, weights="n").select("i", "x"), 3, "x")
+
+
+@query("""
+SELECT s_suppkey, round(exp(s_acctbal / 10000), 8) AS e, round(ln(abs(s_acctbal) + 1), 8) AS l, round(sqrt(abs(s_acctbal)), 8) AS r, round(atan2(s_acctbal, 1000), 8) AS a, round(sinh(s_acctbal / 10000), 8) AS h,
+       round(log10(abs(s_acctbal) + 1), 8) AS d, round(power(s_acctbal / 1000, 3), 6) AS p, ceil(s_acctbal)::BIGINT AS c FROM supplier""")
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, one = F.col("s_acctbal"), Units.of("1")
+    apply = lambda n, c: elementwise.UNARY[n](c, one)[0]
+    made = {"e": apply("exp", x / 10000), "l": apply("log", F.abs(x) + 1), "r": apply("sqrt", F.abs(x)), "a": elementwise.arctan2(x, F.lit(1000.0)), "h": apply("sinh", x / 10000), "d": apply("log10", F.abs(x) + 1)}
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", *[F.round(v, 8).alias(k) for k, v in made.items()], F.round(elementwise.power(x / 1000, 3)[0], 6).alias("p"), apply("ceil", x).alias("c"))
+    return rows
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS start, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS stop, o_orderdate + INTERVAL 3 MONTH AS later FROM orders")
+def time_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("o_orderdate")
+    start, stop = calendars.M().bounds(t)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", start.alias("start"), stop.alias("stop"), calendars.M(3).add_to(t).alias("later"))
+
+
+@query("SELECT o_orderkey, round(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))::DOUBLE * 24, 4) AS hours, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))::DOUBLE - 365 AS days FROM orders")
+def reference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = calendars.days_from_date(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"), "standard").cast("double")
+    units = Units.of("days since 1970-01-01")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.round(units.convert(d, Units.of("hours since 1990-01-01")), 4).alias("hours"), units.convert(d, Units.of("days since 1991-01-01")).alias("days"))
+
+
+@query("SELECT p_partkey, p_size > 10 AND p_size < 20 AS inside, abs(p_retailprice - 1000) <= 1.0 + 0.05 * 1000 AS near, CASE WHEN p_size NOT IN (5, 7) THEN p_size END AS kept, coalesce(CASE WHEN p_size <> 9 THEN p_size END, -1) AS filled FROM part")
+def masks_and_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    return _t(spark, sf_dir, "part").select("p_partkey", q.wi(10, 20, open_lower=True, open_upper=True)(n).alias("inside"), elementwise.isclose(F.col("p_retailprice"), 1000.0, 0.05, 1.0).alias("near"), elementwise.apply_masking(n, fill_values=[5, 7]).alias("kept"), elementwise.filled(elementwise.masked_where(n, n == 9), -1).alias("filled"))
+
+
+@query("""
+SELECT p_partkey, round(radians(p_size) * 6371.0, 4) AS km, round(p_size * p_size * 2.5::DOUBLE, 4) AS volume FROM part""")
+def weights_length_and_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs along a meridian, and boxes."""
+    n, zero = F.col("p_size").cast("double"), F.lit(0.0)
+    arc = weights.great_circle_length(F.array(zero, zero), F.array(zero, n), 6371.0)
+    box = weights.volume(weights.plane_polygon_area(F.array(zero, n, n, zero), F.array(zero, zero, n, n)), F.lit(1.0), F.lit(3.5))
+    return _rounded(_t(spark, sf_dir, "part").select("p_partkey", arc.alias("km"), box.alias("volume")), 4, "km", "volume")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events),
+s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n, max(value) AS maximum FROM s GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streaming.run_to_table(streaming.sessions(streaming.read_events(spark, sf_dir), "6 hours", ["user_id"]), "stream_sessions")
+    return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "maximum")

@@ -391,3 +391,39 @@ def test_second_order_regridding_is_exact_for_straight_lines(spark):
     assert len(got) == 64 and all(r.x == pytest.approx(3 * (r.i + 2.5) - 2 * (r.y + 2.5)) for r in got)
     flat = rg.regrid(data.withColumn("x", F.when(F.col("i") != 2, 7.0)), [], "x", "conservative_2nd", {"y": (src, dst), "i": (src, dst)}).collect()
     assert {r.x for r in flat if r.i not in (2, 3)} == {7.0} and {r.x for r in flat if r.i in (2, 3)} == {None}
+
+
+def test_regridding_cells_of_any_shape(spark):
+    box = lambda x, y, n, m: [{"x": a, "y": b} for a, b in ((x, y), (x + n, y), (x + n, y + m), (x, y + m))]
+    kind = "i int, vertices array<struct<x:double,y:double>>"
+    src = spark.createDataFrame([(4 * j + i, box(i * 1.0, j * 1.0, 1.0, 1.0)) for j in range(4) for i in range(4)], kind)
+    diamond = [{"x": a, "y": b} for a, b in ((2.0, 1.0), (3.0, 2.0), (2.0, 3.0), (1.0, 2.0))]
+    dst = spark.createDataFrame([(0, diamond), (1, box(0.5, 0.5, 2.0, 1.0)), (2, diamond[::-1]), (3, box(9.0, 9.0, 1.0, 1.0))], kind)
+    w = rg.polygon_weights(src, dst, 1.5)
+    got = {(r.dst, r.src): r.w for r in w.collect()}
+    assert {k: v for k, v in got.items() if k[0] == 0} == {(0, s): pytest.approx(0.25) for s in (5, 6, 9, 10)}
+    assert sum(v for k, v in got.items() if k[0] == 1) == pytest.approx(1) and got[1, 5] == pytest.approx(0.25) and got[1, 0] == pytest.approx(0.125)
+    assert {s: v for (d, s), v in got.items() if d == 2} == {s: v for (d, s), v in got.items() if d == 0}
+    data = spark.createDataFrame([(s, None if s == 5 else float(s)) for s in range(16)], "cell int, x double")
+    out_ = {r.cell: r.x for r in rg.RegridOperator("conservative", {"cell": w}).apply(data, [], "x").collect()}
+    assert out_[0] == pytest.approx((6 + 9 + 10) / 3) and 3 not in out_
+    lat = spark.createDataFrame([(k, box(0.0, -90.0 + 30 * k, 90.0, 30.0)) for k in range(6)], kind)
+    one = spark.createDataFrame([(0, box(0.0, -30.0, 90.0, 90.0))], kind)
+    share = {r.src: r.w for r in rg.polygon_weights(lat, one, 0.5, spherical=True).collect()}
+    total = math.sin(math.radians(60)) + 0.5
+    assert share == {2: pytest.approx(0.5 / total), 3: pytest.approx(0.5 / total), 4: pytest.approx((math.sin(math.radians(60)) - 0.5) / total)}
+
+
+def test_more_of_cubes(cube, spark):
+    area = cube.cell_area(radius=1.0)
+    assert area.collapse("sum").df.first().value == pytest.approx(4 * math.pi) and area.units == Units.of("m2")
+    counts = Cube.histogram({"t": (cube, [0, 5, 15, 30])})
+    assert {r.t: r["count"] for r in counts.collect()} == {0: 4, 1: 4, 2: 4}
+    got = {r.t: r.value for r in cube.bin("maximum", {"t": (cube, [0, 5, 15, 30])}).collect()}
+    assert got == {0: 3, 1: 13, 2: 23}
+    assert cube.extreme_positions().first()[:2] == (2, 3) and cube.extreme_positions(["lat"]).count() == 4
+    assert cube.unique().count() == 12 and cube.coarsen("mean", lon=2).axis("lon").size == 2
+    levels = Cube(spark.createDataFrame([(0, 0.0), (1, 1.0)], "i_z int, value double"), {"z": Axis("z", 2)})
+    full = Cube(cube.df.crossJoin(levels.df.select("i_z")), {**cube.axes, **levels.axes})
+    p = full.with_vertical("atmosphere_sigma_coordinate", {"ptop": 10.0, "sigma": levels, "ps": cube})
+    assert p.name == "air_pressure" and p.df.where("i_z = 1 AND i_lat = 2 AND i_lon = 3").first().value == 23 and p.df.where("i_z = 0").agg(F.max("value")).first()[0] == 10

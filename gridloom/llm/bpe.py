@@ -8,18 +8,19 @@ put together by position. Decoding joins the table of the tokens' bytes, whose s
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import partitions, written
-from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, gather, pack, positions_of, runs, unpack, unpack_ranks, unpack_words, words_of
+from gridloom.llm.packed import CHUNK_POSITIONS, CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, gather, give_back, pack, positions_of, runs, unpack, unpack_ranks, unpack_words, words_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,8 +47,9 @@ def _ranges(chars: set[int]) -> str:
     return "".join(out)
 
 
-def splitter(pattern: str):
-    """A function from a text to its pre-tokens, for the classes of letters, numbers and spaces that tiktoken has.
+@functools.lru_cache(maxsize=4)
+def classed(pattern: str) -> tuple[str, str, str]:
+    """(pattern, a class of characters, a pattern for texts with any of these) for the classes of letters, numbers and spaces that tiktoken has.
 
     Both libraries carry a Unicode version of their own. Texts with a character that they class differently are
     split by a pattern with tiktoken's classes spelled out; tiktoken itself tells them, as it skips what doesn't match.
@@ -64,7 +66,14 @@ def splitter(pattern: str):
         classes[name] = _ranges(theirs)
     letters, numbers, spaces = classes[r"\p{L}"], classes[r"\p{N}"], classes[r"\s"]
     spelled = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
-    usual, has_odd, slow = regex.compile(pattern).findall, regex.compile(f"[{_ranges(odd)}]").search if odd else None, []
+    return pattern, f"[{_ranges(odd)}]" if odd else "", spelled
+
+
+def splitter(pattern: str, odd: str, spelled: str):
+    """A function from a text to its pre-tokens; arguments from classed(), which is for the driver."""
+    import regex
+
+    usual, has_odd, slow = regex.compile(pattern).findall, regex.compile(odd).search if odd else None, []
 
     def split(text: str) -> list[str]:
         if has_odd is None or text.isascii() or not has_odd(text):
@@ -91,13 +100,14 @@ def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.frombuffer(b"".join(parts), np.uint8), runs(lens)[0], lens
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = True, chunk: int = CHUNK_POSITIONS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array<int>) if with_ids.
 
     ids: those of tiktoken's encode_ordinary for the rank file and pattern. ids_sha256: lowercase hex digest of
     the ids as little-endian unsigned 32-bit integers; decoded_sha256: of the bytes decoded from the ids. A null
     or empty text has no tokens. Rows that repeat an id, and null ids, have rows of their own. Other columns of
-    docs are not used, whatever their names. An empty table gives an empty result.
+    docs are not used, whatever their names. An empty table gives an empty result. chunk: pre-tokens that close a chunk;
+    smaller chunks take less memory and more disk.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -105,10 +115,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
+    patterns = classed(pattern)
     # The vocabulary is of a fixed size (about 1 MB).
     shared = spark.sparkContext.broadcast(load_ranks(vocabulary or vocabulary_path()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = written(rows.mapInArrow(chunker(lambda: splitter(pattern), partitions(spark), counted=False), CHUNK_SCHEMA), "pretokens")
+    chunks = written(rows.mapInArrow(chunker(lambda: splitter(*patterns), partitions(spark), counted=False, size=chunk), CHUNK_SCHEMA), "pretokens")
     reply_schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("lens", pa.binary()), ("tokens", pa.binary())])
 
     def encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +165,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                         out, held = [], 0
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+                del at, flat, sorted_lens, starts, lens, out, row
+                give_back()
 
     return by_chunk(replies, positions_of(chunks).drop("flags")).select("chunk", "bucket", "token_lens", "tokens", "positions", "buckets", "ids", "lens").mapInArrow(
         assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -168,12 +181,16 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str | None = No
     bounded_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(vocabulary or vocabulary_path()))
 
-    @F.pandas_udf("string")
-    def joined(ids: pd.Series) -> pd.Series:
+    rows = encoded.drop("decoded")
+    at = rows.columns.index(ids_col)
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: t for t, i in shared.value.items()}
-        return ids.map(lambda x: None if x is None else b"".join([table[int(i)] for i in x]).decode("utf-8", "replace"))
+        for batch in batches:
+            found = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.withColumn("decoded", joined(ids_col))
+    return rows.mapInArrow(joined, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from gridloom.llm.common import components, partitions, release, written
-from gridloom.llm.packed import CHUNK_POSITIONS, LAST, bounded_batches, by_chunk, pack, unpack
+from gridloom.llm.packed import CHUNK_POSITIONS, LAST, bounded_batches, by_chunk, give_back, pack, unpack
 
 WORDS, PERCENT, HASHES, PART = 5, 75, 6, 64
 #: Ids up to this many (8 MB) are broadcast to fetch their texts; more are joined by shuffle.
@@ -113,11 +113,14 @@ def _postings(source: Callable, buckets: int) -> Callable:
             for d in source(batch):
                 docs.append(d)
                 held += len(d[4]) + 1
-                if held >= CHUNK_POSITIONS // 4:
+                if held >= CHUNK_POSITIONS // 8:
                     yield close()
                     seq, held, docs = seq + 1, 0, []
+                    give_back()
         if docs:
             yield close()
+        docs = []
+        give_back()
 
     return run
 

@@ -8,6 +8,7 @@ the network once per chunk instead of once per occurrence.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -28,7 +29,7 @@ CHUNK_SCHEMA = "chunk long, bucket int, words binary, extra binary, positions bi
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()), ("extra", pa.binary()), ("positions", pa.binary()), ("buckets", pa.binary()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_()))])
 
 
-def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes of an Arrow batch in this session, unless it is bounded closer: rows here are blobs or whole texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     found = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
@@ -36,7 +37,16 @@ def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
         spark.conf.set(key, f"{size}b")
 
 
-def squeeze(raw: bytes) -> bytes:
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task doesn't hold what its last one took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def squeeze(raw: bytes | np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -63,8 +73,10 @@ def pack_ranks(a: np.ndarray) -> bytes:
     """Indices of words in order of frequency: a byte for each of the first 192, else the upper part in a byte and two more."""
     if len(a) and int(a.max()) >= 192 + (64 << 16):
         return b"\0" + pack(a)
-    rest = a[a >= 192] - 192
-    parts = [squeeze(x.astype(np.uint8).tobytes()) for x in (np.where(a < 192, a, 192 + ((a - 192) >> 16)), rest >> 8 & 255, rest & 255)]
+    far, lead = a >= 192, a.astype(np.uint8)
+    rest = a[far] - 192
+    lead[far] = (192 + (rest >> 16)).astype(np.uint8)
+    parts = [squeeze(x) for x in (lead, (rest >> 8).astype(np.uint8), rest.astype(np.uint8))]
     return b"\1" + struct.pack("<II", len(parts[0]), len(parts[1])) + b"".join(parts)
 
 
@@ -108,10 +120,16 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
             ids, lens, flags = ([f(d) for d in docs] for f in (lambda d: d[0], lambda d: len(d[1]), lambda d: d[2]))
             flat = np.concatenate([d[1] for d in docs])
             docs.clear()
-            by_count = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
+            # In slices: numpy widens indices to 8 bytes.
+            slices = [slice(a, a + (1 << 19)) for a in range(0, len(flat), 1 << 19)]
+            total = np.zeros(len(index), np.int64)
+            for s in slices:
+                total += np.bincount(flat[s], minlength=len(index))
+            by_count = np.argsort(-total, kind="stable")
             rank = np.empty(len(by_count), np.uint32)
             rank[by_count] = np.arange(len(by_count))
-            flat = rank[flat]
+            for s in slices:
+                flat[s] = rank[flat[s]]
             words = [w if isinstance(w, bytes) else w.encode() for w in index]
             words = [words[i] for i in by_count.tolist()]
             index.clear()
@@ -120,8 +138,10 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
             bucket = bucket_of[order]
             count = None
             if counted:
-                flagged = np.repeat(np.array(flags, bool), lens)
-                count = np.bincount(flat[flagged], minlength=len(words))[order]
+                flagged, count = np.repeat(np.array(flags, bool), lens), np.zeros(len(words), np.int64)
+                for s in slices:
+                    count += np.bincount(flat[s][flagged[s]], minlength=len(words))
+                count = count[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(words)]):
@@ -137,9 +157,11 @@ def chunker(tokens_of: Callable[[], Callable[[str], list]], buckets: int, counte
                 held += len(found) + 1
                 if held >= size:
                     yield from close()
+                    give_back()
                     seq, held = seq + 1, 0
         if docs:
             yield from close()
+        give_back()
 
     return run
 

@@ -48,6 +48,12 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.datediff("ts", F.lit("2024-01-01")).alias("i")).agg(F.round(F.sum("value"), 4).alias("x"), F.count("*").alias("n"))
 
 
+def _size(rows: DataFrame, index: str) -> int:
+    """Cells of the axis whose positions are in a column: one more than the largest, 0 for an empty table."""
+    most = rows.agg(F.max(index)).first()[0]
+    return 0 if most is None else int(most) + 1
+
+
 _DAILY = "daily AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))::INT AS i, round(sum(value), 4) AS x, count(*) AS n FROM events GROUP BY 1)"
 
 
@@ -686,3 +692,39 @@ s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = streaming.run_to_table(streaming.sessions(streaming.read_events(spark, sf_dir), "6 hours", ["user_id"]), "stream_sessions")
     return got.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "maximum")
+
+
+# --- shapes that follow from the table's size -----------------------------------------------------------------------
+
+
+@query("SELECT (p_partkey // 50)::INT AS a, (p_partkey % 50 // 10)::INT AS b, (p_partkey % 10)::INT AS c, p_size FROM part")
+def reshape_3d_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("i"), "p_size")
+    many = -(-_size(rows, "i") // 50)
+    return reshape.reshape(rows, {"i": many * 50}, {"a": many, "b": 5, "c": 10})
+
+
+@query("""
+SELECT (i // 20)::INT AS y, (i % 20)::INT AS x, p_size AS value FROM (SELECT unnest(range((max(p_partkey) // 20 + 1) * 20)) AS i FROM part)
+LEFT JOIN (SELECT * FROM part WHERE p_size IS NOT NULL) ON p_partkey = i""")
+def gathered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part that has a size is listed; cells without a part are missing."""
+    kept = _t(spark, sf_dir, "part").where("p_size IS NOT NULL").select(F.col("p_partkey").alias("flat"), F.col("p_size").alias("value"))
+    shape = {"y": -(-_size(_t(spark, sf_dir, "part"), "p_partkey") // 20), "x": 20}
+    listing = reshape.numbered(kept, "flat", "i_list")
+    return compressed_.gathered(listing.select("i_list", "value"), listing.select("i_list", "flat"), shape)
+
+
+@query("""
+WITH g AS (SELECT (p_partkey // 20)::INT AS y, (p_partkey % 20)::INT AS x, p_retailprice AS v FROM part),
+d AS (SELECT *, (lead(v) OVER r - lag(v) OVER r) / 4.0 AS gx, (lead(v) OVER c - lag(v) OVER c) / 6.0 AS gy FROM g WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))
+SELECT y, x, round(gx, 6) AS grad_x, round(gy, 6) AS grad_y, round((lead(gx) OVER r - lag(gx) OVER r) / 4.0 + (lead(gy) OVER c - lag(gy) OVER c) / 6.0, 6) + 0.0 AS laplacian
+FROM d WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)""")
+def gradient_and_laplacian_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a plane with cells of 2 by 3, in rows of 20."""
+    p = F.col("p_partkey")
+    g = _t(spark, sf_dir, "part").select(F.floor(p / 20).cast("int").alias("y"), (p % 20).cast("int").alias("x"), F.col("p_retailprice").alias("v"))
+    g = g.withColumns({"cx": F.col("x") * 2.0, "cy": F.col("y") * 3.0})
+    got = windows.grad_xy(g, [], "x", "y", "cx", "cy", "v", spherical=False)
+    got = windows.div_xy(got, [], "x", "y", "cx", "cy", "grad_x", "grad_y", spherical=False, out="laplacian")
+    return _rounded(got.select("y", "x", "grad_x", "grad_y", "laplacian"), 6, "grad_x", "grad_y", "laplacian").withColumn("laplacian", F.col("laplacian") + 0.0)

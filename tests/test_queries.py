@@ -50,3 +50,14 @@ def test_conditions_reach_the_scan(spark):
 def test_collapses_combine_before_the_shuffle(spark):
     plan = registry.QUERIES["collapse_weighted_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_sum") > plan.index("Exchange") and plan.count("Exchange hash") == 1
+
+
+@pytest.mark.parametrize("name", ["reshape_3d_whole", "gathered_whole", "gradient_and_laplacian_whole"])
+def test_shapes_cover_the_whole_table(spark, name):
+    larger = SF.replace("0.001", "0.01")
+    parts = spark.read.parquet(f"{larger}/part.parquet").count()
+    got = registry.QUERIES[name](spark, larger)
+    assert parts == 2000 and got.count() == parts
+    assert got.select(*[c for c in got.columns if c in "abcxy"]).distinct().count() == parts
+    if name == "gathered_whole":
+        assert got.where("value IS NULL").count() == 0

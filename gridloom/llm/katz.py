@@ -1,4 +1,4 @@
-"""Language-model scoring by a Katz back-off bigram model over words.
+"""Language-model scoring by a Katz back-off model over words, of order 2 (pairs) or 3 (triples).
 
 Counts r up to K are discounted by Good-Turing, and what that frees goes to the next lower level: after a word v,
     P(w|v) = d(c(vw)) c(vw) / c(v)   if the pair was seen,   else   alpha(v) P(w),
@@ -9,13 +9,20 @@ Good-Turing discounts up to K, a smaller K is taken, and without any the absolut
 on which nothing is discounted counts one more unseen event, so that some mass is always left. The first word of
 a text follows the end token. An unseen history backs off with alpha 1.
 
-Word and pair counts are gathered for all training documents in tables by hash bucket (see packed.py); a chunk
-asks only for its distinct words, then for its distinct pairs. Histories with so many pairs that a bucket would be
+With order 3, after words u and v with a seen pair uv,
+    P(w|uv) = d3(c(uvw)) c(uvw) / c(uv)   if the triple was seen,   else   alpha(uv) P(w|v),
+with discounts of its own and alpha(uv) made like alpha(v) from P(w|v). An unseen pair leaves P(w|v). The first word of
+a text has the end token alone before it, and so P(w|v).
+
+Word, pair and triple counts are gathered for all training documents in tables by hash bucket (see packed.py); a chunk
+asks only for its distinct words, then for its distinct pairs, then for its distinct triples. A seen triple's P(w|v) is
+a discounted c(vw) over what c(v) is divided by, so that a bucket of triples needs c(vw) only. Histories with so many pairs that a bucket would be
 hot are spread over several buckets, and their sums are added up; there are at most 4 x buckets of these.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, written
-from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, expand, pack, positions_of, runs, squeeze, unpack, unpack_ranks, unpack_words, words_of
+from gridloom.llm.common import partitions, release, written
+from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, expand, give_back, pack, positions_of, runs, squeeze, unpack, unpack_ranks, unpack_words, words_of
 
 K = 5
 #: A word's id holds its count in the upper bits, so that an id tells P(w); larger counts are kept apart.
@@ -113,19 +120,53 @@ def requests(positions, ids, counts, buckets_of, end, buckets, tokens):
     return bucket[order].astype(np.int64), ids[v][order], ids_too[w][order], place
 
 
+def cut(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.where(c > K, c, d[np.minimum(c, K)] * c)
+
+
+def triples(lens, place: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int, tokens: int):
+    """Distinct triples with a seen pair as history, by bucket: (bucket, place of the history pair, place of the pair of the last
+    two words), and for each position its triple's place there (-1: no such history). Of the pairs: v, w, counts c."""
+    n = len(place)
+    history = np.full(n, -1, np.int64)
+    history[1:] = place[:-1]
+    history[runs(np.array(lens))[0]] = -1
+    known = history >= 0
+    known[known] = c[history[known]] > 0
+    key = history[known] * len(v) + place[known]
+    del history
+    uniq, inverse = np.unique(key, return_inverse=True)
+    del key
+    first, last = np.divmod(uniq, max(len(v), 1))
+    del uniq
+    spread = np.maximum(1, np.ceil(c[first] * 4 * buckets / max(tokens, 1))).astype(np.uint64)
+    mixed = (v[first] * np.uint64(0x9E3779B97F4A7C15) + w[first]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
+    mixed += ((w[last] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % spread
+    bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+    del mixed, spread
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    at = np.full(n, -1, np.int32)
+    at[known] = rank[inverse]
+    return bucket[order], first[order], last[order], at
+
+
 class _Chunk:
     """Gathers a chunk's rows in order of bucket, up to the row with its positions."""
 
     def __init__(self):
         self.words: list[tuple[int, np.ndarray]] = []
         self.pairs: list[dict] = []
+        self.triples: list[dict] = []
 
     def take(self, row: dict):
         if row["bucket"] < LAST:
             if row.get("word_ids") is not None:
                 self.words.append((row["bucket"], unpack(row["word_ids"])))
             else:
-                self.pairs.append(row)
+                (self.triples if row.get("level") == 3 else self.pairs).append(row)
             return None
         bucket = unpack(row["buckets"], np.int64)
         ids = np.empty(len(bucket), np.uint64)
@@ -143,6 +184,9 @@ _WORD_REPLY = "chunk long, bucket int, word_ids binary, tokens long, types long,
 _PAIR_REQUEST = "chunk long, bucket int, v binary, run binary, w binary, k binary"
 _PAIR_REPLY = "chunk long, bucket int, counts binary, sums binary, seen binary, n array<long>, hot_v array<long>, hot_seen array<long>, hot_sums array<double>"
 
+_TRIPLE_REQUEST = "chunk long, bucket int, u binary, v binary, times binary, run binary, w binary, lower binary, k binary"
+_TRIPLE_REPLY = "chunk long, bucket int, counts binary, sums binary, seen binary, n array<long>, hot_u array<long>, hot_v array<long>, hot_seen array<long>, hot_sums array<double>"
+
 
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
@@ -239,7 +283,26 @@ def backoff(count_v: np.ndarray, n: np.ndarray, sums: np.ndarray, d: np.ndarray)
     return total, np.where(freed > 0, freed, 1) / total / np.maximum(1 - sums, 1e-300)
 
 
-def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndarray, full: dict[int, int], hot: dict[int, tuple[np.ndarray, float]], schema: pa.Schema):
+def _replied(replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one level's replies in order of bucket: counts, and for each history the sum and how many were seen; where replies begin."""
+    if not replies:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, K), np.int64), np.zeros(0, np.int64)
+    sizes = np.cumsum([0, *[int.from_bytes(r["counts"][:8], "little") for r in replies]])[:-1]
+    sums = np.concatenate([np.frombuffer(expand(r["sums"]), "<f8") for r in replies])  # a copy, to write to
+    return np.concatenate([unpack(r["counts"], np.int64) for r in replies]), sums, np.concatenate([unpack(r["seen"], np.int64) for r in replies]).reshape(-1, K), sizes
+
+
+def _histories(change: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where a history begins: at a change, and at the start of each reply."""
+    edges = np.append(True, change)[: len(change) + 1]
+    edges[begins[begins < len(edges)]] = True
+    return edges
+
+
+def _ask_triples(buckets: int, many: int, tokens: int, full: dict[int, int]):
+    """buckets: of pairs, many: of triples."""
+    schema = _arrow(_TRIPLE_REQUEST)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for row in _rows(batches):
@@ -247,22 +310,80 @@ def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndar
             if got is None:
                 continue
             (ids, bucket_of, at), replies, chunk = got, chunk.pairs, _Chunk()
+            _, v, w, place = requests(at, ids, counts_of(ids, full), bucket_of, int(at[row["lens"][0] - 1]), buckets, tokens)
+            del at, bucket_of, ids
+            c = np.concatenate([unpack(r["counts"], np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
+            del replies
+            bucket, first, last, place = triples(row["lens"], place, v, w, c, many, tokens)
+            trained = np.repeat(np.array(row["flags"], bool), row["lens"]) & (place >= 0)
+            k = np.bincount(place[trained], minlength=len(first))
+            del place, trained
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(first)]):
+                p, q = first[a:b], last[a:b]
+                new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": int(bucket[a]), "u": pack(v[p[new]]), "v": pack(w[p[new]]), "times": pack(c[p[new]]), "run": pack(np.diff(np.append(new, b - a))), "w": pack(w[q]), "lower": pack(c[q]), "k": pack(k[a:b])}], schema=schema)
+            del v, w, c, bucket, first, last, k
+            give_back()
+
+    return run
+
+
+def _count_triples(buckets: int, tokens: int, d2: np.ndarray):
+    """One bucket's triples of all chunks -> each chunk's counts in the order asked, and for each of its histories uv the sum of
+    discounted c(vw) over the words w seen after it and how many were seen 1 to K times; rows with chunk -1 as for pairs."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        bucket = rows[0]["bucket"]
+        us, u = np.unique(np.concatenate([unpack(r.pop("u")) for r in rows]), return_inverse=True)
+        vs, v = np.unique(np.concatenate([unpack(r.pop("v")) for r in rows]), return_inverse=True)
+        keys, own = np.unique(u * len(vs) + v, return_inverse=True)
+        del u, v
+        times = np.zeros(len(keys), np.int64)
+        times[own] = np.concatenate([unpack(r.pop("times"), np.int64) for r in rows])
+        lengths = [unpack(r.pop("run"), np.int64) for r in rows]
+        size, held = [int(x.sum()) for x in lengths], [len(x) for x in lengths]
+        ws, w = np.unique(np.concatenate([unpack(r.pop("w")) for r in rows]), return_inverse=True)
+        w += np.repeat(own, np.concatenate(lengths)) * len(ws)
+        found, inverse = np.unique(w, return_inverse=True)
+        del w, lengths
+        history = found // max(len(ws), 1)
+        total = np.bincount(inverse, weights=np.concatenate([unpack(r.pop("k"), np.int64) for r in rows]).astype(float), minlength=len(found)).astype(np.int64)
+        lower = np.zeros(len(found), np.int64)
+        lower[inverse] = np.concatenate([unpack(r.pop("lower"), np.int64) for r in rows])
+        seen = total > 0
+        sums = np.bincount(history[seen], weights=cut(lower[seen], d2), minlength=len(keys))
+        n = np.stack([np.bincount(history[total == r], minlength=len(keys)) for r in range(1, K + 1)], axis=1)
+        del lower, seen, found
+        out, a, h = [], 0, 0
+        for r, m, g in zip(rows, size, held):
+            mine = own[h : h + g]
+            out.append({"chunk": r["chunk"], "bucket": bucket, "counts": pack(total[inverse[a : a + m]]), "sums": squeeze(sums[mine].astype("<f8").tobytes()), "seen": pack(n[mine].reshape(-1))})
+            a, h = a + m, h + g
+        hot = np.flatnonzero(np.ceil(times * 4 * buckets / max(tokens, 1)) > 1)
+        out.append({"chunk": -1, "bucket": bucket, "n": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist(), "hot_u": us[keys[hot] // len(vs)].view(np.int64).tolist(), "hot_v": vs[keys[hot] % len(vs)].view(np.int64).tolist(), "hot_seen": n[hot].reshape(-1).tolist(), "hot_sums": sums[hot].tolist()})
+        return pa.Table.from_pylist(out, schema=_arrow(_TRIPLE_REPLY))
+
+    return run
+
+
+def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndarray, full: dict[int, int], hot: dict[int, tuple[np.ndarray, float]], schema: pa.Schema, many: int = 0, d3: np.ndarray | None = None, hot3: dict[tuple[int, int], tuple[np.ndarray, float]] | None = None):
+    """d3: the discounts of triples, of which there are many buckets; none with order 2."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk()
+        for row in _rows(batches):
+            got = chunk.take(row)
+            if got is None:
+                continue
+            (ids, bucket_of, at), asked, asked3, chunk = got, chunk.pairs, chunk.triples, _Chunk()
             counts = counts_of(ids, full)
             end = int(at[row["lens"][0] - 1])
-            _, v, _, place = requests(at, ids, counts, bucket_of, end, buckets, tokens)
-            c = np.concatenate([unpack(r["counts"], np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
+            _, v, w, place = requests(at, ids, counts, bucket_of, end, buckets, tokens)
             # The distinct histories in the order of the replies; a hot one takes the sums over all its buckets.
-            sums = np.concatenate([np.frombuffer(expand(r["sums"]), "<f8") for r in replies]) if replies else np.zeros(0)
-            seen = np.concatenate([unpack(r["seen"], np.int64) for r in replies]).reshape(-1, K) if replies else np.zeros((0, K), np.int64)
-            edges = np.zeros(len(v), bool)
-            if len(v):
-                sizes = np.cumsum([0, *[int.from_bytes(r["counts"][:8], "little") for r in replies]])[:-1]
-                edges[0], edges[1:] = True, v[1:] != v[:-1]
-                edges[sizes[sizes < len(v)]] = True
-            group = np.cumsum(edges) - 1
-            firsts = v[edges]
+            c, sums, seen, begins = _replied(asked)
+            edges = _histories(v[1:] != v[:-1], begins)[: len(v)]
+            group, firsts = np.cumsum(edges) - 1, v[edges]
             count_v = counts_of(firsts, full)
-            sums, seen = sums.copy(), seen.copy()
             for i in np.flatnonzero(np.ceil(count_v * 4 * buckets / max(tokens, 1)) > 1):
                 seen[i], sums[i] = hot[int(firsts[i])]
             total, alpha = backoff(count_v.astype(float), seen, sums, d)
@@ -270,8 +391,22 @@ def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndar
             p, got_pair = lower.copy(), place >= 0
             j = place[got_pair]
             g, cj = group[j], c[j]
-            high = np.where(cj > K, cj, d[np.minimum(cj, K)] * cj) / total[g]
-            p[got_pair] = np.where(cj > 0, high, alpha[g] * lower[got_pair])
+            p[got_pair] = np.where(cj > 0, cut(cj, d) / total[g], alpha[g] * lower[got_pair])
+            del lower, g, cj, j
+            if d3 is not None:
+                bucket, first, last, place = triples(row["lens"], place, v, w, c, many, tokens)
+                c3, sums, seen, begins = _replied(asked3)
+                edges = _histories((first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1]), begins)[: len(first)]
+                group3, heads = np.cumsum(edges) - 1, first[edges]
+                for i in np.flatnonzero(np.ceil(c[heads] * 4 * many / max(tokens, 1)) > 1):
+                    seen[i], sums[i] = hot3[int(v[heads[i]]), int(w[heads[i]])]
+                # What c(v) is divided by below is that of the pairs vw, whose history is the last word of uv.
+                total3, alpha3 = backoff(c[heads].astype(float), seen, sums / total[group[last[edges]]], d3)
+                at3 = np.flatnonzero(place >= 0)
+                j = place[at3]
+                g, cj = group3[j], c3[j]
+                p[at3] = np.where(cj > 0, cut(cj, d3) / total3[g], alpha3[g] * p[at3])
+                del bucket, first, last, place, j, g, cj
             start = runs(np.array(row["lens"]))[0]
             base = np.log10(counts + 1.0)[at] - np.log10(tokens + types + 1.0)
             add = lambda x: np.add.reduceat(x, start)
@@ -280,14 +415,22 @@ def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndar
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out (not train), n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from the rows whose boolean train_col is true (null: false). A null text is empty: one end
+    order: words of an event of the longest kind, 2 or 3. The model learns from the rows whose boolean train_col is true (null: false). A null text is empty: one end
     token. Rows that repeat an id are texts of their own and each counts. Without training rows every token has
     probability 1 for the one unseen class. Other columns aren't used, whatever their names. An empty table
     gives an empty result.
     """
+    if order not in (2, 3):
+        raise ValueError(f"no model of order {order}")
     spark = docs.sparkSession
     bounded_batches(spark)
     buckets = partitions(spark)
@@ -302,7 +445,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     unigrams = Unigrams(tokens, n)
 
     known = words.where("chunk >= 0").select("chunk", "bucket", "word_ids")
-    asked = by_chunk(known, positions_of(chunks)).mapInArrow(_ask_pairs(buckets, tokens, full), _PAIR_REQUEST)
+    if order == 3:  # the words themselves aren't needed any more
+        lines = written(positions_of(chunks), "positions")
+        release(chunks)
+    else:
+        lines = positions_of(chunks)
+    asked = by_chunk(known, lines).mapInArrow(_ask_pairs(buckets, tokens, full), _PAIR_REQUEST)
     pairs = written(asked.repartition("bucket").groupBy("bucket").applyInArrow(_count_pairs(buckets, tokens, unigrams, full), _PAIR_REPLY), "pairs")
     stats = pairs.where("chunk = -1")
     n2 = [r[1] for r in stats.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
@@ -313,14 +461,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             old = hot.get(v, (np.zeros(K, np.int64), 0.0))
             hot[v] = (old[0] + s, old[1] + x)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = pairs.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "seen")
-    return by_chunk(known, replies, positions_of(chunks)).mapInArrow(_score(buckets, tokens, types, unigrams, discounts(n2), full, hot, _arrow(out)), out)
+    replies, d = pairs.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "seen"), discounts(n2)
+    if order == 2:
+        return by_chunk(known, replies, lines).mapInArrow(_score(buckets, tokens, types, unigrams, d, full, hot, _arrow(out)), out)
+
+    many = 2 * buckets
+    del asked
+    _drop_shuffles(spark)
+    asked = by_chunk(known, replies.select("chunk", "bucket", "counts"), lines).mapInArrow(_ask_triples(buckets, many, tokens, full), _TRIPLE_REQUEST)
+    threes = written(asked.repartition(many, "bucket").groupBy("bucket").applyInArrow(_count_triples(many, tokens, d), _TRIPLE_REPLY), "triples")
+    del asked
+    _drop_shuffles(spark)
+    stats = threes.where("chunk = -1")
+    n3 = [r[1] for r in stats.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
+    # At most 4 x many histories of two words are hot.
+    hot3: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
+    for r in stats.where("size(hot_u) > 0").select("hot_u", "hot_v", "hot_seen", "hot_sums").orderBy("bucket").toLocalIterator():
+        u, v = (np.array(x, np.int64).view(np.uint64).tolist() for x in r[:2])
+        for uv, s, x in zip(zip(u, v), np.array(r[2]).reshape(-1, K), r[3]):
+            old = hot3.get(uv, (np.zeros(K, np.int64), 0.0))
+            hot3[uv] = (old[0] + s, old[1] + x)
+    more = threes.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "seen", F.lit(3).alias("level"))
+    return by_chunk(known, replies, more, lines).mapInArrow(_score(buckets, tokens, types, unigrams, d, full, hot, _arrow(out), many, discounts(n3), hot3), out)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7))
-    return score(docs.withColumn("train", rest != 2))
+    return score(docs.withColumn("train", rest != 2), order=3)
 
 
 ORACLE: dict[str, str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import encode
 from gridloom.llm.common import written
-from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.exact_dedup import one_of_each
 from gridloom.llm.language_id import UNDETERMINED, crc_rest, predict, train
 from gridloom.llm.mixing import mix
 from gridloom.llm.ngram_join import near_duplicate_components
@@ -36,8 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return _shielded(docs, ["keep_id", "group_size", "kept", "text_sha256"], lambda d: exact_dedup(d).where("kept"))
+    """Of equal texts one row stays, a document with the largest id."""
+    return one_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

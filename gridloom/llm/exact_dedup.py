@@ -8,10 +8,11 @@ A text held by a third of all rows so arrives as one row for each map task and s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def exact_classes(rows: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -29,20 +30,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have a null keep_id, and are kept only if there is one of them. Added columns replace columns of the same names.
     An empty table gives an empty result.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    out, keep = _marked(docs, id_col, text_col, salts)
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*own, keep.alias("keep_id"), F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col(id_col) == keep, F.col("__size").isNull()).alias("kept"), F.col("__sha256").alias("text_sha256"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """Exactly one row of docs for each distinct text, with the columns of docs: one with the largest id.
+
+    Rows that repeat both the text and that id, or equal texts that all have null ids, are decided by a hash of the other
+    columns; rows that are equal in these too are the same row. They share a salt, and so are together after the join.
+    """
+    out, keep = _marked(docs, id_col, text_col, salts)
+    ties = out.where(F.col(id_col).cast("long").eqNullSafe(keep))
+    others = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy("__sha256", "__n", "__h", "__salt").orderBy(F.xxhash64(*others))
+    return ties.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, salts: int):
+    """docs with what the join gives each row, and the id that stays."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
     classes = exact_classes(rows, salts)
     # Should two texts ever share a digest, length and second hash tell their classes apart.
-    many = classes.where("group_size > 1").select(F.col("sha").alias("__sha"), F.length("text").alias("__n2"), F.xxhash64("text").alias("__h2"), "keep_id", "group_size")
+    many = classes.where("group_size > 1").select(F.col("sha").alias("__sha"), F.length("text").alias("__n2"), F.xxhash64("text").alias("__h2"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
     spread = many.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    marked = docs.withColumn("text_sha256", F.sha2(text, 256)).withColumns({
+    marked = docs.withColumn("__sha256", F.sha2(text, 256)).withColumns({
         "__n": F.length(text), "__h": F.xxhash64(text), "__salt": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(salts)).cast("int"),
     })
-    on = (marked["text_sha256"] == spread["__sha"]) & (marked["__n"] == spread["__n2"]) & (marked["__h"] == spread["__h2"]) & (marked["__salt"] == spread["__salt2"])
+    on = (marked["__sha256"] == spread["__sha"]) & (marked["__n"] == spread["__n2"]) & (marked["__h"] == spread["__h2"]) & (marked["__salt"] == spread["__salt2"])
     out = marked.join(spread.hint("merge"), on, "left")
-    keep = F.coalesce("keep_id", marked[id_col].cast("long"))
-    return out.select(*[marked[c] for c in docs.columns], keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(marked[id_col] == keep, F.col("group_size").isNull()).alias("kept"), "text_sha256")
+    return out, F.coalesce("__keep", F.col(id_col).cast("long"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,13 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "test")
         assert docs.count() == 0
+
+
+def test_exact_stage_leaves_one_row_of_ties(spark):
+    rows = [(1, "a", "x"), (2, "a", "x"), (2, "a", "y"), (2, "a", "y"), (None, "a", "z"), (None, "n", "x"), (None, "n", "x"), (None, "n", "y"), (None, None, "x"), (None, "", "x"), (7, "b", "x"), (7, "c", "x"), (None, "d", "x")]
+    docs = spark.createDataFrame([(*r, True) for r in rows * 3], "doc_id long, text string, source string, kept boolean")
+    after = corpus_pipeline.exact(spark, docs, SF)
+    assert after.columns == docs.columns
+    got = [(r.doc_id, r.text or "") for r in after.collect()]
+    assert sorted(got, key=str) == sorted([(2, "a"), (None, "n"), (None, ""), (7, "b"), (7, "c"), (None, "d")], key=str)
+    assert sorted(map(str, after.collect())) == sorted(map(str, corpus_pipeline.exact(spark, docs.repartition(5), SF).collect()))

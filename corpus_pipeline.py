@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import encode
-from gridloom.llm.common import written
+from gridloom.llm.common import partitions, written
 from gridloom.llm.exact_dedup import one_of_each
 from gridloom.llm.language_id import UNDETERMINED, crc_rest, predict, train
-from gridloom.llm.mixing import mix
+from gridloom.llm.mixing import OUT_SHARDS, mix
 from gridloom.llm.ngram_join import near_duplicate_components
 
 #: A language with less than this probability is no better than a guess among the languages learned here.
@@ -48,10 +48,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: a document comes as often as the mix takes it, shuffled within its partition."""
+    """Sources in their target shares: a document comes as often as the mix takes it. Each written file holds documents of one
+    output shard in the order of that shard's shuffle; a shard lies in as many files as its key's range is cut into."""
     def apply(d: DataFrame) -> DataFrame:
         rows = mix(d).withColumn("__copy", F.explode("copies"))
-        return rows.sortWithinPartitions("__copy.shard", "__copy.key")
+        ranges = -(-partitions(spark) // OUT_SHARDS)
+        place = F.floor((F.col("__copy.key").cast("double") / 2.0**64 + 0.5) * ranges)
+        part = F.col("__copy.shard") * ranges + F.least(place, F.lit(ranges - 1))
+        return rows.repartitionById(OUT_SHARDS * ranges, part.cast("int")).sortWithinPartitions("__copy.shard", "__copy.key")
 
     return _shielded(docs, ["size", "source_size", "target", "copies"], apply)
 

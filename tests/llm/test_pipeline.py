@@ -1,7 +1,12 @@
 from collections import Counter
+from itertools import accumulate
+
+import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from gridloom.llm.common import written
+from gridloom.llm.mixing import OUT_SHARDS, mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +48,21 @@ def test_exact_stage_leaves_one_row_of_ties(spark):
     got = [(r.doc_id, r.text or "") for r in after.collect()]
     assert sorted(got, key=str) == sorted([(2, "a"), (None, "n"), (None, ""), (7, "b"), (7, "c"), (None, "d")], key=str)
     assert sorted(map(str, after.collect())) == sorted(map(str, corpus_pipeline.exact(spark, docs.repartition(5), SF).collect()))
+
+
+@pytest.mark.parametrize("count", ["4", "20"])
+def test_files_of_the_mix_hold_one_shard_in_key_order(spark, tmp_path, count):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", " ".join(["w"] * (i % 40))) for i in range(900)], "doc_id long, source string, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", count)
+    try:
+        corpus_pipeline.mixed(spark, docs, SF).write.parquet(f"{tmp_path}/out")
+        copies = sorted((c.shard, c.key, r.doc_id) for r in mix(docs).collect() for c in r.copies)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    files = [pq.read_table(f).column("doc_id").to_pylist() for f in sorted((tmp_path / "out").glob("part-*.parquet"))]
+    files = [f for f in files if f]
+    assert [i for f in files for i in f] == [i for _, _, i in copies]
+    ends = set(accumulate(map(len, files)))
+    assert {c[0] for c in copies} == set(range(OUT_SHARDS)) and set(accumulate(Counter(c[0] for c in copies)[s] for s in range(OUT_SHARDS))) <= ends
+    assert len(files) == OUT_SHARDS * -(-int(count) // OUT_SHARDS)

@@ -728,3 +728,20 @@ def gradient_and_laplacian_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = windows.grad_xy(g, [], "x", "y", "cx", "cy", "v", spherical=False)
     got = windows.div_xy(got, [], "x", "y", "cx", "cy", "grad_x", "grad_y", spherical=False, out="laplacian")
     return _rounded(got.select("y", "x", "grad_x", "grad_y", "laplacian"), 6, "grad_x", "grad_y", "laplacian").withColumn("laplacian", F.col("laplacian") + 0.0)
+
+
+@query("WITH " + _DAILY + ", s AS (SELECT max(i) + 1 AS size FROM daily) SELECT (i // 7)::INT AS i, round(avg(x), 4) AS x FROM daily, s WHERE i < size - size % 7 GROUP BY 1")
+def coarsen_trim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks of all days; trimming alone drops the days after the last whole one."""
+    rows = _daily(spark, sf_dir)
+    return _rounded(c.coarsen(rows, {"i": 7}, [], "x", "mean", {"i": _size(rows, "i")}, trim_excess=True), 4, "x")
+
+
+@query("WITH " + _DAILY + """, t AS (SELECT i, x, lead(i) OVER (ORDER BY i) AS hi, lead(x) OVER (ORDER BY i) AS x1 FROM daily WHERE i % 7 = 0 OR i = (SELECT max(i) FROM daily))
+SELECT d.i, round(coalesce(t.x + (t.x1 - t.x) * (d.i - t.i) / (t.hi - t.i)::DOUBLE, t.x), 6) AS x
+FROM (SELECT unnest(range(max(i) + 1))::INT AS i FROM daily) d JOIN t ON d.i >= t.i AND d.i < coalesce(t.hi, t.i + 1)""")
+def subsampled_linear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tie points at every seventh day and at the last."""
+    rows = _daily(spark, sf_dir)
+    ties = rows.where((F.col("i") % 7 == 0) | (F.col("i") == _size(rows, "i") - 1)).select("i", "x")
+    return _rounded(compressed_.subsampled_linear(ties, "i", [], "x"), 6, "x")

@@ -61,3 +61,10 @@ def test_shapes_cover_the_whole_table(spark, name):
     assert got.select(*[c for c in got.columns if c in "abcxy"]).distinct().count() == parts
     if name == "gathered_whole":
         assert got.where("value IS NULL").count() == 0
+
+
+def test_daily_queries_reach_the_last_day(spark):
+    days = spark.read.parquet(f"{SF}/events.parquet").selectExpr("max(datediff(ts, '2024-01-01')) + 1").first()[0]
+    assert days % 7 and days > 29
+    assert sorted(r.i for r in registry.QUERIES["subsampled_linear_whole"](spark, SF).collect()) == [*range(days)]
+    assert sorted(r.i for r in registry.QUERIES["coarsen_trim_whole"](spark, SF).collect()) == [*range(days // 7)]

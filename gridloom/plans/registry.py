@@ -745,3 +745,29 @@ def subsampled_linear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _daily(spark, sf_dir)
     ties = rows.where((F.col("i") % 7 == 0) | (F.col("i") == _size(rows, "i") - 1)).select("i", "x")
     return _rounded(compressed_.subsampled_linear(ties, "i", [], "x"), 6, "x")
+
+
+def _level(cells: int) -> int:
+    """The first level from 2 on with so many HEALPix cells or more."""
+    level = 2
+    while 12 * 4**level < cells:
+        level += 1
+    return level
+
+
+@query("""
+WITH s AS (SELECT min(12 * (1::BIGINT << (2 * k)))::BIGINT AS cells FROM range(2, 29) t(k) WHERE 12 * (1::BIGINT << (2 * k)) > (SELECT max(p_partkey) FROM part))
+SELECT i // 16 AS healpix_index, round(avg(p_retailprice), 6) AS v FROM (SELECT unnest(range(cells)) AS i FROM s) LEFT JOIN part ON p_partkey = i GROUP BY 1""")
+def healpix_decrease_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by nested index, on the level that covers their keys; cells without a part are missing."""
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("healpix_index"), F.col("p_retailprice").alias("v"))
+    level = _level(_size(part, "healpix_index"))
+    cells = healpix.cells(spark, level).select("healpix_index").join(part, "healpix_index", "left")
+    return _rounded(healpix.decrease_level(cells, "healpix_index", level, level - 2, [], "v", "mean"), 6, "v")
+
+
+@query("SELECT p_partkey * 4 + k AS healpix_index, p_retailprice / 4 AS v FROM part, range(4) t(k)")
+def healpix_increase_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("healpix_index"), F.col("p_retailprice").alias("v"))
+    level = _level(_size(part, "healpix_index"))
+    return healpix.increase_level(part, "healpix_index", level, level + 1, "v", "extensive")

@@ -68,3 +68,10 @@ def test_daily_queries_reach_the_last_day(spark):
     assert days % 7 and days > 29
     assert sorted(r.i for r in registry.QUERIES["subsampled_linear_whole"](spark, SF).collect()) == [*range(days)]
     assert sorted(r.i for r in registry.QUERIES["coarsen_trim_whole"](spark, SF).collect()) == [*range(days // 7)]
+
+
+def test_healpix_queries_follow_the_table(spark):
+    larger = SF.replace("0.001", "0.01")
+    assert [registry.QUERIES["healpix_increase_whole"](spark, d).count() for d in (SF, larger)] == [800, 8000]
+    got = [registry.QUERIES["healpix_decrease_whole"](spark, d) for d in (SF, larger)]
+    assert [g.count() for g in got] == [48, 192] and [g.where("v IS NOT NULL").count() for g in got] == [13, 125]

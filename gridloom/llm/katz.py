@@ -16,14 +16,16 @@ a text has the end token alone before it, and so P(w|v).
 
 Word, pair and triple counts are gathered for all training documents in tables by hash bucket (see packed.py); a chunk
 asks only for its distinct words, then for its distinct pairs, then for its distinct triples. A seen triple's P(w|v) is
-a discounted c(vw) over what c(v) is divided by, so that a bucket of triples needs c(vw) only. Histories with so many pairs that a bucket would be
-hot are spread over several buckets, and their sums are added up; there are at most 4 x buckets of these.
+a discounted c(vw) over what c(v) is divided by, so that a bucket of triples needs c(vw) only. Histories with so many pairs
+that a bucket would be hot are spread over several buckets, and their sums are added up; there are at most 4 x buckets of these.
+Requests name words by codes that are the lower the more frequent a word is, in ascending order, as differences. A reply
+leaves out what the chunk knows: most histories were seen once, and tell no more than the count of their one event.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import partitions, release, written
-from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, expand, give_back, pack, positions_of, runs, squeeze, unpack, unpack_ranks, unpack_words, words_of
+from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, give_back, pack, positions_of, runs, unpack, unpack_ranks, unpack_words, words_of
 
 K = 5
-#: A word's id holds its count in the upper bits, so that an id tells P(w); larger counts are kept apart.
+#: A word's id holds its count in the upper bits, so that an id tells P(w); larger counts are kept apart. Below come the word's
+#: place among the words of its bucket whose counts are of one class, and the bucket.
 COUNT_BITS = 26
 TIE_BITS = 64 - COUNT_BITS
 FULL = (1 << COUNT_BITS) - 1
@@ -67,6 +70,11 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *[(r - off) / r for r in range(1, K + 1)]])
 
 
+def cut_sum(sums: np.ndarray, low: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sums of discounted counts, given the sums of the counts and how many of these are 1 to K."""
+    return sums - low @ ((1 - d[1:]) * np.arange(1, K + 1))
+
+
 class Unigrams:
     """P(w) by count: a discounted share of all training tokens; the rest is that of an unseen word."""
 
@@ -76,6 +84,10 @@ class Unigrams:
         self.total = tokens if freed > 0 else tokens + 1
         self.unseen = freed / self.total if freed > 0 else 1 / self.total
 
+    def share(self, sums: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Sums of P(w), given sums of counts as for cut_sum."""
+        return cut_sum(sums, low, self.d) / self.total
+
     def __call__(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self.d[np.minimum(count, K)] * (count <= K) * count + (count > K) * count, self.unseen * self.total) / self.total
 
@@ -88,36 +100,157 @@ def counts_of(ids: np.ndarray, full: dict[int, int]) -> np.ndarray:
     return count
 
 
-def pairs_in(positions: np.ndarray, ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each position, the history's and the word's local index and whether the history is known.
+def class_of(count: np.ndarray) -> np.ndarray:
+    """Classes of like counts, the greater the more frequent: one for each count up to 16, then 8 for each doubling."""
+    extra = np.maximum(np.frexp(count.astype(float))[1] - 4, 0)
+    return 8 * extra + (count >> extra)
+
+
+CLASSES = int(class_of(np.array([FULL]))[0]) + 1
+
+
+def first_codes(ties: dict[int, int], buckets: int) -> np.ndarray:
+    """The first code of each class; ties: the most words of a class in one bucket. Frequent words have low codes, 0 is no word."""
+    size = np.array([ties.get(c, 0) * buckets for c in range(CLASSES)], np.int64)
+    return (1 + np.cumsum(size[::-1]) - size[::-1])[::-1]
+
+
+class Local:
+    """A chunk's known words in order of their codes, with index 0 for all unseen words; at: the index of each position."""
+
+    def __init__(self, ids: np.ndarray, bucket_of: np.ndarray, at: np.ndarray, first: np.ndarray, full: dict[int, int]):
+        count = (ids >> np.uint64(TIE_BITS)).astype(np.int64)
+        code = np.where(count > 0, first[class_of(count)] + (ids & np.uint64((1 << TIE_BITS) - 1)).astype(np.int64), 0)
+        order = np.argsort(code, kind="stable")
+        order = order[np.searchsorted(code[order], 1) :]
+        index = np.zeros(len(ids), np.int32)
+        index[order] = np.arange(1, len(order) + 1, dtype=np.int32)
+        self.at, self.code, self.ids = index[at], np.append(0, code[order]), np.append(np.uint64(0), ids[order])
+        self.bucket = np.append(0, bucket_of[order].astype(np.int64))
+        self.count = np.append(0, counts_of(self.ids[1:], full))
+        self.mixed = ((self.code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
-    All unseen words share the index len(ids).
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def spread_of(count: np.ndarray, buckets: int, tokens: int) -> np.ndarray:
+    """Over how many buckets the words after a history are spread; over more than one if it is hot."""
+    return np.maximum(1, np.ceil(count * 4 * buckets / max(tokens, 1))).astype(np.int64)
+
+
+class Pairs:
+    """A chunk's distinct pairs with a known history v, by bucket, code of v and code of w.
+
+    half is twice the bucket plus a bit of v's hash: the bucket of the triples that go on from a pair follows it.
+    place: each position's pair (-1: unknown history). edges: where a history begins in its bucket.
     """
-    word = np.where(counts[positions] > 0, positions, np.int32(len(ids))).astype(np.int32)
-    history = np.empty(len(positions), np.int32)
-    history[:1], history[1:] = end, positions[:-1]
-    return history, word, counts[history] > 0
-
-
-def requests(positions, ids, counts, buckets_of, end, buckets, tokens):
-    """Distinct pairs with a known history, by bucket, history id and word id: (bucket, history id, word id), and for each
-    position its pair's place there (-1: unknown history)."""
-    history, word, known = pairs_in(positions, ids, counts, end)
-    ids_too = np.append(ids, np.uint64(0))
-    key = history[known].astype(np.int64) * (len(ids) + 1) + word[known]
-    del history, word
-    uniq, inverse = np.unique(key, return_inverse=True)
-    del key
-    v, w = uniq // (len(ids) + 1), uniq % (len(ids) + 1)
-    spread = np.maximum(1, np.ceil(counts[v] * 4 * buckets / max(tokens, 1))).astype(np.uint64)
-    mixed = (ids_too[w] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    bucket = (buckets_of[v].astype(np.uint64) + mixed % spread) % np.uint64(buckets)
-    order = np.lexsort((ids_too[w], ids[v], bucket))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    place = np.full(len(positions), -1, np.int64)
-    place[known] = rank[inverse]
-    return bucket[order].astype(np.int64), ids[v][order], ids_too[w][order], place
+
+    def __init__(self, words: Local, lens: list[int], buckets: int, tokens: int):
+        w, n = words.at, np.int64(len(words))
+        v = np.empty(len(w), np.int64)
+        v[:1], v[1:] = w[lens[0] - 1], w[:-1]
+        known = v > 0
+        v, w = v[known], w[known]
+        spread, bucket = spread_of(words.count, buckets, tokens), words.bucket[v]
+        hot = np.flatnonzero(spread[v] > 1)
+        bucket[hot] = (bucket[hot] + words.mixed[w[hot]] % spread[v[hot]]) % buckets
+        bucket <<= 1
+        bucket += words.mixed[v] >> 7 & 1
+        bucket *= n
+        bucket += v
+        bucket *= n
+        bucket += w
+        del v, w
+        key, inverse = np.unique(bucket, return_inverse=True)
+        self.place = np.full(len(known), -1, np.int32)
+        self.place[known] = inverse
+        group, self.w = np.divmod(key, n)
+        self.half, self.v = np.divmod(group, n)
+        self.edges = np.diff(group, prepend=-1) != 0
+
+    def __len__(self) -> int:
+        return len(self.w)
+
+
+class Triples:
+    """A chunk's distinct triples whose first two words are a seen pair, by bucket, place of that pair and code of the last word.
+
+    c: the counts of the pairs. A last word that was never seen after the second is taken for an unseen word, as such a
+    triple's count is 0. lower: the count of the last two words. place, edges: as for pairs.
+    """
+
+    def __init__(self, words: Local, pairs: Pairs, c: np.ndarray, lens: list[int], buckets: int, tokens: int):
+        n = len(pairs.place)
+        history = np.empty(n, np.int64)
+        history[:1], history[1:] = -1, pairs.place[:-1]
+        history[runs(np.array(lens))[0]] = -1
+        known = history >= 0
+        known[known] = c[history[known]] > 0
+        history = history[known]
+        lower = c[pairs.place[known]]
+        w = np.where(lower > 0, words.at[known], 0)
+        spread, bucket = spread_of(c, buckets, tokens), pairs.half[history]
+        hot = np.flatnonzero(spread[history] > 1)
+        bucket[hot] = (bucket[hot] + words.mixed[w[hot]] % spread[history[hot]]) % buckets
+        bucket *= np.int64(len(pairs))
+        bucket += history
+        bucket *= np.int64(len(words))
+        bucket += w
+        del w, history
+        key, inverse = np.unique(bucket, return_inverse=True)
+        del bucket
+        self.place = np.full(n, -1, np.int32)
+        self.place[known] = inverse
+        self.lower = np.zeros(len(key), np.int64)
+        self.lower[inverse] = lower
+        group, self.w = np.divmod(key, np.int64(len(words)))
+        self.bucket, self.history = np.divmod(group, np.int64(max(1, len(pairs))))
+        self.edges = np.diff(group, prepend=-1) != 0
+
+    def __len__(self) -> int:
+        return len(self.w)
+
+
+def trained(place: np.ndarray, row: dict, n: int) -> np.ndarray:
+    """How often each of n events occurs in the chunk's training documents."""
+    return np.bincount(place[np.repeat(np.array(row["flags"], bool), row["lens"]) & (place >= 0)], minlength=n)
+
+
+def cuts_of(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of every bucket of a sorted array."""
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+        yield int(bucket[a]), a, b
+
+
+def steps(a: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Differences of numbers that ascend within the runs that begin where new is true; a run's first number stays."""
+    return np.where(new, a, a - np.append(0, a[:-1]))
+
+
+def unstep(a: np.ndarray, new: np.ndarray) -> np.ndarray:
+    total, at = np.cumsum(a), np.flatnonzero(new)
+    return total - np.repeat((total - a)[at], np.diff(np.append(at, len(a))))
+
+
+def zigzag(a: np.ndarray) -> np.ndarray:
+    d = np.diff(a, prepend=0)
+    return np.where(d < 0, -2 * d - 1, 2 * d)
+
+
+def unzigzag(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.where(a & 1, -(a + 1) // 2, a // 2))
+
+
+def joint(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, Callable]:
+    """One number for each pair of non-negative numbers, and the function back to the pairs."""
+    names = None
+    if len(a) and (int(a.max()) + 1) * (int(b.max()) + 1) >= 1 << 63:
+        (name_a, a), (name_b, b) = (np.unique(x, return_inverse=True) for x in (a, b))
+        names = name_a, name_b
+    by = np.int64(int(b.max()) + 1 if len(b) else 1)
+    return a * by + b, lambda k: (names[0][k // by], names[1][k % by]) if names else (k // by, k % by)
 
 
 def cut(c: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -125,34 +258,6 @@ def cut(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(c > K, c, d[np.minimum(c, K)] * c)
 
 
-def triples(lens, place: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, buckets: int, tokens: int):
-    """Distinct triples with a seen pair as history, by bucket: (bucket, place of the history pair, place of the pair of the last
-    two words), and for each position its triple's place there (-1: no such history). Of the pairs: v, w, counts c."""
-    n = len(place)
-    history = np.full(n, -1, np.int64)
-    history[1:] = place[:-1]
-    history[runs(np.array(lens))[0]] = -1
-    known = history >= 0
-    known[known] = c[history[known]] > 0
-    key = history[known] * len(v) + place[known]
-    del history
-    uniq, inverse = np.unique(key, return_inverse=True)
-    del key
-    first, last = np.divmod(uniq, max(len(v), 1))
-    del uniq
-    spread = np.maximum(1, np.ceil(c[first] * 4 * buckets / max(tokens, 1))).astype(np.uint64)
-    mixed = (v[first] * np.uint64(0x9E3779B97F4A7C15) + w[first]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)
-    mixed += ((w[last] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % spread
-    bucket = (mixed % np.uint64(buckets)).astype(np.int32)
-    del mixed, spread
-    order = np.argsort(bucket, kind="stable")
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    at = np.full(n, -1, np.int32)
-    at[known] = rank[inverse]
-    return bucket[order], first[order], last[order], at
-
-
 class _Chunk:
     """Gathers a chunk's rows in order of bucket, up to the row with its positions."""
 
@@ -162,6 +267,7 @@ class _Chunk:
         self.triples: list[dict] = []
 
     def take(self, row: dict):
+        """Null, or with a chunk's last row its words' ids and buckets, and its positions."""
         if row["bucket"] < LAST:
             if row.get("word_ids") is not None:
                 self.words.append((row["bucket"], unpack(row["word_ids"])))
@@ -180,12 +286,11 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-_WORD_REPLY = "chunk long, bucket int, word_ids binary, tokens long, types long, n array<long>, full_ids array<long>, full_counts array<long>, end_id long"
-_PAIR_REQUEST = "chunk long, bucket int, v binary, run binary, w binary, k binary"
-_PAIR_REPLY = "chunk long, bucket int, counts binary, sums binary, seen binary, n array<long>, hot_v array<long>, hot_seen array<long>, hot_sums array<double>"
-
-_TRIPLE_REQUEST = "chunk long, bucket int, u binary, v binary, times binary, run binary, w binary, lower binary, k binary"
-_TRIPLE_REPLY = "chunk long, bucket int, counts binary, sums binary, seen binary, n array<long>, hot_u array<long>, hot_v array<long>, hot_seen array<long>, hot_sums array<double>"
+_WORD_REPLY = "chunk long, bucket int, word_ids binary, tokens long, types long, n array<long>, ties array<long>, full_ids array<long>, full_counts array<long>"
+_PAIR_REQUEST = "chunk long, bucket int, v binary, hot binary, run binary, w binary, k binary"
+_REPLY = "chunk long, bucket int, counts binary, sums binary, low binary, seen binary, n array<long>, hot_v array<long>, hot_seen array<long>"
+_TRIPLE_REQUEST = "chunk long, bucket int, u binary, v binary, hot binary, run binary, w binary, lower binary, k binary"
+_TRIPLE_REPLY = _REPLY + ", hot_u array<long>"
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -203,23 +308,37 @@ def _count_words(buckets: int):
             asked.append(words)
             for w, c in zip(words, unpack(r["extra"]).tolist()):
                 total[w] = total.get(w, 0) + c
-        ranked = sorted(((min(c, FULL), w, c) for w, c in total.items() if c), key=lambda x: x[:2])
-        ids, tie, last, full = {}, 0, 0, {}
-        for c, w, exact in ranked:
-            tie, last = (tie + 1 if c == last else 0), c
-            ids[w] = (c << TIE_BITS) | (tie * buckets + bucket)
-            if c == FULL:
-                full[ids[w]] = exact
-        n = np.bincount([min(c, K + 2) for _, _, c in ranked], minlength=K + 3).tolist()
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        ranked = sorted(((c, w) for w, c in total.items() if c))
+        exact = np.fromiter((c for c, _ in ranked), np.int64, len(ranked))
+        count = np.minimum(exact, FULL)
+        kind = class_of(count)
+        tie = np.arange(len(kind)) - np.searchsorted(kind, kind)
+        made = (count << TIE_BITS | tie * buckets + bucket).view(np.uint64) if len(kind) else np.zeros(0, np.uint64)
+        ids = {w: i for (_, w), i in zip(ranked, made.tolist())}
+        much = np.flatnonzero(count == FULL)
+        n = np.bincount(np.minimum(exact, K + 2), minlength=K + 3).tolist()
         out = [{"chunk": r["chunk"], "bucket": bucket, "word_ids": pack(np.fromiter((ids.get(w, 0) for w in words), np.uint64, len(words)))} for r, words in zip(rows, asked)]
-        out.append({"chunk": -1, "bucket": bucket, "tokens": sum(c for _, _, c in ranked), "types": len(ids), "n": n[: K + 2], "full_ids": [*map(signed, full)], "full_counts": [*full.values()], "end_id": signed(ids[END]) if END in ids else None})
+        out.append({"chunk": -1, "bucket": bucket, "tokens": int(exact.sum()), "types": len(ids), "n": n[: K + 2], "ties": np.bincount(kind, minlength=CLASSES).tolist(), "full_ids": made[much].view(np.int64).tolist(), "full_counts": exact[much].tolist()})
         return pa.Table.from_pylist(out, schema=_arrow(_WORD_REPLY))
 
     return run
 
 
-def _ask_pairs(buckets: int, tokens: int, full: dict[int, int]):
+class Model:
+    """What every chunk and bucket has to know: buckets of pairs and (many) of triples, training tokens, types, P(w), and codes."""
+
+    def __init__(self, buckets: int, tokens: int, types: int, n: list[int], first: np.ndarray, full: dict[int, int]):
+        self.buckets, self.many, self.tokens, self.types, self.first, self.full = buckets, 2 * buckets, tokens, types, first, full
+        self.unigrams = Unigrams(tokens, n)
+        self.d2 = self.d3 = None
+        self.hot2: dict = {}
+        self.hot3: dict = {}
+
+    def words(self, ids: np.ndarray, bucket_of: np.ndarray, at: np.ndarray) -> Local:
+        return Local(ids, bucket_of, at, self.first, self.full)
+
+
+def _ask_pairs(m: Model):
     schema = _arrow(_PAIR_REQUEST)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,50 +347,107 @@ def _ask_pairs(buckets: int, tokens: int, full: dict[int, int]):
             got = chunk.take(row)
             if got is None:
                 continue
-            (ids, bucket_of, at), chunk = got, _Chunk()
-            end = int(at[row["lens"][0] - 1])
-            bucket, v, w, place = requests(at, ids, counts_of(ids, full), bucket_of, end, buckets, tokens)
-            trained = np.repeat(np.array(row["flags"], bool), row["lens"]) & (place >= 0)
-            k = np.bincount(place[trained], minlength=len(v))
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(v)]):
-                first = np.flatnonzero(np.append(True, v[a + 1 : b] != v[a : b - 1]))
-                out.append({"chunk": row["chunk"], "bucket": int(bucket[a]), "v": pack(v[a:b][first]), "run": pack(np.diff(np.append(first, b - a))), "w": pack(w[a:b]), "k": pack(k[a:b])})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            chunk = _Chunk()
+            words = m.words(*got)
+            del got
+            p = Pairs(words, row["lens"], m.buckets, m.tokens)
+            k, hot = trained(p.place, row, len(p)), spread_of(words.count, m.buckets, m.tokens) > 1
+            for bucket, a, b in cuts_of(p.half >> 1):
+                first = np.flatnonzero(p.edges[a:b])
+                v = p.v[a:b][first]
+                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": bucket, "v": pack(zigzag(words.code[v])), "hot": pack(hot[v]), "run": pack(np.diff(np.append(first, b - a))), "w": pack(words.ids[p.w[a:b]]), "k": pack(k[a:b])}], schema=schema)
+            del words, p, k
+            give_back()
 
     return run
 
 
-def _count_pairs(buckets: int, tokens: int, unigrams: Unigrams, full: dict[int, int]):
-    """One bucket's pairs of all chunks -> each chunk's pair counts in the order asked, and for each of its histories the sum of
-    P(w) over the words seen after it and how many were seen 1 to K times; rows with chunk -1: counts of counts, hot histories."""
+def _seen(history: np.ndarray, total: np.ndarray, m: int) -> np.ndarray:
+    """Of each of m histories, the numbers of events that were seen 1 to K times."""
+    few = (total > 0) & (total <= K)
+    return np.bincount(history[few] * K + total[few] - 1, minlength=m * K).reshape(m, K)
+
+
+class _Bucket:
+    """The distinct events of one bucket: counts, and of each history the sum of the lower level's counts of the words seen after
+    it, how many of these words were seen 1 to K times there, and how many were seen 1 to K times after the history.
+
+    asked: of the events asked for, their places; history, lower: of each event; own: the histories asked for, hot: of each history.
+    """
+
+    def __init__(self, asked: np.ndarray, k: np.ndarray, history: np.ndarray, lower: np.ndarray, own: np.ndarray, hot: np.ndarray):
+        m, self.asked, self.own, self.hot = len(hot), asked, own, hot
+        self.total = total = np.bincount(asked, weights=k.astype(float), minlength=len(history)).astype(np.int64)
+        seen = total > 0
+        self.sums = np.bincount(history[seen], weights=lower[seen].astype(float), minlength=m).astype(np.int64)
+        self.low, self.n = _seen(history[seen], lower[seen], m), _seen(history, total, m)
+        self.single = (np.bincount(history, weights=total.astype(float), minlength=m) == 1) & ~hot
+
+    def answers(self, rows: list[dict], bucket: int, lengths: list[np.ndarray]) -> list[dict]:
+        """Each chunk's answers; lengths: how many events it asked for after each of its histories.
+
+        A history seen once tells nothing but the lower count of its one word, and not even that where the chunk has that event.
+        """
+        out, a, h = [], 0, 0
+        for r, length in zip(rows, lengths):
+            counts, mine = self.total[self.asked[a : a + int(length.sum())]], self.own[h : h + len(length)]
+            a, h = a + len(counts), h + len(length)
+            single, at = self.single[mine], runs(length)[0]
+            has = np.maximum.reduceat(counts, at) > 0
+            most = mine[~single]
+            out.append({"chunk": r["chunk"], "bucket": bucket, "counts": pack(counts), "sums": pack(self.sums[mine[~(single & has)]]), "low": pack(self.low[most].T.reshape(-1)), "seen": pack(self.n[most].T.reshape(-1))})
+        return out
+
+    def statistics(self, bucket: int, **names: np.ndarray) -> dict:
+        n = np.bincount(np.minimum(self.total, K + 2), minlength=K + 3)[: K + 2].tolist()
+        hot = self.hot
+        return {"chunk": -1, "bucket": bucket, "n": n, "hot_seen": np.concatenate([self.n[hot], self.low[hot], self.sums[hot][:, None]], axis=1).reshape(-1).tolist(), **{k: x[hot].tolist() for k, x in names.items()}}
+
+
+def histories_of(replies: list[dict], heads: np.ndarray, hot: np.ndarray, edges: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one level's replies in order of bucket, what _Bucket.answers left out put in again: of each history the sum of lower counts,
+    how many of these and how many of its events are 1 to K.
+
+    heads, hot: of each history, its count and whether it is spread; edges, c, lower: of each event, whether a history begins, its count, and
+    the count of it that the lower level has.
+    """
+    m, starts = len(heads), np.flatnonzero(edges)
+    single = (heads == 1) & ~hot
+    has = np.maximum.reduceat(c, starts) > 0 if m else np.zeros(0, bool)
+    sums, low, seen = np.zeros(m, np.int64), np.zeros((m, K), np.int64), np.zeros((m, K), np.int64)
+    local = single & has
+    sums[local] = np.maximum.reduceat(np.where(c > 0, lower, 0), starts)[local] if m else 0
+    told = lambda name: np.concatenate([unpack(r[name], np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
+    sums[~local] = told("sums")
+    for name, out in (("low", low), ("seen", seen)):
+        if replies:
+            out[~single] = np.concatenate([unpack(r[name], np.int64).reshape(K, -1).T for r in replies])
+    at = np.flatnonzero(single)
+    seen[at, 0] = 1
+    few = at[sums[at] <= K]
+    low[few, sums[few] - 1] = 1
+    return sums, low, seen
+
+
+def _count_pairs(m: Model):
+    """One bucket's pairs of all chunks -> each chunk's pair counts in the order asked, and what it needs of each of its histories;
+    rows with chunk -1: counts of counts, hot histories."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        bucket, parts = rows[0]["bucket"], []
-        for r in rows:
-            histories, length = unpack(r["v"]), unpack(r["run"], np.uint32)
-            parts.append((histories, length, unpack(r["w"]), unpack(r["k"], np.uint64)))
-            r["v"] = r["run"] = r["w"] = r["k"] = None
-        vs, v = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
-        ws, w = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-        pairs, inverse = np.unique(v.astype(np.uint64) * np.uint64(len(ws)) + w.astype(np.uint64), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([p[3] for p in parts]).astype(float), minlength=len(pairs)).astype(np.int64)
-        pv, pw = (pairs // np.uint64(len(ws))).astype(np.int64), (pairs % np.uint64(len(ws))).astype(np.int64)
-        seen = total > 0
-        lower = unigrams(counts_of(ws, full))
-        sums = np.bincount(pv[seen], weights=lower[pw[seen]], minlength=len(vs))
-        n = np.stack([np.bincount(pv[total == r], minlength=len(vs)) for r in range(1, K + 1)], axis=1)
-        out, at = [], 0
-        for r, p in zip(rows, parts):
-            m = len(p[2])
-            own = np.searchsorted(vs, p[0])
-            out.append({"chunk": r["chunk"], "bucket": bucket, "counts": pack(total[inverse[at : at + m]]), "sums": squeeze(sums[own].astype("<f8").tobytes()), "seen": pack(n[own].reshape(-1))})
-            at += m
-        hot = np.ceil(counts_of(vs, full) * 4 * buckets / max(tokens, 1)) > 1
-        out.append({"chunk": -1, "bucket": bucket, "n": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist(), "hot_v": vs[hot].view(np.int64).tolist(), "hot_seen": n[hot].reshape(-1).tolist(), "hot_sums": sums[hot].tolist()})
-        return pa.Table.from_pylist(out, schema=_arrow(_PAIR_REPLY))
+        bucket = rows[0]["bucket"]
+        vs, own = np.unique(np.concatenate([unzigzag(unpack(r.pop("v"), np.int64)) for r in rows]), return_inverse=True)
+        hot = np.zeros(len(vs), bool)
+        hot[own] = np.concatenate([unpack(r.pop("hot"), np.int64) for r in rows]) > 0
+        lengths = [unpack(r.pop("run"), np.int64) for r in rows]
+        ws, w = np.unique(np.concatenate([unpack(r.pop("w")) for r in rows]), return_inverse=True)
+        w += np.repeat(own, np.concatenate(lengths)) * len(ws)
+        found, asked = np.unique(w, return_inverse=True)
+        del w
+        history, last = np.divmod(found, max(len(ws), 1))
+        del found
+        found = _Bucket(asked, np.concatenate([unpack(r.pop("k"), np.int64) for r in rows]), history, counts_of(ws, m.full)[last], own, hot)
+        del history, last
+        return pa.Table.from_pylist([*found.answers(rows, bucket, lengths), found.statistics(bucket, hot_v=vs)], schema=_arrow(_REPLY))
 
     return run
 
@@ -283,24 +459,11 @@ def backoff(count_v: np.ndarray, n: np.ndarray, sums: np.ndarray, d: np.ndarray)
     return total, np.where(freed > 0, freed, 1) / total / np.maximum(1 - sums, 1e-300)
 
 
-def _replied(replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one level's replies in order of bucket: counts, and for each history the sum and how many were seen; where replies begin."""
-    if not replies:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, K), np.int64), np.zeros(0, np.int64)
-    sizes = np.cumsum([0, *[int.from_bytes(r["counts"][:8], "little") for r in replies]])[:-1]
-    sums = np.concatenate([np.frombuffer(expand(r["sums"]), "<f8") for r in replies])  # a copy, to write to
-    return np.concatenate([unpack(r["counts"], np.int64) for r in replies]), sums, np.concatenate([unpack(r["seen"], np.int64) for r in replies]).reshape(-1, K), sizes
-
-
-def _histories(change: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Where a history begins: at a change, and at the start of each reply."""
-    edges = np.append(True, change)[: len(change) + 1]
-    edges[begins[begins < len(edges)]] = True
-    return edges
+def _counts(replies: list[dict]) -> np.ndarray:
+    return np.concatenate([unpack(r["counts"], np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
 
 
-def _ask_triples(buckets: int, many: int, tokens: int, full: dict[int, int]):
-    """buckets: of pairs, many: of triples."""
+def _ask_triples(m: Model):
     schema = _arrow(_TRIPLE_REQUEST)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,114 +472,130 @@ def _ask_triples(buckets: int, many: int, tokens: int, full: dict[int, int]):
             got = chunk.take(row)
             if got is None:
                 continue
-            (ids, bucket_of, at), replies, chunk = got, chunk.pairs, _Chunk()
-            _, v, w, place = requests(at, ids, counts_of(ids, full), bucket_of, int(at[row["lens"][0] - 1]), buckets, tokens)
-            del at, bucket_of, ids
-            c = np.concatenate([unpack(r["counts"], np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
-            del replies
-            bucket, first, last, place = triples(row["lens"], place, v, w, c, many, tokens)
-            trained = np.repeat(np.array(row["flags"], bool), row["lens"]) & (place >= 0)
-            k = np.bincount(place[trained], minlength=len(first))
-            del place, trained
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-            for a, b in zip(cuts, [*cuts[1:], len(first)]):
-                p, q = first[a:b], last[a:b]
-                new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": int(bucket[a]), "u": pack(v[p[new]]), "v": pack(w[p[new]]), "times": pack(c[p[new]]), "run": pack(np.diff(np.append(new, b - a))), "w": pack(w[q]), "lower": pack(c[q]), "k": pack(k[a:b])}], schema=schema)
-            del v, w, c, bucket, first, last, k
+            c, chunk = _counts(chunk.pairs), _Chunk()
+            words = m.words(*got)
+            del got
+            p = Pairs(words, row["lens"], m.buckets, m.tokens)
+            t = Triples(words, p, c, row["lens"], m.many, m.tokens)
+            k, hot, code = trained(t.place, row, len(t)), spread_of(c, m.many, m.tokens) > 1, words.code
+            t.place = p.place = p.half = p.edges = None
+            for bucket, a, b in cuts_of(t.bucket):
+                first = np.flatnonzero(t.edges[a:b])
+                h = t.history[a:b][first]
+                u, v = code[p.v[h]], code[p.w[h]]
+                yield pa.RecordBatch.from_pylist([{
+                    "chunk": row["chunk"], "bucket": bucket, "u": pack(zigzag(u)), "v": pack(steps(v, np.diff(u, prepend=-1) != 0)), "hot": pack(hot[h]),
+                    "run": pack(np.diff(np.append(first, b - a))), "w": pack(steps(code[t.w[a:b]], t.edges[a:b])), "lower": pack(t.lower[a:b]), "k": pack(k[a:b]),
+                }], schema=schema)
+            del words, p, t, c, k, hot
             give_back()
 
     return run
 
 
-def _count_triples(buckets: int, tokens: int, d2: np.ndarray):
-    """One bucket's triples of all chunks -> each chunk's counts in the order asked, and for each of its histories uv the sum of
-    discounted c(vw) over the words w seen after it and how many were seen 1 to K times; rows with chunk -1 as for pairs."""
+def _count_triples():
+    """One bucket's triples of all chunks -> rows like those for pairs; the lower count of a triple uvw is c(vw)."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        bucket = rows[0]["bucket"]
-        us, u = np.unique(np.concatenate([unpack(r.pop("u")) for r in rows]), return_inverse=True)
-        vs, v = np.unique(np.concatenate([unpack(r.pop("v")) for r in rows]), return_inverse=True)
-        keys, own = np.unique(u * len(vs) + v, return_inverse=True)
-        del u, v
-        times = np.zeros(len(keys), np.int64)
-        times[own] = np.concatenate([unpack(r.pop("times"), np.int64) for r in rows])
-        lengths = [unpack(r.pop("run"), np.int64) for r in rows]
-        size, held = [int(x.sum()) for x in lengths], [len(x) for x in lengths]
-        ws, w = np.unique(np.concatenate([unpack(r.pop("w")) for r in rows]), return_inverse=True)
-        w += np.repeat(own, np.concatenate(lengths)) * len(ws)
-        found, inverse = np.unique(w, return_inverse=True)
-        del w, lengths
-        history = found // max(len(ws), 1)
-        total = np.bincount(inverse, weights=np.concatenate([unpack(r.pop("k"), np.int64) for r in rows]).astype(float), minlength=len(found)).astype(np.int64)
-        lower = np.zeros(len(found), np.int64)
-        lower[inverse] = np.concatenate([unpack(r.pop("lower"), np.int64) for r in rows])
-        seen = total > 0
-        sums = np.bincount(history[seen], weights=cut(lower[seen], d2), minlength=len(keys))
-        n = np.stack([np.bincount(history[total == r], minlength=len(keys)) for r in range(1, K + 1)], axis=1)
-        del lower, seen, found
-        out, a, h = [], 0, 0
-        for r, m, g in zip(rows, size, held):
-            mine = own[h : h + g]
-            out.append({"chunk": r["chunk"], "bucket": bucket, "counts": pack(total[inverse[a : a + m]]), "sums": squeeze(sums[mine].astype("<f8").tobytes()), "seen": pack(n[mine].reshape(-1))})
-            a, h = a + m, h + g
-        hot = np.flatnonzero(np.ceil(times * 4 * buckets / max(tokens, 1)) > 1)
-        out.append({"chunk": -1, "bucket": bucket, "n": np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].tolist(), "hot_u": us[keys[hot] // len(vs)].view(np.int64).tolist(), "hot_v": vs[keys[hot] % len(vs)].view(np.int64).tolist(), "hot_seen": n[hot].reshape(-1).tolist(), "hot_sums": sums[hot].tolist()})
-        return pa.Table.from_pylist(out, schema=_arrow(_TRIPLE_REPLY))
+        bucket, us, vs, ws, lengths = rows[0]["bucket"], [], [], [], []
+        for r in rows:
+            u = unzigzag(unpack(r.pop("u"), np.int64))
+            us.append(u)
+            vs.append(unstep(unpack(r.pop("v"), np.int64), np.diff(u, prepend=-1) != 0))
+            length = unpack(r.pop("run"), np.int64)
+            w = unpack(r.pop("w"), np.int64)
+            new = np.zeros(len(w), bool)
+            new[runs(length)[0]] = True
+            ws.append(unstep(w, new))
+            lengths.append(length)
+        keys, apart = joint(np.concatenate(us), np.concatenate(vs))
+        del us, vs
+        keys, own = np.unique(keys, return_inverse=True)
+        hot = np.zeros(len(keys), bool)
+        hot[own] = np.concatenate([unpack(r.pop("hot"), np.int64) for r in rows]) > 0
+        w, apart_w = joint(np.repeat(own, np.concatenate(lengths)), np.concatenate(ws))
+        del ws
+        found, asked = np.unique(w, return_inverse=True)
+        del w
+        history, lower = apart_w(found)[0], np.zeros(len(found), np.int64)
+        del found
+        lower[asked] = np.concatenate([unpack(r.pop("lower"), np.int64) for r in rows])
+        found = _Bucket(asked, np.concatenate([unpack(r.pop("k"), np.int64) for r in rows]), history, lower, own, hot)
+        del history, lower
+        hot_u, hot_v = apart(keys)
+        return pa.Table.from_pylist([*found.answers(rows, bucket, lengths), found.statistics(bucket, hot_u=hot_u, hot_v=hot_v)], schema=_arrow(_TRIPLE_REPLY))
 
     return run
 
 
-def _score(buckets: int, tokens: int, types: int, unigrams: Unigrams, d: np.ndarray, full: dict[int, int], hot: dict[int, tuple[np.ndarray, float]], schema: pa.Schema, many: int = 0, d3: np.ndarray | None = None, hot3: dict[tuple[int, int], tuple[np.ndarray, float]] | None = None):
-    """d3: the discounts of triples, of which there are many buckets; none with order 2."""
+def _score(m: Model, order: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk()
         for row in _rows(batches):
             got = chunk.take(row)
             if got is None:
                 continue
-            (ids, bucket_of, at), asked, asked3, chunk = got, chunk.pairs, chunk.triples, _Chunk()
-            counts = counts_of(ids, full)
-            end = int(at[row["lens"][0] - 1])
-            _, v, w, place = requests(at, ids, counts, bucket_of, end, buckets, tokens)
-            # The distinct histories in the order of the replies; a hot one takes the sums over all its buckets.
-            c, sums, seen, begins = _replied(asked)
-            edges = _histories(v[1:] != v[:-1], begins)[: len(v)]
-            group, firsts = np.cumsum(edges) - 1, v[edges]
-            count_v = counts_of(firsts, full)
-            for i in np.flatnonzero(np.ceil(count_v * 4 * buckets / max(tokens, 1)) > 1):
-                seen[i], sums[i] = hot[int(firsts[i])]
-            total, alpha = backoff(count_v.astype(float), seen, sums, d)
-            lower = unigrams(counts)[at]
-            p, got_pair = lower.copy(), place >= 0
-            j = place[got_pair]
-            g, cj = group[j], c[j]
-            p[got_pair] = np.where(cj > 0, cut(cj, d) / total[g], alpha[g] * lower[got_pair])
-            del lower, g, cj, j
-            if d3 is not None:
-                bucket, first, last, place = triples(row["lens"], place, v, w, c, many, tokens)
-                c3, sums, seen, begins = _replied(asked3)
-                edges = _histories((first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1]), begins)[: len(first)]
-                group3, heads = np.cumsum(edges) - 1, first[edges]
-                for i in np.flatnonzero(np.ceil(c[heads] * 4 * many / max(tokens, 1)) > 1):
-                    seen[i], sums[i] = hot3[int(v[heads[i]]), int(w[heads[i]])]
-                # What c(v) is divided by below is that of the pairs vw, whose history is the last word of uv.
-                total3, alpha3 = backoff(c[heads].astype(float), seen, sums / total[group[last[edges]]], d3)
-                at3 = np.flatnonzero(place >= 0)
-                j = place[at3]
-                g, cj = group3[j], c3[j]
-                p[at3] = np.where(cj > 0, cut(cj, d3) / total3[g], alpha3[g] * p[at3])
-                del bucket, first, last, place, j, g, cj
+            asked2, asked3, chunk = chunk.pairs, chunk.triples, _Chunk()
+            words = m.words(*got)
+            del got
+            pairs = Pairs(words, row["lens"], m.buckets, m.tokens)
+            c = _counts(asked2)
+            v, spread = pairs.v[pairs.edges], spread_of(words.count, m.buckets, m.tokens) > 1
+            sums, low, seen = histories_of(asked2, words.count[v], spread[v], pairs.edges, c, words.count[pairs.w])
+            del asked2
+            for i in np.flatnonzero(spread[v]):  # a hot history takes the sums over all its buckets
+                sums[i], low[i], seen[i] = m.hot2[int(words.code[v[i]])]
+            total, alpha = backoff(words.count[v].astype(float), seen, m.unigrams.share(sums, low), m.d2)
+            of_word = np.zeros(len(words))
+            of_word[v] = total
+            p = m.unigrams(words.count)[words.at]
+            at = np.flatnonzero(pairs.place >= 0)
+            j = pairs.place[at]
+            g, cj = (np.cumsum(pairs.edges) - 1)[j], c[j]
+            p[at] = np.where(cj > 0, cut(cj, m.d2) / total[g], alpha[g] * p[at])
+            del at, j, g, cj, sums, low, seen, total, alpha
+            if order == 3:
+                t = Triples(words, pairs, c, row["lens"], m.many, m.tokens)
+                h = t.history[t.edges]
+                u, v, heads, spread = pairs.v[h], pairs.w[h], c[h], (spread_of(c, m.many, m.tokens) > 1)[h]
+                del pairs, h
+                c = _counts(asked3)
+                sums, low, seen = histories_of(asked3, heads, spread, t.edges, c, t.lower)
+                del asked3
+                for i in np.flatnonzero(spread):
+                    sums[i], low[i], seen[i] = m.hot3[int(words.code[u[i]]), int(words.code[v[i]])]
+                total, alpha = backoff(heads.astype(float), seen, cut_sum(sums, low, m.d2) / of_word[v], m.d3)
+                at = np.flatnonzero(t.place >= 0)
+                j = t.place[at]
+                g, cj = (np.cumsum(t.edges) - 1)[j], c[j]
+                del t
+                p[at] = np.where(cj > 0, cut(cj, m.d3) / total[g], alpha[g] * p[at])
+                del at, j, g, cj, sums, low, seen, total, alpha
             start = runs(np.array(row["lens"]))[0]
-            base = np.log10(counts + 1.0)[at] - np.log10(tokens + types + 1.0)
+            base = np.log10(words.count + 1.0)[words.at] - np.log10(m.tokens + m.types + 1.0)
             add = lambda x: np.add.reduceat(x, start)
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array([not f for f in row["flags"]]), pa.array(row["lens"], pa.int64()), pa.array(add((counts[at] > 0).astype(np.int64))), pa.array([tokens] * len(start), pa.int64()), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array([not f for f in row["flags"]]), pa.array(row["lens"], pa.int64()), pa.array(add((words.at > 0).astype(np.int64))), pa.array([m.tokens] * len(start), pa.int64()), pa.array(add(base)), pa.array(add(np.log10(p)))], schema=schema)
+            del words, p, base, c
+            give_back()
 
     return run
 
 
+def _statistics(table: DataFrame, *ids: str) -> tuple[list[int], dict]:
+    """Counts of counts, and the sums of hot histories by code or codes: at most 4 x buckets of these."""
+    stats = table.where("chunk = -1")
+    n = [r[1] for r in stats.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
+    hot: dict = {}
+    for r in stats.where("size(hot_v) > 0").select("hot_seen", *ids).orderBy("bucket").toLocalIterator():
+        for x, *i in zip(np.array(r[0], np.int64).reshape(-1, 2 * K + 1), *r[1:]):
+            i = i[0] if len(i) == 1 else tuple(i)
+            hot[i] = hot.get(i, 0) + x
+    hot = {i: (x[2 * K], x[K : 2 * K], x[:K]) for i, x in hot.items()}
+    return n, hot
+
+
 def _drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are gone."""
+    """Let Spark drop the shuffle files of plans that are gone; the scheduler holds on to the last job's until another has run."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -440,49 +619,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     sums = words.where("chunk = -1")
     tokens, types = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     n = [r[1] for r in sums.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
+    ties = {r[0]: r[1] for r in sums.select(F.posexplode("ties").alias("c", "n")).groupBy("c").agg(F.max("n")).collect()}
     # Words with 2^26 occurrences or more: tokens / 2^26 of them at most.
     full = {int(np.int64(r[0]).view(np.uint64)): r[1] for r in sums.select(F.explode(F.arrays_zip("full_ids", "full_counts")).alias("x")).select("x.*").collect()}
-    unigrams = Unigrams(tokens, n)
+    m = Model(buckets, tokens, types, n, first_codes(ties, buckets), full)
 
     known = words.where("chunk >= 0").select("chunk", "bucket", "word_ids")
-    if order == 3:  # the words themselves aren't needed any more
-        lines = written(positions_of(chunks), "positions")
-        release(chunks)
-    else:
-        lines = positions_of(chunks)
-    asked = by_chunk(known, lines).mapInArrow(_ask_pairs(buckets, tokens, full), _PAIR_REQUEST)
-    pairs = written(asked.repartition("bucket").groupBy("bucket").applyInArrow(_count_pairs(buckets, tokens, unigrams, full), _PAIR_REPLY), "pairs")
-    stats = pairs.where("chunk = -1")
-    n2 = [r[1] for r in stats.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
-    # At most 4 x buckets histories are hot.
-    hot: dict[int, tuple[np.ndarray, float]] = {}
-    for r in stats.where("size(hot_v) > 0").select("hot_v", "hot_seen", "hot_sums").orderBy("bucket").toLocalIterator():
-        for v, s, x in zip(np.array(r[0], np.int64).view(np.uint64).tolist(), np.array(r[1]).reshape(-1, K), r[2]):
-            old = hot.get(v, (np.zeros(K, np.int64), 0.0))
-            hot[v] = (old[0] + s, old[1] + x)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies, d = pairs.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "seen"), discounts(n2)
-    if order == 2:
-        return by_chunk(known, replies, lines).mapInArrow(_score(buckets, tokens, types, unigrams, d, full, hot, _arrow(out)), out)
-
-    many = 2 * buckets
-    del asked
-    _drop_shuffles(spark)
-    asked = by_chunk(known, replies.select("chunk", "bucket", "counts"), lines).mapInArrow(_ask_triples(buckets, many, tokens, full), _TRIPLE_REQUEST)
-    threes = written(asked.repartition(many, "bucket").groupBy("bucket").applyInArrow(_count_triples(many, tokens, d), _TRIPLE_REPLY), "triples")
+    lines = written(positions_of(chunks), "positions")  # the words themselves aren't needed any more
+    release(chunks)
+    asked = by_chunk(known, lines).mapInArrow(_ask_pairs(m), _PAIR_REQUEST)
+    pairs = written(asked.repartition("bucket").groupBy("bucket").applyInArrow(_count_pairs(m), _REPLY), "pairs")
     del asked
+    n2, m.hot2 = _statistics(pairs, "hot_v")
     _drop_shuffles(spark)
-    stats = threes.where("chunk = -1")
-    n3 = [r[1] for r in stats.select(F.posexplode("n").alias("r", "n")).groupBy("r").agg(F.sum("n")).orderBy("r").collect()] or [0] * (K + 2)
-    # At most 4 x many histories of two words are hot.
-    hot3: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
-    for r in stats.where("size(hot_u) > 0").select("hot_u", "hot_v", "hot_seen", "hot_sums").orderBy("bucket").toLocalIterator():
-        u, v = (np.array(x, np.int64).view(np.uint64).tolist() for x in r[:2])
-        for uv, s, x in zip(zip(u, v), np.array(r[2]).reshape(-1, K), r[3]):
-            old = hot3.get(uv, (np.zeros(K, np.int64), 0.0))
-            hot3[uv] = (old[0] + s, old[1] + x)
-    more = threes.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "seen", F.lit(3).alias("level"))
-    return by_chunk(known, replies, more, lines).mapInArrow(_score(buckets, tokens, types, unigrams, d, full, hot, _arrow(out), many, discounts(n3), hot3), out)
+    m.d2 = discounts(n2)
+    replies = pairs.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "low", "seen")
+    tables = [known, replies, lines]
+    if order == 3:
+        asked = by_chunk(known, replies.select("chunk", "bucket", "counts"), lines).mapInArrow(_ask_triples(m), _TRIPLE_REQUEST)
+        threes = written(asked.repartition(m.many, "bucket").groupBy("bucket").applyInArrow(_count_triples(), _TRIPLE_REPLY), "triples")
+        del asked
+        n3, m.hot3 = _statistics(threes, "hot_u", "hot_v")
+        _drop_shuffles(spark)
+        m.d3 = discounts(n3)
+        tables.insert(2, threes.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "low", "seen", F.lit(3).alias("level")))
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by_chunk(*tables).mapInArrow(_score(m, order, _arrow(out)), out)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

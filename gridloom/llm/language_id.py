@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.packed import bounded_batches
@@ -144,18 +144,27 @@ class Folded:
         return mean.argmax(axis=1), mean.max(axis=1).clip(0, 1)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> Folded | None:
-    """Fit a network on a bounded sample of labelled rows (null text or lang: skipped), as many of each language as far as there
-    are; None without any. Only the sample's windows reach the driver: sample x SAMPLE_WINDOWS x WINDOW characters."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample).collect()}
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> Folded | None:
+    """Fit a network on a bounded sample of labelled rows (null or empty text, null lang: skipped); None without any.
+
+    Each language gives the same number of different texts, sample / languages, or all it has; which ones is decided by a
+    hash of the text, so that a text that is repeated, under one id or many, is drawn once. With more than `sample` languages, the
+    `sample` with the most texts are learned. The driver gets sample x SAMPLE_WINDOWS x WINDOW characters at most, whatever the rows
+    are; very long texts give windows from all over them, and ties of the hash are one text.
+    """
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("text")), 11).cast("double") / F.lit(float(1 << 53))
+    # Texts are counted to within a few hundredths; twice the share goes on, of which the least draws are taken.
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return None
-    share = sample / len(counts)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col).cast("long")), 11).cast("double") / F.lit(float(1 << 53))
-    wanted = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, share / n)]), F.col(lang_col))
-    starts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring(text_col, (F.floor(F.length(text_col) * i / SAMPLE_WINDOWS) + 1).cast("int"), F.lit(WINDOW)))
-    found = sorted((r[0], w) for r in rows.where(draw < wanted).select(lang_col, F.array_distinct(starts)).collect() for w in r[1] if w)
+    share = sample // len(counts)
+    wanted = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (2.0 * share + 50) / max(n, 1))]), F.col("lang"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.substring("text", (F.floor(F.length("text") * i / SAMPLE_WINDOWS) + 1).cast("int"), F.lit(WINDOW)))
+    drawn = rows.where(draw < wanted).groupBy("lang", draw.alias("draw")).agg(F.min(F.array_distinct(starts)).alias("windows"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    taken = drawn.withColumn("place", place).where(F.col("place") <= share)
+    found = sorted((r[0], w) for r in taken.select("lang", "windows").collect() for w in r[1] if w)
     languages = sorted({lang for lang, _ in found})
     if not languages:
         return None
@@ -209,7 +218,7 @@ def crc_rest(id_col: str, modulus: int):
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs.where(crc_rest("doc_id", 5) != 0).select("doc_id", "text", "lang"))
+    model = train(docs.where(crc_rest("doc_id", 5) != 0).select("text", "lang"))
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from gridloom.llm.language_id import WINDOW, Network, predict, train, windows_of
+from gridloom.llm.language_id import FILTERS, SAMPLE_DOCS, SAMPLE_WINDOWS, WIDTHS, WINDOW, Network, predict, train, windows_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,6 +30,35 @@ def test_folded_tables_give_the_networks_sums():
     assert np.allclose(before.sum(axis=1), 1, atol=1e-5)
 
 
+def test_folded_tables_against_a_plain_forward_pass():
+    net = Network(["a", "b"], seed=3)
+    codes, _, _ = windows_of([b"The cat, 12 mats \xc3\xa9\xff" * 30, b"", b"x"])
+    for row, got in zip(codes, net.folded().probabilities(codes)):
+        h = []
+        for k in WIDTHS:
+            for f in range(FILTERS):
+                sums = []
+                for at in range(WINDOW - k + 1):
+                    x = np.concatenate([net.p["e"][c] for c in row[at : at + k]])
+                    sums.append(float(x @ net.p[f"w{k}"][:, f]))
+                h.append(max(0.0, max(sums) + float(net.p[f"b{k}"][f])))
+        logits = np.array(h) @ net.p["v"] + net.p["c"]
+        e = np.exp(logits - logits.max())
+        assert np.allclose(got, e / e.sum(), atol=1e-4)
+
+
+def test_sample_is_bounded_whatever_the_ids_and_copies(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(Network, "fit", lambda self, codes, y, seed=0: sizes.append((len(codes), np.bincount(y).tolist())) or self)
+    rows = spark.range(100_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7L END AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('one text ', 100) ELSE concat(repeat('the cat sat ', 100), id) END AS text", "CASE WHEN id % 5 = 0 THEN 'fr' ELSE 'en' END AS lang")
+    train(rows)
+    train(rows, sample=100)
+    train(rows.selectExpr("text", "concat('l', doc_id, length(text) % 7, text) AS lang").where("lang IS NOT NULL"), sample=60)
+    assert sizes[0][0] <= SAMPLE_DOCS * SAMPLE_WINDOWS and min(sizes[0][1]) > SAMPLE_DOCS * SAMPLE_WINDOWS * 0.45
+    assert sizes[1] == (400, [200, 200]) or sizes[1][0] <= 400 and sizes[1][0] > 380
+    assert sizes[2][0] <= 60 * SAMPLE_WINDOWS
+
+
 def test_windows_cover_whole_texts():
     codes, fill, many = windows_of([b"", b"a" * WINDOW, b"b" * (WINDOW + 1)])
     assert many.tolist() == [1, 1, 2] and fill.tolist() == [0, WINDOW, WINDOW, 1]

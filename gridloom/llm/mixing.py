@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import word_count, written
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCKS, OUT_SHARDS, SEED = 128, 8, 90210
+BLOCKS, SUB_BLOCKS, OUT_SHARDS, SEED = 2048, 4096, 8, 90210
 #: A small source has fewer blocks, of about so many documents or more each (up to twice as many).
 DOCS_IN_BLOCK = 48
 
@@ -80,19 +80,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Add size, source_size, target and copies to every row of docs.
 
     size: words of the text (null: 0). copies: one (pass, shard, key) for each time the mix takes the document,
-    empty if never; shard is the output shard and key the document's place in that shard's local shuffle. Documents
-    are taken whole. A source's taken words miss its target by half a document at most, mostly by far less: of the
-    part block, documents in a hashed order are taken as far as they fit, and one more that fills the rest best. Sources go by code point, null last, and get the weights
-    in turn. Rows that repeat an id share a block but are taken one by one; empty texts take part with size 0;
-    an empty table gives an empty result; columns of the added names are replaced. Reruns agree.
-
-    Counts per source and per (source, block) are the only tables that are gathered: sources x blocks rows.
+    empty if never; shard is the output shard that drew the document's block in that pass and key the document's place in that
+    shard's local shuffle. Documents are taken whole, very long ones too. A source's taken words miss its target by half a
+    document at most, mostly by far less: of the part block, sub-blocks are taken as far as they fit, of the next one
+    documents in a hashed order as far as they fit, and one more that fills the rest best. Sources go by code point, null last, and get the weights
+    in turn. A document's block follows from its id and text: rows that repeat one of them are like any others, rows that repeat both
+    share a block but are taken one by one; empty texts take part with size 0;
+    an empty table gives an empty result; columns of the added names are replaced, others may have any name. Reruns agree.
+
+    Tables per source and block have `blocks` rows for each source at most. Of the one block of a source that is taken in part,
+    ids, sizes and hashes are written, and only the 1/SUB_BLOCKS of it in which the cut falls is put in order.
     """
-    docs = docs.drop("size", "source_size", "target", "copies")
-    rows = docs.withColumns({"size": word_count(F.col(text_col)), "__block": F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col).cast("long")), F.lit(blocks)).cast("int")})
-    counts = written(rows.groupBy(F.col(source_col).alias("source"), F.col("__block").alias("hashed")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "blocks")
+    added = ("size", "source_size", "target", "copies")
+    own = [c for c in docs.columns if c.lower() not in added]
+    named = lambda c: F.col(f"`{c}`")
+    # Every column of docs is in one struct, so that no name can clash.
+    rows = docs.select(F.struct(*map(named, own)).alias("row"), named(id_col).cast("long").alias("id"), named(source_col).alias("source"), named(text_col).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id", "text"), 1))
+    rows = rows.withColumns({"size": word_count(F.col("text")), "hashed": (F.col("h") % blocks).cast("int"), "sub": (F.shiftright("h", 40) % SUB_BLOCKS).cast("int")})
+    counts = written(rows.groupBy("source", "hashed").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "blocks")
     sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
-    plan = targets(sizes.select("source", "source_size"), weights, share, most).join(sizes.select(F.col("source").alias("__s"), "n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    plan = targets(sizes.select("source", "source_size"), weights, share, most).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK))).cast("int")).drop("n")
@@ -106,33 +114,62 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws = per_pass.withColumn("j", F.row_number().over(Window.partitionBy("idx").orderBy("pass", "before", _u("idx", "block", "pass"), "block")) - 1)
     draws = written(draws.select("idx", "block", "pass", "room", "j"), "draws")
     dealt = splitting_tree(draws.groupBy("idx").agg(F.count("*").alias("quota")), shards).where("n > 0").select("idx", "shard", F.explode(F.sequence(F.col("start").cast("long"), (F.col("start") + F.col("n") - 1).cast("long"))).alias("j"))
+    # A block is taken as often as shards drew it: what no shard has drawn isn't in the mix.
     placed = draws.join(dealt, ["idx", "j"]).groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", F.col("room").isNotNull().alias("part")))).alias("draws"), F.max("room").alias("room"))
-    lookup = known.select("source", "hashed", "idx", "block", "source_size", "target").join(placed, ["idx", "block"], "left")
-    lookup = written(lookup.select(F.col("source").alias("__source"), F.col("hashed").alias("__b"), F.col("idx").alias("__idx"), F.col("block").alias("__own"), "source_size", "target", F.col("draws").alias("__draws"), F.col("room").alias("__room")), "lookup")
-
-    # The written lookup's size is known to the planner, which broadcasts it only if it is below the session's threshold.
-    rows = rows.join(lookup, rows[source_col].eqNullSafe(F.col("__source")) & (rows["__block"] == F.col("__b")))
-    key = lambda d: F.xxhash64(F.lit(SEED + 1), F.col(id_col).cast("long"), d["pass"], d["shard"])
-    copies = lambda c: F.transform(c, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), key(d).alias("key")))
-    none = F.array().cast("array<struct<pass:int,shard:int,key:bigint>>")
-    names = [*docs.columns, "size", "source_size", "target"]
-    full = rows.where("__room IS NULL").select(*names, F.coalesce(copies(F.col("__draws")), none).alias("copies"))
-    block = Window.partitionBy("__idx", "__own")
-    order = block.orderBy(_u(F.col(id_col).cast("long"), F.lit("cut")), id_col, "size", F.xxhash64(text_col))
-    cut = rows.where("__room IS NOT NULL").withColumns({"__sum": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "__place": F.row_number().over(order)})
-    cut = cut.withColumn("__in", F.col("__sum") <= F.col("__room"))
-    # The place left by the documents before the first that is too large goes to the one of the others that fills it best, if any does.
-    cut = cut.withColumn("__left", F.col("__room") - F.coalesce(F.max(F.when(F.col("__in"), F.col("__sum"))).over(block), F.lit(0)))
-    miss = F.abs(F.col("__left") - F.col("size"))
-    best = F.min(F.when(~F.col("__in") & (miss < F.col("__left")), F.struct(miss.alias("miss"), "__place"))).over(block)
-    cut = cut.withColumn("__fits", F.col("__in") | F.coalesce(best["__place"] == F.col("__place"), F.lit(False)))
-    cut = cut.select(*names, copies(F.filter("__draws", lambda d: ~d["part"] | F.col("__fits"))).alias("copies"))
-    return full.unionByName(cut)
+    lookup = known.select(F.col("source").alias("s"), F.col("hashed").alias("b"), "idx", "block", "source_size", "target").join(placed, ["idx", "block"], "left")
+    lookup = written(lookup, "lookup")
+    # The written tables' sizes are known to the planner, which broadcasts them only if they are below the session's threshold.
+    place = F.col("source").eqNullSafe(F.col("s")) & (F.col("hashed") == F.col("b"))
+    ends, listed = _cut(rows.join(lookup.where("room IS NOT NULL"), place).select("idx", "id", "h", "sub", "size", "room"))
+    rows = rows.join(lookup.join(ends, "idx", "left"), place, "left")
+    key = lambda d: F.xxhash64(F.lit(SEED + 1), "id", "h", d["pass"], d["shard"])
+    some = lambda c: F.coalesce(F.transform(c, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), key(d).alias("key"))), F.array().cast("array<struct<pass:int,shard:int,key:bigint>>"))
+    cut = listed.select(*[F.col(c).alias(f"c_{c}") for c in ("idx", "id", "h", "size")], "k", "m")
+    at_end = F.col("room").isNotNull() & (F.col("sub") == F.col("at"))
+    rows = rows.join(cut, at_end & (F.col("idx") == F.col("c_idx")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")) & (F.col("size") == F.col("c_size")), "left")
+    fits = F.coalesce((F.col("sub") < F.col("at")) | (F.col("k") == F.col("m")), F.lit(False))
+    names = ["row.*", "size", "source_size", "target"]
+    copies = lambda part: some(F.filter("draws", lambda d: ~d["part"] | part)).alias("copies")
+    if listed.where("k < m").isEmpty():
+        return rows.select(*names, copies(fits))
+    # Rows that repeat both id and text, of which only some are taken: they are numbered.
+    split = F.coalesce(F.col("k") < F.col("m"), F.lit(False))
+    numbered = rows.where(split).withColumn("place", F.row_number().over(Window.partitionBy("idx", "id", "h", "size").orderBy("h")))
+    return rows.where(~split).select(*names, copies(fits)).unionByName(numbered.select(*names, copies(F.col("place") <= F.col("k"))))
+
+
+def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (idx, id, h, sub, size, room) of the blocks that are taken in part -> (idx, at) and (idx, id, h, size, m, k), both written.
+
+    Sub-blocks before `at` are taken whole and those after it not. In it, documents are taken in a hashed order as far as they fit,
+    and one more that fills the rest best, if any does: k of m equal rows, listed if any.
+    """
+    rows = written(rows.groupBy("idx", "room", "sub", "id", "h", "size").agg(F.count("*").alias("m")), "part")
+    subs = rows.groupBy("idx", "room", "sub").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
+    subs = subs.withColumn("end", F.sum("words").over(Window.partitionBy("idx").orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = subs.where(F.col("end") > F.col("room")).groupBy("idx").agg(F.min(F.struct("sub", (F.col("room") - F.col("end") + F.col("words")).alias("left"))).alias("e"))
+    ends = written(first.select("idx", F.col("e.sub").alias("at"), F.col("e.left").alias("left")), "ends")
+    order = Window.partitionBy("idx").orderBy(_u("h", F.lit("cut")), "h", "id", "size")
+    part = rows.join(ends, "idx").where(F.col("sub") == F.col("at"))
+    part = part.withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("m")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    room = F.col("left") - F.col("start")
+    part = part.withColumn("k", F.when(room < 0, F.lit(0)).otherwise(F.when(F.col("size") == 0, F.col("m")).otherwise(F.least("m", F.floor(room / F.col("size"))))))
+    source = Window.partitionBy("idx")
+    # Once a document is too large, smaller ones after it wait, so that the taken ones are a run of the order.
+    stop = F.min(F.when(F.col("k") < F.col("m"), F.col("start"))).over(source)
+    part = part.withColumn("k", F.when(stop.isNotNull() & (F.col("start") > stop), F.lit(0)).otherwise(F.col("k")))
+    free = F.col("left") - F.sum(F.col("size") * F.col("k")).over(source)
+    miss = F.abs(free - F.col("size"))
+    best = F.min(F.when((F.col("k") < F.col("m")) & (miss < free), F.struct(miss.alias("miss"), "h", "id", "size"))).over(source)
+    chosen = F.coalesce((best["h"] == F.col("h")) & best["id"].eqNullSafe(F.col("id")) & (best["size"] == F.col("size")), F.lit(False))
+    part = part.select("idx", "id", "h", "size", "m", (F.col("k") + F.when(chosen, 1).otherwise(0)).cast("long").alias("k"))
+    return ends.drop("left"), written(part.where("k > 0"), "cut")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"))
+    shards = F.transform("copies", lambda c: c["shard"]).alias("shards")
+    return mix(docs).select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).cast("long").alias("taken"), shards)
 
 
 ORACLE: dict[str, str] = {}

@@ -2,6 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from gridloom.llm import mixing
 from gridloom.llm.mixing import OUT_SHARDS, mix, splitting_tree
 
 
@@ -62,3 +63,82 @@ def test_splitting_tree_keeps_every_block(spark):
     per = [sum(r.n for r in got if r["shard"] == s) for s in range(7)]
     assert max(per) - min(per) <= 3
     assert F is not None
+
+
+def plain_targets_met(rows, want):
+    for source in want:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.size * len(r.copies) for r in own) - want[source]) <= max(r.size for r in own) / 2 + 1e-6
+
+
+def test_taken_against_a_plain_mix(spark):
+    """Block by block in plain Python: which passes take a document, given the operator's own hashes and permutation."""
+    docs = spark.createDataFrame([(i, f"s{i % 7 // 3}", " ".join(["w"] * (i * 13 % 37))) for i in range(1500)], "doc_id long, source string, text string")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), 1)
+    unit = lambda *c: mixing._u(*c)
+    order = {(r.i, r.b, r.p): r.u for r in spark.range(3).selectExpr("int(id) AS i").crossJoin(spark.range(64).selectExpr("int(id) AS b")).crossJoin(spark.range(3).selectExpr("int(id) AS p")).select("i", "b", "p", unit("i", "b", "p").alias("u")).collect()}
+    rows = docs.select("doc_id", "source", F.size(F.split("text", " ")).alias("n"), F.length("text").alias("l"), h.alias("h"), unit(h, F.lit("cut")).alias("u")).collect()
+    got = {r.doc_id: sorted(c["pass"] for c in r.copies) for r in mix(docs).collect()}
+    size = {r.doc_id: r.n if r.l else 0 for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size[r.doc_id]
+    want = targets(sizes)
+    for idx, source in enumerate(sorted(sizes)):
+        own = [r for r in rows if r.source == source]
+        many = max(1, min(mixing.BLOCKS, len(own) // mixing.DOCS_IN_BLOCK))
+        block = {r.doc_id: r.h % mixing.BLOCKS % many for r in own}
+        whole = int(want[source] / sizes[source] + 1e-9)
+        expect = {r.doc_id: [*range(whole)] for r in own}
+        room = want[source] - whole * sizes[source]
+        for b in sorted(set(block.values()), key=lambda b: order[idx, b, whole]):
+            docs_in = sorted((r for r in own if block[r.doc_id] == b), key=lambda r: ((r.h >> 40) % mixing.SUB_BLOCKS, r.u))
+            if room <= 0.5:
+                break
+            if sum(size[r.doc_id] for r in docs_in) <= room:
+                taken = docs_in
+            else:
+                taken, left, stop = [], [], None
+                for r in docs_in:
+                    sub = (r.h >> 40) % mixing.SUB_BLOCKS
+                    if stop is not None and sub != stop:
+                        break
+                    if stop is not None or size[r.doc_id] > room:
+                        stop = sub
+                        left.append(r)
+                        continue
+                    taken.append(r)
+                    room -= size[r.doc_id]
+                rest = [r for r in left if abs(room - size[r.doc_id]) < room]
+                if rest:
+                    taken.append(min(rest, key=lambda r: (abs(room - size[r.doc_id]), r.h)))
+                room = 0
+            for r in taken:
+                expect[r.doc_id].append(whole)
+            if room:
+                room -= sum(size[r.doc_id] for r in taken)
+        assert {r.doc_id: got[r.doc_id] for r in own} == expect
+
+
+def test_the_tree_decides_what_is_taken_and_where(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", " ".join(["w"] * (i % 40))) for i in range(3000)], "doc_id long, source string, text string")
+    key = lambda: sorted((r.doc_id, sorted((c["pass"], c["shard"]) for c in r.copies)) for r in mix(docs).collect())
+    before, tree = key(), splitting_tree
+    assert {s for _, c in before for _, s in c} == set(range(OUT_SHARDS))
+    assert len({tuple(s for _, s in c) for _, c in before}) > OUT_SHARDS
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n: tree(q, 1))
+    assert key() != before
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n: tree(q, n).where("shard <> 0"))
+    assert sum(len(c) for _, c in key()) < sum(len(c) for _, c in before)
+
+
+def test_rows_that_repeat_names_and_long_texts(spark):
+    same = [(None, "a", "x y z", 1)] * 300 + [(7, "b", "q " * 5, 2)] * 200
+    rest = [(i, "a", "w " * (i % 9), 3) for i in range(200)] + [(9, "b", "long " * 60_000, 4), (None, None, None, 5), (None, None, None, 5)]
+    docs = spark.createDataFrame(same + rest, "doc_id long, source string, text string, `a.b` int").selectExpr("*", "1 AS h", "2 AS idx", "3 AS k", "4 AS __b", "5 AS `row`")
+    rows = mix(docs).collect()
+    assert rows[0].__fields__[: len(docs.columns)] == docs.columns and len(rows) == docs.count()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+    plain_targets_met(rows, targets(sizes))

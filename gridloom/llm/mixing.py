@@ -20,6 +20,8 @@ from gridloom.llm.common import word_count, written
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCKS, SUB_BLOCKS, OUT_SHARDS, SEED = 2048, 4096, 8, 90210
+#: Blocks of all sources together, besides one for each; rows of sources or blocks up to which a table is broadcast.
+MOST_BLOCKS, BROADCAST_ROWS = 1 << 17, 1 << 18
 #: A small source has fewer blocks, of about so many documents or more each (up to twice as many).
 DOCS_IN_BLOCK = 48
 
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     share a block but are taken one by one; empty texts take part with size 0;
     an empty table gives an empty result; columns of the added names are replaced, others may have any name. Reruns agree.
 
-    Tables per source and block have `blocks` rows for each source at most. Of the one block of a source that is taken in part,
+    Tables per source and block have `blocks` rows for each source at most, those per block that all rows are joined with MOST_BLOCKS. Of the one block of a source that is taken in part,
     ids, sizes and hashes are written, and only the 1/SUB_BLOCKS of it in which the cut falls is put in order.
     """
     added = ("size", "source_size", "target", "copies")
@@ -103,8 +105,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = targets(sizes.select("source", "source_size"), weights, share, most).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("int"))
     plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK))).cast("int")).drop("n")
-    known = written(counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("block", F.pmod(F.col("hashed"), F.col("many"))), "known")
+    # All sources together have MOST_BLOCKS blocks at most, besides one for each.
+    total = F.sum("n").over(Window.partitionBy())
+    plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK), F.floor(F.col("n") / total * MOST_BLOCKS))).cast("int")).drop("n")
+    plan = written(plan, "plan")
+    known = counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("block", F.pmod(F.col("hashed"), F.col("many")))
     joined = known.groupBy("source", "idx", "source_size", "target", "whole", "rest", "block").agg(F.sum("words").alias("words"))
     per_pass = joined.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
     permuted = Window.partitionBy("idx", "pass").orderBy(_u("idx", "block", "pass"), "block")
@@ -116,15 +121,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = splitting_tree(draws.groupBy("idx").agg(F.count("*").alias("quota")), shards).where("n > 0").select("idx", "shard", F.explode(F.sequence(F.col("start").cast("long"), (F.col("start") + F.col("n") - 1).cast("long"))).alias("j"))
     # A block is taken as often as shards drew it: what no shard has drawn isn't in the mix.
     placed = draws.join(dealt, ["idx", "j"]).groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", F.col("room").isNotNull().alias("part")))).alias("draws"), F.max("room").alias("room"))
-    lookup = known.select(F.col("source").alias("s"), F.col("hashed").alias("b"), "idx", "block", "source_size", "target").join(placed, ["idx", "block"], "left")
-    lookup = written(lookup, "lookup")
-    # The written tables' sizes are known to the planner, which broadcasts them only if they are below the session's threshold.
-    place = F.col("source").eqNullSafe(F.col("s")) & (F.col("hashed") == F.col("b"))
-    ends, listed = _cut(rows.join(lookup.where("room IS NOT NULL"), place).select("idx", "id", "h", "sub", "size", "room"))
-    rows = rows.join(lookup.join(ends, "idx", "left"), place, "left")
+    placed = written(placed.select("idx", "block", "draws", "room"), "placed")
+    known = _few(plan.select(F.col("source").alias("s"), "idx", "many", "source_size", "target"))
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("block", F.pmod(F.col("hashed"), F.col("many")))
+    ends, listed = _cut(rows.join(_few(placed.where("room IS NOT NULL").select("idx", "block", "room")), ["idx", "block"]).select("idx", "id", "h", "sub", "size", "room"))
+    placed = written(placed.join(ends, "idx", "left").withColumn("at", F.when(F.col("room").isNotNull(), F.col("at"))), "lookup")
+    rows = rows.join(_few(placed), ["idx", "block"], "left")
     key = lambda d: F.xxhash64(F.lit(SEED + 1), "id", "h", d["pass"], d["shard"])
     some = lambda c: F.coalesce(F.transform(c, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), key(d).alias("key"))), F.array().cast("array<struct<pass:int,shard:int,key:bigint>>"))
-    cut = listed.select(*[F.col(c).alias(f"c_{c}") for c in ("idx", "id", "h", "size")], "k", "m")
+    cut = _few(listed).select(*[F.col(c).alias(f"c_{c}") for c in ("idx", "id", "h", "size")], "k", "m")
     at_end = F.col("room").isNotNull() & (F.col("sub") == F.col("at"))
     rows = rows.join(cut, at_end & (F.col("idx") == F.col("c_idx")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")) & (F.col("size") == F.col("c_size")), "left")
     fits = F.coalesce((F.col("sub") < F.col("at")) | (F.col("k") == F.col("m")), F.lit(False))
@@ -138,6 +143,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.where(~split).select(*names, copies(fits)).unionByName(numbered.select(*names, copies(F.col("place") <= F.col("k"))))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A table of sources or blocks, broadcast if it is found to have BROADCAST_ROWS rows at most (about 100 bytes each)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (idx, id, h, sub, size, room) of the blocks that are taken in part -> (idx, at) and (idx, id, h, size, m, k), both written.
 

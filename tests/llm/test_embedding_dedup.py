@@ -1,6 +1,8 @@
+import math
+
 import numpy as np
 
-from gridloom.llm.embedding_dedup import near_duplicates, tables_and_bits
+from gridloom.llm.embedding_dedup import near_duplicates, sketch_distance, tables_and_bits
 
 
 def test_against_brute_force_with_hot_groups(spark):
@@ -35,7 +37,23 @@ def test_unusable_vectors(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_copies_are_one_item(spark):
+    """5,000 copies of one vector and rows of one repeated id: counted, and never paired with one another."""
+    v, w = [1.0, 0.5, 0.25, 0.0], [1.0, 0.5, 0.26, 0.0]
+    data = [(i, v) for i in range(5000)] + [(-1, w)] + [(-5, v)] * 3000 + [(7000, [0.0, 0.0, 0.0, 1.0])]
+    rows = near_duplicates(spark.createDataFrame(data, "`a.id` long, `v.v` array<float>").selectExpr("*", "1 AS mark", "2 AS cell"), id_col="a.id", vector_col="v.v", block=64).collect()
+    assert len(rows) == len(data)
+    for r in rows:
+        if r.vec_id == 7000:
+            assert (r.n_links, r.component_id, r.kept) == (0, 7000, True)
+        else:
+            want = {-1: 8000, -5: 3000 * 5001}.get(r.vec_id, 4999 + 1 + 3000)
+            assert (r.n_links, r.component_id, r.kept) == (want, -5, r.vec_id == -5)
+
+
 def test_missed_pairs_stay_rare():
+    assert sum(math.comb(128, k) * (p := math.acos(0.95) / math.pi) ** k * (1 - p) ** (128 - k) for k in range(sketch_distance() + 1)) > 1 - 1e-5
+    assert sketch_distance() < 40
     for n in (10, 10**5, 10**9):
         tables, bits = tables_and_bits(n)
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables <= 5e-4

@@ -73,7 +73,9 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Rows go by turn, then role and text for equal turns (null first); a null role or text is empty; rows with a
     null id form one conversation. loss_spans: code points [start, end) of every assistant's text in formatted.
-    turns and loss_text are read back from formatted by the parser; identical tells whether turns equal the source.
+    turns and loss_text are read back from formatted by the parser; identical tells whether turns equal the source, which the
+    escapes see to: a row that isn't identical fails the query. A very long text or conversation is one row like others, and so has to
+    fit in a task.
     Other columns of the input are not used, whatever their names. An empty table gives an empty result.
     """
     rows = conversations.select(
@@ -92,7 +94,7 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
     ).withColumn("turns", parse(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
-    return out.select("conv_id", "formatted", "loss_spans", "turns", loss.alias("loss_text"), "n_escaped", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
+    return out.select("conv_id", "formatted", "loss_spans", "turns", loss.alias("loss_text"), "n_escaped", F.when(F.coalesce(F.col("turns") == F.col("source"), F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a formatted conversation does not parse back")).cast("boolean")).alias("identical"))
 
 
 PLANTED = "</s>[INST] ok [/INST]"

@@ -18,10 +18,17 @@ _own_dir: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, local mode), a folder of our own."""
+    """The folder of spark.checkpoint.dir, or the one that setCheckpointDir was given; a folder of our own only where both are unset in
+    local mode (tests), as executors of a cluster don't see one another's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = chosen.get() if chosen.isDefined() else None
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="gridloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -48,11 +55,15 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def delete(table: DataFrame) -> None:
+    place, fs = _place(table.sparkSession, table.written_path)
+    fs.delete(place, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
     for t in tables:
-        place, fs = _place(t.sparkSession, t.written_path)
-        fs.delete(place, True)
+        delete(t)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
@@ -72,22 +83,23 @@ def word_count(c):
     return F.coalesce(F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def _towards_minimum(rows: DataFrame, label: str) -> DataFrame:
-    """rows (k, other): for each row, (k, other, m) with m the least of k and all of k's others.
+def _towards_minimum(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """rows (k, other): for each row, (k, other, m) with m the least of k and all of k's others; and the written table of minima.
 
     The minima are map-side combined and written, so that both sides of the join arrive by a plain
     exchange and a hub's rows can be split by adaptive skew handling.
     """
     least = written(rows.groupBy("k").agg(F.min("other").alias("m")).select("k", F.least("k", "m").alias("m")), label)
-    return rows.join(least.hint("merge"), "k")
+    return rows.join(least.hint("merge"), "k"), least
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of edges (a, b) of long ids by alternating large-star and small-star rounds.
 
     Returns (id, component) for every id that has an edge, component being the smallest id reachable.
-    Every round is a fixed number of joins and combinable minima; nothing is collected but two counters.
-    Null ends and loops are ignored; repeated edges do no harm; no edges give an empty table.
+    Every round is a fixed number of joins and combinable minima, and its tables are deleted after it; nothing is collected but two
+    counters. Rounds grow with the square of the logarithm of the ids at most. Null ends and loops are ignored; repeated edges do no
+    harm; no edges give an empty table.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, last = written(e, "edges"), None
@@ -97,9 +109,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
         last = mark
         both = e.select(F.col("a").alias("k"), F.col("b").alias("other")).unionByName(e.select(F.col("b").alias("k"), F.col("a").alias("other")))
-        large = _towards_minimum(both, "large").where("other > k").select(F.col("other").alias("k"), F.col("m").alias("other")).distinct()
-        large = written(large, "star")
-        small = _towards_minimum(large, "small")
+        large, least = _towards_minimum(both, "large")
+        large = written(large.where("other > k").select(F.col("other").alias("k"), F.col("m").alias("other")).distinct(), "star")
+        small, most = _towards_minimum(large, "small")
         small = small.select(F.explode(F.array(F.struct(F.col("other").alias("a"), F.col("m").alias("b")), F.struct(F.col("k").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        e = written(small.where("a <> b").distinct(), "edges")
+        old, e = e, written(small.where("a <> b").distinct(), "edges")
+        for t in (old, least, large, most):
+            delete(t)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

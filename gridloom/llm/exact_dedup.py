@@ -27,12 +27,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty. Rows that repeat an id are rows of their own for group_size, and each row
     whose id equals keep_id is kept. A null id never wins against another; equal texts that all have null ids
-    have a null keep_id, and are kept only if there is one of them. Added columns replace columns of the same names.
-    An empty table gives an empty result.
+    have a null keep_id, and are kept only if there is one of them. Very long texts are compared whole like others. Added columns
+    replace columns of the same names, others may have any name. An empty table gives an empty result.
     """
     out, keep = _marked(docs, id_col, text_col, salts)
-    own = [c for c in docs.columns if c.lower() not in ADDED]
-    return out.select(*own, keep.alias("keep_id"), F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col(id_col) == keep, F.col("__size").isNull()).alias("kept"), F.col("__sha256").alias("text_sha256"))
+    return out.select("row.*", keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("id") == keep, F.col("size").isNull()).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -41,27 +40,27 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat both the text and that id, or equal texts that all have null ids, are decided by a hash of the other
     columns; rows that are equal in these too are the same row. They share a salt, and so are together after the join.
     """
-    out, keep = _marked(docs, id_col, text_col, salts)
-    ties = out.where(F.col(id_col).cast("long").eqNullSafe(keep))
-    others = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    order = Window.partitionBy("__sha256", "__n", "__h", "__salt").orderBy(F.xxhash64(*others))
-    return ties.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(*docs.columns)
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str, salts: int):
-    """docs with what the join gives each row, and the id that stays."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text"))
-    classes = exact_classes(rows, salts)
+    out, keep = _marked(docs, id_col, text_col, salts, added=())
+    others = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy("sha", "n", "h", "salt").orderBy(F.xxhash64(*others))
+    return out.where(F.col("id").eqNullSafe(keep)).withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, salts: int, added: tuple[str, ...] = ADDED):
+    """The columns of docs but those added in one struct `row`, so that no name can clash, with what the join gives each row; and
+    the id that stays."""
+    named = lambda c: F.col(f"`{c}`")
+    text = F.coalesce(named(text_col), F.lit(""))
+    classes = exact_classes(docs.select(named(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("sha"), text.alias("text")), salts)
     # Should two texts ever share a digest, length and second hash tell their classes apart.
-    many = classes.where("group_size > 1").select(F.col("sha").alias("__sha"), F.length("text").alias("__n2"), F.xxhash64("text").alias("__h2"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    spread = many.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    marked = docs.withColumn("__sha256", F.sha2(text, 256)).withColumns({
-        "__n": F.length(text), "__h": F.xxhash64(text), "__salt": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(salts)).cast("int"),
-    })
-    on = (marked["__sha256"] == spread["__sha"]) & (marked["__n"] == spread["__n2"]) & (marked["__h"] == spread["__h2"]) & (marked["__salt"] == spread["__salt2"])
-    out = marked.join(spread.hint("merge"), on, "left")
-    return out, F.coalesce("__keep", F.col(id_col).cast("long"))
+    many = classes.where("group_size > 1").select(F.col("sha").alias("c_sha"), F.length("text").alias("c_n"), F.xxhash64("text").alias("c_h"), "keep_id", F.col("group_size").alias("size"))
+    spread = many.withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = [named(c) for c in docs.columns if c.lower() not in added]
+    key = named(id_col).cast("long")
+    rows = docs.select(F.struct(*own).alias("row"), key.alias("id"), F.sha2(text, 256).alias("sha"), F.length(text).alias("n"), F.xxhash64(text).alias("h"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"))
+    on = (F.col("sha") == F.col("c_sha")) & (F.col("n") == F.col("c_n")) & (F.col("h") == F.col("c_h")) & (F.col("salt") == F.col("c_salt"))
+    out = rows.join(spread.hint("merge"), on, "left")
+    return out, F.coalesce("keep_id", "id")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ term, or `soft_limit` different soft terms, block a page.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,21 +70,29 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[st
     host: after the first :// up to /, ? or #, A-Z lower-cased; path: from there up to ? or #; both empty for
     a null url or one without ://. The longest rule that fits decides; without one, the vocabulary does,
     over the lower-cased part of the url after :// (query and fragment too; the whole url without ://). A null
-    or empty url is allowed. An empty table gives an empty result; columns of the added names are replaced.
+    or empty url is allowed; very long ones are searched whole. Of rules of equal length the last one decides. Rows that repeat are
+    judged one by one. An empty table gives an empty result; columns of the added names are replaced, others may have any name.
+
+    Rules become one chain of tests, and so should be hundreds at most; the vocabulary is one automaton per task, of any
+    size that fits in a worker.
     """
     if not soft and not strict:
         raise ValueError("the vocabulary is empty")
 
     @F.pandas_udf("boolean")
-    def judged(texts: pd.Series) -> pd.Series:
-        made = automaton(strict, soft)
-        return texts.map(lambda t: blocked(t, made, soft_limit))
-
-    pages = pages.drop("host", "path", "rule", "verdict")
-    text = F.translate(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"^(?s).*?://", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "__text": text})
-    rows = rows.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("__blocked", judged("__text"))
-    return rows.select(*pages.columns, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce("__rule.verdict", F.when(F.col("__blocked"), "block").otherwise("allow")).alias("verdict"))
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = automaton(strict, soft)  # once for each task
+        for texts in parts:
+            yield texts.map(lambda t: t is not None and blocked(t, made, soft_limit))
+
+    # Every column of pages is in one struct, so that no name can clash.
+    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*own).alias("row"), F.col(f"`{url_col}`").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
+    text = F.translate(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^(?s).*?://", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # What a rule has decided goes to Python as null.
+    rows = rows.withColumn("blocked", judged(F.when(F.col("found").isNull(), text)))
+    return rows.select("row.*", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

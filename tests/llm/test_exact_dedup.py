@@ -30,3 +30,11 @@ def test_components_of_chains_and_hubs(spark):
     assert set(got) == {*range(100, 181), 1, 999, *range(200, 500)}
     assert all(c == (100 if 100 <= i < 181 else 1) for i, c in got.items())
     assert components(edges.limit(0)).count() == 0
+
+
+def test_any_column_name_and_long_texts(spark):
+    long = "x" * 1_000_000
+    df = spark.createDataFrame([(1, long, 5, 6, 7), (2, long, 5, 6, 7), (3, long + "y", 5, 6, 7)], "doc_id long, `a.text` string, __n int, size int, `row` int")
+    out = exact_dedup(df, text_col="a.text")
+    assert out.columns == [*df.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r["__n"], r["size"], r["row"]) for r in out.collect()) == [(1, 2, 2, False, 5, 6, 7), (2, 2, 2, True, 5, 6, 7), (3, 3, 1, True, 5, 6, 7)]

@@ -25,3 +25,11 @@ def test_every_term_counts_between_boundaries_only():
         assert blocked(t, made) and blocked(f"a/{t}.b", made) and not blocked(f"q{t}", made) and not blocked(f"{t}7", made)
     for a in SOFT:
         assert not blocked(f"{a}/{a}", made)
+
+
+def test_any_column_name_and_long_urls(spark):
+    long = "http://x.net/" + "a" * 200_000
+    df = spark.createDataFrame([(1, long + "/casino", 1, 2), (2, long, 1, 2), (3, "http://a.com/de/casino", 1, 2), (4, None, 1, 2)], "page_id long, `the.url` string, __text int, found int")
+    out = filter_urls(df, url_col="the.url")
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    assert [(r.verdict, r["__text"], r["found"]) for r in sorted(out.collect(), key=lambda r: r.page_id)] == [("block", 1, 2), ("allow", 1, 2), ("block", 1, 2), ("allow", 1, 2)]

@@ -173,6 +173,18 @@ def change_calendar(elapsed: Column, units, calendar: str):
     return encode(decode(elapsed, units), new), new
 
 
+def override_calendar(units, calendar: str):
+    """The same elapsed times, taken to be of another calendar: their new units."""
+    from gridloom.functions.units import Units
+
+    return Units.of(units.text, calendar)
+
+
+def unique_calendars(units) -> set[str]:
+    """The different calendars of many units of reference time."""
+    return {canonical(u.calendar) for u in units if u.is_reference_time}
+
+
 def as_string(parts: dict[str, Column]) -> Column:
     return F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *[parts[k].cast("int") for k in ("year", "month", "day", "hour", "minute", "second")])
 

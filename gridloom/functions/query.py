@@ -144,6 +144,25 @@ def set_(values, units: str | None = None, attr: str | None = None) -> Query:
     return Query("set", tuple(values), Units.of(units), (attr,) if attr else ())
 
 
+def _dated(op: str):
+    def make(date: str, calendar: str | None = None) -> Query:
+        """A condition on times by a date: years, months and days are decoded, so that any units and calendar of time do."""
+        from gridloom.functions.calendars import parse_date
+
+        parts = dict(zip(("year", "month", "day", "hour", "minute", "second"), parse_date(date)))
+        strict, out = Query("gt" if op in ("gt", "ge") else "lt", None), None
+        for name, v in reversed(parts.items()):
+            last = Query(op, v, NONE, (name,)) if out is None else Query(strict.op, v, NONE, (name,)) | (Query("eq", v, NONE, (name,)) & out)
+            out = last
+        return out
+
+    make.__name__ = f"dt{op}"
+    return make
+
+
+dtgt, dtge, dtlt, dtle = map(_dated, ("gt", "ge", "lt", "le"))
+
+
 def _part(name: str):
     def make(value) -> Query:
         return (value if isinstance(value, Query) else eq(value)).addattr(name)

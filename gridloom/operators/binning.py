@@ -28,15 +28,17 @@ def digitize(x: Column, edges: Sequence[float], upper: bool = False, open_ends:
         raise ValueError("bin edges must increase")
     if open_ends and closed_ends:
         raise ValueError("ends are open or closed, not both")
-    x = x.cast("double")
-    array = F.array(*[F.lit(v) for v in e])
-    below = (lambda v: v < x) if upper else (lambda v: v <= x)
-    k = F.size(F.filter(array, below)) if len(e) > 32 else sum((F.when(below(F.lit(v)), 1).otherwise(0) for v in e), F.lit(0))
-    last = len(e) - 1
-    if closed_ends:
-        k = F.when(x == e[0], 1).when(x == e[-1], last).otherwise(k)
-    k = F.when(x.isNotNull() & ~F.isnan(x), k)
-    return k.cast("int") if open_ends else F.when((k >= 1) & (k <= last), k - 1).cast("int")
+    edges, last = F.array(*[F.lit(v) for v in e]), len(e) - 1
+
+    def bin_of(v: Column) -> Column:
+        k = F.size(F.filter(edges, (lambda b: b < v) if upper else (lambda b: b <= v)))
+        if closed_ends:
+            k = F.when(v == e[0], 1).when(v == e[-1], last).otherwise(k)
+        k = F.when(v.isNotNull() & ~F.isnan(v), k)
+        return k if open_ends else F.transform(F.array(k), lambda n: F.when((n >= 1) & (n <= last), n - 1))[0]
+
+    # Bound once: repeated tests of every edge made a method too large to be compiled.
+    return F.transform(F.array(x.cast("double")), bin_of)[0].cast("int")
 
 
 def bin_bounds(edges: Sequence[float]) -> list[tuple[float, float]]:

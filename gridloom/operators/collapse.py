@@ -70,7 +70,7 @@ _STATS: dict[str, tuple[Stat, bool, Callable[[Units, Units], Units]]] = {
     "mean": (_mean, True, lambda u, w: u),
     "mean_absolute_value": (lambda x, w, d: _mean(F.abs(x), w), True, lambda u, w: u),
     "sum": (_sum, True, lambda u, w: u),
-    "integral": (_sum, True, lambda u, w: u * w),
+    "integral": (_sum, True, lambda u, w: u * w if w.defined else u),
     "sum_of_squares": (lambda x, w, d: _sum(_x(x) * _x(x), w), True, lambda u, w: u**2),
     "sample_size": (lambda x, w, d: F.count(x), False, lambda u, w: ONE),
     "sum_of_weights": (lambda x, w, d: F.sum(_w(x, w)), True, lambda u, w: w if w.defined else ONE),

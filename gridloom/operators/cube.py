@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import config
 from gridloom.functions import elementwise
 from gridloom.functions.calendars import TimeDuration, days_from_date, decode
 from gridloom.functions.cellmethods import CellMethod
@@ -45,6 +46,12 @@ class Axis:
         return self.table.withColumnRenamed("i", self.index)
 
 
+class WeightTables(dict):
+    """Weight tables by index, and the units of their product."""
+
+    units: Units = NONE
+
+
 @dataclass(frozen=True)
 class Cube:
     df: DataFrame
@@ -56,6 +63,7 @@ class Cube:
     cell_methods: tuple[CellMethod, ...] = ()
     measures: Mapping[str, DataFrame] = field(default_factory=dict)
     ncvar: str | None = None
+    measure_units: Mapping[str, str] = field(default_factory=dict)
 
     # --- making -----------------------------------------------------------------------------------------------------
 
@@ -120,6 +128,17 @@ class Cube:
         a = self.axis(identity)
         return replace(self, axes={**self.axes, a.name: replace(a, period=period)})
 
+    def autocyclic(self, identity: str = "longitude") -> Cube:
+        """Make a longitude axis cyclic if its cells' bounds go once round."""
+        a = self.axis(identity)
+        if not a.has_bounds or a.period is not None or "degree" not in a.units.text:
+            return self
+        low, high = a.table.agg(F.min(F.least("lower", "upper")), F.max(F.greatest("lower", "upper"))).first()
+        return self.cyclic(identity, 360.0) if abs(high - low - 360.0) < 1e-9 else self
+
+    def directions(self) -> dict[str, bool]:
+        return {n: self.direction(n) for n, a in self.axes.items() if a.table is not None}
+
     def direction(self, identity: str) -> bool:
         """Whether an axis' coordinates increase."""
         ends = self.axis(identity).table.agg(F.min_by("coord", "i"), F.max_by("coord", "i")).first()
@@ -148,15 +167,32 @@ class Cube:
 
     def _binary(self, op: str, other, reflected: bool = False) -> Cube:
         if isinstance(other, Cube):
+            left, axes = self.df, {**self.axes, **other.axes}
             right = other.df.withColumnRenamed(other.value, self.value)
-            df, units = combine.binary_operation(self.df, right, list(dict.fromkeys([*self.keys, *other.keys])), op, self.value, self.units, other.units)
-            return replace(self, df=df, units=units, axes={**self.axes, **other.axes}, name=self.name if units == self.units else None)
+            for a, b in self._shared(other):
+                if a.size != b.size:  # the side with one cell goes with every cell of the other
+                    axes[a.name] = a if b.size == 1 else b
+                    left, right = (left, right.drop(b.index)) if b.size == 1 else (left.drop(a.index), right)
+            df, units = combine.binary_operation(left, right, list(dict.fromkeys([*self.keys, *other.keys])), op, self.value, self.units, other.units)
+            return replace(self, df=df, units=units, axes=axes, name=self.name if units == self.units else None)
         a, b, ua, ub = (F.lit(other), self.x, NONE, self.units) if reflected else (self.x, F.lit(other), self.units, NONE)
         if op in ("mul", "truediv", "floordiv"):
             ua, ub = (Units.of("1"), self.units) if reflected and self.units.defined else (ua, ub)
         out, units = elementwise.binary(op, a, ua, b, ub)
         return self._with(self.df.withColumn(self.value, out), units=units)
 
+    def _shared(self, other: Cube) -> list[tuple[Axis, Axis]]:
+        """Axes of both cubes; fails where they have different sizes (but 1) or different coordinates at the same positions."""
+        found = [(a, other.axes[n]) for n, a in self.axes.items() if n in other.axes]
+        for a, b in found:
+            if a.size != b.size and 1 not in (a.size, b.size):
+                raise ValueError(f"the axis {a.name!r} has {a.size} cells in one cube and {b.size} in the other")
+            if a.size == b.size and a.table is not None and b.table is not None and a.table is not b.table:
+                table = b.table.withColumn("coord", b.units.convert(F.col("coord"), a.units)) if a.units.defined and b.units.defined else b.table
+                if not combine.misaligned(a.table, table, "i", rtol=config.get("rtol"), atol=config.get("atol")).isEmpty():
+                    raise ValueError(f"the axis {a.name!r} has other coordinates in one cube than in the other")
+        return found
+
     def __pow__(self, exponent: float) -> Cube:
         out, units = elementwise.power(self.x, exponent, self.units)
         return self._with(self.df.withColumn(self.value, out), units=units)
@@ -229,8 +265,9 @@ class Cube:
     # --- weights and collapses --------------------------------------------------------------------------------------
 
     def weights(self, *identities: str, measure: bool = False, radius: float = weights.EARTH) -> dict[str, DataFrame]:
-        """Weight tables (index, w) of axes: by the sine of latitude, longitude in radians, or the cells' sizes. Kept per axis."""
-        out = {}
+        """Weight tables (index, w) of axes: by the sine of latitude, longitude in radians, or the cells' sizes. Kept per axis, with
+        the units of their product."""
+        out = WeightTables()
         for identity in identities:
             a = self.axis(identity)
             if a.size == 1 and not measure:
@@ -240,15 +277,17 @@ class Cube:
             lo, up = F.col("lower"), F.col("upper")
             w = weights.latitude(lo, up, measure, radius) if a.standard_name == "latitude" else weights.longitude(lo, up, measure, radius) if a.standard_name == "longitude" else weights.linear(lo, up)
             out[a.index] = a.table.select(F.col("i").alias(a.index), w.alias("w"))
+            own = (Units.of("m") if measure else Units.of("1")) if a.standard_name in ("latitude", "longitude") else Units.of(a.units.text.split(" since ")[0]) if a.units.defined else NONE
+            out.units = own if not out.units.defined else out.units * own
         return out
 
     def collapse(self, method: str, axes: Sequence[str] | None = None, weights: Mapping[str, DataFrame] | str | None = None, mtol: float = 1.0, ddof: int = 1) -> Cube:
         """A statistic over axes (default: all). weights: tables from weights(), or the name of a measure."""
         method = collapses.canonical(method)
         gone = [self.axis(a) for a in axes] if axes is not None else list(self.axes.values())
-        rows, w = self.df, None
+        rows, w, weight_units = self.df, None, getattr(weights, "units", NONE)
         if isinstance(weights, str):
-            m = self.measures[weights]
+            m, weight_units = self.measures[weights], Units.of(self.measure_units.get(weights))
             rows, w = rows.join(m, [k for k in self.keys if k in m.columns]), F.col("measure")
         elif weights:
             for k, (index, table) in enumerate(weights.items()):
@@ -259,7 +298,7 @@ class Cube:
         kept = self._others(*gone)
         out = collapses.collapse(rows, kept, self.x, {self.value: method}, w, ddof, mtol)
         done = CellMethod(tuple(a.name for a in gone), method)
-        return replace(self, df=out, axes={n: a for n, a in self.axes.items() if a not in gone}, units=collapses.result_units(method, self.units), cell_methods=(*self.cell_methods, done))
+        return replace(self, df=out, axes={n: a for n, a in self.axes.items() if a not in gone}, units=collapses.result_units(method, self.units, weight_units), cell_methods=(*self.cell_methods, done))
 
     def percentile(self, ranks: Sequence[float], axes: Sequence[str] | None = None, method: str = "linear", mtol: float = 1.0) -> DataFrame:
         gone = [self.axis(a) for a in axes] if axes is not None else list(self.axes.values())

@@ -78,25 +78,22 @@ def convolution_filter(df: DataFrame, by: Sequence[str], index: str, value: str,
 
 def moving_window(df: DataFrame, by: Sequence[str], index: str, value: str, method: str, size: int, weights: str | None = None, mode: str = "constant", origin: int = 0) -> DataFrame:
     """mean, sum or integral over `size` cells around each. In constant mode only cells that exist take part, and a missing one makes
-    the result missing; with mode wrap the line is cyclic. sum ignores weights, integral needs them."""
+    the result missing; with mode wrap the line is cyclic, with reflect (about the edge), mirror (about the edge's cell) and nearest it
+    goes on with copies of its own cells. sum ignores weights, integral needs them."""
     if method not in ("mean", "sum", "integral"):
         raise ValueError(f"moving_window has no method {method!r}")
     if method == "integral" and weights is None:
         raise ValueError("an integral needs weights")
     left = size // 2
     lo, hi = -left + origin, size - 1 - left + origin
-    rows = df
-    if mode == "wrap":
-        rows = halo(df, by, index, max(-lo, hi, 0), cyclic=True)
-    elif mode != "constant":
-        raise ValueError(f"mode {mode!r} is not one of constant, wrap")
+    rows = df if mode == "constant" else halo(df, by, index, max(-lo, hi, 0), mode=mode)
     frame = _line(by, index).rowsBetween(lo, hi)
     w = F.lit(1.0) if weights is None or method == "sum" else F.col(weights)
     top = F.sum(F.col(value) * w).over(frame)
     out = top if method != "mean" else F.try_divide(top, F.sum(F.when(F.col(value).isNotNull(), w)).over(frame))
     none_missing = F.count(value).over(frame) == F.count(F.lit(1)).over(frame)
     rows = rows.withColumn("__out", F.when(none_missing, out))
-    if mode == "wrap":
+    if mode != "constant":
         rows = rows.where("__own").drop("__own")
     return rows.drop(value).withColumnRenamed("__out", value).select(*df.columns)
 
@@ -192,16 +189,27 @@ def flip(df: DataFrame, index: str, size: int) -> DataFrame:
     return df.withColumn(index, (size - 1 - F.col(index)).cast("int"))
 
 
-def halo(df: DataFrame, by: Sequence[str], index: str, depth: int, cyclic: bool = False, size: int | None = None) -> DataFrame:
+def halo(df: DataFrame, by: Sequence[str], index: str, depth: int, cyclic: bool = False, size: int | None = None, mode: str | None = None) -> DataFrame:
     """Copies `depth` cells of either edge (of the other edge if cyclic) beyond it. Adds __own: false for the copies; the index then
-    runs from -depth."""
+    runs from -depth. mode: wrap (cyclic), reflect, mirror or nearest; the line must be as long as the halo is deep (mirror: longer)."""
     rows = df.withColumn("__n", F.lit(size)) if size is not None else size_of(df, by, index)
     i, n = F.col(index), F.col("__n")
-    if cyclic:
-        places = [(i >= n - depth, i - n), (i < depth, i + n)]
+    beyond = lambda at: F.struct(at.cast("int").alias("at"), F.lit(False).alias("own"))
+    kinds = {
+        "wrap": [(i >= n - depth, i - n), (i < depth, i + n)], "reflect": [(i < depth, -1 - i), (i >= n - depth, 2 * n - 1 - i)],
+        "mirror": [((i >= 1) & (i <= depth), -i), ((i <= n - 2) & (i >= n - 1 - depth), 2 * (n - 1) - i)], None: [(i < depth, i - depth), (i >= n - depth, i + depth)],
+    }
+    mode = "wrap" if cyclic else mode
+    if mode not in kinds and mode != "nearest":
+        raise ValueError(f"mode {mode!r} is not one of wrap, reflect, mirror, nearest")
+    own = F.array(F.struct(i.cast("int").alias("at"), F.lit(True).alias("own")))
+    if mode == "nearest":
+        more = F.sequence(F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
+        none = F.array().cast("array<struct<at:int,own:boolean>>")
+        copies = F.concat(own, F.when(i == 0, F.transform(more, lambda k: beyond(-k))).otherwise(none), F.when(i == n - 1, F.transform(F.transform(more, lambda k: k), lambda k: beyond(k))).otherwise(none))
+        copies = F.transform(copies, lambda c: F.when(~c["own"] & (c["at"] > 0), F.struct((c["at"] + n - 1).cast("int").alias("at"), F.lit(False).alias("own"))).otherwise(c))
     else:
-        places = [(i < depth, i - depth), (i >= n - depth, i + depth)]
-    copies = F.array_compact(F.array(F.struct(i.cast("int").alias("at"), F.lit(True).alias("own")), *[F.when(c, F.struct(at.cast("int").alias("at"), F.lit(False).alias("own"))) for c, at in places]))
+        copies = F.array_compact(F.concat(own, F.array(*[F.when(c, beyond(at)) for c, at in kinds[mode]])))
     out = rows.withColumn("__copy", F.explode(copies))
     return out.withColumns({index: F.col("__copy.at"), "__own": F.col("__copy.own")}).drop("__copy", "__n")
 

@@ -170,7 +170,9 @@ def change_calendar(elapsed: Column, units, calendar: str):
     from gridloom.functions.units import Units
 
     new = Units.of(units.text, calendar)
-    return encode(decode(elapsed, units), new), new
+    # The parts are bound once: put into one another, the two formulas are too long to be compiled in reasonable time.
+    parts = F.transform(F.array(elapsed), lambda t: F.struct(*[x.alias(k) for k, x in decode(t, units).items()]))
+    return F.transform(parts, lambda p: encode({k: p[k] for k in ("year", "month", "day", "hour", "minute", "second")}, new))[0], new
 
 
 def override_calendar(units, calendar: str):

@@ -168,14 +168,26 @@ def mean_of_upper_decile(df: DataFrame, by: Sequence[str | Column], x: Column, w
     return rows.groupBy(*keys).agg(masked(stat, F.col("__x"), mtol).alias(name))
 
 
+def _near(x: Column) -> Column:
+    """Free of the noise of a product: a share of a count is whole if it is so to nine digits."""
+    return F.round(x, 9)
+
+
+def _whole(x: Column) -> Column:
+    return _near(x) == F.floor(_near(x))
+
+
 #: Percentile methods that are a mix of two neighbours in order: q, n -> zero-based virtual index.
 _VIRTUAL: dict[str, Callable[[Column, Column], Column]] = {
     "linear": lambda q, n: q * (n - 1), "lower": lambda q, n: F.floor(q * (n - 1)), "higher": lambda q, n: F.ceil(q * (n - 1)),
     "nearest": lambda q, n: F.rint(q * (n - 1)), "midpoint": lambda q, n: (F.floor(q * (n - 1)) + F.ceil(q * (n - 1))) / 2,
     "weibull": lambda q, n: q * (n + 1) - 1, "hazen": lambda q, n: q * n - 0.5,
     "median_unbiased": lambda q, n: q * (n + 1 / 3) + 1 / 3 - 1, "normal_unbiased": lambda q, n: q * (n + 0.25) + 0.375 - 1,
-    "interpolated_inverted_cdf": lambda q, n: q * n - 1, "inverted_cdf": lambda q, n: F.ceil(q * n) - 1,
+    "interpolated_inverted_cdf": lambda q, n: q * n - 1, "inverted_cdf": lambda q, n: F.ceil(_near(q * n)) - 1,
+    "averaged_inverted_cdf": lambda q, n: F.when(_whole(q * n), _near(q * n) - 0.5).otherwise(F.ceil(q * n) - 1),
+    "closest_observation": lambda q, n: F.when(_whole(q * n - 0.5) & (F.floor(_near(q * n - 0.5)) % 2 == 0), _near(q * n - 0.5) - 1).otherwise(F.floor(_near(q * n - 0.5))),
 }
+PERCENTILE_METHODS = tuple(_VIRTUAL)
 
 
 def percentile(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[float], method: str = "linear", mtol: float = 1.0) -> DataFrame:

@@ -65,8 +65,14 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         delete(t)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that are gone. The scheduler holds on to the last job's until another has run."""
+    spark.range(0, 1, 1, 1).write.format("noop").mode("overwrite").save()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,7 +24,6 @@ leaves out what the chunk knows: most histories were seen once, and tell no more
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, release, written
+from gridloom.llm.common import drop_shuffles, partitions, release, written
 from gridloom.llm.packed import CHUNK_SCHEMA, LAST, bounded_batches, by_chunk, chunker, give_back, pack, positions_of, runs, unpack, unpack_ranks, unpack_words, words_of
 
 K = 5
@@ -594,12 +593,6 @@ def _statistics(table: DataFrame, *ids: str) -> tuple[list[int], dict]:
     return n, hot
 
 
-def _drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are gone; the scheduler holds on to the last job's until another has run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out (not train), n_tokens, n_known, train_tokens, base_score, score.
 
@@ -631,7 +624,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     pairs = written(asked.repartition("bucket").groupBy("bucket").applyInArrow(_count_pairs(m), _REPLY), "pairs")
     del asked
     n2, m.hot2 = _statistics(pairs, "hot_v")
-    _drop_shuffles(spark)
+    drop_shuffles(spark)
     m.d2 = discounts(n2)
     replies = pairs.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "low", "seen")
     tables = [known, replies, lines]
@@ -640,7 +633,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         threes = written(asked.repartition(m.many, "bucket").groupBy("bucket").applyInArrow(_count_triples(), _TRIPLE_REPLY), "triples")
         del asked
         n3, m.hot3 = _statistics(threes, "hot_u", "hot_v")
-        _drop_shuffles(spark)
+        drop_shuffles(spark)
         m.d3 = discounts(n3)
         tables.insert(2, threes.where("chunk >= 0").select("chunk", "bucket", "counts", "sums", "low", "seen", F.lit(3).alias("level")))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

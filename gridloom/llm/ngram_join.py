@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from gridloom.llm.common import components, partitions, release, written
 from gridloom.llm.packed import CHUNK_POSITIONS, LAST, bounded_batches, by_chunk, give_back, pack, unpack
 
-WORDS, PERCENT, HASHES, PART, HOT = 5, 75, 6, 64, 256
+WORDS, PERCENT, HASHES, PART = 5, 75, 6, 64
 #: Ids up to this many (8 MB) are broadcast to fetch their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -243,17 +243,14 @@ def _linked(percent: int) -> Callable:
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, na, b, nb) -> those that link, by their whole sets; sizes that rule a link out are left out first.
 
-    A set b that many sets are compared with goes out in copies, one for each HOT of them, so that no task gets them all.
+    Nothing but the comparison follows the joins, so that adaptive skew handling can split the rows of a set b that many are
+    compared with; both joins share one exchange of the sets.
     """
     near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     fit = written(pairs.where(near).select("a", "b").distinct(), "pairs")
-    hot = written(fit.groupBy("b").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
     x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")).join(hot, "b", "left")
-    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    # Ids only meet the counts of hot sets; their rows are spread by adaptive skew handling there.
-    dealt = written(fit.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "dealt")
-    return dealt.join(x, "a").join(y, ["b", "part"]).select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
+    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    return fit.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(percent), "a long, b long")
 
 
 def _open_blocks(percent: int) -> Callable:
@@ -356,12 +353,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         leaders = written(marks.groupBy("i", "mark").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders")
         pairs = marks.join(leaders.hint("merge"), ["i", "mark"]).where(F.col("id") != F.col("leader.id")).select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("leader.id").alias("b"), F.col("leader.n").alias("nb"))
         links = written(_compare(pairs, sets, percent), "links")
+        del marks, pairs, made, own
+        release(leaders)
         component = written(components(links), "groups")
         grouped = F.coalesce("component", "id").alias("component")
         _, rest = _reaching(sets.join(component, "id", "left").select("id", "n", "tokens", grouped), _set_source(percent), "matrix")
         rest = written(rest.select("id").distinct().join(component, "id", "left").select("id", grouped), "rest")
-        del marks, pairs, made, own
-        release(leaders)
         if not rest.isEmpty():
             more = written(_across(rest, sets, percent), "across")
             component = written(components(links.unionByName(more)), "groups")

@@ -110,7 +110,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     smaller chunks take less memory and more disk.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 1 << 20)
     if pattern is None:
         import public_tokenizers
 

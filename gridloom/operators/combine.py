@@ -67,10 +67,11 @@ def aggregate(fields: Sequence[Mapping], contiguous: bool = False, overlap: bool
     concatenated if their coordinates don't meet or overlap (and, as asked, their bounds don't overlap or leave no gap).
     """
     groups: dict[tuple, list[dict]] = {}
+    signed = _signatures([t for f in fields for t in f["axes"].values()])
     for f in fields:
         u = Units.of(f.get("units"))
         key = (f["name"], (u.dims, u.epoch) if u.defined else (None if relaxed_units else "undefined"), tuple(sorted(f["axes"])))
-        groups.setdefault(key, []).append(dict(f) | {"signature": {a: _signature(t) for a, t in f["axes"].items()}})
+        groups.setdefault(key, []).append(dict(f) | {"signature": {a: signed[id(t)] for a, t in f["axes"].items()}})
     out: list[Mapping] = []
     for key, members in groups.items():
         for axis in key[2]:
@@ -82,11 +83,29 @@ def aggregate(fields: Sequence[Mapping], contiguous: bool = False, overlap: bool
     return out
 
 
-def _signature(axis: DataFrame) -> dict:
+def _signatures(tables: Sequence[DataFrame], at_once: int = 256) -> dict[int, dict]:
+    """By identity of an axis table: a hash of its rows, its size, first and last coordinate and outer bounds. One job for many tables."""
+    out: dict[int, dict] = {}
+    kinds: dict[str, list[DataFrame]] = {}
+    for t in {id(t): t for t in tables}.values():
+        kinds.setdefault(t.schema["coord"].dataType.simpleString(), []).append(t)
+    for some in [ts[k : k + at_once] for ts in kinds.values() for k in range(0, len(ts), at_once)]:
+        rows = [_row_digests(t).withColumn("k", F.lit(k)) for k, t in enumerate(some)]
+        while len(rows) > 1:  # a balanced union
+            rows = [a.unionByName(b) for a, b in zip(rows[::2], rows[1::2])] + rows[len(rows) // 2 * 2 :]
+        grouped = rows[0].groupBy("k").agg(F.count("*").alias("n"), F.sum(F.col("digest").cast("decimal(38,0)")).alias("h"), *[f(c).alias(n) for f, c, n in ((F.min, "coord", "first"), (F.max, "coord", "last"), (F.min, "low", "lo"), (F.max, "high", "hi"))])
+        found = {r["k"]: r for r in grouped.collect()}
+        for k, t in enumerate(some):
+            r = found.get(k)
+            out[id(t)] = {"hash": (r["n"], str(r["h"])), "size": r["n"], "first": r["first"], "last": r["last"], "lo": r["lo"], "hi": r["hi"]} if r else {"hash": (0, "None"), "size": 0, "first": None, "last": None, "lo": None, "hi": None}
+    return out
+
+
+def _row_digests(axis: DataFrame) -> DataFrame:
     bounds = "lower" in axis.columns
-    digest = F.xxhash64("coord", *(["lower", "upper"] if bounds else []))
-    r = axis.agg(F.count("*").alias("n"), F.sum(F.xxhash64("i", digest).cast("decimal(38,0)")).alias("h"), F.min("coord").alias("first"), F.max("coord").alias("last"), *([F.min(F.least("lower", "upper")).alias("lo"), F.max(F.greatest("lower", "upper")).alias("hi")] if bounds else [])).first()
-    return {"hash": (r["n"], str(r["h"])), "size": r["n"], "first": r["first"], "last": r["last"], "lo": r["lo"] if bounds else None, "hi": r["hi"] if bounds else None}
+    digest = F.xxhash64("i", F.xxhash64("coord", *(["lower", "upper"] if bounds else [])))
+    low, high = (F.least("lower", "upper"), F.greatest("lower", "upper")) if bounds else (F.lit(None), F.lit(None))
+    return axis.select(digest.alias("digest"), "coord", low.cast("double").alias("low"), high.cast("double").alias("high"))
 
 
 def _along(line: list[dict], axis: str, contiguous: bool, overlap: bool) -> list[dict]:

@@ -154,12 +154,6 @@ def any_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(c.statistic("any", F.col("c_acctbal") < 0).alias("any_negative"), c.statistic("all", F.col("c_acctbal") > -1e9).alias("all_above"))
 
 
-@query("WITH " + _DAILY + " SELECT (i // 5)::INT AS i, round(avg(x), 4) AS x FROM daily WHERE i < 28 - 28 % 5 GROUP BY 1")
-def coarsen_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _daily(spark, sf_dir).where("i < 28")
-    return _rounded(c.coarsen(rows, {"i": 5}, [], "x", "mean", {"i": 28}, trim_excess=True), 4, "x")
-
-
 # --- bins -----------------------------------------------------------------------------------------------------------
 
 _EDGES = [0.0, 10.0, 25.0, 50.0, 100.0]
@@ -398,12 +392,6 @@ def halo_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- shapes ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT (p_partkey // 50)::INT AS a, (p_partkey % 50 // 10)::INT AS b, (p_partkey % 10)::INT AS c, p_size FROM part WHERE p_partkey < 200")
-def reshape_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").cast("int").alias("i"), "p_size")
-    return reshape.reshape(rows, {"i": 200}, {"a": 4, "b": 5, "c": 10})
-
-
 @query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS position, p_size FROM part WHERE p_size % 3 <> 0")
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("p_size"))
@@ -608,38 +596,9 @@ def ragged_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("i_element", F.col("i_element").cast("long"))
 
 
-@query("SELECT (i // 20)::INT AS y, (i % 20)::INT AS x, p_size AS value FROM range(200) t(i) LEFT JOIN (SELECT * FROM part WHERE p_size % 3 = 0) ON p_partkey = i")
-def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _t(spark, sf_dir, "part").where("p_partkey < 200 AND p_size % 3 = 0").select(F.col("p_partkey").alias("flat"), F.col("p_size").alias("value"))
-    listing = reshape.numbered(kept, "flat", "i_list")
-    return compressed_.gathered(listing.select("i_list", "value"), listing.select("i_list", "flat"), {"y": 10, "x": 20})
-
-
-@query("WITH " + _DAILY + """, t AS (SELECT * FROM daily WHERE i % 7 = 0 AND i <= 28)
-SELECT j::INT AS i, round(a.x + (b.x - a.x) * (j % 7) / 7.0, 6) AS x FROM range(28) r(j) JOIN t a ON a.i = j - j % 7 JOIN t b ON b.i = a.i + 7 UNION ALL SELECT i, x FROM t WHERE i = 28""")
-def subsampled_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ties = _daily(spark, sf_dir).where("i % 7 = 0 AND i <= 28").select("i", "x")
-    return _rounded(compressed_.subsampled_linear(ties, "i", [], "x"), 6, "x")
-
-
 # --- more of the same families --------------------------------------------------------------------------------------
 
 
-@query("""
-WITH g AS (SELECT (p_partkey // 20)::INT AS y, (p_partkey % 20)::INT AS x, p_retailprice AS v FROM part WHERE p_partkey < 200),
-d AS (SELECT *, (lead(v) OVER r - lag(v) OVER r) / 4.0 AS gx, (lead(v) OVER c - lag(v) OVER c) / 6.0 AS gy FROM g WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y))
-SELECT y, x, round(gx, 6) AS grad_x, round(gy, 6) AS grad_y, round((lead(gx) OVER r - lag(gx) OVER r) / 4.0 + (lead(gy) OVER c - lag(gy) OVER c) / 6.0, 6) + 0.0 AS laplacian
-FROM d WINDOW r AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)""")
-def gradient_and_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On a plane with cells of 2 by 3."""
-    p = F.col("p_partkey")
-    g = _t(spark, sf_dir, "part").where("p_partkey < 200").select(F.floor(p / 20).cast("int").alias("y"), (p % 20).cast("int").alias("x"), F.col("p_retailprice").alias("v"))
-    g = g.withColumns({"cx": F.col("x") * 2.0, "cy": F.col("y") * 3.0})
-    got = windows.grad_xy(g, [], "x", "y", "cx", "cy", "v", spherical=False)
-    got = windows.div_xy(got, [], "x", "y", "cx", "cy", "grad_x", "grad_y", spherical=False, out="laplacian")
-    return _rounded(got.select("y", "x", "grad_x", "grad_y", "laplacian"), 6, "grad_x", "grad_y", "laplacian").withColumn("laplacian", F.col("laplacian") + 0.0)
-
-
 @query("WITH " + _DAILY + " SELECT i, round(sum(x * n) OVER w, 3) AS x FROM daily WINDOW w AS (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)")
 def moving_window_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(windows.moving_window(_daily(spark, sf_dir), [], "i", "x", "integral", 3, weights="n").select("i", "x"), 3, "x")

@@ -91,6 +91,10 @@ def match_by_units(c: Cube, *units: str, exact: bool = True) -> bool:
     return not units or any(c.units == Units.of(u) if exact else c.units.equivalent(Units.of(u)) for u in units)
 
 
+def match_by_ncvar(c: Cube, *ncvars) -> bool:
+    return c.ncvar is not None and (not ncvars or any(_matches(n, c.ncvar) for n in ncvars))
+
+
 def match_by_rank(c: Cube, *ranks: int | Query) -> bool:
     return not ranks or any(_matches(r, len(c.axes)) for r in ranks)
 

@@ -46,6 +46,13 @@ class Axis:
         return self.table.withColumnRenamed("i", self.index)
 
 
+def catalog_plain(condition: Query, number: float) -> bool:
+    """A condition on one number."""
+    from gridloom.operators.catalog import _plain
+
+    return _plain(condition, number)
+
+
 class WeightTables(dict):
     """Weight tables by index, and the units of their product."""
 
@@ -64,6 +71,7 @@ class Cube:
     measures: Mapping[str, DataFrame] = field(default_factory=dict)
     ncvar: str | None = None
     measure_units: Mapping[str, str] = field(default_factory=dict)
+    hardmask: bool = True
 
     # --- making -----------------------------------------------------------------------------------------------------
 
@@ -139,6 +147,42 @@ class Cube:
     def directions(self) -> dict[str, bool]:
         return {n: self.direction(n) for n, a in self.axes.items() if a.table is not None}
 
+    def lower_bounds(self, identity: str) -> DataFrame:
+        a = self.axis(identity)
+        return a.table.select("i", F.least("lower", "upper").alias("bound"))
+
+    def upper_bounds(self, identity: str) -> DataFrame:
+        a = self.axis(identity)
+        return a.table.select("i", F.greatest("lower", "upper").alias("bound"))
+
+    def filter_axes(self, *identities: str, units: str | None = None, size: int | Query | None = None, cyclic: bool | None = None, todict: bool = False):
+        """Axes by name, standard name or kind (any of them), by equivalent units, size and whether they are cyclic (all that are given)."""
+        def fits(a: Axis) -> bool:
+            return (
+                (not identities or any(i in (a.name, a.standard_name, a.kind) for i in identities)) and (units is None or (a.units.defined and a.units.equivalent(Units.of(units))))
+                and (size is None or (catalog_plain(size, a.size) if isinstance(size, Query) else a.size == size)) and (cyclic is None or (a.period is not None) == cyclic)
+            )
+
+        found = {n: a for n, a in self.axes.items() if fits(a)}
+        return found if todict else list(found.values())
+
+    # --- execution --------------------------------------------------------------------------------------------------
+
+    def persist(self) -> Cube:
+        """Keep the cells in the executors' memory and on their disks once they are computed; lost ones are computed again."""
+        return self._with(self.df.persist())
+
+    def rechunk(self, partitions: int | None = None, along: Sequence[str] = ()) -> Cube:
+        """Deal the cells out anew: by range of positions along axes, or evenly."""
+        n = partitions or int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keys = [self.axis(a).index for a in along]
+        return self._with(self.df.repartitionByRange(n, *keys) if keys else self.df.repartition(n))
+
+    def digest(self) -> tuple[int, int]:
+        """Number of cells, and a hash that doesn't depend on their order or partitions."""
+        r = self.df.agg(F.count("*"), F.sum(F.xxhash64(*self.keys, self.value).cast("decimal(38,0)"))).first()
+        return r[0], int(r[1] or 0)
+
     def direction(self, identity: str) -> bool:
         """Whether an axis' coordinates increase."""
         ends = self.axis(identity).table.agg(F.min_by("coord", "i"), F.max_by("coord", "i")).first()
@@ -205,10 +249,22 @@ class Cube:
 
     # --- masks ------------------------------------------------------------------------------------------------------
 
-    def where(self, condition: Query | Column, a, b=None, hardmask: bool = True) -> Cube:
+    def where(self, condition: Query | Column, a, b=None, hardmask: bool | None = None) -> Cube:
+        """a where a condition holds, b (default: the value) elsewhere. With a hard mask (default: the cube's) missing values stay missing."""
         if isinstance(condition, Query):
             condition = condition(self.x, self.units)
-        return self._with(self.df.withColumn(self.value, elementwise.where(self.x, condition, a, b, hardmask)))
+        return self._with(self.df.withColumn(self.value, elementwise.where(self.x, condition, a, b, self.hardmask if hardmask is None else hardmask)))
+
+    def harden_mask(self) -> Cube:
+        return replace(self, hardmask=True)
+
+    def soften_mask(self) -> Cube:
+        return replace(self, hardmask=False)
+
+    def get_fill_value(self):
+        """The value that stands for missing ones in files: the property _FillValue or missing_value, else the value type's usual one."""
+        usual = {"double": 9.969209968386869e36, "float": 9.969209968386869e36, "int": -2147483647, "bigint": -9223372036854775806, "smallint": -32767, "tinyint": -127, "string": ""}
+        return self.properties.get("_FillValue", self.properties.get("missing_value", usual.get(dict(self.df.dtypes)[self.value])))
 
     def masked_where(self, condition: Query | Column) -> Cube:
         if isinstance(condition, Query):
@@ -233,7 +289,8 @@ class Cube:
     # --- subspaces --------------------------------------------------------------------------------------------------
 
     def subspace(self, mode: str = "compress", halo: int = 0, **conditions: Query | Column | slice | Sequence[int]) -> Cube:
-        """By conditions on axes; slices and lists are positions. Only compress renumbers the axes."""
+        """By conditions on axes (stored ones, columns, or functions of the coordinate's column); slices and lists are positions. Only
+        compress renumbers the axes."""
         out, selected, axes = self.df, {}, dict(self.axes)
         for identity, c in conditions.items():
             a = self.axis(identity)
@@ -242,6 +299,8 @@ class Cube:
                 table = reshape.take(a.table, "i", c if isinstance(c, slice) else list(c), a.size) if a.table is not None else None
                 axes[a.name] = replace(a, size=len(range(*c.indices(a.size))) if isinstance(c, slice) else len(c), table=table, period=None)
                 continue
+            if callable(c) and not isinstance(c, (Query, Column)):
+                c = c(F.col("coord"))
             if isinstance(c, Query) and a.units.is_reference_time:
                 c = c.column(self._axis_columns(a), a.units)
             rows = subspaces.select_positions(a.table, "i", c, a.units, period=a.period)

@@ -588,3 +588,22 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         streaming.append_to_field(streaming.read_events(spark, sf_dir).select("event_id", "value"), f"{place}/out", f"{place}/check").awaitTermination()
     return spark.read.parquet(f"{place}/out")
+
+
+@query("WITH " + _EVENTS + """, m AS (SELECT kind, day, CASE WHEN v <= 3300 THEN v END AS v FROM e), s AS (SELECT kind, count(v) AS hard, count(*) AS soft FROM m GROUP BY 1)
+SELECT kind, hard, soft, (SELECT count(*) FROM (SELECT DISTINCT day FROM e) WHERE day % 3 = 1) AS third, (SELECT max(day) + 1 FROM e)::DOUBLE AS upper, true AS same, 'day' AS axes FROM s""")
+def cube_masks_bounds_and_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a hard and a soft mask leave, a subspace by a function, bounds, digests and axes by their units."""
+    cube = _events_cube(spark, sf_dir)
+    day = cube.axis("day")
+    table = day.table.withColumns({"lower": F.col("coord") + 1.0, "upper": F.col("coord") * 1.0})
+    cube = Cube(cube.df, {**cube.axes, "day": Axis("day", day.size, table, Units.of("days"))}, "value", cube.units, cube.name)
+    masked = cube.masked_where(q.gt(3300, "kg"))
+    hard, soft = (m.where(F.col("value").isNull(), 1.0).collapse("sample_size", ["day"]).df for m in (masked.harden_mask(), masked.soften_mask()))
+    third = cube.subspace(day=lambda x: x % 3 == 1).axis("day").size
+    upper = cube.upper_bounds("day").agg(F.max("bound")).first()[0]
+    assert cube.lower_bounds("day").agg(F.min("bound")).first()[0] == 0 and cube.get_fill_value() > 9e36 and cube.persist().rechunk(3, ["day"]).df.rdd.getNumPartitions() <= 3
+    same = cube.rechunk(5).digest() == cube.digest()
+    axes = " ".join(a.name for a in cube.filter_axes(units="hours"))
+    rows = hard.withColumnRenamed("value", "hard").join(soft.withColumnRenamed("value", "soft"), "i_kind").join(cube.axis("kind").keyed().select("i_kind", F.col("coord").alias("kind")), "i_kind")
+    return rows.select("kind", "hard", "soft", F.lit(third).cast("long").alias("third"), F.lit(upper).cast("double").alias("upper"), F.lit(same).alias("same"), F.lit(axes).alias("axes"))

@@ -106,7 +106,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     ids: those of tiktoken's encode_ordinary for the rank file and pattern. ids_sha256: lowercase hex digest of
     the ids as little-endian unsigned 32-bit integers; decoded_sha256: of the bytes decoded from the ids. A null
     or empty text has no tokens. Rows that repeat an id, and null ids, have rows of their own. Other columns of
-    docs are not used, whatever their names. An empty table gives an empty result. chunk: pre-tokens that close a chunk;
+    docs are not used, whatever their names. A very long text is one chunk by itself, of any number of pre-tokens that a task holds.
+    Of equal ranks there are none in a vocabulary. An empty table gives an empty result. chunk: pre-tokens that close a chunk;
     smaller chunks take less memory and more disk.
     """
     spark = docs.sparkSession

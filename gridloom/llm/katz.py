@@ -597,7 +597,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     """One row per row of docs: doc_id, held_out (not train), n_tokens, n_known, train_tokens, base_score, score.
 
     order: words of an event of the longest kind, 2 or 3. The model learns from the rows whose boolean train_col is true (null: false). A null text is empty: one end
-    token. Rows that repeat an id are texts of their own and each counts. Without training rows every token has
+    token; a very long one is one chunk by itself, scored whole. Rows that repeat an id, or a text, are texts of their own and each counts. Without training rows every token has
     probability 1 for the one unseen class. Other columns aren't used, whatever their names. An empty table
     gives an empty result.
     """

@@ -28,7 +28,18 @@ def digitize(x: Column, edges: Sequence[float], upper: bool = False, open_ends:
         raise ValueError("bin edges must increase")
     if open_ends and closed_ends:
         raise ValueError("ends are open or closed, not both")
-    edges, last = F.array(*[F.lit(v) for v in e]), len(e) - 1
+    last = len(e) - 1
+    found = lambda k: F.lit(k if open_ends else k - 1 if 1 <= k <= last else None).cast("int")
+    if len(e) <= 64:
+        # One chain, in which every edge is tested once: repeated tests made a method too large to be compiled.
+        x = x.cast("double")
+        out = F.when(x.isNull() | F.isnan(x), F.lit(None).cast("int"))
+        if closed_ends:
+            out = out.when(x == e[0], found(1)).when(x == e[-1], found(last))
+        for k, edge in enumerate(e):
+            out = out.when(x <= edge if upper else x < edge, found(k))
+        return out.otherwise(found(len(e)))
+    edges = F.array(*[F.lit(v) for v in e])
 
     def bin_of(v: Column) -> Column:
         k = F.size(F.filter(edges, (lambda b: b < v) if upper else (lambda b: b <= v)))
@@ -37,7 +48,6 @@ def digitize(x: Column, edges: Sequence[float], upper: bool = False, open_ends:
         k = F.when(v.isNotNull() & ~F.isnan(v), k)
         return k if open_ends else F.transform(F.array(k), lambda n: F.when((n >= 1) & (n <= last), n - 1))[0]
 
-    # Bound once: repeated tests of every edge made a method too large to be compiled.
     return F.transform(F.array(x.cast("double")), bin_of)[0].cast("int")
 
 

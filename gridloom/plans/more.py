@@ -197,10 +197,10 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, list_filter([CASE WHEN p_size & 1 = 1 THEN 'odd' END, CASE WHEN (p_size & 6) = 4 THEN 'four' END, CASE WHEN p_size & 8 = 8 THEN 'eight' END], lambda x: x IS NOT NULL) AS meanings FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size & 1 = 1 THEN 'odd' END, CASE WHEN (p_size & 6) = 4 THEN 'four' END, CASE WHEN p_size & 8 = 8 THEN 'eight' END], lambda x: x IS NOT NULL), ',') AS meanings FROM part")
 def flag_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flags.Flags(("eight", "four", "odd"), values=(8, 4, 1), masks=(8, 6, 1)).sorted()
-    return _t(spark, sf_dir, "part").select("p_partkey", f.meanings_of(F.col("p_size")).alias("meanings"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(f.meanings_of(F.col("p_size")), ",").alias("meanings"))
 
 
 @query("SELECT true AS same, false AS shifted, true AS near, false AS fewer")

@@ -427,3 +427,53 @@ def test_more_of_cubes(cube, spark):
     full = Cube(cube.df.crossJoin(levels.df.select("i_z")), {**cube.axes, **levels.axes})
     p = full.with_vertical("atmosphere_sigma_coordinate", {"ptop": 10.0, "sigma": levels, "ps": cube})
     assert p.name == "air_pressure" and p.df.where("i_z = 1 AND i_lat = 2 AND i_lon = 3").first().value == 23 and p.df.where("i_z = 0").agg(F.max("value")).first()[0] == 10
+
+
+def test_bins_against_plain_python(spark):
+    import random
+
+    from gridloom.operators.binning import digitize
+
+    def plain(v, e, upper, open_ends, closed_ends):
+        if v is None or v != v:
+            return None
+        k, last = sum((b < v) if upper else (b <= v) for b in e), len(e) - 1
+        if closed_ends and v in (e[0], e[-1]):
+            k = 1 if v == e[0] else last
+        return k if open_ends else (k - 1 if 1 <= k <= last else None)
+
+    random.seed(4)
+    few, many = [0.0, 1.0, 2.5, 4.0], [k / 20 for k in range(81)]
+    values = [*(random.uniform(-1, 5) for _ in range(200)), *few, *many, float("nan"), None, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    options = [(e, u, o, c) for e in (few, many) for u in (False, True) for o, c in ((False, False), (True, False), (False, True))]
+    rows = df.select("k", *[digitize(F.col("x"), *a).alias(f"b{n}") for n, a in enumerate(options)]).collect()
+    for r in rows:
+        assert [r[f"b{n}"] for n in range(len(options))] == [plain(values[r.k], *a) for a in options]
+
+
+def test_cubes_of_other_coordinates_do_not_combine(spark):
+    from gridloom.operators.cube import Cube
+
+    df = spark.createDataFrame([(float(10 * k), float(k)) for k in range(8)], "lon double, v double")
+    c = Cube.from_table(df, {"lon": "lon"}, "v", "K")
+    part = c.subspace(lon=slice(2, 6))
+    with pytest.raises(ValueError, match="cells"):
+        c - part
+    with pytest.raises(ValueError, match="coordinates"):
+        c.subspace(lon=slice(0, 4)) - part
+    assert [r.value for r in (part - c.subspace(lon=slice(2, 6))).df.collect()] == [0.0] * 4
+    one = c.subspace(lon=slice(3, 4))
+    assert sorted(r.value for r in (c - one).df.collect()) == [k - 3.0 for k in range(8)] and (one - c).axis("lon").size == 8
+
+
+def test_moving_windows_go_on_beyond_the_ends(spark):
+    from gridloom.operators import windows
+
+    line = spark.createDataFrame([(k, float(k * k)) for k in range(6)], "i int, x double")
+    at = {"reflect": lambda j, n: -1 - j if j < 0 else 2 * n - 1 - j if j >= n else j, "mirror": lambda j, n: -j if j < 0 else 2 * (n - 1) - j if j >= n else j, "nearest": lambda j, n: min(max(j, 0), n - 1), "wrap": lambda j, n: j % n}
+    for mode, f in at.items():
+        got = {r.i: r.x for r in windows.moving_window(line, [], "i", "x", "sum", 5, mode=mode).collect()}
+        assert got == {i: float(sum(f(j, 6) ** 2 for j in range(i - 2, i + 3))) for i in range(6)}, mode
+    with pytest.raises(ValueError):
+        windows.moving_window(line, [], "i", "x", "sum", 3, mode="other")

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gridloom.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, katz, language_id, mixing, ngram_join, sharding, url_filter
+from gridloom.llm import bpe, chat, divergence, embedding_dedup, exact_dedup, filter_audit, katz, language_id, mixing, ngram_join, sharding, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,7 +13,8 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": katz.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_divergence": divergence.op12_divergence,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 #: Only queries that SQL can express have an entry; the others are tested against brute force in tests/llm.
-ORACLE = chat.ORACLE | ngram_join.ORACLE | url_filter.ORACLE | embedding_dedup.ORACLE | exact_dedup.ORACLE | filter_audit.ORACLE
+ORACLE = chat.ORACLE | ngram_join.ORACLE | url_filter.ORACLE | embedding_dedup.ORACLE | exact_dedup.ORACLE | divergence.ORACLE | filter_audit.ORACLE

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from gridloom.llm import bpe, chat, divergence, embedding_dedup, exact_dedup, filter_audit, katz, language_id, mixing, ngram_join, sharding, url_filter
+from gridloom.llm import bpe, chat, divergence, embedding_dedup, exact_dedup, filter_audit, katz, language_id, mixing, ngram_join, pii, sharding, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": katz.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_pii": pii.op11_pii,
     "op12_divergence": divergence.op12_divergence,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }

@@ -24,8 +24,8 @@ from gridloom.llm.common import written
 from gridloom.llm.packed import bounded_batches, give_back
 
 MIN_DOCS, TOP, SCALE = 3, 200, 10**9
-#: Code points of the terms of one automaton (about 60 bytes of memory each), and of a term that goes into one; longer terms are counted by themselves.
-AUTOMATON, LONGEST = 1 << 21, 256
+#: Code points of the terms of one pass (about 20 bytes of memory each), and of a term that goes into one; longer terms are counted by themselves.
+AUTOMATON, LONGEST = 1 << 23, 256
 #: Counters of a task are sent on when they have so many entries, or so many bytes of terms.
 ENTRIES, ENTRY_BYTES = 1 << 18, 1 << 25
 #: Bytes of a text that are split at a time, and sources in a block of pairs.
@@ -103,8 +103,9 @@ def automata(mark: str, terms: dict[str, list[str]]) -> dict:
 def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """docs (lang, source, text), kept (lang, term) -> (lang, source, term, n) with n > 0 occurrences, written.
 
-    The vocabulary goes to the tasks in parts of about half of AUTOMATON code points, one after the other: the driver
-    holds one part at a time. Terms over LONGEST code points aren't put into an automaton but counted as they come.
+    The vocabulary goes to the tasks in parts of AUTOMATON code points at most, one after the other: the driver holds one part at a time.
+    Languages share a part as far as they fit, a larger one is cut by hash into parts of about half as much; a pass reads the documents of
+    its part's languages only. Terms over LONGEST code points aren't put into an automaton but counted as they come.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -143,22 +144,36 @@ def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     sql = "lang string, source string, term string, n long"
     short = kept.where(F.length("term") <= LONGEST)
-    total = short.agg(F.sum(F.length("term") + 2)).first()[0] or 0
-    parts = 1 if total <= AUTOMATON else -(-2 * total // AUTOMATON)
     passes = []
-    for k in range(parts):
-        own = short if parts == 1 else short.where(F.pmod(F.xxhash64("lang", "term"), F.lit(parts)) == k)
+    for k, (langs, part, parts) in enumerate(_parts(short)):
+        own = short.where(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("lang", "term"), F.lit(parts)) == part))
         terms: dict[str, list[str]] = defaultdict(list)
-        for r in own.select("lang", "term").collect():  # bounded by AUTOMATON code points
+        for r in own.select("lang", "term").toLocalIterator():  # bounded by AUTOMATON code points
             terms[r[0]].append(r[1])
         shared = spark.sparkContext.broadcast(dict(terms))
-        one = docs.mapInArrow(counted(shared, f"{kept.written_path}/{k}/{parts}"), sql).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        one = docs.where(F.col("lang").isin(langs)).mapInArrow(counted(shared, f"{kept.written_path}/{k}"), sql).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
         passes.append(written(one, "postings"))
         shared.unpersist()
     if not kept.where(F.length("term") > LONGEST).isEmpty():
         found = docs.mapInArrow(longer, sql).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
         passes.append(written(found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "postings"))
-    return reduce(DataFrame.unionByName, passes)
+    return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], sql)
+
+
+def _parts(terms: DataFrame) -> Iterator[tuple[list[str], int, int]]:
+    """(languages, part, of how many): what each pass takes. Sizes come language by language, so that the driver holds one pass's names."""
+    langs, held = [], 0
+    for lang, size in terms.groupBy("lang").agg(F.sum(F.length("term") + 2)).orderBy("lang").toLocalIterator():
+        if size > AUTOMATON:
+            parts = -(-2 * size // AUTOMATON)
+            yield from (([lang], part, parts) for part in range(parts))
+            continue
+        if held + size > AUTOMATON:
+            yield langs, 0, 1
+            langs, held = [], 0
+        langs, held = [*langs, lang], held + size
+    if langs:
+        yield langs, 0, 1
 
 
 def _p(count: str, total: str, terms: str) -> Column:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from gridloom.plans import more, registry  # noqa: F401
+from gridloom.plans import grids, more, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -22,8 +22,8 @@ WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCKS, SUB_BLOCKS, OUT_SHARDS, SEED = 2048, 4096, 8, 90210
 #: Blocks of all sources together, besides one for each; rows of sources or blocks up to which a table is broadcast.
 MOST_BLOCKS, BROADCAST_ROWS = 1 << 17, 1 << 18
-#: A small source has fewer blocks, of about so many documents or more each (up to twice as many).
-DOCS_IN_BLOCK = 48
+#: A small source has fewer blocks, of about so many documents or more each (up to twice as many), and a small block fewer sub-blocks.
+DOCS_IN_BLOCK, DOCS_IN_SUB_BLOCK = 48, 64
 
 
 def _u(*parts) -> Column:
@@ -83,15 +83,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size: words of the text (null: 0). copies: one (pass, shard, key) for each time the mix takes the document,
     empty if never; shard is the output shard that drew the document's block in that pass and key the document's place in that
-    shard's local shuffle. Documents are taken whole, very long ones too. A source's taken words miss its target by half a
-    document at most, mostly by far less: of the part block, sub-blocks are taken as far as they fit, of the next one
-    documents in a hashed order as far as they fit, and one more that fills the rest best. Sources go by code point, null last, and get the weights
+    shard's local shuffle. Documents are taken whole, very long ones too. Of the block that is taken in part, sub-blocks are taken as far as
+    they fit, of the next one documents in a hashed order, each that still fits; then one is added, left out or exchanged if that comes nearer. A
+    source's taken words so miss its target by far less than half a document of middle size, unless the sub-block has hardly any. Sources go by code point, null last, and get the weights
     in turn. A document's block follows from its id and text: rows that repeat one of them are like any others, rows that repeat both
     share a block but are taken one by one; empty texts take part with size 0;
     an empty table gives an empty result; columns of the added names are replaced, others may have any name. Reruns agree.
 
     Tables per source and block have `blocks` rows for each source at most, those per block that all rows are joined with MOST_BLOCKS. Of the one block of a source that is taken in part,
-    ids, sizes and hashes are written, and only the 1/SUB_BLOCKS of it in which the cut falls is put in order.
+    ids, sizes and hashes are written, and only the sub-block in which the cut falls is put in order, as one list for each source: about 64 to 128
+    documents, more only from 2,048 x 4,096 x 64 documents of a source on.
     """
     added = ("size", "source_size", "target", "copies")
     own = [c for c in docs.columns if c.lower() not in added]
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Every column of docs is in one struct, so that no name can clash.
     rows = docs.select(F.struct(*map(named, own)).alias("row"), named(id_col).cast("long").alias("id"), named(source_col).alias("source"), named(text_col).alias("text"))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "id", "text"), 1))
-    rows = rows.withColumns({"size": word_count(F.col("text")), "hashed": (F.col("h") % blocks).cast("int"), "sub": (F.shiftright("h", 40) % SUB_BLOCKS).cast("int")})
+    rows = rows.withColumns({"size": word_count(F.col("text")), "hashed": (F.col("h") % blocks).cast("int")})
     counts = written(rows.groupBy("source", "hashed").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "blocks")
     sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n"))
     plan = targets(sizes.select("source", "source_size"), weights, share, most).join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -107,7 +108,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     # All sources together have MOST_BLOCKS blocks at most, besides one for each.
     total = F.sum("n").over(Window.partitionBy())
-    plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK), F.floor(F.col("n") / total * MOST_BLOCKS))).cast("int")).drop("n")
+    plan = plan.withColumn("many", F.greatest(F.lit(1), F.least(F.lit(blocks), F.floor(F.col("n") / DOCS_IN_BLOCK), F.floor(F.col("n") / total * MOST_BLOCKS))).cast("int"))
+    plan = plan.withColumn("subs", F.greatest(F.lit(1), F.least(F.lit(SUB_BLOCKS), F.floor(F.col("n") / F.col("many") / DOCS_IN_SUB_BLOCK))).cast("int")).drop("n")
     plan = written(plan, "plan")
     known = counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumn("block", F.pmod(F.col("hashed"), F.col("many")))
     joined = known.groupBy("source", "idx", "source_size", "target", "whole", "rest", "block").agg(F.sum("words").alias("words"))
@@ -122,8 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # A block is taken as often as shards drew it: what no shard has drawn isn't in the mix.
     placed = draws.join(dealt, ["idx", "j"]).groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", F.col("room").isNotNull().alias("part")))).alias("draws"), F.max("room").alias("room"))
     placed = written(placed.select("idx", "block", "draws", "room"), "placed")
-    known = _few(plan.select(F.col("source").alias("s"), "idx", "many", "source_size", "target"))
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("block", F.pmod(F.col("hashed"), F.col("many")))
+    known = _few(plan.select(F.col("source").alias("s"), "idx", "many", "subs", "source_size", "target"))
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    rows = rows.withColumns({"block": F.pmod(F.col("hashed"), F.col("many")), "sub": (F.shiftright("h", 40) % F.col("subs")).cast("int")})
     ends, listed = _cut(rows.join(_few(placed.where("room IS NOT NULL").select("idx", "block", "room")), ["idx", "block"]).select("idx", "id", "h", "sub", "size", "room"))
     placed = written(placed.join(ends, "idx", "left").withColumn("at", F.when(F.col("room").isNotNull(), F.col("at"))), "lookup")
     rows = rows.join(_few(placed), ["idx", "block"], "left")
@@ -151,28 +154,32 @@ def _few(table: DataFrame) -> DataFrame:
 def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (idx, id, h, sub, size, room) of the blocks that are taken in part -> (idx, at) and (idx, id, h, size, m, k), both written.
 
-    Sub-blocks before `at` are taken whole and those after it not. In it, documents are taken in a hashed order as far as they fit,
-    and one more that fills the rest best, if any does: k of m equal rows, listed if any.
+    Sub-blocks before `at` are taken whole and those after it not. In it, documents are taken in a hashed order, each that fits what is left; then
+    one more is taken, one left out, or one exchanged for another, if the words come nearer to the room: k of m equal rows, listed if any.
     """
     rows = written(rows.groupBy("idx", "room", "sub", "id", "h", "size").agg(F.count("*").alias("m")), "part")
     subs = rows.groupBy("idx", "room", "sub").agg(F.sum(F.col("size") * F.col("m")).alias("words"))
     subs = subs.withColumn("end", F.sum("words").over(Window.partitionBy("idx").orderBy("sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     first = subs.where(F.col("end") > F.col("room")).groupBy("idx").agg(F.min(F.struct("sub", (F.col("room") - F.col("end") + F.col("words")).alias("left"))).alias("e"))
     ends = written(first.select("idx", F.col("e.sub").alias("at"), F.col("e.left").alias("left")), "ends")
-    order = Window.partitionBy("idx").orderBy(_u("h", F.lit("cut")), "h", "id", "size")
-    part = rows.join(ends, "idx").where(F.col("sub") == F.col("at"))
-    part = part.withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("m")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    room = F.col("left") - F.col("start")
-    part = part.withColumn("k", F.when(room < 0, F.lit(0)).otherwise(F.when(F.col("size") == 0, F.col("m")).otherwise(F.least("m", F.floor(room / F.col("size"))))))
-    source = Window.partitionBy("idx")
-    # Once a document is too large, smaller ones after it wait, so that the taken ones are a run of the order.
-    stop = F.min(F.when(F.col("k") < F.col("m"), F.col("start"))).over(source)
-    part = part.withColumn("k", F.when(stop.isNotNull() & (F.col("start") > stop), F.lit(0)).otherwise(F.col("k")))
-    free = F.col("left") - F.sum(F.col("size") * F.col("k")).over(source)
-    miss = F.abs(free - F.col("size"))
-    best = F.min(F.when((F.col("k") < F.col("m")) & (miss < free), F.struct(miss.alias("miss"), "h", "id", "size"))).over(source)
-    chosen = F.coalesce((best["h"] == F.col("h")) & best["id"].eqNullSafe(F.col("id")) & (best["size"] == F.col("size")), F.lit(False))
-    part = part.select("idx", "id", "h", "size", "m", (F.col("k") + F.when(chosen, 1).otherwise(0)).cast("long").alias("k"))
+    one = F.struct(_u("h", F.lit("cut")).alias("u"), "h", "id", "size", "m")
+    part = rows.join(ends, "idx").where(F.col("sub") == F.col("at")).groupBy("idx", "left").agg(F.sort_array(F.collect_list(one)).alias("docs"))
+
+    def fit(acc: Column, d: Column) -> Column:
+        k = F.when(d["size"] == 0, d["m"]).otherwise(F.least(d["m"], F.floor(acc["free"] / d["size"])))
+        return F.struct((acc["free"] - k * d["size"]).alias("free"), F.concat(acc["ks"], F.array(k)).alias("ks"))
+
+    part = part.withColumn("fit", F.aggregate("docs", F.struct(F.col("left").alias("free"), F.array().cast("array<bigint>").alias("ks")), fit))
+    part = part.select("idx", F.col("fit.free").alias("free"), F.zip_with("docs", "fit.ks", lambda d, k: F.struct(d["h"].alias("h"), d["id"].alias("id"), d["size"].alias("size"), d["m"].alias("m"), k.alias("k"))).alias("docs"))
+    sizes = lambda which: F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.transform(F.filter("docs", which), lambda d: d["size"])))
+    part = part.withColumns({"more": sizes(lambda d: d["k"] < d["m"]), "fewer": sizes(lambda d: d["k"] > 0)})
+    changes = F.flatten(F.transform("more", lambda a: F.transform("fewer", lambda b: F.struct(F.abs(F.col("free") - a + b).alias("miss"), a.alias("a"), b.alias("b")))))
+    part = part.withColumn("best", F.array_min(changes))
+    place = lambda which: F.array_position(F.transform("docs", which), True)
+    part = part.withColumns({"added": place(lambda d: (d["size"] == F.col("best.a")) & (d["k"] < d["m"]) & (d["size"] > 0)), "gone": place(lambda d: (d["size"] == F.col("best.b")) & (d["k"] > 0) & (d["size"] > 0))})
+    part = part.select("idx", "added", "gone", F.posexplode("docs").alias("at", "d"))
+    turn = lambda c: F.when(F.col(c) == F.col("at") + 1, 1).otherwise(0)
+    part = part.select("idx", "d.id", "d.h", "d.size", "d.m", (F.col("d.k") + turn("added") - turn("gone")).cast("long").alias("k"))
     return ends.drop("left"), written(part.where("k > 0"), "cut")
 
 

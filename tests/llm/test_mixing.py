@@ -65,6 +65,21 @@ def test_splitting_tree_keeps_every_block(spark):
     assert F is not None
 
 
+def test_targets_are_met_within_half_a_median_document(spark):
+    """All of the documents table: every source, by far, and reruns in another order agree."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    rows = mix(docs).collect()
+    median = sorted(r.size for r in rows)[len(rows) // 2]
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r.source] += r.size
+        taken[r.source] += r.size * len(r.copies)
+    want = targets(sizes)
+    assert max(abs(taken[s] - want[s]) for s in sizes) < median / 2 and all(len(r.copies) <= 2 for r in rows)
+    again = {r.doc_id: r.copies for r in mix(docs.repartition(5)).collect()}
+    assert all(again[r.doc_id] == r.copies for r in rows)
+
+
 def plain_targets_met(rows, want):
     for source in want:
         own = [r for r in rows if r.source == source]
@@ -91,32 +106,35 @@ def test_taken_against_a_plain_mix(spark):
         whole = int(want[source] / sizes[source] + 1e-9)
         expect = {r.doc_id: [*range(whole)] for r in own}
         room = want[source] - whole * sizes[source]
+        subs = max(1, min(mixing.SUB_BLOCKS, len(own) // many // mixing.DOCS_IN_SUB_BLOCK))
         for b in sorted(set(block.values()), key=lambda b: order[idx, b, whole]):
-            docs_in = sorted((r for r in own if block[r.doc_id] == b), key=lambda r: ((r.h >> 40) % mixing.SUB_BLOCKS, r.u))
+            docs_in = [r for r in own if block[r.doc_id] == b]
             if room <= 0.5:
                 break
-            if sum(size[r.doc_id] for r in docs_in) <= room:
-                taken = docs_in
-            else:
-                taken, left, stop = [], [], None
-                for r in docs_in:
-                    sub = (r.h >> 40) % mixing.SUB_BLOCKS
-                    if stop is not None and sub != stop:
-                        break
-                    if stop is not None or size[r.doc_id] > room:
-                        stop = sub
-                        left.append(r)
-                        continue
-                    taken.append(r)
-                    room -= size[r.doc_id]
-                rest = [r for r in left if abs(room - size[r.doc_id]) < room]
-                if rest:
-                    taken.append(min(rest, key=lambda r: (abs(room - size[r.doc_id]), r.h)))
+            taken = []
+            for sub in range(subs):
+                part = sorted((r for r in docs_in if (r.h >> 40) % subs == sub), key=lambda r: r.u)
+                words = sum(size[r.doc_id] for r in part)
+                if words <= room:
+                    taken += part
+                    room -= words
+                    continue
+                chosen = []
+                for r in part:
+                    if size[r.doc_id] <= room:
+                        chosen.append(r)
+                        room -= size[r.doc_id]
+                rest = [r for r in part if r not in chosen]
+                _, more, fewer = min((abs(room - x + y), x, y) for x in {0, *(size[r.doc_id] for r in rest)} for y in {0, *(size[r.doc_id] for r in chosen)})
+                if more:
+                    rest = next(r for r in rest if size[r.doc_id] == more)
+                if fewer:
+                    chosen.remove(next(r for r in chosen if size[r.doc_id] == fewer))
+                taken += chosen + [rest] * (more > 0)
                 room = 0
+                break
             for r in taken:
                 expect[r.doc_id].append(whole)
-            if room:
-                room -= sum(size[r.doc_id] for r in taken)
         assert {r.doc_id: got[r.doc_id] for r in own} == expect
 
 

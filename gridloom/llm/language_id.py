@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.packed import bounded_batches
 
@@ -152,7 +153,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     `sample` with the most texts are learned. The driver gets sample x SAMPLE_WINDOWS x WINDOW characters at most, whatever the rows
     are; very long texts give windows from all over them, and ties of the hash are one text.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("text")), 11).cast("double") / F.lit(float(1 << 53))
     # Texts are counted to within a few hundredths; twice the share goes on, of which the least draws are taken.
     counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
@@ -175,20 +176,22 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 def predict(docs: DataFrame, model: Folded | None, text_col: str = "text") -> DataFrame:
     """Add lang_pred (a learned language; `und` for a text that is null or has no letter) and score (0 to 1; 0 for `und`).
 
-    Every window of the whole text counts. Without a model all is `und`. Rows are judged one by one; columns of the
-    added names are replaced; an empty table gives an empty result.
+    Every window of the whole text counts, long texts in parts. Without a model all is `und`. Of languages with the same probability the
+    first by name is taken. Rows are judged one by one, repeated ones alike; columns of the added names are replaced, others may have any name;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.drop("lang_pred", "score")
+    # Every column of docs is in one struct, so that no name can clash.
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*own).alias("row"))
+    at = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")].index(text_col)
     shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(0).field(at).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if net is not None:
                 own = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
@@ -204,11 +207,10 @@ def predict(docs: DataFrame, model: Folded | None, text_col: str = "text") -> Da
                         for j, k in zip(part, best):
                             lang[j] = net.languages[k]
                         part, held = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], names=[*batch.schema.names, *schema.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kinds = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, kinds).select("row.*", "lang_pred", "score")
 
 
 def crc_rest(id_col: str, modulus: int):

@@ -73,5 +73,9 @@ def test_odd_rows(spark):
     assert all(r.lang_pred == r.lang for r in rows if r.doc_id is not None and r.doc_id < 90)
     assert [r.lang_pred for r in rows if r.doc_id in (90, 91, 92)] == ["und"] * 3
     assert [r.lang_pred for r in rows if r.doc_id is None] == ["en"]
+    named = df.selectExpr("*", "1 as `a.b`", "2 as Lang_Pred", "3 as `row`", "4 as `__v`")
+    out = predict(named, model)
+    assert out.columns == ["doc_id", "text", "lang", "a.b", "row", "__v", "lang_pred", "score"]
+    assert [r.lang_pred for r in out.where("doc_id < 90").collect()] == [r.lang_pred for r in predict(df, model).where("doc_id < 90").collect()]
     assert train(df.limit(0)) is None
     assert {r.lang_pred for r in predict(df, None).collect()} == {"und"} and predict(df.limit(0), model).count() == 0

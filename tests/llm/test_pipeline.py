@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_one_by_one(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as score", "2 as room")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as score", "2 as room", "3 as `a.b`", "4 as __dropped", "5 as dropped", "6 as copy", "7 as Size", "8 as own_0", "9 as row", "10 as `Lang_Pred`", "11 as ids")
     junk = spark.createDataFrame([(10**6, None), (10**6 + 1, "!!! 42")], "doc_id long, text string")
     docs = docs.unionByName(junk, allowMissingColumns=True)
     before, counts = docs, []

@@ -22,11 +22,19 @@ from gridloom.llm.ngram_join import near_duplicate_components
 MIN_SCORE = 0.35
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _shielded(docs: DataFrame, added: list[str], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """apply(docs) with the columns of docs only, those that are named as an added column included."""
-    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in added}
+    own = {c: _unused(docs, f"own_{k}") for k, c in enumerate(docs.columns) if c.lower() in added}
     out = apply(docs.withColumnsRenamed(own))
-    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+    return out.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,20 +50,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the least id stays."""
-    found = near_duplicate_components(docs.select("doc_id", "text"))
-    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    found, gone = near_duplicate_components(docs.select("doc_id", "text")), _unused(docs, "dropped")
+    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
+    return docs.join(dropped, docs["doc_id"] == dropped[gone], "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in their target shares: a document comes as often as the mix takes it. Each written file holds documents of one
     output shard in the order of that shard's shuffle; a shard lies in as many files as its key's range is cut into."""
     def apply(d: DataFrame) -> DataFrame:
-        rows = mix(d).withColumn("__copy", F.explode("copies"))
+        copy = _unused(d, "copy")
+        rows = mix(d).withColumn(copy, F.explode("copies"))
         ranges = -(-partitions(spark) // OUT_SHARDS)
-        place = F.floor((F.col("__copy.key").cast("double") / 2.0**64 + 0.5) * ranges)
-        part = F.col("__copy.shard") * ranges + F.least(place, F.lit(ranges - 1))
-        return rows.repartitionById(OUT_SHARDS * ranges, part.cast("int")).sortWithinPartitions("__copy.shard", "__copy.key")
+        place = F.floor((F.col(f"{copy}.key").cast("double") / 2.0**64 + 0.5) * ranges)
+        part = F.col(f"{copy}.shard") * ranges + F.least(place, F.lit(ranges - 1))
+        return rows.repartitionById(OUT_SHARDS * ranges, part.cast("int")).sortWithinPartitions(f"{copy}.shard", f"{copy}.key")
 
     return _shielded(docs, ["size", "source_size", "target", "copies"], apply)
 

@@ -539,3 +539,49 @@ def regrid(df: DataFrame, by: Sequence[str], value: str, src: CellGrid, dst: Cel
     if by:
         cells = df.select(*by).distinct().crossJoin(cells)
     return cells.join(got, [*by, index], "left")
+
+
+def level_weights(flat: DataFrame, levels: DataFrame, heights: DataFrame, ln_z: bool = False) -> DataFrame:
+    """(dst, src, w) between cells, levels (k, z), or (cell, k, z) where they differ by cell, heights (cell, z) of the destination's places ->
+    (dst, src, k, w): each weight dealt out to the two levels around the place's height, one if it is on a level.
+
+    Between two neighbours in z weights are linear in z, or with ln_z in its logarithm (of pressures). A place above or below the levels of a cell gets
+    no weight from it, nor does one without a height. Levels come as one sorted list, in all or for each cell.
+    """
+    scaled = (lambda z: F.log(z)) if ln_z else (lambda z: z)
+    both = heights.where(F.col("z").isNotNull()).select(F.col("cell").alias("dst"), scaled(F.col("z").cast("double")).alias("at"))
+    listed = F.array_sort(F.collect_list(F.struct(scaled(F.col("z").cast("double")).alias("z"), "k"))).alias("levels")
+    there = levels.where(F.col("z").isNotNull())
+    rows = flat.join(both, "dst")
+    if "cell" in levels.columns:
+        rows = rows.join(there.groupBy(F.col("cell").alias("src")).agg(listed), "src")
+    else:
+        rows = rows.crossJoin(F.broadcast(there.agg(listed)))  # one row
+    n = F.size("levels")
+    spans = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.col("levels")[i].alias("a"), F.col("levels")[i + 1].alias("b")))
+    around = F.when(n > 1, F.get(F.filter(spans, lambda s: (s["a"]["z"] <= F.col("at")) & (F.col("at") <= s["b"]["z"])), F.lit(0)))
+    share = (F.col("at") - F.col("s.a.z")) / (F.col("s.b.z") - F.col("s.a.z"))
+    rows = _held(rows, s=around).where("s IS NOT NULL AND s.a.z < s.b.z").withColumn("share", share)
+    ends = F.array(F.struct(F.col("s.a.k").alias("k"), (F.col("w") * (1 - F.col("share"))).alias("w")), F.struct(F.col("s.b.k").alias("k"), (F.col("w") * F.col("share")).alias("w")))
+    return rows.select("dst", "src", F.explode(ends).alias("e")).select("dst", "src", "e.k", "e.w").where("w <> 0")
+
+
+def regrid_levels(df: DataFrame, by: Sequence[str], value: str, src: CellGrid, dst: CellGrid, levels: DataFrame, heights: DataFrame, method: str = "linear", ln_z: bool = False, index: str = "cell", level: str = "k") -> DataFrame:
+    """Rows (by…, index, level, value) of a grid with levels -> a value at each destination place's height (trajectories, profiles, soundings).
+
+    Horizontal weights are those of `method` (linear, patch or nearest_stod), vertical ones linear in the height or its logarithm. A result is missing if
+    any value with a weight is, or if a corner's levels don't reach the place's height. Weights meet the values by cell and level; partial sums
+    are combined before they are shuffled by place.
+    """
+    if method not in ("linear", "bilinear", "patch", "nearest_stod"):
+        raise ValueError(f"method {method!r} can't be used between levels")
+    flat = operator(src, dst, method, index).weights[index]
+    table = level_weights(flat, levels, heights, ln_z).select("dst", F.col("src").alias(index), F.col("k").alias(level), "w")
+    values = df.select(*by, index, level, F.col(value).cast("double").alias("__v"))
+    sums = values.join(table, [index, level]).groupBy(*by, F.col("dst").alias(index)).agg(F.sum(F.col("__v") * F.col("w")).alias("__n"), F.sum(F.when(F.col("__v").isNotNull(), F.col("w"))).alias("__d"))
+    # All weights of a place add up to 1: less is a value, a level or a corner that isn't there.
+    got = sums.select(*by, index, F.when(F.abs(F.col("__d") - 1) < 1e-9, F.col("__n")).alias(value))
+    cells = dst.points.select(F.col("cell").alias(index))
+    if by:
+        cells = df.select(*by).distinct().crossJoin(cells)
+    return cells.join(got, [*by, index], "left")

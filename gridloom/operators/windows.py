@@ -1,7 +1,8 @@
 """Operators along one axis: running sums, differences, filters, moving windows, derivatives and cyclic shifts.
 
 Rows are cells; `index` is the dense zero-based position along the axis and `by` the other axes, which keep the work
-apart: each line of cells along the axis is one window partition.
+apart. A long line is cut into blocks of BLOCK positions: frames see the cells of their neighbours' ends as copies, running sums carry
+the sums of the blocks before. So a field of one axis is no single window.
 """
 
 from __future__ import annotations
@@ -12,15 +13,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Positions of a line that one window partition holds.
+BLOCK = 1 << 16
+
 
 def _line(by: Sequence[str], index: str):
     return Window.partitionBy(*by).orderBy(index)
 
 
+def _blocks(df: DataFrame, index: str, before: int = 0, after: int = 0) -> DataFrame:
+    """Add __blk, the block of a position, and __here: false for copies of cells that frames of `before` and `after` positions in other blocks
+    reach. Blocks are longer where frames are, so that copies stay few."""
+    length, at = max(BLOCK, 8 * (before + after)), F.col(index)
+    own = F.floor(at / length)
+    if not before and not after:
+        return df.withColumns({"__blk": own, "__here": F.lit(True)})
+    return df.withColumn("__blk", F.explode(F.sequence(F.floor((at - after) / length), F.floor((at + before) / length)))).withColumn("__here", F.col("__blk") == own)
+
+
+def _joined(df: DataFrame, by: Sequence[str], table: DataFrame) -> DataFrame:
+    """df with the columns of a table that has one row for each line, or one row in all; null keys meet."""
+    if not by:
+        return df.crossJoin(F.broadcast(table))  # one row
+    own = table.withColumnsRenamed({k: f"__by_{n}" for n, k in enumerate(by)})
+    on = [F.col(k).eqNullSafe(F.col(f"__by_{n}")) for n, k in enumerate(by)]
+    return df.join(own, on).drop(*[f"__by_{n}" for n in range(len(by))])
+
+
 def cumsum(df: DataFrame, by: Sequence[str], index: str, value: str, masked_as_zero: bool = False) -> DataFrame:
-    """Running sum; a missing cell is skipped and stays missing, or counts as 0 with masked_as_zero."""
-    total = F.sum(F.coalesce(F.col(value), F.lit(0)) if masked_as_zero else F.col(value)).over(_line(by, index).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(value, total if masked_as_zero else F.when(F.col(value).isNotNull(), total))
+    """Running sum; a missing cell is skipped and stays missing, or counts as 0 with masked_as_zero. The positions needn't be dense."""
+    rows = _blocks(df, index).drop("__here")
+    sums = rows.groupBy(*by, "__blk").agg(F.sum(value).alias("__sum"))
+    # One row for each block of a line.
+    before = F.sum("__sum").over(_line(by, "__blk").rowsBetween(Window.unboundedPreceding, -1))
+    rows = _joined(rows, [*by, "__blk"], sums.select(*by, "__blk", F.coalesce(before, F.lit(0)).alias("__before")))
+    inside = F.coalesce(F.sum(value).over(_line([*by, "__blk"], index).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    total = inside + F.col("__before")
+    return rows.withColumn(value, total if masked_as_zero else F.when(F.col(value).isNotNull(), total)).select(*df.columns)
 
 
 def diff(df: DataFrame, by: Sequence[str], index: str, value: str, n: int = 1) -> DataFrame:
@@ -29,51 +58,52 @@ def diff(df: DataFrame, by: Sequence[str], index: str, value: str, n: int = 1) -
         raise ValueError("n is not negative")
     if n == 0:
         return df
-    w = _line(by, index)
+    w = _line([*by, "__blk"], index)
     terms = F.lit(0.0)
     for k in range(n + 1):
         terms = terms + (-1) ** (n - k) * math.comb(n, k) * F.lead(value, k).over(w)
-    last = F.max(index).over(Window.partitionBy(*by))
-    return df.withColumns({value: terms, "__last": last}).where(F.col(index) <= F.col("__last") - n).drop("__last")
-
-
-def _neighbour(df: DataFrame, by: Sequence[str], index: str, value: str, offset: int, mode: str, cval: float | None) -> Column:
-    """The value `offset` cells on, with the edge treated by mode; needs the column __n (cells of the line)."""
-    w = _line(by, index)
-    if offset == 0:
-        return F.col(value)
-    inside = F.lead(value, offset).over(w) if offset > 0 else F.lag(value, -offset).over(w)
-    at = F.col(index) + offset
-    out_of = (at < 0) | (at >= F.col("__n"))
-    whole = Window.partitionBy(*by).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if mode == "constant":
-        edge = F.lit(None if cval is None else float(cval)).cast("double")
+    rows = _blocks(df, index, after=n).withColumns({value: terms, "__last": F.lead(index, n).over(w)})
+    return rows.where(F.col("__here") & F.col("__last").isNotNull()).select(*df.columns)
+
+
+def _extended(df: DataFrame, by: Sequence[str], index: str, depth: int, mode: str) -> DataFrame:
+    """df and copies of its cells at up to `depth` positions beyond either end of the line, as mode has them; __own is false for these."""
+    rows, i, n = size_of(df, by, index), F.col(index), F.col("__n")
+
+    def every(base: Column, period: Column) -> Column:
+        """base + k x period, from -depth to n - 1 + depth."""
+        low, high = F.ceil((-depth - base) / period), F.floor((n - 1 + depth - base) / period)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda k: base + k * period)).otherwise(F.array().cast("array<bigint>"))
+
+    i = i.cast("long")
+    if mode == "wrap":
+        at = every(i, n)
+    elif mode == "reflect":
+        at = F.concat(every(i, 2 * n), every(-1 - i, 2 * n))
     elif mode == "nearest":
-        edge = F.when(at < 0, F.first(value).over(whole)).otherwise(F.last(value).over(whole))
+        at = F.sequence(F.when(i == 0, -depth).otherwise(i), F.when(i == n - 1, i + depth).otherwise(i))
     else:
-        n = F.col("__n")
-        if mode == "wrap":
-            to = F.pmod(at, n)
-        elif mode == "reflect":
-            r = F.pmod(at, 2 * n)
-            to = F.when(r < n, r).otherwise(2 * n - 1 - r)
-        else:
-            raise ValueError(f"mode {mode!r} is not one of constant, nearest, reflect, wrap")
-        # Only cells at most |offset| from either end are looked up.
-        reach = abs(offset)
-        ends = F.collect_list(F.when((F.col(index) < reach) | (F.col(index) >= n - reach), F.struct(F.col(index).alias("i"), F.col(value).alias("x")))).over(whole)
-        edge = F.element_at(F.filter(ends, lambda e: e["i"] == to), 1)["x"]
-    return F.when(out_of, edge).otherwise(inside)
+        raise ValueError(f"mode {mode!r} is not one of constant, nearest, reflect, wrap")
+    out = rows.withColumn("__at", F.explode(at))
+    return out.withColumns({"__own": F.col("__at") == F.col(index), index: F.col("__at")}).drop("__at", "__n")
 
 
 def convolution_filter(df: DataFrame, by: Sequence[str], index: str, value: str, window: Sequence[float], mode: str = "wrap", cval: float | None = None, origin: int = 0) -> DataFrame:
     """Convolution with the window's weights (the window is flipped). A missing cell in the window, or a constant edge without
     cval, makes the result missing."""
-    k, rows = len(window), df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    total = F.lit(0.0)
-    for j, weight in enumerate(reversed(list(window))):
-        total = total + float(weight) * _neighbour(rows, by, index, value, j - k // 2 + origin, mode, cval)
-    return rows.withColumn(value, total).drop("__n")
+    offsets = [j - len(window) // 2 + origin for j in range(len(window))]
+    before, after = max(0, -min(offsets, default=0)), max(0, *offsets, 0)
+    rows = df.withColumn("__own", F.lit(True)) if mode == "constant" else _extended(df, by, index, max(before, after), mode)
+    rows = _blocks(rows, index, before, after)
+    w, total = _line([*by, "__blk"], index), F.lit(0.0)
+    outside = F.lit(None if cval is None else float(cval)).cast("double")
+    for offset, weight in zip(offsets, reversed(list(window))):
+        x = F.lead(value, offset).over(w)
+        if mode == "constant":
+            x = F.when(F.lead(index, offset).over(w).isNull(), outside).otherwise(x)
+        total = total + float(weight) * x
+    kind = df.schema[index].dataType
+    return rows.withColumn("__out", total).where("__here AND __own").withColumns({value: F.col("__out"), index: F.col(index).cast(kind)}).select(*df.columns)
 
 
 def moving_window(df: DataFrame, by: Sequence[str], index: str, value: str, method: str, size: int, weights: str | None = None, mode: str = "constant", origin: int = 0) -> DataFrame:
@@ -86,20 +116,19 @@ def moving_window(df: DataFrame, by: Sequence[str], index: str, value: str, meth
         raise ValueError("an integral needs weights")
     left = size // 2
     lo, hi = -left + origin, size - 1 - left + origin
-    rows = df if mode == "constant" else halo(df, by, index, max(-lo, hi, 0), mode=mode)
-    frame = _line(by, index).rowsBetween(lo, hi)
+    rows = df.withColumn("__own", F.lit(True)) if mode == "constant" else halo(df, by, index, max(-lo, hi, 0), mode=mode)
+    rows = _blocks(rows, index, max(-lo, 0), max(hi, 0))
+    frame = _line([*by, "__blk"], index).rowsBetween(lo, hi)
     w = F.lit(1.0) if weights is None or method == "sum" else F.col(weights)
     top = F.sum(F.col(value) * w).over(frame)
     out = top if method != "mean" else F.try_divide(top, F.sum(F.when(F.col(value).isNotNull(), w)).over(frame))
     none_missing = F.count(value).over(frame) == F.count(F.lit(1)).over(frame)
-    rows = rows.withColumn("__out", F.when(none_missing, out))
-    if mode != "constant":
-        rows = rows.where("__own").drop("__own")
+    rows = rows.withColumn("__out", F.when(none_missing, out)).where("__here AND __own")
     return rows.drop(value).withColumnRenamed("__out", value).select(*df.columns)
 
 
 def derivative(df: DataFrame, by: Sequence[str], index: str, value: str, coord: str, wrap: bool = False, period: float | None = None, one_sided_at_boundary: bool = False, out: str | None = None) -> DataFrame:
-    """Centred difference quotient; at the ends missing, one-sided, or across the seam of a cyclic axis."""
+    """Centred difference quotient; at the ends missing, one-sided, or across the seam of a cyclic axis (whose line is one window)."""
     w, out = _line(by, index), out or value
     if wrap:
         if period is None:
@@ -108,12 +137,13 @@ def derivative(df: DataFrame, by: Sequence[str], index: str, value: str, coord:
         before = lambda c, shift: F.coalesce(F.lag(c).over(w), F.when(F.lag(index).over(w).isNull(), F.last(c).over(whole) - shift))
         after = lambda c, shift: F.coalesce(F.lead(c).over(w), F.when(F.lead(index).over(w).isNull(), F.first(c).over(whole) + shift))
         return df.withColumn(out, F.try_divide(after(value, 0) - before(value, 0), after(coord, period) - before(coord, period)))
+    rows, w = _blocks(df, index, 1, 1), _line([*by, "__blk"], index)
     x0, x1, c0, c1 = F.lag(value).over(w), F.lead(value).over(w), F.lag(coord).over(w), F.lead(coord).over(w)
-    centred = F.try_divide(x1 - x0, c1 - c0)
-    if not one_sided_at_boundary:
-        return df.withColumn(out, centred)
-    here, at = F.col(value), F.col(coord)
-    return df.withColumn(out, F.when(c0.isNull(), F.try_divide(x1 - here, c1 - at)).when(c1.isNull(), F.try_divide(here - x0, at - c0)).otherwise(centred))
+    quotient = F.try_divide(x1 - x0, c1 - c0)
+    if one_sided_at_boundary:
+        here, at = F.col(value), F.col(coord)
+        quotient = F.when(c0.isNull(), F.try_divide(x1 - here, c1 - at)).when(c1.isNull(), F.try_divide(here - x0, at - c0)).otherwise(quotient)
+    return rows.withColumn("__out", quotient).where("__here").withColumn(out, F.col("__out")).drop("__out", "__blk", "__here")
 
 
 EARTH = 6371229.0
@@ -162,7 +192,8 @@ def relative_vorticity(df: DataFrame, by: Sequence[str], ix: str, iy: str, x: st
 
 
 def size_of(df: DataFrame, by: Sequence[str], index: str) -> DataFrame:
-    return df.withColumn("__n", F.max(index).over(Window.partitionBy(*by)) + 1)
+    """Add __n, the cells of each line."""
+    return _joined(df, by, df.groupBy(*by).agg((F.max(index) + 1).alias("__n")))
 
 
 def roll(df: DataFrame, index: str, shift: int, size: int) -> DataFrame:

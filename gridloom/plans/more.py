@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
+import os
 import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +15,10 @@ from gridloom.operators import catalog, collapse as c, combine, healpix, regrid
 from gridloom.operators.cube import Axis, Cube
 from gridloom.plans.registry import _DAILY, _daily, _rounded, _size, _t, query
 from gridloom.sources import compressed, netcdf3, zarr
+from gridloom.sources.folders import as_file, new_folder
 from gridloom.streaming import windows as streaming
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads again: in spark.checkpoint.dir if that is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/').removeprefix('file://')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"gridloom-{name}-")
-
-
 # --- conditions -----------------------------------------------------------------------------------------------------
 
 
@@ -203,12 +194,18 @@ def flag_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(f.meanings_of(F.col("p_size")), ",").alias("meanings"))
 
 
-@query("SELECT true AS same, false AS shifted, true AS near, false AS fewer")
+@query("""WITH e AS (SELECT event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, value AS v FROM events), d AS (SELECT event_type, day, sum(v) AS v FROM e GROUP BY ALL), o AS (SELECT day, sum(v) AS v FROM e WHERE event_type = 'click' GROUP BY 1),
+b AS (SELECT d.event_type, d.v AS x, o.v AS y FROM d FULL JOIN o ON d.day = o.day)
+SELECT event_type, count(y) = (SELECT count(*) FROM o) AND bool_and(x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 1e-9) AS same, count(y) = (SELECT count(*) FROM o) AND bool_and(x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 0.2 * abs(y)) AS near, count(y) = (SELECT count(*) FROM o) AND bool_and(x IS NOT NULL AND y IS NOT NULL AND abs(x - y) <= 1000000.0) AS far
+FROM b WHERE event_type IS NOT NULL GROUP BY 1""")
 def close_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, _ = _grid(spark, sf_dir)
-    test = lambda other, **o: combine.allclose(df, other, ["y", "x"], "v", **o)
-    moved = df.withColumn("v", F.col("v") + 0.5)
-    return spark.createDataFrame([(test(df), test(moved), test(moved, atol=1.0), test(df.where("x < 19")))], "same boolean, shifted boolean, near boolean, fewer boolean")
+    """Each kind's daily sums against those of clicks, within three tolerances."""
+    e = _t(spark, sf_dir, "events").select("event_type", F.datediff("ts", F.lit("2024-01-01")).alias("day"), "value")
+    daily = e.groupBy("event_type", "day").agg(F.sum("value").alias("v"))
+    clicks = daily.where("event_type = 'click'").select("day", "v")
+    tolerances = {"same": (0.0, 1e-9), "near": (0.2, 0.0), "far": (0.0, 1e6)}
+    found = [(k, *(combine.allclose(daily.where(F.col("event_type") == k).select("day", "v"), clicks, ["day"], "v", rtol=r, atol=a) for r, a in tolerances.values())) for k in (r[0] for r in e.select("event_type").distinct().collect())]
+    return spark.createDataFrame(found, "event_type string, same boolean, near boolean, far boolean")
 
 
 # --- weights and geometry -------------------------------------------------------------------------------------------
@@ -226,17 +223,17 @@ def bounds_and_cell_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, round(radians(p_size) * 4, 6) AS triangle, round(radians(p_size) * 2 * 4, 6) AS lune, round(radians(p_size) * 2 * sin(radians(p_size % 10 + 1)), 6) AS box FROM part""")
+SELECT p_partkey, round(radians(p_size) * 4, 6) AS triangle, round(radians(p_size) * 2 * 4, 6) AS lune, round(radians(p_size) * 2 * 4, 6) AS halves, round(radians(p_size) * 2 * sin(radians(p_size % 10 + 1)), 6) AS box FROM part""")
 def spherical_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On a sphere of radius 2: a triangle with a corner at the pole, two of these about the equator, and a box by latitudes and longitudes."""
+    """On a sphere of radius 2: a triangle with a corner at the pole, a lune from pole to pole, the sum of its halves, and a box by latitudes and longitudes."""
     a, zero, pole = F.col("p_size").cast("double"), F.lit(0.0), F.lit(90.0)
     north = weights.spherical_polygon_area(F.array(zero, a, zero), F.array(zero, zero, pole), 2.0)
-    lune = weights.spherical_polygon_area(F.array(zero, a, a, zero), F.array(-pole, -pole + 1e-9, pole, pole - 1e-9), 2.0)
+    # From pole to pole, with corners on the equator: a lune's edges are two half circles.
+    lune = weights.spherical_polygon_area(F.array(zero, zero, a, a), F.array(-pole, zero, pole, zero), 2.0)
     south = weights.spherical_polygon_area(F.array(zero, zero, a), F.array(zero, -pole, zero), 2.0)
     h = (F.col("p_size") % 10 + 1).cast("double")
     box = weights.area(zero, a, zero, h, measure=True, radius=2.0) / 2
-    assert lune is not None
-    return _rounded(_t(spark, sf_dir, "part").select("p_partkey", north.alias("triangle"), (north + south).alias("lune"), box.alias("box")), 6, "triangle", "lune", "box")
+    return _rounded(_t(spark, sf_dir, "part").select("p_partkey", north.alias("triangle"), lune.alias("lune"), (north + south).alias("halves"), box.alias("box")), 6, "triangle", "lune", "halves", "box")
 
 
 @query("SELECT p_partkey AS cell, round(p_size * 10.0::DOUBLE + 6 - 0.25 * p_size, 6) AS area, round(20.0 + 2 * p_size + 0.0::DOUBLE, 6) AS length FROM part")
@@ -439,17 +436,26 @@ def cube_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(out.join(kinds, "i_kind").drop("i_kind"), 4, "low", "high", "clipped"), 2, "grams")
 
 
-@query("SELECT * FROM (VALUES ('by name', 'temp wind'), ('by units', 'temp warm'), ('by rank', 'wind'), ('by property', 'warm'), ('sorted', 'temp warm wind')) v(how, names)")
+@query("""WITH k AS (SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1)
+SELECT 'by name' AS how, event_type AS name, total FROM k WHERE event_type IN ('click', 'view') UNION ALL SELECT 'by units', event_type, total FROM k WHERE event_type < 'm' UNION ALL SELECT 'by property', event_type, total FROM k WHERE n % 2 = 0
+UNION ALL SELECT 'by rank', event_type, total FROM k""")
 def selected_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = Axis("x", 2)
-    cube = lambda name, units, axes, **p: Cube.full(spark, axes, 1.0, units).__class__(reshape.full(spark, {a.index: a.size for a in axes}, 1.0), {a.name: a for a in axes}, "value", Units.of(units), name, p)
-    cubes = catalog.CubeList([cube("wind", "m s-1", [one, Axis("y", 3)]), cube("temp", "K", [one]), cube("warm", "Celsius", [one], source="model")])
-    names = lambda found: " ".join(sorted(c.name for c in found))
-    found = [
-        ("by name", names(cubes.select_by_identity("temp", "wind"))), ("by units", names(cubes.select_by_units("K", exact=False))), ("by rank", names(cubes.select_by_rank(2))),
-        ("by property", names(cubes.select_by_property(source="model"))), ("sorted", " ".join(c.name for c in sorted(cubes, key=lambda c: c.name))),
-    ]
-    return spark.createDataFrame(found, "how string, names string")
+    """A cube of daily sums for each kind of event, with units, a property and a rank to choose by; the sums of the chosen ones."""
+    e = _t(spark, sf_dir, "events").select("event_type", F.datediff("ts", F.lit("2024-01-01")).cast("int").alias("i_day"), "value")
+    sizes = {r[0]: r[1] for r in e.groupBy("event_type").count().collect()}
+    days = _size(e, "i_day")
+    axis = Axis("day", days)
+    made = []
+    for kind, n in sizes.items():
+        rows = e.where(F.col("event_type") == kind).groupBy("i_day").agg(F.sum("value").alias("value"))
+        made.append(Cube(rows, {"day": axis}, "value", Units.of("km" if kind < "m" else "K"), kind, {"even": n % 2 == 0}))
+    cubes = catalog.CubeList(made)
+    found = {"by name": cubes.select_by_identity("click", "view"), "by units": cubes.select_by_units("m", exact=False), "by property": cubes.select_by_property(even=True), "by rank": cubes.select_by_rank(1)}
+    out = [c.df.select(F.lit(how).alias("how"), F.lit(c.name).alias("name"), "value") for how, chosen in found.items() for c in chosen]
+    rows = out[0]
+    for other in out[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("how", "name").agg(F.round(F.sum("value"), 3).alias("total"))
 
 
 # --- statistics -----------------------------------------------------------------------------------------------------
@@ -552,11 +558,7 @@ def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = F.col("p_partkey"), _t(spark, sf_dir, "part")
     ny = -(-_size(t, "p_partkey") // 20)
     df = t.select(F.floor(p / 20).cast("int").alias("i_y"), (p % 20).cast("int").alias("i_x"), F.when(F.col("p_size") % 6 != 0, F.col("p_retailprice")).alias("v"), F.col("p_size").alias("n"))
-    place = _place(spark, "netcdf")
-    import os
-
-    os.makedirs(place, exist_ok=True)
-    path = f"{place}/part.nc"
+    path = os.path.join(as_file(new_folder(spark, "netcdf")), "part.nc")
     netcdf3.write(path, {"y": ny, "x": 20}, {"v": (df, ["y", "x"], "f8", {"units": "1", "_FillValue": -1e30}), "n": (df, ["y", "x"], "i4", {"scale_factor": 0.5})})
     return netcdf3.read(spark, path, "v").join(netcdf3.read(spark, path, "n"), ["i_y", "i_x"])
 
@@ -565,8 +567,7 @@ def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zarr_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, t = F.col("p_partkey"), _t(spark, sf_dir, "part")
     df = t.select(F.floor(p / 20).cast("int").alias("i_y"), (p % 20).cast("int").alias("i_x"), F.when(F.col("p_size") % 6 != 0, F.col("p_retailprice")).alias("value"))
-    place = _place(spark, "zarr")
-    shutil.rmtree(place, ignore_errors=True)
+    place = os.path.join(as_file(new_folder(spark, "zarr")), "part.zarr")
     zarr.write(df, place, {"y": -(-_size(t, "p_partkey") // 20), "x": 20}, {"y": 16, "x": 7})
     return zarr.read(spark, place)
 
@@ -584,7 +585,7 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, value FROM events")
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Appended to a stored field by a checkpointed stream that is started twice: every row is there once."""
-    place = _place(spark, "append")
+    place = new_folder(spark, "append")
     for _ in range(2):
         streaming.append_to_field(streaming.read_events(spark, sf_dir).select("event_id", "value"), f"{place}/out", f"{place}/check").awaitTermination()
     return spark.read.parquet(f"{place}/out")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -442,12 +443,16 @@ def aggregate_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT i::INT AS i, round(radians(10) * abs(sin(radians(-90 + (i + 1) * 10)) - sin(radians(-90 + i * 10))), 12) AS w, round(6371229.0 * radians(10) * 6371229.0 * abs(sin(radians(-90 + (i + 1) * 10)) - sin(radians(-90 + i * 10))) / 1e6, 2) AS km2
-FROM range(18) t(i)""")
+WITH n AS (SELECT 180.0::DOUBLE / (max(p_partkey) + 1) AS h FROM part)
+SELECT p_partkey::INT AS i, round(radians(p_size) * abs(sin(radians(-90 + (p_partkey + 1) * h)) - sin(radians(-90 + p_partkey * h))), 10) AS w, round(6371.229 * radians(p_size) * 6371.229 * abs(sin(radians(-90 + (p_partkey + 1) * h)) - sin(radians(-90 + p_partkey * h))), 3) AS km2 FROM part, n""")
 def weights_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lat = weights.regular_axis(spark, -90.0, 90.0, 10.0)
-    args = (F.lit(0.0), F.lit(10.0), F.col("lower"), F.col("upper"))
-    return lat.select("i", F.round(weights.area(*args), 12).alias("w"), F.round(weights.area(*args, measure=True) / 1e6, 2).alias("km2"))
+    """Parts as cells of p_size degrees of longitude, one above the other from pole to pole."""
+    t = _t(spark, sf_dir, "part")
+    n = _size(t, "p_partkey")
+    lat = weights.regular_axis(spark, -90.0, 90.0, 180.0 / n)
+    cells = t.select(F.col("p_partkey").cast("int").alias("i"), F.col("p_size").cast("double").alias("width")).join(lat, "i")
+    args = (F.lit(0.0), F.col("width"), F.col("lower"), F.col("upper"))
+    return cells.select("i", F.round(weights.area(*args), 10).alias("w"), F.round(weights.area(*args, measure=True) / 1e6, 3).alias("km2"))
 
 
 @query("SELECT p_partkey, round(p_size * p_retailprice / 2, 4) AS area FROM part")
@@ -470,51 +475,76 @@ def _hourly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _HOURLY = "h AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01', ts)::INT AS i, round(sum(value), 4) AS x FROM events GROUP BY 1)"
 
 
-@query("WITH " + _HOURLY + """, d AS (SELECT j::INT AS i, j * 2.5 AS lo, (j + 1) * 2.5 AS hi FROM range(288) t(j)),
-m AS (SELECT d.i, h.x, (least(h.i + 1, hi) - greatest(h.i, lo)) AS w FROM d LEFT JOIN h ON h.i < hi AND h.i + 1 > lo AND h.i < 720)
+def _hours(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """events by hour, the hours up to the last that has one, and their number."""
+    rows, _ = _hourly(spark, sf_dir)
+    n = _size(rows.where("x IS NOT NULL"), "i")
+    return rows.where(F.col("i") < n), weights.regular_axis(spark, 0.0, float(n), 1.0), n
+
+
+@query("WITH " + _HOURLY + """, n AS (SELECT max(i) + 1 AS n FROM h), d AS (SELECT j::INT AS i, j * 2.5 AS lo, (j + 1) * 2.5 AS hi FROM n, range((SELECT ceil(n / 2.5)::BIGINT FROM n)) t(j)),
+m AS (SELECT d.i, h.x, (least(h.i + 1, hi) - greatest(h.i, lo)) AS w FROM d LEFT JOIN h ON h.i < hi AND h.i + 1 > lo)
 SELECT i, round(sum(x * w) / sum(w), 3) AS x FROM m GROUP BY 1""")
 def regrid_conservative_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, axis = _hourly(spark, sf_dir)
-    got = rg.regrid(rows, [], "x", "conservative", {"i": (axis, weights.regular_axis(spark, 0.0, 720.0, 2.5))})
+    rows, axis, n = _hours(spark, sf_dir)
+    got = rg.regrid(rows, [], "x", "conservative", {"i": (axis, weights.regular_axis(spark, 0.0, math.ceil(n / 2.5) * 2.5, 2.5))})
     return _rounded(got, 3, "x")
 
 
-@query("WITH " + _DAILY + """, d AS (SELECT j::INT AS i, j * 0.75 + 0.2 AS c FROM range(36) t(j))
-SELECT d.i, round(a.x * (1 - (c - floor(c))) + b.x * (c - floor(c)), 6) AS x FROM d JOIN daily a ON a.i = floor(c) JOIN daily b ON b.i = floor(c) + 1""")
+def _days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """events by day, the days' axis, and places 0.75 days apart from 0.2 on, up to the last day."""
+    src = _daily(spark, sf_dir).select("i", "x")
+    n = _size(src, "i")
+    dst = spark.range(math.floor((n - 1 - 0.2) / 0.75) + 1).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.75 + 0.2).alias("coord"))
+    return src, spark.range(n).select(F.col("id").cast("int").alias("i"), F.col("id").cast("double").alias("coord")), dst
+
+
+_PLACES = ", d AS (SELECT j::INT AS i, j * 0.75 + 0.2 AS c FROM range((SELECT floor((max(i) - 0.2) / 0.75)::BIGINT + 1 FROM daily)) t(j))"
+
+
+@query("WITH " + _DAILY + _PLACES + """
+SELECT d.i, round(a.x * (1 - (c - floor(c))) + b.x * (c - floor(c)), 6) AS x FROM d LEFT JOIN daily a ON a.i = floor(c) LEFT JOIN daily b ON b.i = floor(c) + 1""")
 def regrid_linear_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _daily(spark, sf_dir).select("i", "x").where("i < 30")
-    dst = spark.range(36).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.75 + 0.2).alias("coord"))
-    axis = spark.range(30).select(F.col("id").cast("int").alias("i"), F.col("id").cast("double").alias("coord"))
+    src, axis, dst = _days(spark, sf_dir)
     return _rounded(rg.regrid(src, [], "x", "linear", {"i": (axis, dst)}), 6, "x")
 
 
-@query("WITH " + _DAILY + " SELECT j::INT AS i, x FROM range(36) t(j) JOIN daily ON daily.i = round(j * 0.75 + 0.2)")
+@query("WITH " + _DAILY + _PLACES + " SELECT d.i, x FROM d JOIN daily ON daily.i = round(c)")
 def regrid_nearest_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _daily(spark, sf_dir).select("i", "x").where("i < 30")
-    dst = spark.range(36).select(F.col("id").cast("int").alias("i"), (F.col("id") * 0.75 + 0.2).alias("coord"))
-    axis = spark.range(30).select(F.col("id").cast("int").alias("i"), F.col("id").cast("double").alias("coord"))
+    src, axis, dst = _days(spark, sf_dir)
     return rg.regrid(src, [], "x", "nearest_stod", {"i": (axis, dst)})
 
 
 # --- HEALPix --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT i // 16 AS healpix_index, round(avg(v), 6) AS v FROM (SELECT range AS i, (range * 37 % 101)::DOUBLE AS v FROM range(768)) GROUP BY 1")
+_CELLS = """s AS (SELECT min(k)::INT AS level, min(12 * (1::BIGINT << (2 * k)))::BIGINT AS cells FROM range(2, 29) t(k) WHERE 12 * (1::BIGINT << (2 * k)) > (SELECT max(c_custkey) FROM customer))"""
+
+
+@query("WITH " + _CELLS + " SELECT i // 16 AS healpix_index, max(c_acctbal) AS v FROM (SELECT unnest(range(cells)) AS i FROM s) LEFT JOIN customer ON c_custkey = i GROUP BY 1")
 def healpix_decrease(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = healpix.cells(spark, 3).withColumn("v", (F.col("healpix_index") * 37 % 101).cast("double"))
-    return _rounded(healpix.decrease_level(cells, "healpix_index", 3, 1, [], "v", "mean"), 6, "v")
+    """Customers by nested index: the greatest balance in each cell two levels up."""
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("healpix_index"), F.col("c_acctbal").alias("v"))
+    level = _level(_size(rows, "healpix_index"))
+    cells = healpix.cells(spark, level).select("healpix_index").join(rows, "healpix_index", "left")
+    return healpix.decrease_level(cells, "healpix_index", level, level - 2, [], "v", "maximum")
 
 
-@query("SELECT range AS healpix_index, (range // 4) / 4.0 AS v FROM range(192)")
+@query("SELECT c_custkey * 16 + k AS healpix_index, c_acctbal AS v FROM customer, range(16) t(k)")
 def healpix_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = healpix.cells(spark, 1).withColumn("v", F.col("healpix_index").cast("double"))
-    return healpix.increase_level(cells, "healpix_index", 1, 2, "v", "extensive")
+    """Customers by nested index, two levels down; balances don't depend on the area."""
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("healpix_index"), F.col("c_acctbal").alias("v"))
+    level = _level(_size(rows, "healpix_index"))
+    return healpix.increase_level(rows, "healpix_index", level, level + 2, "v", "intensive")
 
 
-@query("SELECT p_partkey, p_partkey + 4::BIGINT * 4096 AS nuniq, (2 * p_partkey + 1) * (1::BIGINT << 46) AS zuniq, p_partkey AS ring FROM part WHERE p_partkey < 50331648")
+@query("WITH " + _CELLS.replace("c_custkey", "p_partkey").replace("customer", "part") + " SELECT p_partkey, p_partkey + 4::BIGINT * (1::BIGINT << (2 * level)) AS nuniq, (2 * p_partkey + 1) * (1::BIGINT << (58 - 2 * level)) AS zuniq, p_partkey AS ring FROM part, s")
 def healpix_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p_partkey")
-    return _t(spark, sf_dir, "part").where("p_partkey < 50331648").select("p_partkey", healpix.change_scheme(p, "nested", "nuniq", 6).alias("nuniq"), healpix.change_scheme(p, "nested", "zuniq", 6).alias("zuniq"), healpix.change_scheme(healpix.change_scheme(p, "nested", "ring", 6), "ring", "nested", 6).alias("ring"))
+    """Parts by nested index on the level that covers their keys, in the other schemes, and through ring indices and back."""
+    p, t = F.col("p_partkey"), _t(spark, sf_dir, "part")
+    level = _level(_size(t, "p_partkey"))
+    back = healpix.change_scheme(healpix.change_scheme(p, "nested", "ring", level), "ring", "nested", level)
+    return t.select("p_partkey", healpix.change_scheme(p, "nested", "nuniq", level).alias("nuniq"), healpix.change_scheme(p, "nested", "zuniq", level).alias("zuniq"), back.alias("ring"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------------------------

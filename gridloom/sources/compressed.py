@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.reshape import flat_index, grid, unflatten
+from gridloom.operators.windows import BLOCK, cumsum
 
 
 def ragged_contiguous(obs: DataFrame, counts: DataFrame, instance: str = "i_station", count: str = "row_size", index: str = "i_obs", element: str = "i_element") -> DataFrame:
@@ -15,12 +16,20 @@ def ragged_contiguous(obs: DataFrame, counts: DataFrame, instance: str = "i_stat
 
     Starts are running sums over the instances; observations join by position, each instance's positions listed.
     """
-    start = F.coalesce(F.sum(count).over(Window.orderBy(instance).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.select(instance, F.col(count).alias("__n"), start.alias("__start")).where("__n > 0")
-    places = spans.select(instance, F.posexplode(F.sequence(F.col("__start"), F.col("__start") + F.col("__n") - 1)).alias(element, "__at"))
+    spans = _starts(counts, instance, count).where(F.col(count) > 0)
+    # The places of a long instance come from runs of bounded length.
+    runs = spans.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / BLOCK)))).repartition(instance, "__run")
+    first, last = F.col("__run") * BLOCK, F.least((F.col("__run") + 1) * BLOCK, F.col(count)) - 1
+    places = runs.withColumn(element, F.explode(F.sequence(first, last))).select(instance, F.col(element).cast("int").alias(element), (F.col("__start") + F.col(element)).alias("__at"))
     return obs.join(places, obs[index] == places["__at"]).drop("__at")
 
 
+def _starts(counts: DataFrame, instance: str, count: str) -> DataFrame:
+    """counts with __start, the sum of the counts of the instances before, block by block."""
+    rows = counts.select(instance, count, F.coalesce(F.col(count).cast("long"), F.lit(0)).alias("__start"))
+    return cumsum(rows, [], instance, "__start").withColumn("__start", F.col("__start") - F.coalesce(F.col(count).cast("long"), F.lit(0)))
+
+
 def ragged_indexed(obs: DataFrame, instance: str = "i_station", index: str = "i_obs", element: str = "i_element") -> DataFrame:
     """obs with its instance in a column: adds its place among the instance's observations."""
     return obs.withColumn(element, (F.row_number().over(Window.partitionBy(instance).orderBy(index)) - 1).cast("int"))
@@ -38,8 +47,7 @@ def to_ragged_contiguous(cells: DataFrame, instance: str, element: str, value: s
     there = cells.where(F.col(value).isNotNull())
     counts = there.groupBy(instance).agg((F.max(element) + 1).alias("row_size"))
     kept = cells.join(counts, instance).where(F.col(element) < F.col("row_size"))
-    start = F.coalesce(F.sum("row_size").over(Window.orderBy(instance).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(instance, start.alias("__start"))
+    starts = _starts(counts, instance, "row_size").select(instance, "__start")
     return kept.join(starts, instance).select((F.col("__start") + F.col(element)).alias("i_obs"), value), counts
 
 

@@ -477,3 +477,43 @@ def test_moving_windows_go_on_beyond_the_ends(spark):
         assert got == {i: float(sum(f(j, 6) ** 2 for j in range(i - 2, i + 3))) for i in range(6)}, mode
     with pytest.raises(ValueError):
         windows.moving_window(line, [], "i", "x", "sum", 3, mode="other")
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_lines_in_blocks_are_like_lines_in_one(spark, monkeypatch, block):
+    """Every operator along an axis, with blocks far shorter than the lines, against blocks longer than them."""
+    rows = [(g, i, None if i % 11 == 5 else float((i * 37 + (g or 0)) % 19), float(i * 2 + i % 3), 1.0 + i % 4) for g, n in ((0, 50), (1, 9), (2, 1), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g int, i int, x double, c double, w double")
+    one = df.where("g = 0").drop("g")
+
+    def everything():
+        made = {}
+        for name, d, by in (("many", df, ["g"]), ("one", one, [])):
+            made["cumsum", name] = windows.cumsum(d, by, "i", "x")
+            made["zero", name] = windows.cumsum(d, by, "i", "x", True)
+            for n in (1, 2, 4):
+                made["diff", n, name] = windows.diff(d, by, "i", "x", n)
+            for mode in ("constant", "wrap", "reflect", "nearest"):
+                made["conv", mode, name] = windows.convolution_filter(d, by, "i", "x", [0.5, 0.25, 0.1, 0.1, 0.05], mode, cval=2.0, origin=1)
+            made["mean", name] = windows.moving_window(d, by, "i", "x", "mean", 6, weights="w")
+            made["ends", name] = windows.derivative(d, by, "i", "x", "c", one_sided_at_boundary=True)
+            made["centred", name] = windows.derivative(d, by, "i", "x", "c")
+            made["wrapped", name] = windows.moving_window(d.where("g IS NULL OR g <> 2") if by else d, by, "i", "x", "sum", 5, mode="wrap")
+        return {k: sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in v.collect()], key=str) for k, v in made.items()}
+
+    whole = everything()
+    monkeypatch.setattr(windows, "BLOCK", block)
+    cut = everything()
+    assert cut.keys() == whole.keys() and all(cut[k] == whole[k] for k in whole), [k for k in whole if cut[k] != whole[k]]
+    # By hand: a wrapped line shorter than the filter's reach.
+    short = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i int, x double")
+    got = {r.i: r.x for r in windows.convolution_filter(short, [], "i", "x", [1.0] * 7, "wrap").collect()}
+    assert got == {0: 1.0 * 3 + 2.0 * 4, 1: 2.0 * 3 + 1.0 * 4}
+
+
+def test_no_window_takes_all_rows_of_one_axis(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "i int, x double")
+    for got in (windows.cumsum(df, [], "i", "x"), windows.diff(df, [], "i", "x", 2), windows.moving_window(df, [], "i", "x", "mean", 3), windows.convolution_filter(df, [], "i", "x", [1.0, 1.0, 1.0], "reflect")):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        found = [line for line in plan.splitlines() if "Window [" in line]
+        assert found and all("__blk" in line for line in found)

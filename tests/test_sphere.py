@@ -234,7 +234,9 @@ def test_other_shapes_and_odd_input(spark):
     rect = sphere.rectilinear(axis(8, 0.0, 45.0), axis(6, -90.0, 30.0), 8, cyclic=True)
     x = spark.createDataFrame([(g, k, float(k) if k % 3 else None) for g, k in product("ab", range(len(faces)))], "g string, cell long, x double")
     rows = sphere.regrid(x, ["g"], "x", mesh, rect, "conservative").collect()
-    assert len(rows) == 96 and all(r.x is not None for r in rows)
+    # A cell is missing only where all faces that it meets are.
+    met = {(r.dst, r.src) for r in sphere.conservative_weights(mesh, rect).collect()}
+    assert len(rows) == 96 and all((r.x is None) == all(s % 3 == 0 for d, s in met if d == r.cell) for r in rows)
     dtos = sphere.regrid(x, ["g"], "x", mesh, rect, "nearest_dtos", full=False).collect()
     assert len(dtos) > 20
     for method, bad in (("conservative", sphere.places(n, "node")), ("linear", sphere.places(n, "node"))):
@@ -246,3 +248,30 @@ def test_other_shapes_and_odd_input(spark):
         sphere.operator(mesh, rect, "cubic")
     missing = spark.createDataFrame([(0, 0, None, 1.0), (0, 1, 5.0, 5.0)], "j int, i int, lon double, lat double")
     assert sphere.curvilinear(missing, "j", "i", 2).points.count() == 1
+
+
+def test_points_in_three_dimensions(spark):
+    """Soundings between levels of a curvilinear grid, linear in height and in the logarithm of pressure."""
+    src, coords = plane_grid(spark, 5, 6)
+    levels = [1000.0, 850.0, 500.0, 200.0, 50.0]
+    field = lambda x, y, z: 2 * x - y + 3 * z
+    rng = np.random.default_rng(5)
+    to = [(n, float(i + 0.3 * j), float(2 * j - 0.2 * i), float(z)) for n, (j, i, z) in enumerate(rng.uniform([0, 0, 60], [4, 5, 990], (40, 3)))]
+    to += [(100, 0.0, 0.0, 1000.0), (101, 0.0, 0.0, 50.0), (102, 0.0, 0.0, 500.0), (103, 0.0, 0.0, 40.0), (104, 0.0, 0.0, 1001.0), (105, 0.0, 0.0, None), (106, -9.0, 0.0, 500.0)]
+    places = spark.createDataFrame(to, "cell long, x double, y double, z double")
+    dst = sphere.places(places, "cell", "x", "y", spherical=False)
+    axis = spark.createDataFrame(list(enumerate(levels)), "k int, z double")
+    for ln_z in (False, True):
+        up = math.log if ln_z else (lambda z: z)
+        rows = spark.createDataFrame([(j * 6 + i, k, field(x, y, up(z))) for j, i, x, y in coords for k, z in enumerate(levels)], "cell long, k int, v double")
+        got = {r.cell: r.v for r in sphere.regrid_levels(rows, [], "v", src, dst, axis, places.select("cell", "z"), ln_z=ln_z).collect()}
+        for n, x, y, z in to:
+            if n in (103, 104, 105, 106):
+                assert got[n] is None
+            else:
+                assert abs(got[n] - field(x, y, up(z))) < 1e-9, (n, ln_z)
+    # Heights that differ from place to place, and a missing value in one corner.
+    own = spark.createDataFrame([(j * 6 + i, k, z + 3.0 * i) for j, i, _, _ in coords for k, z in enumerate(levels)], "cell long, k int, z double")
+    rows = own.withColumn("v", F.when((F.col("cell") != 0) | (F.col("k") != 1), F.col("z") * 2))
+    got = {r.cell: r.v for r in sphere.regrid_levels(rows.select("cell", "k", "v"), [], "v", src, dst, own, places.select("cell", "z")).collect()}
+    assert all(got[n] is None or abs(got[n] - 2 * z) < 1e-9 for n, _, _, z in to if z is not None) and sum(v is None for v in got.values()) < 12 and got[102] is None

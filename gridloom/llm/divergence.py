@@ -35,9 +35,9 @@ PIECE, BLOCK = 1 << 20, 256
 DELIMITED = bytes((b | 32 if chr(b).isupper() else b) if b >= 0x80 or chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
-def delimited(text: str | None) -> Iterator[bytes]:
-    """A text's terms between single delimiters or more, one before the first and one after the last, in pieces that part between terms."""
-    raw = b" " + (text or "").encode().translate(DELIMITED) + b" "
+def delimited(text: bytes | None) -> Iterator[bytes]:
+    """The terms of a text in UTF-8 between single delimiters or more, one before the first and one after the last, in pieces that part between terms."""
+    raw = b" " + (text or b"").translate(DELIMITED) + b" "
     at = 0
     while at < len(raw) - 1:
         end = raw.find(b" ", min(at + PIECE, len(raw) - 1))
@@ -45,11 +45,12 @@ def delimited(text: str | None) -> Iterator[bytes]:
         at = end
 
 
-def _dealt(schema: pa.Schema, counters: dict[tuple, Counter], terms: dict | None = None) -> Iterator[pa.RecordBatch]:
+def _dealt(schema: pa.Schema, counters: dict[tuple, Counter], terms: dict[str, pa.Array] | None = None) -> Iterator[pa.RecordBatch]:
+    """The counters' rows; their keys are terms in UTF-8, or places in the list of the language's terms."""
     for key, counter in counters.items():
-        names = [t.decode() if isinstance(t, bytes) else terms[key[0]][t] for t in counter]
-        cols = [pa.array([k] * len(names), pa.string()) for k in key] + [pa.array(names, pa.string()), pa.array(list(counter.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        n, found = len(counter), list(counter)
+        names = pa.array(found, pa.binary()).cast(pa.string()) if terms is None else terms[key[0]].take(pa.array(found, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(k, pa.string()), n) for k in key), names, pa.array(list(counter.values()), pa.int64())], schema=schema)
     counters.clear()
 
 
@@ -69,7 +70,7 @@ def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                     own.update(piece.split())
                 counter = counters[(lang,)]
                 counter.update(own)
-                held += len(text or "")
+                held += len(text or b"")
                 if held > ENTRY_BYTES or sum(map(len, counters.values())) > ENTRIES:
                     yield from _dealt(schema, counters)
                     held = 0
@@ -77,7 +78,7 @@ def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         give_back()
 
     bounded_batches(docs.sparkSession)
-    seen = docs.select("lang", "text").mapInArrow(run, "lang string, term string, n long")
+    seen = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, term string, n long")
     return written(seen.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs), "vocabulary")
 
 
@@ -110,12 +111,12 @@ def postings(docs: DataFrame, kept: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
-    docs = docs.select("lang", "source", "text")
+    docs = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
 
     def counted(shared, mark: str):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms = shared.value
-            made, counters, found = automata(mark, terms), defaultdict(Counter), itemgetter(1)
+            made, counters, found = automata(mark, shared.value), defaultdict(Counter), itemgetter(1)
+            terms = {lang: pa.array(own, pa.string()) for lang, own in shared.value.items()}
             for batch in batches:
                 for lang, source, text in zip(*(batch.column(k).to_pylist() for k in ("lang", "source", "text"))):
                     if lang in made:

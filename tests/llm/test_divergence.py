@@ -45,7 +45,7 @@ def test_against_the_definition(spark, monkeypatch, bounds):
 
 
 def test_pieces_part_between_terms(monkeypatch):
-    text = "Aé b-" * 50 + "c" * 40 + " d"
+    text = ("Aé b-" * 50 + "c" * 40 + " d").encode()
     whole = [t for piece in d.delimited(text) for t in piece.split()]
     monkeypatch.setattr(d, "PIECE", 3)
     pieces = list(d.delimited(text))

@@ -19,7 +19,7 @@ from gridloom.functions.calendars import TimeDuration, days_from_date, decode
 from gridloom.functions.cellmethods import CellMethod
 from gridloom.functions.query import Query
 from gridloom.functions.units import NONE, Units
-from gridloom.operators import binning, collapse as collapses, combine, grouping, regrid, reshape, subspace as subspaces, vertical, weights, windows
+from gridloom.operators import binning, collapse as collapses, combine, grouping, regrid, reshape, sphere, subspace as subspaces, vertical, weights, windows
 
 EARTH = weights.EARTH
 
@@ -579,6 +579,16 @@ class Cube:
 
     # --- out --------------------------------------------------------------------------------------------------------
 
+    def regrid_cells(self, identities: Sequence[str], src: sphere.CellGrid, dst: sphere.CellGrid, method: str = "linear", **options) -> DataFrame:
+        """Values whose place is given by 2-d coordinates (two axes, j before i) or by a mesh (one axis), on another such grid: rows (other axes,
+        cell, value). src names its cells by their place along the axes, j x size of i + i."""
+        axes = [self.axis(i) for i in identities]
+        by, cell = self._others(*axes), F.lit(0).cast("long")
+        for a in axes:
+            cell = cell * a.size + F.col(a.index)
+        rows = self.df.select(*by, cell.alias("cell"), self.value)
+        return sphere.regrid(rows, by, self.value, src, dst, method, **options)
+
     def with_coords(self) -> DataFrame:
         """The data with a column for each axis' coordinate."""
         out = self.df

@@ -274,8 +274,33 @@ def increase_level(df: DataFrame, index: str, level: int, new: int, value: str,
     return df.withColumn(value, v).withColumn(index, F.explode(F.sequence(F.col(index) * many, F.col(index) * many + many - 1)))
 
 
-def to_faces(df: DataFrame, index: str, level: int, digits: int = 9) -> tuple[DataFrame, DataFrame]:
-    """(cell to node edges, nodes) of a mesh with HEALPix cells as faces; nodes are corners, met by rounded coordinates."""
-    edges = df.select(index, F.posexplode(corners(F.col(index), level)).alias("corner", "p")).select(index, "corner", F.round("p.lat", digits).alias("lat"), F.when(F.abs(F.abs(F.round("p.lat", digits)) - 90) < 1e-6, 0.0).otherwise(F.pmod(F.round("p.lon", digits), F.lit(360.0))).alias("lon"))
-    node = F.xxhash64("lon", "lat")
-    return edges.select(index, "corner", node.alias("node")), edges.select(node.alias("node"), "lon", "lat").distinct()
+def corner_node(c: Column, dx: int, dy: int, level: int) -> Column:
+    """The id of a cell's corner (x + dx, y + dy) of its face: the ring that it lies on times 8 x 2^level, plus its place on the ring in
+    half steps. Faces that meet in a corner give it the same integer, so that no rounded coordinate decides."""
+    n = F.lit(1 << level).cast("long")
+    x, y = c["x"] + dx, c["y"] + dy
+    ring = _face_ring(c["f"]) * n - x - y
+    length = F.when(ring < n, ring).when(ring > 3 * n, 4 * n - ring).otherwise(n)
+    # At a pole all corners are one.
+    place = F.when(length > 0, F.pmod(_face_turn(c["f"]) * length + x - y, F.greatest(8 * length, F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
+    return ring.cast("long") * 8 * n + place.cast("long")
+
+
+def node_position(node: Column, level: int) -> Column:
+    """Struct (lon, lat) in degrees of a corner's id: the same for all cells that share it."""
+    n = 1 << level
+    ring, place = F.floor(node / (8 * n)), F.pmod(node, F.lit(8 * n))
+    length = F.when(ring < n, ring).when(ring > 3 * n, 4 * n - ring).otherwise(F.lit(n)).cast("double")
+    small = length * length / (3.0 * n * n)
+    cap = F.signum(2 * n - ring) * (90.0 - F.degrees(2 * F.asin(F.sqrt(small / 2))))
+    lat = F.when((ring < n) | (ring > 3 * n), cap).otherwise(F.degrees(F.asin((2 * n - ring) * 2 / (3.0 * n))))
+    return F.struct(F.when(length > 0, 45.0 * place / length).otherwise(F.lit(0.0)).alias("lon"), lat.alias("lat"))
+
+
+def to_faces(df: DataFrame, index: str, level: int) -> tuple[DataFrame, DataFrame]:
+    """(cell to node edges, nodes) of a mesh with HEALPix cells as faces: (index, corner, node) and (node, lon, lat). Nodes are whole numbers
+    from the faces' arithmetic; corners go north, west, south, east."""
+    four = lambda c: F.array(*[corner_node(c, a, b, level) for a, b in ((1, 1), (0, 1), (0, 0), (1, 0))])
+    edges = df.select(index, F.posexplode(_once(nested_to_xyf(F.col(index), level), four)).alias("corner", "node"))
+    nodes = edges.select("node").distinct().select("node", node_position(F.col("node"), level).alias("p")).select("node", "p.lon", "p.lat")
+    return edges, nodes

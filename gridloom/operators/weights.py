@@ -152,3 +152,31 @@ def regular_axis(spark, start: float, stop: float, size: float) -> DataFrame:
         raise ValueError("the range is no whole number of cells")
     i = F.col("id")
     return spark.range(n).select(i.cast("int").alias("i"), (F.lit(start) + (i + 0.5) * size).alias("coord"), (F.lit(start) + i * size).alias("lower"), (F.lit(start) + (i + 1) * size).alias("upper"))
+
+
+def mesh_area(faces: DataFrame, nodes: DataFrame, spherical: bool = True, radius: float = 1.0, x: str = "lon", y: str = "lat") -> DataFrame:
+    """(face, area) of a mesh: faces (face, corner in order, node), nodes (node, x, y). Edges are great circles, or straight on a plane."""
+    rings = _rings(faces, nodes, x, y)
+    area_ = spherical_polygon_area(F.col("xs"), F.col("ys"), radius) if spherical else plane_polygon_area(F.col("xs"), F.col("ys"))
+    return rings.select("face", F.abs(area_).alias("area"))
+
+
+def mesh_edge_length(edges: DataFrame, nodes: DataFrame, spherical: bool = True, radius: float = 1.0, x: str = "lon", y: str = "lat") -> DataFrame:
+    """(edge, length) of a mesh: edges (edge, corner 0 and 1 or more, node)."""
+    lines = _rings(edges.withColumnRenamed("edge", "face"), nodes, x, y)
+    length = great_circle_length(F.col("xs"), F.col("ys"), radius) if spherical else plane_line_length(F.col("xs"), F.col("ys"))
+    return lines.select(F.col("face").alias("edge"), length.alias("length"))
+
+
+def _rings(faces: DataFrame, nodes: DataFrame, x: str, y: str) -> DataFrame:
+    at = faces.join(nodes.select("node", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "node")
+    found = at.groupBy("face").agg(F.sort_array(F.collect_list(F.struct("corner", "x", "y"))).alias("v"))
+    return found.select("face", F.transform("v", lambda e: e["x"]).alias("xs"), F.transform("v", lambda e: e["y"]).alias("ys"))
+
+
+def mesh_edges(faces: DataFrame) -> DataFrame:
+    """(a, b, faces): the edges of a mesh by their nodes a < b, and how many faces have each."""
+    corners = F.sort_array(F.collect_list(F.struct("corner", "node")))
+    rings = faces.groupBy("face").agg(F.transform(corners, lambda e: e["node"]).alias("n"))
+    pairs = rings.select(F.explode(F.zip_with("n", F.concat(F.slice("n", F.lit(2), F.size("n") - 1), F.slice("n", 1, 1)), lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")))).alias("e"))
+    return pairs.where("e.a <> e.b").groupBy("e.a", "e.b").agg(F.count("*").alias("faces"))

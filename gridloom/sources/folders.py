@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -41,3 +41,10 @@ def as_file(uri: str) -> str:
     if "://" in uri:
         raise ValueError(f"{uri} can't be opened as files: netCDF and Zarr need a spark.checkpoint.dir that is mounted on all machines (file://...)")
     return uri
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in a new folder, read back: what several steps read is computed once, and lost executors lose nothing."""
+    uri = f"{new_folder(df.sparkSession, name)}/table"
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from gridloom.sources import pushed
+
 #: Fixed values of the format: external types by tag (numpy kind), and their default fill values.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 FILLS = {"i1": -127, "S1": b"\x00", ">i2": -32767, ">i4": -2147483647, ">f4": 9.969209968386869e36, ">f8": 9.969209968386869e36, "u1": 255, ">u2": 65535, ">u4": 4294967295, ">i8": -9223372036854775806, ">u8": 18446744073709551614}
@@ -172,13 +174,18 @@ class NetCDF3DataSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, header: Header, v: Variable, cells: int, schema: StructType):
-        self.path, self.header, self.v, self.cells, self.schema = path, header, v, cells, schema
+        self.path, self.header, self.v, self.cells, self.schema, self.filters = path, header, v, cells, schema, []
+
+    def pushFilters(self, filters):
+        """Notes all filters and leaves all to Spark; those on the first axis bound the records that are read."""
+        self.filters = list(filters)
+        return self.filters
 
     def partitions(self) -> Sequence[InputPartition]:
-        n = self.v.shape[0] if self.v.shape else 1
+        within = pushed.positions(self.filters, self.schema.names[:1], self.v.shape[:1])[0] if self.v.shape else range(1)
         rest = max(1, int(np.prod(self.v.shape[1:], dtype=np.int64)))
         step = max(1, self.cells // rest)
-        return [Slab(self.path, a, min(a + step, n)) for a in range(0, n, step)] or [Slab(self.path, 0, 0)]
+        return [Slab(self.path, a, min(a + step, within.stop)) for a in range(within.start, within.stop, step)] or [Slab(self.path, 0, 0)]
 
     def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -202,7 +209,8 @@ def _cells(v: Variable, data: np.ndarray, start: int, schema: pa.Schema) -> pa.R
 
 
 def read(spark: SparkSession, path: str, variable: str, cells: int = 1 << 22) -> DataFrame:
-    """A variable of a file on a file system that every executor sees."""
+    """A variable of a file on a file system that every executor sees. Filters on the first axis reach the file (see zarr.read)."""
+    pushed.enable(spark)
     spark.dataSource.register(NetCDF3DataSource)
     return spark.read.format("netcdf3").option("path", path).option("variable", variable).option("cells", str(cells)).load()
 

@@ -1,0 +1,50 @@
+"""Filters that reach a source: ranges of positions and of values, from what Spark pushes down.
+
+A source keeps all filters for Spark to apply again, and leaves out only what can't hold a row that passes.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, LessThan, LessThanOrEqual
+
+
+def enable(spark: SparkSession) -> None:
+    """Let Spark push filters to sources in Python: sources with pushFilters can't be planned without."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def bounds(filters: Iterable[Filter], column: str) -> tuple[float, float]:
+    """The least and greatest value that a column can have in a row that passes all filters; least > greatest if none can."""
+    low, high = -math.inf, math.inf
+    for f in filters:
+        if getattr(f, "attribute", None) != (column,):
+            continue
+        value = getattr(f, "value", None)  # none of a test for null
+        if isinstance(f, In):
+            known = [v for v in value if isinstance(v, (int, float)) and not isinstance(v, bool)]
+            if len(known) < len([v for v in value if v is not None]):
+                continue
+            low, high = (max(low, min(known)), min(high, max(known))) if known else (math.inf, -math.inf)
+        elif not isinstance(value, (int, float)) or isinstance(value, bool) or value != value:
+            continue
+        elif isinstance(f, EqualTo):
+            low, high = max(low, value), min(high, value)
+        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            low = max(low, value)
+        elif isinstance(f, (LessThan, LessThanOrEqual)):
+            high = min(high, value)
+    return low, high
+
+
+def positions(filters: Iterable[Filter], columns: Sequence[str], shape: Sequence[int]) -> list[range]:
+    """For each axis the positions (with those of strict bounds) that can pass."""
+    out, filters = [], list(filters)
+    for column, n in zip(columns, shape):
+        low, high = bounds(filters, column)
+        first, last = max(0, math.ceil(low) if low > -math.inf else 0), min(n - 1, math.floor(high) if high < math.inf else n - 1)
+        out.append(range(int(first) if first < math.inf else n, int(last) + 1 if last > -math.inf else 0))
+    return out

@@ -1,4 +1,8 @@
-"""Zarr arrays (formats 2 and 3; raw, zlib, gzip or zstd chunks): a Spark data source with a partition per chunk, and a writer."""
+"""Zarr arrays (formats 2 and 3; raw, zlib, gzip or zstd chunks): a Spark data source with a partition per chunk, and a writer.
+
+Filters on positions leave out chunks. Beside an array that is written here lies a table with each chunk's count, least and greatest value and
+sum: filters on the value leave out chunks by it, and collapses over the whole array or over whole chunks don't open any.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import gzip
 import itertools
 import json
 import os
+import shutil
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -17,6 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from gridloom.sources import pushed
+
+#: The folder of the table of statistics, beside an array's metadata.
+STATISTICS = "_chunk_statistics"
+
 _V3 = {"float64": "f8", "float32": "f4", "int64": "i8", "int32": "i4", "int16": "i2", "int8": "i1", "uint8": "u1", "uint16": "u2", "uint32": "u4", "bool": "b1"}
 _SQL = {"f8": "double", "f4": "float", "i8": "long", "i4": "int", "i2": "int", "i1": "int", "u1": "int", "u2": "int", "u4": "long", "b1": "boolean"}
 
@@ -82,10 +92,24 @@ class ZarrDataSource(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, schema: StructType):
-        self.path, self.schema, self.m = path, schema, metadata(path)
+        self.path, self.schema, self.m, self.filters = path, schema, metadata(path), []
+
+    def pushFilters(self, filters):
+        """Notes all filters and leaves all to Spark: a chunk holds rows that don't pass, too."""
+        self.filters = list(filters)
+        return self.filters
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Chunk(at) for at in itertools.product(*(range(-(-n // c)) for n, c in zip(self.m["shape"], self.m["chunks"])))]
+        *columns, value = self.schema.names
+        within = pushed.positions(self.filters, columns, self.m["shape"])
+        chunks = itertools.product(*(range(r.start // c, -(-r.stop // c)) if len(r) else range(0) for r, c in zip(within, self.m["chunks"])))
+        low, high = pushed.bounds(self.filters, value)
+        if low == -np.inf and high == np.inf:
+            return [Chunk(at) for at in chunks]
+        known = _statistics(self.path)
+        # Long integers are rounded in the table; NaN, which isn't less than anything, is greater than all for Spark.
+        passes = lambda s: s is None or (s[0] > 0 and not s[2] + abs(s[2]) * 1e-15 < low and not s[1] - abs(s[1]) * 1e-15 > high)
+        return [Chunk(at) for at in chunks if passes(known.get(at))]
 
     def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,13 +130,45 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _statistics(path: str) -> dict[tuple[int, ...], tuple]:
+    """Chunk -> (count, least, greatest, sum), a row for each chunk that was written; empty without a table."""
+    import pyarrow.parquet as pq
+
+    folder = os.path.join(path, STATISTICS)
+    files = sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".parquet")) if os.path.isdir(folder) else []
+    return {tuple(r["chunk"]): (r["n"], r["low"], r["high"], r["total"]) for f in files for r in pq.read_table(f).to_pylist()}
+
+
+def statistics(spark: SparkSession, path: str, axes: Sequence[str] | None = None) -> DataFrame:
+    """minimum, maximum, sum, sample_size and mean of an array's values from its chunks' statistics: no chunk is opened.
+
+    axes: those that are collapsed (default: all). Others have to have chunks of one position, as in a series of fields that are a chunk each;
+    the result has a row for each of their positions with a chunk (i_<dim>).
+    """
+    m, folder = metadata(path), os.path.join(path, STATISTICS)
+    if not os.path.isdir(folder):
+        raise ValueError(f"{path} has no statistics of its chunks")
+    dims = [str(d) for d in (m["dims"] or range(len(m["shape"])))]
+    kept = [d for d in dims if axes is not None and d not in axes]
+    wide = [d for d in kept if m["chunks"][dims.index(d)] != 1]
+    if wide:
+        raise ValueError(f"chunks hold several positions of {', '.join(wide)}")
+    rows = spark.read.parquet(f"file://{os.path.abspath(folder)}").select(*[F.col("chunk")[dims.index(d)].alias(f"i_{d}") for d in kept], "n", "low", "high", "total")
+    n, total = F.sum("n"), F.sum("total")
+    return rows.groupBy(*[f"i_{d}" for d in kept]).agg(F.min("low").alias("minimum"), F.max("high").alias("maximum"), F.when(n > 0, total).alias("sum"), F.coalesce(n, F.lit(0)).alias("sample_size"), F.try_divide(total, n).alias("mean"))
+
+
 def read(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
+    """Sets spark.sql.python.filterPushdown.enabled, without which Spark doesn't offer filters to a source in Python."""
+    pushed.enable(spark)
     spark.dataSource.register(ZarrDataSource)
     return spark.read.format("zarr").option("path", path).option("name", name).load()
 
 
 def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[str, int], value: str = "value", kind: str = "f8", fill: float | int | None = None, attributes: Mapping | None = None) -> None:
-    """Write rows (i_<dim>…, value) as a format 3 array with zstd chunks: each chunk is gathered and written by the task that has it."""
+    """Write rows (i_<dim>…, value) as a format 3 array with zstd chunks: each chunk is gathered and written by the task that has it, and its
+    statistics after all chunks are there."""
+    shutil.rmtree(os.path.join(path, STATISTICS), ignore_errors=True)
     fill = ("NaN" if kind[0] == "f" else 0) if fill is None else fill
     os.makedirs(path, exist_ok=True)
     long = {v: k for k, v in _V3.items()}[kind]
@@ -132,7 +188,10 @@ def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[st
         with open(file + ".part", "wb") as f:
             f.write(zstandard.ZstdCompressor(level=1).compress(block.tobytes()))
         os.replace(file + ".part", file)  # a task that runs twice writes the same chunk
-        return pa.table({"cells": pa.array([table.num_rows], pa.int64())})
+        there = block[~np.isnan(block)] if fill == "NaN" else block[block != fill]
+        ends = (float(np.fmin.reduce(there)), float(there.max()), float(there.sum(dtype=np.float64))) if len(there) else (None, None, None)
+        return pa.table({"chunk": pa.array([[k.as_py() for k in key]], pa.list_(pa.int32())), "n": pa.array([len(there)], pa.int64()), **{c: pa.array([x], pa.float64()) for c, x in zip(("low", "high", "total"), ends)}})
 
     keys = [F.floor(F.col(f"i_{d}") / s).cast("int").alias(f"__c{k}") for k, (d, s) in enumerate(zip(dims, sizes))]
-    df.groupBy(*keys).applyInArrow(store, "cells long").agg(F.sum("cells")).collect()
+    done = df.groupBy(*keys).applyInArrow(store, "chunk array<int>, n long, low double, high double, total double")
+    done.write.parquet(f"file://{os.path.abspath(os.path.join(path, STATISTICS))}")

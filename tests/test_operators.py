@@ -517,3 +517,46 @@ def test_no_window_takes_all_rows_of_one_axis(spark):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         found = [line for line in plan.splitlines() if "Window [" in line]
         assert found and all("__blk" in line for line in found)
+
+
+@pytest.mark.parametrize("level", [0, 1, 2, 3, 6])
+def test_healpix_cells_as_a_mesh_share_their_nodes(spark, level):
+    """Euler's formula, an even number of faces at each edge, nodes where the cells' corners are, and areas that add up to the sphere."""
+    cells = hp.cells(spark, level).select("healpix_index")
+    edges, nodes = hp.to_faces(cells, "healpix_index", level)
+    faces = edges.withColumnRenamed("healpix_index", "face")
+    made = weights.mesh_edges(faces).agg(F.count("*").alias("n"), F.min("faces").alias("low"), F.max("faces").alias("high")).first()
+    f, v = 12 * 4**level, nodes.count()
+    assert (v - made.n + f, v, made.low, made.high) == (2, 12 * 4**level + 2, 2, 2)
+    at = cells.select("healpix_index", F.posexplode(hp.corners(F.col("healpix_index"), level)).alias("corner", "p"))
+    far = at.join(edges, ["healpix_index", "corner"]).join(nodes, "node").select(F.abs(F.col("lat") - F.col("p.lat")).alias("y"), (F.abs(F.sin(F.radians(F.col("lon") - F.col("p.lon")) / 2)) * F.cos(F.radians("lat"))).alias("x")).agg(F.max("x"), F.max("y"), F.count("*")).first()
+    assert far[0] < 1e-12 and far[1] < 1e-10 and far[2] == 4 * f
+    total = weights.mesh_area(faces, nodes).agg(F.sum("area"), F.min("area"), F.max("area")).first()
+    assert abs(total[0] - 4 * math.pi) < 1e-9 and total[2] / total[1] < 1.6
+
+
+def test_aggregates_of_the_users_own(spark):
+    """Third central moment by states of power sums: many partitions and groups, missing values, weights, null keys and odd names."""
+    from gridloom.operators import custom
+
+    moment = custom.Aggregate(("n", "a", "b", "c"), lambda x, w: {"n": w.sum(), "a": (w * x).sum(), "b": (w * x**2).sum(), "c": (w * x**3).sum()}, lambda s: {k: v.sum() for k, v in s.items()}, lambda s: s["c"] / s["n"] - 3 * s["a"] * s["b"] / s["n"] ** 2 + 2 * (s["a"] / s["n"]) ** 3)
+    rng = np.random.default_rng(0)
+    rows = [(None if i % 13 == 0 else int(i % 5), "ab"[i % 2], None if i % 7 == 0 or i % 5 == 4 else float(rng.normal()), float(1 + i % 3) if i % 11 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "`g.x` int, k0 string, v double, w double").repartition(9)
+    got = {(r["g.x"], r.k0): r.v for r in custom.collapse_with(df, ["g.x", "k0"], "v", moment, "w").collect()}
+    keys = {(g, k) for g, k, _, _ in rows}
+    assert set(got) == keys
+    for g, k in keys:
+        own = [(x, w) for a, b, x, w in rows if (a, b) == (g, k) and x is not None and w is not None]
+        if not own:
+            assert got[g, k] is None
+            continue
+        x, w = map(np.array, zip(*own))
+        m = (w * x).sum() / w.sum()
+        assert got[g, k] == pytest.approx((w * (x - m) ** 3).sum() / w.sum(), abs=1e-9)
+    few = custom.collapse_with(df, ["g.x"], "v", moment, mtol=0.1)
+    assert {r["g.x"] for r in few.collect() if r.v is None} == {None, 0, 1, 2, 3, 4}
+    whole = custom.collapse_with(df, [], "v", moment).collect()
+    assert len(whole) == 1 and whole[0].v is not None and custom.collapse_with(df.limit(0), [], "v", moment).count() == 0
+    plan = custom.collapse_with(df, ["k0"], "v", moment)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow", plan.index("FlatMapGroupsInArrow") + 20)

@@ -257,7 +257,7 @@ def test_points_in_three_dimensions(spark):
     field = lambda x, y, z: 2 * x - y + 3 * z
     rng = np.random.default_rng(5)
     to = [(n, float(i + 0.3 * j), float(2 * j - 0.2 * i), float(z)) for n, (j, i, z) in enumerate(rng.uniform([0, 0, 60], [4, 5, 990], (40, 3)))]
-    to += [(100, 0.0, 0.0, 1000.0), (101, 0.0, 0.0, 50.0), (102, 0.0, 0.0, 500.0), (103, 0.0, 0.0, 40.0), (104, 0.0, 0.0, 1001.0), (105, 0.0, 0.0, None), (106, -9.0, 0.0, 500.0)]
+    to += [(100, 0.0, 0.0, 1000.0), (101, 0.0, 0.0, 50.0), (102, 0.0, 0.0, 500.0), (103, 0.0, 0.0, 40.0), (104, 0.0, 0.0, 1001.0), (105, 0.0, 0.0, None), (106, -9.0, 0.0, 500.0), (107, 0.0, 0.0, 700.0)]
     places = spark.createDataFrame(to, "cell long, x double, y double, z double")
     dst = sphere.places(places, "cell", "x", "y", spherical=False)
     axis = spark.createDataFrame(list(enumerate(levels)), "k int, z double")
@@ -274,4 +274,15 @@ def test_points_in_three_dimensions(spark):
     own = spark.createDataFrame([(j * 6 + i, k, z + 3.0 * i) for j, i, _, _ in coords for k, z in enumerate(levels)], "cell long, k int, z double")
     rows = own.withColumn("v", F.when((F.col("cell") != 0) | (F.col("k") != 1), F.col("z") * 2))
     got = {r.cell: r.v for r in sphere.regrid_levels(rows.select("cell", "k", "v"), [], "v", src, dst, own, places.select("cell", "z")).collect()}
-    assert all(got[n] is None or abs(got[n] - 2 * z) < 1e-9 for n, _, _, z in to if z is not None) and sum(v is None for v in got.values()) < 12 and got[102] is None
+    assert all(got[n] is None or abs(got[n] - 2 * z) < 1e-9 for n, _, _, z in to if z is not None) and sum(v is None for v in got.values()) < 12 and got[107] is None and got[102] == 1000.0
+
+
+def test_cubes_on_two_dimensional_coordinates(spark):
+    from gridloom.operators.cube import Axis, Cube
+
+    src, coords = plane_grid(spark, 5, 6)
+    rows = spark.createDataFrame([(t, j, i, x + 10 * y + t) for t in (0, 1) for j, i, x, y in coords], "i_t int, i_j int, i_i int, v double")
+    cube = Cube(rows, {"t": Axis("t", 2), "j": Axis("j", 5), "i": Axis("i", 6)}, "v")
+    dst = sphere.places(spark.createDataFrame([(7, 1.55, 2.8)], "cell long, x double, y double"), "cell", "x", "y", False)
+    got = {r.i_t: r.v for r in cube.regrid_cells(["j", "i"], src, dst).collect()}
+    assert got == pytest.approx({0: 29.55, 1: 30.55})

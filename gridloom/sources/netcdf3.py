@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from gridloom.sources import pushed
+from gridloom.sources import within as ranges
 
 #: Fixed values of the format: external types by tag (numpy kind), and their default fill values.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -169,20 +169,16 @@ class NetCDF3DataSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         header, v = self._variable()
-        return _Reader(self.options["path"].removeprefix("file://"), header, v, int(self.options.get("cells", 1 << 22)), schema)
+        return _Reader(self.options["path"].removeprefix("file://"), header, v, int(self.options.get("cells", 1 << 22)), schema, self.options.get("ranges"))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, header: Header, v: Variable, cells: int, schema: StructType):
-        self.path, self.header, self.v, self.cells, self.schema, self.filters = path, header, v, cells, schema, []
-
-    def pushFilters(self, filters):
-        """Notes all filters and leaves all to Spark; those on the first axis bound the records that are read."""
-        self.filters = list(filters)
-        return self.filters
+    def __init__(self, path: str, header: Header, v: Variable, cells: int, schema: StructType, within: str | None = None):
+        self.path, self.header, self.v, self.cells, self.schema, self.within = path, header, v, cells, schema, within
 
     def partitions(self) -> Sequence[InputPartition]:
-        within = pushed.positions(self.filters, self.schema.names[:1], self.v.shape[:1])[0] if self.v.shape else range(1)
+        asked = ranges.positions(self.within, self.v.dims, self.v.shape)
+        within = asked[0] if asked else range(1)
         rest = max(1, int(np.prod(self.v.shape[1:], dtype=np.int64)))
         step = max(1, self.cells // rest)
         return [Slab(self.path, a, min(a + step, within.stop)) for a in range(within.start, within.stop, step)] or [Slab(self.path, 0, 0)]
@@ -208,11 +204,12 @@ def _cells(v: Variable, data: np.ndarray, start: int, schema: pa.Schema) -> pa.R
     return pa.RecordBatch.from_arrays([*columns, found], schema=schema)
 
 
-def read(spark: SparkSession, path: str, variable: str, cells: int = 1 << 22) -> DataFrame:
-    """A variable of a file on a file system that every executor sees. Filters on the first axis reach the file (see zarr.read)."""
-    pushed.enable(spark)
+def read(spark: SparkSession, path: str, variable: str, cells: int = 1 << 22, within: Mapping[str, ranges.Range] | None = None) -> DataFrame:
+    """A variable of a file on a file system that every executor sees; within: {dim: (first, last position)}, None for no bound. Records outside
+    the first dimension's range aren't read."""
     spark.dataSource.register(NetCDF3DataSource)
-    return spark.read.format("netcdf3").option("path", path).option("variable", variable).option("cells", str(cells)).load()
+    df = spark.read.format("netcdf3").option("path", path).option("variable", variable).option("cells", str(cells)).option("ranges", ranges.option(within, None)).load()
+    return ranges.kept(df, variable, within, None)
 
 
 def read_from_store(spark: SparkSession, paths: str | Sequence[str], variable: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Zarr arrays (formats 2 and 3; raw, zlib, gzip or zstd chunks): a Spark data source with a partition per chunk, and a writer.
 
-Filters on positions leave out chunks. Beside an array that is written here lies a table with each chunk's count, least and greatest value and
-sum: filters on the value leave out chunks by it, and collapses over the whole array or over whole chunks don't open any.
+Ranges of positions leave out chunks. Beside an array that is written here lies a table with each chunk's count, least and greatest value and
+sum: a range of values leaves out chunks by it, and collapses over the whole array or over whole chunks don't open any.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from gridloom.sources import pushed
+from gridloom.sources import within as ranges
 
 #: The folder of the table of statistics, beside an array's metadata.
 STATISTICS = "_chunk_statistics"
@@ -87,23 +87,18 @@ class ZarrDataSource(DataSource):
         return ", ".join([*(f"`i_{d}` int" for d in dims), f"`{self.options.get('name', 'value')}` {_SQL[m['kind'][1:]]}"])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], schema)
+        return _Reader(self.options["path"], schema, self.options.get("ranges"))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema, self.m, self.filters = path, schema, metadata(path), []
-
-    def pushFilters(self, filters):
-        """Notes all filters and leaves all to Spark: a chunk holds rows that don't pass, too."""
-        self.filters = list(filters)
-        return self.filters
+    def __init__(self, path: str, schema: StructType, within: str | None = None):
+        self.path, self.schema, self.m, self.within = path, schema, metadata(path), within
 
     def partitions(self) -> Sequence[InputPartition]:
-        *columns, value = self.schema.names
-        within = pushed.positions(self.filters, columns, self.m["shape"])
-        chunks = itertools.product(*(range(r.start // c, -(-r.stop // c)) if len(r) else range(0) for r, c in zip(within, self.m["chunks"])))
-        low, high = pushed.bounds(self.filters, value)
+        dims = [c.removeprefix("i_") for c in self.schema.names[:-1]]
+        asked = ranges.positions(self.within, dims, self.m["shape"])
+        chunks = itertools.product(*(range(r.start // c, -(-r.stop // c)) if len(r) else range(0) for r, c in zip(asked, self.m["chunks"])))
+        low, high = ranges.values(self.within)
         if low == -np.inf and high == np.inf:
             return [Chunk(at) for at in chunks]
         known = _statistics(self.path)
@@ -111,9 +106,11 @@ class _Reader(DataSourceReader):
         passes = lambda s: s is None or (s[0] > 0 and not s[2] + abs(s[2]) * 1e-15 < low and not s[1] - abs(s[1]) * 1e-15 > high)
         return [Chunk(at) for at in chunks if passes(known.get(at))]
 
-    def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunk | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if partition is None:  # no chunk can hold a row of the ranges
+            return
         m, schema = self.m, to_arrow_schema(self.schema)
         key = m["separator"].join([*([m["prefix"]] if m["prefix"] else []), *map(str, partition.at)]) or "0"
         own = [min(c, n - a * c) for a, c, n in zip(partition.at, m["chunks"], m["shape"])]
@@ -158,11 +155,14 @@ def statistics(spark: SparkSession, path: str, axes: Sequence[str] | None = None
     return rows.groupBy(*[f"i_{d}" for d in kept]).agg(F.min("low").alias("minimum"), F.max("high").alias("maximum"), F.when(n > 0, total).alias("sum"), F.coalesce(n, F.lit(0)).alias("sample_size"), F.try_divide(total, n).alias("mean"))
 
 
-def read(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
-    """Sets spark.sql.python.filterPushdown.enabled, without which Spark doesn't offer filters to a source in Python."""
-    pushed.enable(spark)
+def read(spark: SparkSession, path: str, name: str = "value", within: Mapping[str, ranges.Range] | None = None, values: ranges.Range | None = None) -> DataFrame:
+    """An array's cells; within: {dim: (first, last position)}, values: (least, greatest), None for no bound. Missing values are in no range of values.
+
+    Chunks outside the ranges aren't opened: by their place, and by the table of statistics where there is one.
+    """
     spark.dataSource.register(ZarrDataSource)
-    return spark.read.format("zarr").option("path", path).option("name", name).load()
+    df = spark.read.format("zarr").option("path", path).option("name", name).option("ranges", ranges.option(within, values)).load()
+    return ranges.kept(df, name, within, values)
 
 
 def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[str, int], value: str = "value", kind: str = "f8", fill: float | int | None = None, attributes: Mapping | None = None) -> None:

@@ -218,17 +218,20 @@ def _scans(df):
     return df.rdd.getNumPartitions()
 
 
-def test_filters_leave_out_chunks_and_statistics_open_none(spark, tmp_path):
+def test_ranges_leave_out_chunks_and_statistics_open_none(spark, tmp_path):
     rows = [(y, x, None if (y, x) in ((0, 0), (7, 7)) or 4 <= y < 6 else float(y * 100 + x)) for y in range(10) for x in range(9)]
     df = spark.createDataFrame(rows, "i_y int, i_x int, value double")
     path = str(tmp_path / "a.zarr")
     zarr.write(df, path, {"y": 10, "x": 9}, {"y": 2, "x": 3})
-    got = zarr.read(spark, path)
-    assert _scans(got) == 15
-    for condition, chunks in (("i_y = 3", 3), ("i_y < 4 AND i_x >= 6", 2), ("i_x IN (0, 1)", 5), ("i_y > 3 AND i_y < 3", 1), ("i_y >= 99", 1), ("value > 850", 3), ("value < 3", 1), ("value BETWEEN 500 AND 599", 1), ("value >= 0", 12), ("i_y = 3 OR i_x = 8", 15), ("value IS NULL", 15), ("value > 850 AND i_x = 1", 1)):
-        some = got.where(condition)
+    assert _scans(zarr.read(spark, path)) == 15 and zarr.read(spark, path).count() == 90
+    asked = [("i_y = 3", {"y": (3, 3)}, None, 3), ("i_y < 4 AND i_x >= 6", {"y": (None, 3), "x": (6, None)}, None, 2), ("i_x IN (0, 1)", {"x": (0, 1)}, None, 5), ("false", {"y": (5, 4)}, None, 1), ("false", {"y": (99, None)}, None, 1)]
+    asked += [("value >= 850", None, (850, None), 3), ("value <= 2.5", None, (None, 2.5), 1), ("value BETWEEN 500 AND 599", None, (500, 599), 1), ("value >= 0", None, (0, None), 12), ("value >= 850 AND i_x = 1", {"x": (1, 1)}, (850, None), 1)]
+    for condition, within, values, chunks in asked:
+        some = zarr.read(spark, path, within=within, values=values)
         assert max(1, _scans(some)) == chunks, condition
         assert sorted(map(tuple, some.collect()), key=str) == sorted(map(tuple, df.where(condition).collect()), key=str), condition
+    with pytest.raises(Exception, match="i_z"):
+        zarr.read(spark, path, within={"z": (0, 1)}).count()
     want = [v for _, _, v in rows if v is not None]
     for file in (tmp_path / "a.zarr" / "c").rglob("*"):
         if file.is_file():
@@ -243,10 +246,10 @@ def test_filters_leave_out_chunks_and_statistics_open_none(spark, tmp_path):
     assert found == {y: sum(v for i, _, v in rows if i == y and v is not None) if not 4 <= y < 6 else None for y in range(10)}
 
 
-def test_filters_bound_the_records_of_a_file(spark, tmp_path):
+def test_ranges_bound_the_records_of_a_file(spark, tmp_path):
     df = spark.createDataFrame([(y, x, float(y * 10 + x)) for y in range(20) for x in range(5)], "i_y int, i_x int, v double")
     path = str(tmp_path / "a.nc")
     netcdf3.write(path, {"y": 20, "x": 5}, {"v": (df, ["y", "x"], "f8", {})})
-    got = netcdf3.read(spark, path, "v", cells=10)
-    assert _scans(got) == 10 and _scans(got.where("i_y BETWEEN 4 AND 7")) == 2 and got.where("i_y >= 4 AND i_x = 2 AND i_y < 8").count() == 4
-    assert got.where("i_y > 100").count() == 0 and got.where("v > 150").count() == df.where("v > 150").count()
+    some = netcdf3.read(spark, path, "v", cells=10, within={"y": (4, 7), "x": (2, 2)})
+    assert _scans(netcdf3.read(spark, path, "v", cells=10)) == 10 and _scans(some) == 2 and sorted(r.v for r in some.collect()) == [42, 52, 62, 72]
+    assert netcdf3.read(spark, path, "v", within={"y": (100, None)}).count() == 0

@@ -80,10 +80,13 @@ def _extended(df: DataFrame, by: Sequence[str], index: str, depth: int, mode: st
         at = every(i, n)
     elif mode == "reflect":
         at = F.concat(every(i, 2 * n), every(-1 - i, 2 * n))
+    elif mode == "mirror":  # about the end cells, which aren't repeated
+        turned = F.when((i > 0) & (i < n - 1), every(-i, 2 * (n - 1))).otherwise(F.array().cast("array<bigint>"))
+        at = F.when(n > 1, F.concat(every(i, 2 * (n - 1)), turned)).otherwise(F.sequence(i - depth, i + depth))
     elif mode == "nearest":
         at = F.sequence(F.when(i == 0, -depth).otherwise(i), F.when(i == n - 1, i + depth).otherwise(i))
     else:
-        raise ValueError(f"mode {mode!r} is not one of constant, nearest, reflect, wrap")
+        raise ValueError(f"mode {mode!r} is not one of constant, mirror, nearest, reflect, wrap")
     out = rows.withColumn("__at", F.explode(at))
     return out.withColumns({"__own": F.col("__at") == F.col(index), index: F.col("__at")}).drop("__at", "__n")
 

@@ -130,7 +130,12 @@ def test_windows(spark):
         assert got == pytest.approx(np.convolve(padded, [0.1, 0.6, 0.3], "valid")), mode
     assert out(windows.convolution_filter(line(spark, full), ["g"], "i", "x", [1, 1, 1], "constant"))[::5] == [None, None]
     with pytest.raises(ValueError):
-        windows.convolution_filter(line(spark, full), ["g"], "i", "x", [1, 1, 1], "mirror")
+        windows.convolution_filter(line(spark, full), ["g"], "i", "x", [1, 1, 1], "other")
+    for n in (1, 2, 3, 6):
+        own = full[:n]
+        at = lambda k: own[0] if n == 1 else own[min(k % (2 * n - 2), -k % (2 * n - 2))]  # noqa: B023, E731
+        got = out(windows.convolution_filter(line(spark, own), ["g"], "i", "x", [0.1, 0.2, 0.4, 0.2, 0.1], "mirror"))
+        assert got == pytest.approx([sum(w * at(i + d) for d, w in zip((-2, -1, 0, 1, 2), (0.1, 0.2, 0.4, 0.2, 0.1))) for i in range(n)])
     assert out(windows.moving_window(line(spark, full), ["g"], "i", "x", "mean", 3)) == pytest.approx([2.5, 8 / 3, 3, 4, 14 / 3, 6])
     assert out(windows.moving_window(line(spark, full), ["g"], "i", "x", "sum", 3, mode="wrap")) == pytest.approx([10, 8, 9, 12, 14, 13])
     two = line(spark, full).unionByName(line(spark, full[:3], 1))

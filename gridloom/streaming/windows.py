@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.folders import new_folder
+
 
 def read_events(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
     """The events table as a stream of files, with ts as an event time."""
@@ -39,11 +40,17 @@ def sessions(events: DataFrame, gap: str, by: Sequence[str], late: str = "1 hour
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is into an in-memory table: for collapses whose result is small."""
-    table = f"{name}_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(table)
+    """Run a stream over what there is into a table in the shared folder, which each batch writes from its tasks: nothing goes through the driver.
+
+    A complete result replaces that of the batch before; otherwise a batch has a folder of its own, so that one that runs twice counts once.
+    """
+    folder = new_folder(stream.sparkSession, name)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={0 if mode == 'complete' else batch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(store).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def append_to_field(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ()):

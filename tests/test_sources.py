@@ -253,3 +253,16 @@ def test_ranges_bound_the_records_of_a_file(spark, tmp_path):
     some = netcdf3.read(spark, path, "v", cells=10, within={"y": (4, 7), "x": (2, 2)})
     assert _scans(netcdf3.read(spark, path, "v", cells=10)) == 10 and _scans(some) == 2 and sorted(r.v for r in some.collect()) == [42, 52, 62, 72]
     assert netcdf3.read(spark, path, "v", within={"y": (100, None)}).count() == 0
+
+
+def test_results_of_streams_are_written_by_tasks(spark, tmp_path):
+    """Not gathered in the driver's memory, however many groups there are; a stream without rows has a table without rows."""
+    from gridloom.streaming import windows as streaming
+
+    path = str(tmp_path / "in")
+    spark.range(50).selectExpr("timestamp_ntz'2024-01-01' + make_dt_interval(0, id) ts", "id user_id", "1.5D value").write.parquet(f"{path}/events.parquet")
+    for condition, rows in (("true", 50), ("false", 0)):
+        events = spark.readStream.schema(spark.read.parquet(f"{path}/events.parquet").schema).parquet(f"{path}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).where(condition)
+        got = streaming.run_to_table(streaming.sessions(events, "30 minutes", ["user_id"]), "sessions")
+        assert got.count() == rows
+        assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()

@@ -286,3 +286,23 @@ def test_cubes_on_two_dimensional_coordinates(spark):
     dst = sphere.places(spark.createDataFrame([(7, 1.55, 2.8)], "cell long, x double, y double"), "cell", "x", "y", False)
     got = {r.i_t: r.v for r in cube.regrid_cells(["j", "i"], src, dst).collect()}
     assert got == pytest.approx({0: 29.55, 1: 30.55})
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(40).select(F.col("id").alias("cell"), sphere.vector(F.col("id") * 7 % 40, F.col("id") * 3 % 20, False).alias("p"))
+    assert "Broadcast" not in plan(sphere.nearest(rows, rows, False))
+    cells = spark.range(40).select(F.floor(F.col("id") / 8).alias("j"), (F.col("id") % 8).alias("i"))
+    corners = F.array(*[F.struct((F.col("i") + b).alias("lon"), (F.col("j") + a).alias("lat")) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0))])
+    bounds = cells.select("j", "i", F.posexplode(corners).alias("k", "e")).select("j", "i", "k", "e.*")
+    grid = sphere.curvilinear(cells.select("j", "i", F.col("i").alias("lon"), F.col("j").alias("lat")), "j", "i", 8, bounds=bounds, spherical=False)
+    data = spark.range(40).select(F.col("id").alias("cell"), F.col("id").cast("double").alias("v"))
+    for method in ("conservative", "linear", "nearest_stod"):
+        got = sphere.regrid(data, [], "v", grid, grid, method)
+        assert "Broadcast" not in plan(got)
+        assert {r["cell"]: r["v"] for r in got.collect()} == pytest.approx({k: float(k) for k in range(40)})
+
+
+def test_a_file_of_one_partition_is_dealt_out(spark):
+    rows = spark.range(40).coalesce(1).select(F.col("id").alias("cell"), F.array(sphere.vector(F.col("id"), F.col("id"), False)).alias("v"))
+    assert sphere._spread(rows).rdd.getNumPartitions() >= 3

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.operators.reshape import flat_index, grid, unflatten
 from gridloom.operators.windows import BLOCK, cumsum
 
+#: Pairs of nodes that a task tells apart, about.
+PAIRS = 2_000_000
+
 
 def ragged_contiguous(obs: DataFrame, counts: DataFrame, instance: str = "i_station", count: str = "row_size", index: str = "i_obs", element: str = "i_element") -> DataFrame:
     """obs in order of index, counts rows per instance: adds each observation's instance and its place in it.
@@ -117,8 +120,15 @@ def cell_connectivity(connectivity: DataFrame, cell: str = "cell", place: str =
 
 
 def point_topology(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs of nodes joined by an edge, in both directions."""
-    return edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("neighbour"))).distinct()
+    """Pairs of nodes joined by an edge, in both directions, dealt out by node.
+
+    Edges are counted first: as many partitions as keep each to PAIRS rows or so, as a task tells the pairs of a partition apart in memory.
+    Pairs are dealt once, and counts by node need no further exchange.
+    """
+    spark = edges.sparkSession
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * edges.count() // PAIRS))
+    both = edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("neighbour")))
+    return both.repartition(many, "node").distinct()
 
 
 def aggregated(spark: SparkSession, manifest: Sequence[Mapping], value: str = "value") -> DataFrame:

@@ -266,3 +266,9 @@ def test_results_of_streams_are_written_by_tasks(spark, tmp_path):
         got = streaming.run_to_table(streaming.sessions(events, "30 minutes", ["user_id"]), "sessions")
         assert got.count() == rows
         assert "LocalTableScan" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_topology_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(cp, "PAIRS", 10)
+    got = cp.point_topology(spark.range(60).selectExpr("id a", "id + 1 b").unionByName(spark.range(9).selectExpr("id a", "id + 1 b")))
+    assert got.count() == 120 and got.rdd.getNumPartitions() >= 12

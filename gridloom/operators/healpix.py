@@ -28,8 +28,8 @@ def _or(x: Column, y: Column) -> Column:
 
 
 def _long_div(q: Column, b: Column) -> Column:
-    """q / b for q a multiple of b, by decimal division, so that no digit is lost."""
-    return (q.cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
+    """q / b in whole numbers, so that no digit is lost."""
+    return F.call_function("div", q.cast("long"), b.cast("long"))
 
 
 def _even_bits(v: Column) -> Column:
@@ -132,11 +132,12 @@ def ring_to_xyf(p: Column, level: int) -> Column:
 
 
 def nested_to_ring(p: Column, level: int) -> Column:
-    return _once(nested_to_xyf(p, level), lambda c: xyf_to_ring(c, level))
+    return _once(p, lambda v: _once(nested_to_xyf(v, level), lambda c: xyf_to_ring(c, level)))
 
 
 def ring_to_nested(p: Column, level: int) -> Column:
-    return _once(ring_to_xyf(p, level), lambda c: xyf_to_nested(c, level))
+    # The index is computed once, however often the steps use it: it may be an expression as long as this one.
+    return _once(p, lambda v: _once(ring_to_xyf(v, level), lambda c: xyf_to_nested(c, level)))
 
 
 def to_nuniq(p: Column, level: int) -> Column:

@@ -13,7 +13,7 @@ from gridloom.functions import calendars, elementwise, flags, query as q
 from gridloom.functions.units import NONE, Units
 from gridloom.operators import catalog, collapse as c, combine, healpix, regrid as rg, reshape, subspace, vertical, weights, windows
 from gridloom.operators.cube import Axis, Cube
-from gridloom.plans.registry import _DAILY, _daily, _rounded, _size, _t, query
+from gridloom.plans.registry import _DAILY, _daily, _dealt, _rounded, _size, _t, query
 from gridloom.sources import compressed, netcdf3, zarr
 from gridloom.sources.folders import as_file, new_folder
 from gridloom.streaming import windows as streaming
@@ -264,7 +264,7 @@ SELECT p_partkey, round(lon::DOUBLE, 8) AS lon, round(lat, 8) + 0.0 AS lat, roun
 def healpix_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres and the northern and southern corners of the twelve base cells."""
     f = F.col("p_partkey") % 12
-    rows = _t(spark, sf_dir, "part").select("p_partkey", healpix.centre(f, 0).alias("c"), healpix.corners(f, 0).alias("v"))
+    rows = _dealt(_t(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", healpix.centre(f, 0).alias("c"), healpix.corners(f, 0).alias("v"))
     lats = F.transform("v", lambda p: p["lat"])
     return rows.select("p_partkey", F.round(F.pmod(F.col("c.lon"), F.lit(360.0)), 8).alias("lon"), (F.round("c.lat", 8) + 0.0).alias("lat"), F.round(F.array_max(lats), 8).alias("north"), (F.round(F.array_min(lats), 8) + 0.0).alias("south"))
 
@@ -272,7 +272,7 @@ def healpix_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_partkey AS found FROM part")
 def healpix_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cell that holds each cell's centre."""
-    t = _t(spark, sf_dir, "part")
+    t = _dealt(_t(spark, sf_dir, "part").select("p_partkey"))
     level = next(k for k in range(healpix.MAX_LEVEL + 1) if 12 * 4**k >= _size(t, "p_partkey"))
     at = t.select("p_partkey", healpix.centre(F.col("p_partkey"), level).alias("c"))
     return at.select("p_partkey", healpix.locate(F.col("c.lon"), F.col("c.lat"), level).alias("found"))
@@ -520,7 +520,7 @@ def mesh_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey AS a, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT -1 - l_partkey, count(DISTINCT l_orderkey) FROM lineitem GROUP BY l_partkey")
 def point_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and parts as points, line items as edges: each point's neighbours."""
-    edges = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b")).distinct()
+    edges = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
     got = compressed.point_topology(edges)
     return got.groupBy(F.col(got.columns[0]).alias("a")).agg(F.count("*").alias("n"))
 

@@ -34,6 +34,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores, for what takes long for each row: a small file is one partition, however many rows it holds."""
+    return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({x: F.round(F.col(x).cast("double"), digits) for x in columns})
 
@@ -541,7 +546,7 @@ def healpix_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _CELLS.replace("c_custkey", "p_partkey").replace("customer", "part") + " SELECT p_partkey, p_partkey + 4::BIGINT * (1::BIGINT << (2 * level)) AS nuniq, (2 * p_partkey + 1) * (1::BIGINT << (58 - 2 * level)) AS zuniq, p_partkey AS ring FROM part, s")
 def healpix_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by nested index on the level that covers their keys, in the other schemes, and through ring indices and back."""
-    p, t = F.col("p_partkey"), _t(spark, sf_dir, "part")
+    p, t = F.col("p_partkey"), _dealt(_t(spark, sf_dir, "part").select("p_partkey"))
     level = _level(_size(t, "p_partkey"))
     back = healpix.change_scheme(healpix.change_scheme(p, "nested", "ring", level), "ring", "nested", level)
     return t.select("p_partkey", healpix.change_scheme(p, "nested", "nuniq", level).alias("nuniq"), healpix.change_scheme(p, "nested", "zuniq", level).alias("zuniq"), back.alias("ring"))

@@ -565,3 +565,11 @@ def test_aggregates_of_the_users_own(spark):
     assert len(whole) == 1 and whole[0].v is not None and custom.collapse_with(df.limit(0), [], "v", moment).count() == 0
     plan = custom.collapse_with(df, ["k0"], "v", moment)._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow", plan.index("FlatMapGroupsInArrow") + 20)
+
+
+def test_healpix_work_is_done_once_and_on_all_cores(spark):
+    assert str(hp.ring_to_nested(F.rand(), 3)).count("rand(") == 1
+    assert str(hp.nested_to_ring(F.rand(), 3)).count("rand(") == 1
+    from gridloom.plans.registry import _dealt
+
+    assert _dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= 3

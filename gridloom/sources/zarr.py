@@ -1,4 +1,4 @@
-"""Zarr arrays (formats 2 and 3; raw, zlib, gzip or zstd chunks): a Spark data source with a partition per chunk, and a writer.
+"""Zarr arrays (formats 2 and 3; raw, zlib, gzip or zstd chunks): a Spark data source whose partitions read runs of chunks, and a writer.
 
 Ranges of positions leave out chunks. Beside an array that is written here lies a table with each chunk's count, least and greatest value and
 sum: a range of values leaves out chunks by it, and collapses over the whole array or over whole chunks don't open any.
@@ -12,7 +12,7 @@ import json
 import os
 import shutil
 import zlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from gridloom.sources import within as ranges
 
 #: The folder of the table of statistics, beside an array's metadata.
 STATISTICS = "_chunk_statistics"
+#: A read has up to PARTS partitions, and more only so that none holds over CELLS cells (or one chunk); rows leave it in batches of BATCH or so.
+PARTS, CELLS, BATCH = 96, 1 << 22, 1 << 15
 
 _V3 = {"float64": "f8", "float32": "f4", "int64": "i8", "int32": "i4", "int16": "i2", "int8": "i1", "uint8": "u1", "uint16": "u2", "uint32": "u4", "bool": "b1"}
 _SQL = {"f8": "double", "f4": "float", "i8": "long", "i4": "int", "i2": "int", "i1": "int", "u1": "int", "u2": "int", "u4": "long", "b1": "boolean"}
@@ -69,9 +71,15 @@ def _fill(m: dict):
     return special.get(m["fill"], m["fill"]) if isinstance(m["fill"], str) else m["fill"]
 
 
-class Chunk(InputPartition):
-    def __init__(self, at: tuple[int, ...]):
-        self.at = at
+class Chunks(InputPartition):
+    def __init__(self, many: list[tuple[int, ...]]):
+        self.many = many
+
+
+def _runs(chunks: list[tuple[int, ...]], cells: int) -> list[Chunks]:
+    """Chunks of so many cells each, in order, as partitions."""
+    many = max(1, min(-(-len(chunks) // PARTS), CELLS // max(cells, 1)))
+    return [Chunks(chunks[k : k + many]) for k in range(0, len(chunks), many)]
 
 
 class ZarrDataSource(DataSource):
@@ -100,20 +108,32 @@ class _Reader(DataSourceReader):
         chunks = itertools.product(*(range(r.start // c, -(-r.stop // c)) if len(r) else range(0) for r, c in zip(asked, self.m["chunks"])))
         low, high = ranges.values(self.within)
         if low == -np.inf and high == np.inf:
-            return [Chunk(at) for at in chunks]
+            return _runs(list(chunks), int(np.prod(self.m["chunks"])))
         known = _statistics(self.path)
         # Long integers are rounded in the table; NaN, which isn't less than anything, is greater than all for Spark.
         passes = lambda s: s is None or (s[0] > 0 and not s[2] + abs(s[2]) * 1e-15 < low and not s[1] - abs(s[1]) * 1e-15 > high)
-        return [Chunk(at) for at in chunks if passes(known.get(at))]
+        return _runs([at for at in chunks if passes(known.get(at))], int(np.prod(self.m["chunks"])))
 
-    def read(self, partition: Chunk | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Chunks | None) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         if partition is None:  # no chunk can hold a row of the ranges
             return
-        m, schema = self.m, to_arrow_schema(self.schema)
-        key = m["separator"].join([*([m["prefix"]] if m["prefix"] else []), *map(str, partition.at)]) or "0"
-        own = [min(c, n - a * c) for a, c, n in zip(partition.at, m["chunks"], m["shape"])]
+        schema, held, many = to_arrow_schema(self.schema), [], 0
+        joined = lambda: pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+        for at in partition.many:
+            held.append(self._chunk(at, schema))
+            many += held[-1].num_rows
+            if many >= BATCH:
+                yield from joined()
+                held, many = [], 0
+        if held:
+            yield from joined()
+
+    def _chunk(self, place: tuple[int, ...], schema: pa.Schema) -> pa.RecordBatch:
+        m = self.m
+        key = m["separator"].join([*([m["prefix"]] if m["prefix"] else []), *map(str, place)]) or "0"
+        own = [min(c, n - a * c) for a, c, n in zip(place, m["chunks"], m["shape"])]
         file, fill = os.path.join(self.path, key), _fill(m)
         if os.path.exists(file):
             raw = open(file, "rb").read()
@@ -122,9 +142,9 @@ class _Reader(DataSourceReader):
         else:
             data, missing = np.zeros(int(np.prod(own)), m["kind"]), np.ones(int(np.prod(own)), bool)
         at = np.unravel_index(np.arange(data.size), own) if own else ()
-        columns = [pa.array((x + a * c).astype(np.int32)) for x, a, c in zip(at, partition.at, m["chunks"])]
+        columns = [pa.array((x + a * c).astype(np.int32)) for x, a, c in zip(at, place, m["chunks"])]
         columns.append(pa.array(data.astype(data.dtype.newbyteorder("=")), mask=missing).cast(schema.field(len(columns)).type))
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _statistics(path: str) -> dict[tuple[int, ...], tuple]:
@@ -166,8 +186,8 @@ def read(spark: SparkSession, path: str, name: str = "value", within: Mapping[st
 
 
 def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[str, int], value: str = "value", kind: str = "f8", fill: float | int | None = None, attributes: Mapping | None = None) -> None:
-    """Write rows (i_<dim>…, value) as a format 3 array with zstd chunks: each chunk is gathered and written by the task that has it, and its
-    statistics after all chunks are there."""
+    """Write rows (i_<dim>…, value) as a format 3 array with zstd chunks: rows are dealt out and sorted by chunk, the task that has a
+    chunk writes it, and its statistics after all chunks are there."""
     shutil.rmtree(os.path.join(path, STATISTICS), ignore_errors=True)
     fill = ("NaN" if kind[0] == "f" else 0) if fill is None else fill
     os.makedirs(path, exist_ok=True)
@@ -178,20 +198,47 @@ def write(df: DataFrame, path: str, shape: Mapping[str, int], chunks: Mapping[st
     dims, sizes = list(shape), [chunks[d] for d in shape]
     hole = np.nan if fill == "NaN" else fill
 
-    def store(key, table):
+    def store(at: tuple[int, ...], table: pa.Table) -> tuple:
         block = np.full(sizes, hole, "<" + kind)
-        at = tuple(table.column(f"i_{d}").to_numpy() % s for d, s in zip(dims, sizes))
+        inside = tuple(table.column(f"i_{d}").to_numpy() % s for d, s in zip(dims, sizes))
         values = table.column(value)
-        block[at] = values.to_numpy() if values.null_count == 0 else np.array([hole if v is None else v for v in values.to_pylist()])
-        file = os.path.join(path, "c", *(str(k.as_py()) for k in key))
+        block[inside] = values.to_numpy() if values.null_count == 0 else np.array([hole if v is None else v for v in values.to_pylist()])
+        file = os.path.join(path, "c", *map(str, at))
         os.makedirs(os.path.dirname(file), exist_ok=True)
         with open(file + ".part", "wb") as f:
             f.write(zstandard.ZstdCompressor(level=1).compress(block.tobytes()))
         os.replace(file + ".part", file)  # a task that runs twice writes the same chunk
         there = block[~np.isnan(block)] if fill == "NaN" else block[block != fill]
         ends = (float(np.fmin.reduce(there)), float(there.max()), float(there.sum(dtype=np.float64))) if len(there) else (None, None, None)
-        return pa.table({"chunk": pa.array([[k.as_py() for k in key]], pa.list_(pa.int32())), "n": pa.array([len(there)], pa.int64()), **{c: pa.array([x], pa.float64()) for c, x in zip(("low", "high", "total"), ends)}})
+        return (list(at), len(there), *ends)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by chunk; those of a chunk may go on in the next batch."""
+        out, held, last = [], [], None
+        schema = pa.schema([("chunk", pa.list_(pa.int32())), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("total", pa.float64())])
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([np.asarray(batch.column(f"__c{k}")) for k in range(len(dims))], axis=1) if dims else np.zeros((batch.num_rows, 0), int)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                at = tuple(place[a].tolist())
+                if held and at != last:
+                    out.append(store(last, pa.Table.from_batches(held)))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = at
+            if len(out) >= BATCH:
+                yield made()
+                out = []
+        if held:
+            out.append(store(last, pa.Table.from_batches(held)))
+        if out:
+            yield made()
 
     keys = [F.floor(F.col(f"i_{d}") / s).cast("int").alias(f"__c{k}") for k, (d, s) in enumerate(zip(dims, sizes))]
-    done = df.groupBy(*keys).applyInArrow(store, "chunk array<int>, n long, low double, high double, total double")
+    rows, named = df.select(*[F.col(f"i_{d}") for d in dims], value, *keys), [f"__c{k}" for k in range(len(dims))]
+    dealt = rows.repartition(*named).sortWithinPartitions(*named) if dims else rows.coalesce(1)  # without axes there is one cell
+    done = dealt.mapInArrow(run, "chunk array<int>, n long, low double, high double, total double")
     done.write.parquet(f"file://{os.path.abspath(os.path.join(path, STATISTICS))}")

@@ -272,3 +272,19 @@ def test_pairs_of_a_topology_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(cp, "PAIRS", 10)
     got = cp.point_topology(spark.range(60).selectExpr("id a", "id + 1 b").unionByName(spark.range(9).selectExpr("id a", "id + 1 b")))
     assert got.count() == 120 and got.rdd.getNumPartitions() >= 12
+
+
+def test_chunks_are_read_and_written_in_runs(spark, tmp_path):
+    """As many partitions as PARTS, not as chunks; a chunk's rows lie over several batches, and rows leave in batches of many chunks."""
+    path = str(tmp_path / "many.zarr")
+    rows = spark.range(4000).selectExpr("int(id div 4) i_y", "int(id % 4) i_x", "if(id % 9 = 0, null, double(id)) value")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        zarr.write(rows, path, {"y": 1000, "x": 4}, {"y": 3, "x": 3})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = zarr.read(spark, path)
+    assert got.rdd.getNumPartitions() <= zarr.PARTS < 334 * 2
+    assert got.exceptAll(rows).isEmpty() and got.count() == 4000
+    assert spark.read.parquet(f"file://{path}/{zarr.STATISTICS}").count() == 334 * 2
+    assert zarr.statistics(spark, path).first()["sample_size"] == 4000 - 445

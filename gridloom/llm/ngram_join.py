@@ -10,9 +10,10 @@ Equal sets are one class throughout; a class is stood for by its least id.
     and the connected components of what links are the groups.
 3.  The token-group matrix over whole sets tells how many of a document's tokens occur in any other group. Below
     the bound it cannot link outside its group, and within its group nothing more is to be gained for components.
-4.  The rest is dealt into blocks of at most PART documents that share their most frequent token. The matrix of blocks
-    over each document's rarest tokens, of which any partner has one, tells which pairs of blocks can hold a link; only
-    these are opened, and their documents compared by whole sets.
+4.  The rest is dealt into blocks of PART documents or so that share a rare token, not one that is merely frequent, large
+    groups apart. The matrix of blocks over each document's rarest tokens, of which any partner has one, tells which pairs of
+    blocks can hold a link; only these are opened, and their documents compared by whole sets. Pairs are opened in rounds
+    that send no more tokens than all sets hold, so that disk stays in proportion to the input.
 
 Steps 1, 3 and 4 lose no link; step 2 only has to find groups, not all links. In steps 1 and 3 a chunk sends each of
 its distinct tokens once with the least group that has it, so that no token gathers more than a row for each chunk.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gridloom.llm.common import components, partitions, release, written
+from gridloom.llm.common import components, drop_shuffles, partitions, release, written
 from gridloom.llm.packed import CHUNK_POSITIONS, LAST, bounded_batches, by_chunk, give_back, pack, unpack
 
 WORDS, PERCENT, HASHES, PART = 5, 75, 6, 64
@@ -297,8 +299,24 @@ def _open_blocks(percent: int) -> Callable:
     return run
 
 
-def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Step 4: links between documents of different components among rest (id, component)."""
+def _dealt(kept: DataFrame) -> DataFrame:
+    """kept (id, lo, component, n, prefix) with its block, written: at most PART documents or so, near in the matrix.
+
+    A document goes with the least id that has one of its prefix tokens. A component with PART documents or more there has blocks of its own.
+    """
+    posts = kept.select("id", "lo", F.explode("prefix").alias("token"))
+    least = posts.groupBy("token").agg(F.min("id").alias("least"))
+    key = posts.join(least.hint("merge"), "token").groupBy("id", "lo").agg(F.min("least").alias("key"))
+    keyed = written(kept.join(key.hint("merge"), ["id", "lo"]), "keyed")
+    cells = keyed.groupBy("key", "component").agg(F.count("*").alias("rows")).withColumn("cell", F.xxhash64("key", F.when(F.col("rows") >= PART, F.col("component"))))
+    clusters = cells.groupBy("cell").agg(F.ceil(F.sum("rows") / PART).cast("int").alias("parts"))
+    placed = keyed.join(cells.drop("rows").hint("merge"), ["key", "component"]).join(clusters.hint("merge"), "cell")
+    return written(placed.select("id", "lo", "component", "n", "prefix", F.xxhash64("cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int, room: int | None = None) -> DataFrame:
+    """Step 4: links between documents of different components among rest (id, component), written. A round of pairs sends `room` tokens
+    or so, as many as all sets hold if it isn't given."""
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, n, lo, raw, c in zip(*(batch.column(k).to_pylist() for k in range(5))):
@@ -306,25 +324,35 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 k = len(t)
                 yield pa.RecordBatch.from_arrays([pa.array([i] * k), pa.array([n] * k), pa.array([lo] * k), pa.array(t), pa.array([c] * k)], names=["id", "n", "lo", "token", "component"])
 
-    whole = sets.join(rest, "id").select("id", "n", "lo", "tokens", "component")
+    whole = written(sets.join(rest, "id").select("id", "n", "lo", "tokens", "component"), "whole")
     posts = written(whole.mapInArrow(listed, "id long, n long, lo long, token long, component long"), "posts")
     # A token of one component only can't link across, but has its place in the order of rarity.
     rare = written(posts.groupBy("token").agg(F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("across")), "rare")
     ranked = posts.join(rare, "token").withColumn("r", F.row_number().over(Window.partitionBy("id", "lo").orderBy("df", "token")))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = written(ranked.where("across").groupBy("id", "lo").agg(F.max(F.struct("df", "token")).alias("top"), F.collect_list(F.when(F.col("r") <= first, F.col("token"))).alias("prefix")).where("size(prefix) > 0"), "kept")
+    kept = written(ranked.where(F.col("across") & (F.col("r") <= first)).groupBy("id", "lo").agg(F.min("component").alias("component"), F.max("n").alias("n"), F.collect_list("token").alias("prefix")), "kept")
     release(posts, rare)
-    clusters = written(kept.groupBy(F.col("top.token").alias("key")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "clusters")
-    dealt = kept.join(clusters.hint("merge"), F.col("top.token") == F.col("key"))
-    dealt = written(dealt.select("id", "lo", "prefix", F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+    dealt = _dealt(kept)
+    blocks = written(dealt.groupBy("block").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")), "sizes")
     matrix = written(dealt.select("block", F.explode("prefix").alias("token")).distinct(), "matrix")
     met = matrix.join(matrix.withColumnRenamed("block", "other"), "token").where("block <= other").select("block", "other").distinct()
-    pairs = written(met.withColumn("pair", F.xxhash64("block", "other")), "pairs")
+    sized = met.join(blocks.hint("merge"), "block").join(blocks.toDF("other", "size2", "low2", "high2").hint("merge"), "other")
+    # Two blocks of one and the same component have nothing to link.
+    sized = sized.where("least(low, low2) <> greatest(high, high2)")
+    pairs = written(sized.select("block", "other", F.xxhash64("block", "other").alias("pair"), (F.col("size") + F.when(F.col("block") != F.col("other"), F.col("size2")).otherwise(0)).alias("size")), "pairs")
     member = dealt.select("id", "lo", F.col("block").alias("own"))
-    one = pairs.join(member, F.col("block") == F.col("own")).select("pair", F.lit(0).alias("side"), "id", "lo")
-    two = pairs.where("block <> other").join(member, F.col("other") == F.col("own")).select("pair", F.lit(1).alias("side"), "id", "lo")
-    rows = one.unionByName(two).join(whole, ["id", "lo"]).select("pair", "side", "id", "component", "tokens")
-    return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_open_blocks(percent), "a long, b long")
+    room = room or sets.agg(F.sum("n")).first()[0] or 1
+    rounds, found = max(1, -(-(pairs.agg(F.sum("size")).first()[0] or 0) // room)), []
+    for k in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(rounds)) == k)
+        one = some.join(member, F.col("block") == F.col("own")).select("pair", F.lit(0).alias("side"), "id", "lo")
+        two = some.where("block <> other").join(member, F.col("other") == F.col("own")).select("pair", F.lit(1).alias("side"), "id", "lo")
+        rows = one.unionByName(two).join(whole, ["id", "lo"]).select("pair", "side", "id", "component", "tokens")
+        found.append(written(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_open_blocks(percent), "a long, b long"), "across"))
+        del some, one, two, rows
+        drop_shuffles(sets.sparkSession)
+    release(whole)
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -361,7 +389,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         _, rest = _reaching(sets.join(component, "id", "left").select("id", "n", "tokens", grouped), _set_source(percent), "matrix")
         rest = written(rest.select("id").distinct().join(component, "id", "left").select("id", grouped), "rest")
         if not rest.isEmpty():
-            more = written(_across(rest, sets, percent), "across")
+            more = _across(rest, sets, percent)
             component = written(components(links.unionByName(more)), "groups")
         release(sets)
     table = classes if component is None else classes.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left")

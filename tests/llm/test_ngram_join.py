@@ -1,8 +1,10 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
+from gridloom.llm import ngram_join
 from gridloom.llm.ngram_join import near_duplicate_components
 
 
@@ -85,3 +87,32 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.component_id) for r in near_duplicate_components(df).collect()), key=str) == [(1, 1), (None, None)]
     assert near_duplicate_components(df.limit(0)).count() == 0
+
+
+def _step4(spark, monkeypatch, families, **room):
+    """Links across families of two sets that share a common line, and how many sets the opened pairs of blocks are sent."""
+    rng = np.random.default_rng(5)
+    new = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    line, rows = new(10), []
+    for f in range(families):
+        own = new(30)
+        rows += [(2 * f + k, np.unique(np.concatenate([own, line, new(2)]))) for k in (0, 1)]
+    sets = spark.createDataFrame([(i, len(t), i, bytearray(ngram_join.pack(np.diff(t, prepend=np.uint64(0))))) for i, t in rows], "id long, n long, lo long, tokens binary")
+    tables, real = {}, ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, label: tables.setdefault(label, []).append(real(df, label)) or tables[label][-1])
+    links = ngram_join._across(sets.selectExpr("id", "id AS component"), sets, 75, **room)
+    size = {r["block"]: r["count"] for r in tables["blocks"][0].groupBy("block").count().collect()}
+    sent = sum(size[r["block"]] + (size[r["other"]] if r["block"] != r["other"] else 0) for r in tables["pairs"][-1].collect())
+    return {tuple(sorted(r)) for r in links.collect()}, sent, len(tables.get("across", []))
+
+
+def test_a_common_line_does_not_make_all_blocks_meet(spark, monkeypatch):
+    links, sent, _ = _step4(spark, monkeypatch, 400)
+    assert links == {(2 * f, 2 * f + 1) for f in range(400)}
+    assert sent <= 2 * 800
+
+
+def test_rounds_find_what_one_round_finds(spark, monkeypatch):
+    links, _, rounds = _step4(spark, monkeypatch, 40, room=500)
+    assert links == {(2 * f, 2 * f + 1) for f in range(40)}
+    assert rounds > 3

@@ -306,3 +306,30 @@ def test_sides_that_grow_are_not_broadcast(spark):
 def test_a_file_of_one_partition_is_dealt_out(spark):
     rows = spark.range(40).coalesce(1).select(F.col("id").alias("cell"), F.array(sphere.vector(F.col("id"), F.col("id"), False)).alias("v"))
     assert sphere._spread(rows).rdd.getNumPartitions() >= 3
+
+
+def test_zeros_need_no_rows(spark, monkeypatch):
+    """As regrid of every brand's zeros gives it; each weight is met once and by the rows that there are, not once for every brand."""
+    w = spark.createDataFrame([(0, 0, 0.25), (0, 1, 0.75), (1, 1, 0.5), (1, 2, 0.25), (2, 3, 1.0)], "dst long, src long, w double")
+    monkeypatch.setattr(sphere, "operator", lambda *a: sphere.RegridOperator("conservative", {"cell": w}))
+    rows = [("a", 0, 4.0), ("b", 1, 8.0), ("a", 2, None), (None, 2, 3.0)]
+    df = spark.createDataFrame(rows, "brand string, cell long, v double")
+    sums, real = [], sphere.written
+    monkeypatch.setattr(sphere, "written", lambda t, label: sums.append(real(t, label)) or sums[-1])
+    got = {(r.brand, r.cell): r.v for r in sphere.regrid_sparse(df, ["brand"], "v", None, None).collect()}
+    filled = [(b, c, next((v for x, y, v in rows if (x, y) == (b, c) and v is not None), 0.0)) for b in ("a", "b", None) for c in range(4)]
+    full = {(r.brand, r.cell): r.v for r in sphere.regrid(spark.createDataFrame(filled, df.schema), ["brand"], "v", None, None, "conservative", full=False).collect()}
+    assert got == {k: pytest.approx(full[k]) for k in got} and {k for k, v in full.items() if v} <= set(got)
+    assert sums[0].where("NOT __whole").count() == len(got) < len(full)
+
+
+def test_apart_loses_no_overlap():
+    rng = np.random.default_rng(3)
+    square = np.array([[0, 0], [1, 0], [1, 1], [0, 1]], float)
+    at = lambda n: np.concatenate([square * rng.uniform(0.2, 1.5, (n, 1, 2)) + rng.uniform(-1.5, 1.5, (n, 1, 2)), np.ones((n, 4, 1))], axis=2)
+    v, window = at(500), at(500)
+    flat = np.abs(sphere.areas(sphere.clipped(v, window, False), False))
+    unit = lambda x: x / np.linalg.norm(x, axis=2, keepdims=True)
+    round_ = np.abs(sphere.areas(sphere.clipped(unit(v), unit(window), True), True))
+    gone = sphere.apart(v, window)
+    assert 50 < gone.sum() and flat[gone].max() < 1e-15 and round_[sphere.apart(unit(v), unit(window))].max() < 1e-15

@@ -55,3 +55,38 @@ def test_pieces_part_between_terms(monkeypatch):
 
 def test_empty_table(spark):
     assert d.divergence(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
+
+
+def test_terms_travel_as_numbers_in_order_of_their_bytes(spark):
+    rows = [("b é z a", "en", "s0"), ("a B é b", "en", "s1"), ("é a b", "en", "s0"), ("a b", "de", "s1")] * 3
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    named = docs.select("lang", "source").distinct().orderBy("lang", "source").collect()
+    grp = {(lang, source): k for k, (lang, source) in enumerate(named)}
+    kept = d.vocabulary(docs)
+    terms = [(r.lang, r.term) for r in sorted(kept.collect(), key=lambda r: r.id)]
+    assert terms == [("de", "a"), ("de", "b"), ("en", "a"), ("en", "b"), ("en", "z"), ("en", "é")]
+    found = d.postings(docs, kept, spark.createDataFrame([(*k, n) for k, n in grp.items()], "lang string, source string, grp long"))
+    assert {t for _, t in found.dtypes} == {"bigint"}
+    place = {r.id: (r.lang, r.term) for r in kept.collect()}
+    got = {(*place[r.id], r.grp): (r.n, r.in_lang) for r in found.collect()}
+    assert got[("en", "b", grp["en", "s1"])] == (6, 12) and got[("en", "é", grp["en", "s0"])] == (6, 9) and got[("de", "a", grp["de", "s1"])] == (3, 3) and len(got) == 9
+
+
+def test_documents_are_read_as_often_for_any_vocabulary(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS[:12], "text string, lang string, source string")
+    kind, calls = type(docs), []
+    whole = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: calls.append(self.columns) or whole(self, *a, **b))
+    for bound in (1 << 23, 40):
+        monkeypatch.setattr(d, "AUTOMATON", bound)
+        calls.clear()
+        d.divergence(docs)
+        assert sum("text" in columns for columns in calls) == 2
+
+
+def test_terms_with_more_bytes_than_code_points(spark):
+    rows = [("ß" * 200 + " " + "ß" * 257 + " " + "q" * 300 + " 🙂字 " * 3, "de", f"s{i % 2}") for i in range(4)] + [("字 ß 🙂字", "de", "s0"), ("[]{}^`@", "de", "s2")]
+    got = d.divergence(spark.createDataFrame(rows, "text string, lang string, source string")).collect()
+    assert {tuple(r) for r in got} == plain(rows) and len(got) == len(plain(rows))
+    places = d._Known([b"a", "ß".encode() * 200, "ß".encode() * 257], 5).places(" ".join(["b", "ß" * 257, "ß" * 200, "q" * 300, "a"]).encode())
+    assert places.tolist() == [-1, 7, 6, -1, 5]
